@@ -69,4 +69,9 @@ def display_label(col: Column, labels: Mapping[str, str] = fixed.DISPLAY_LABELS)
 
 
 def in_thousands(col: Column) -> Column:
-    return F.format_string("%.1f", col / F.lit(1000.0))
+    """Thousands with one decimal.
+
+    ``format_number`` rounds the binary value half to even; ``format_string``
+    would round its shortest decimal text up.
+    """
+    return F.replace(F.format_number(col / F.lit(1000.0), 1), F.lit(","), F.lit(""))

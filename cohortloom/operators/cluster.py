@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.operators.metrics import gaussian_parameters
+from cohortloom.operators.passes import batched_by_size, columns_of, doubles, sum_statistics
+
+# Rows a seeding sample aims for; seeding picks starting points only, every pass runs over all rows.
+SEED_ROWS = 10_000
+COVARIANCE_FLOOR = 1e-6
 
 
 def assemble(df: DataFrame, cols: Sequence[str], output: str = "features") -> DataFrame:
@@ -61,8 +66,8 @@ class GaussianParams:
         )
 
 
-def _log_density(x: np.ndarray, p: GaussianParams) -> np.ndarray:
-    """Row-wise log of the mixture density."""
+def _component_log_density(x: np.ndarray, p: GaussianParams) -> np.ndarray:
+    """Rows x components: log of weight times density."""
     parts = []
     for w, mean, cov in zip(p.weights, p.means, p.covariances):
         values, vectors = np.linalg.eigh(cov)
@@ -70,33 +75,24 @@ def _log_density(x: np.ndarray, p: GaussianParams) -> np.ndarray:
         y = ((x - mean) @ vectors[:, keep]) / np.sqrt(values[keep])
         norm = np.log(values[keep]).sum() + len(mean) * np.log(2.0 * np.pi)
         parts.append(np.log(max(w, 1e-300)) - 0.5 * (norm + (y * y).sum(1)))
-    stacked = np.stack(parts, axis=1)
-    top = stacked.max(axis=1)
-    return top + np.log(np.exp(stacked - top[:, None]).sum(axis=1))
+    return np.stack(parts, axis=1)
 
 
-def mixture_log_likelihoods(df: DataFrame, cols: Sequence[str], params: Sequence[GaussianParams]) -> DataFrame:
-    """``trial, log_likelihood`` (total) and ``n`` of every mixture, all from one scan.
+def _log_sum_exp(a: np.ndarray) -> np.ndarray:
+    top = a.max(axis=1)
+    return top + np.log(np.exp(a - top[:, None]).sum(axis=1))
 
-    Tasks add up their rows, so each ships one row per mixture.
-    """
 
-    def sums(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        total, n = np.zeros(len(params)), 0
-        for b in batches:
-            if b.num_rows:
-                x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)])
-                total += [_log_density(x, p).sum() for p in params]
-                n += b.num_rows
-        yield pa.RecordBatch.from_pydict(
-            {"trial": pa.array(range(len(params)), pa.int32()), "ll": total, "n": [n] * len(params)}
-        )
+def _likelihoods(batch: pa.RecordBatch, params: Sequence[GaussianParams]) -> list[np.ndarray]:
+    x = columns_of(batch)
+    return [np.array([_log_sum_exp(_component_log_density(x, p)).sum(), len(x)]) for p in params]
 
-    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    return (
-        doubles.mapInArrow(sums, "trial int, ll double, n bigint")
-        .groupBy("trial")
-        .agg(F.sum("ll").alias("log_likelihood"), F.sum("n").alias("n"))
+
+def mixture_log_likelihoods(df: DataFrame, cols: Sequence[str], params: Sequence[GaussianParams]) -> DataFrame:
+    """``trial, log_likelihood`` (total) and ``n`` of every mixture, all from one scan."""
+    sums = sum_statistics(df, cols, list(params), _likelihoods, [2] * len(params))
+    return df.sparkSession.createDataFrame(
+        [(i, float(ll), int(n)) for i, (ll, n) in enumerate(sums)], "trial int, log_likelihood double, n bigint"
     )
 
 
@@ -131,3 +127,187 @@ def nearest_centroid_step(df: DataFrame, cols: Sequence[str], centroids: Sequenc
             *[F.avg(c).alias(c) for c in cols],
         )
     )
+
+
+# Sweeps: many fits over the same rows.
+
+
+def _seed_rows(df: DataFrame, cols: Sequence[str], n_rows: int, seed: int) -> np.ndarray:
+    """A random sample of about ``SEED_ROWS`` rows (all rows when there are fewer) to pick starting points from."""
+    chosen = doubles(df, cols)
+    if n_rows > SEED_ROWS:
+        chosen = chosen.sample(withReplacement=False, fraction=SEED_ROWS / n_rows, seed=seed)
+    return np.array([tuple(r) for r in chosen.collect()], float).reshape(-1, len(cols))
+
+
+def _spread_out_start(rows: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ seeding: each next centre is drawn with probability proportional to its squared distance."""
+    rng = np.random.default_rng(seed)
+    centres = [rows[rng.integers(len(rows))]]
+    nearest = ((rows - centres[0]) ** 2).sum(1)
+    for _ in range(1, k):
+        total = nearest.sum()
+        at = rng.integers(len(rows)) if total <= 0 else rng.choice(len(rows), p=nearest / total)
+        centres.append(rows[at])
+        nearest = np.minimum(nearest, ((rows - rows[at]) ** 2).sum(1))
+    return np.array(centres)
+
+
+def _squared_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    sq = (x * x).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2.0 * (x @ centres.T)
+    return np.maximum(sq, 0.0)
+
+
+def _indicator(labels: np.ndarray, k: int) -> np.ndarray:
+    hot = np.zeros((len(labels), k))
+    hot[np.arange(len(labels)), labels] = 1.0
+    return hot
+
+
+def _lloyd_statistics(batch: pa.RecordBatch, fits: Sequence[np.ndarray]) -> list[np.ndarray]:
+    x = columns_of(batch)
+    out = []
+    for centres in fits:
+        hot = _indicator(_squared_distances(x, centres).argmin(1), len(centres))
+        out.append(np.concatenate([hot.sum(0), (hot.T @ x).ravel()]))
+    return out
+
+
+def fit_kmeans_sweep(
+    df: DataFrame,
+    cols: Sequence[str],
+    grid: Sequence[tuple[int, int]],
+    n_rows: int,
+    max_iter: int = 300,
+    tol: float = 1e-4,
+) -> list[np.ndarray]:
+    """Centres of every (k, seed) fit; one scan per iteration serves all fits that still move.
+
+    Pass a persisted frame of scaled columns.  A fit ends when its centres move
+    by less than ``tol`` in total squared distance.
+    """
+    seed_rows = _seed_rows(df, cols, n_rows, grid[0][1])
+    fits = [_spread_out_start(seed_rows, k, seed) for k, seed in grid]
+    d = len(cols)
+    running = list(range(len(fits)))
+    for _ in range(max_iter):
+        moving = []
+        sizes = [len(fits[i]) * (d + 1) for i in running]
+        for group in batched_by_size(running, sizes):
+            members = [running[g] for g in group]
+            stats = sum_statistics(df, cols, [fits[i] for i in members], _lloyd_statistics, [sizes[g] for g in group])
+            for i, flat in zip(members, stats):
+                k = len(fits[i])
+                count, total = flat[:k], flat[k:].reshape(k, d)
+                # An empty cluster keeps its centre.
+                moved = np.where(count[:, None] > 0, total / np.maximum(count, 1.0)[:, None], fits[i])
+                shift = ((moved - fits[i]) ** 2).sum()
+                fits[i] = moved
+                if shift > tol:
+                    moving.append(i)
+        running = moving
+        if not running:
+            break
+    return fits
+
+
+def _gaussian_statistics(resp: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
+    outer = [((x * resp[:, c : c + 1]).T @ x).ravel() for c in range(resp.shape[1])]
+    return [resp.sum(0), (resp.T @ x).ravel(), *outer]
+
+
+def _hard_statistics(batch: pa.RecordBatch, fits: Sequence[np.ndarray]) -> list[np.ndarray]:
+    x = columns_of(batch)
+    out = []
+    for centres in fits:
+        hot = _indicator(_squared_distances(x, centres).argmin(1), len(centres))
+        out.append(np.concatenate([np.zeros(1), *_gaussian_statistics(hot, x)]))
+    return out
+
+
+def _soft_statistics(batch: pa.RecordBatch, fits: Sequence[GaussianParams]) -> list[np.ndarray]:
+    x = columns_of(batch)
+    out = []
+    for p in fits:
+        joint = _component_log_density(x, p)
+        ll = _log_sum_exp(joint)
+        out.append(np.concatenate([[ll.sum()], *_gaussian_statistics(np.exp(joint - ll[:, None]), x)]))
+    return out
+
+
+def _gaussian_update(flat: np.ndarray, k: int, d: int) -> GaussianParams:
+    n = flat[1 : 1 + k] + 10.0 * np.finfo(float).eps
+    means = flat[1 + k : 1 + k + k * d].reshape(k, d) / n[:, None]
+    second = flat[1 + k + k * d :].reshape(k, d, d) / n[:, None, None]
+    cov = second - means[:, :, None] * means[:, None, :] + COVARIANCE_FLOOR * np.eye(d)
+    return GaussianParams(n / n.sum(), means, cov)
+
+
+def fit_gaussian_mixture_sweep(
+    df: DataFrame,
+    cols: Sequence[str],
+    grid: Sequence[tuple[int, int]],
+    n_rows: int,
+    max_iter: int = 100,
+    tol: float = 1e-3,
+) -> list[GaussianParams]:
+    """Full-covariance mixtures of every (k, seed), started from the k-means fit of the same seed.
+
+    ``tol`` is the change in mean log-likelihood that ends a fit.
+    """
+    d = len(cols)
+    starts = fit_kmeans_sweep(df, cols, grid, n_rows)
+    sizes = [1 + k * (1 + d + d * d) for k, _ in grid]
+    fits: list[GaussianParams] = [None] * len(grid)
+    for group in batched_by_size(starts, sizes):
+        stats = sum_statistics(df, cols, [starts[i] for i in group], _hard_statistics, [sizes[i] for i in group])
+        for i, flat in zip(group, stats):
+            fits[i] = _gaussian_update(flat, grid[i][0], d)
+    last = [-np.inf] * len(grid)
+    running = list(range(len(grid)))
+    for _ in range(max_iter):
+        moving = []
+        for group in batched_by_size(running, [sizes[i] for i in running]):
+            members = [running[g] for g in group]
+            stats = sum_statistics(
+                df, cols, [fits[i] for i in members], _soft_statistics, [sizes[i] for i in members]
+            )
+            for i, flat in zip(members, stats):
+                fits[i] = _gaussian_update(flat, grid[i][0], d)
+                mean_ll = flat[0] / n_rows
+                if abs(mean_ll - last[i]) >= tol:
+                    moving.append(i)
+                last[i] = mean_ll
+        running = moving
+        if not running:
+            break
+    return fits
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return _squared_distances(x, centres).argmin(1)
+
+
+def _likeliest(x: np.ndarray, p: GaussianParams) -> np.ndarray:
+    return _component_log_density(x, p).argmax(1)
+
+
+def label_sweep(df: DataFrame, cols: Sequence[str], fits: Sequence[np.ndarray | GaussianParams]) -> DataFrame:
+    """The columns with ``labels``: the hard assignment under every fit, from one scan."""
+    shared = df.sparkSession.sparkContext.broadcast(list(fits))
+
+    def assign(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        rules: list[tuple[Callable, object]] = [
+            (_likeliest if isinstance(f, GaussianParams) else _nearest, f) for f in shared.value
+        ]
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            x = columns_of(b)
+            labels = np.stack([rule(x, f) for rule, f in rules], axis=1).astype(np.int32)
+            offsets = np.arange(0, labels.size + 1, labels.shape[1], dtype=np.int32)
+            nested = pa.ListArray.from_arrays(pa.array(offsets), pa.array(labels.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, nested], names=[*cols, "labels"])
+
+    schema = ", ".join(f"`{c}` double" for c in cols) + ", labels array<int>"
+    return doubles(df, cols).mapInArrow(assign, schema)

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,15 +34,22 @@ def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def cluster_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Per trial and cluster: size, centroid and within sum of squares, combined on the map side."""
-    grouped = _long(df, cols).groupBy("trial", "label").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)],
-        *[F.var_pop(c).alias(f"v_{i}") for i, c in enumerate(cols)],
-    )
-    within = F.col("n") * sum((F.col(f"v_{i}") for i in range(len(cols))), F.lit(0.0))
-    return grouped.select(
-        "trial", "label", "n", F.array(*[f"m_{i}" for i in range(len(cols))]).alias("centroid"), within.alias("within")
+    """Per trial and cluster: size, centroid and within sum of squares.
+
+    One vector summary per group, combined on the map side, so a cluster that
+    holds most of the rows ships one partial result per task.
+    """
+    vector = array_to_vector(F.array(*[F.col(c).cast("double") for c in cols]))
+    points = df.select(vector.alias("x"), F.posexplode("labels").alias("trial", "label"))
+    summary = Summarizer.metrics("count", "mean", "variance").summary(F.col("x")).alias("s")
+    # The summary holds sample variances.
+    spread = F.aggregate(vector_to_array("s.variance"), F.lit(0.0), lambda a, v: a + v)
+    return points.groupBy("trial", "label").agg(summary).select(
+        "trial",
+        "label",
+        F.col("s.count").alias("n"),
+        vector_to_array("s.mean").alias("centroid"),
+        (spread * (F.col("s.count") - 1)).alias("within"),
     )
 
 
@@ -57,13 +66,11 @@ def inertia(moments: DataFrame) -> DataFrame:
     return moments.groupBy("trial").agg(F.sum("within").alias("inertia"))
 
 
-def calinski_harabasz(moments: DataFrame, n_cols: int) -> DataFrame:
+def calinski_harabasz(moments: DataFrame) -> DataFrame:
     """Between over within dispersion per trial, from the cluster moments alone."""
-    centre = [
-        (F.sum(F.col("n") * F.col("centroid")[i]) / F.sum("n")).alias(f"c_{i}") for i in range(n_cols)
-    ]
-    total = moments.groupBy("trial").agg(*centre).select(
-        "trial", F.array(*[f"c_{i}" for i in range(n_cols)]).alias("centre")
+    centroid = array_to_vector("centroid")
+    total = moments.groupBy("trial").agg(
+        vector_to_array(Summarizer.mean(centroid, F.col("n").cast("double"))).alias("centre")
     )
     # One row per trial on the right.
     joined = moments.join(F.broadcast(total), "trial")
@@ -72,7 +79,7 @@ def calinski_harabasz(moments: DataFrame, n_cols: int) -> DataFrame:
         between.alias("b"), F.sum("within").alias("w"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")
     )
     score = F.when(F.col("w") == 0, F.lit(1.0)).otherwise(
-        F.col("b") * (F.col("n") - F.col("k")) / (F.col("w") * (F.col("k") - 1))
+        F.try_divide(F.col("b") * (F.col("n") - F.col("k")), F.col("w") * (F.col("k") - 1))
     )
     return parts.select("trial", score.alias("calinski_harabasz_score"))
 
@@ -88,9 +95,8 @@ def davies_bouldin(df: DataFrame, cols: Sequence[str], moments: DataFrame) -> Da
     # Points only meet their own centroid, so this is an equi-join.
     points = _long(df, cols).join(side, ["trial", "label"])
     vector = F.array(*[F.col(c).cast("double") for c in cols])
-    scatter = points.groupBy("trial", "label").agg(
-        F.avg(F.sqrt(_squared_norm(_difference(vector, F.col("centroid"))))).alias("s")
-    )
+    gap = F.sqrt(_squared_norm(_difference(vector, F.col("centroid"))))
+    scatter = points.groupBy("trial", "label").agg(F.avg(gap).alias("s"))
     # One entry per cluster: bounded by k, never by the data.
     clusters = scatter.join(centroids, ["trial", "label"]).groupBy("trial").agg(
         F.collect_list(F.struct("label", "s", "centroid")).alias("cs")
@@ -250,7 +256,7 @@ def partition_scores(df: DataFrame, cols: Sequence[str], with_inertia: bool = Tr
     """All label-based scores of every trial: one row per trial."""
     moments = checkpointed(cluster_moments(df, cols))
     out = silhouette(df, cols).join(davies_bouldin(df, cols, moments), "trial")
-    out = out.join(calinski_harabasz(moments, len(cols)), "trial")
+    out = out.join(calinski_harabasz(moments), "trial")
     return out.join(inertia(moments), "trial") if with_inertia else out
 
 

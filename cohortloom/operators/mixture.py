@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.functions.numeric import hash_order
+from cohortloom.operators.passes import batched_by_size, sum_statistics
 
 PROBABILITY_FLOOR = 1e-10
 VARIANCE_FLOOR = 1e-6
@@ -164,47 +165,29 @@ def _statistics(layout: _Layout, fit: MixtureFit, parts: tuple) -> np.ndarray:
     return np.concatenate([x.ravel() for x in pieces])
 
 
-def _sweep(df: DataFrame, layout: _Layout, fits: Sequence[MixtureFit]) -> list[dict[str, np.ndarray]]:
-    """One pass over the data for all fits; the parameters travel as one broadcast of model size."""
-    shared = df.sparkSession.sparkContext.broadcast((layout, list(fits)))
+def _batch_statistics(batch: pa.RecordBatch, state: tuple) -> list[np.ndarray]:
+    layout, fits = state
+    parts = layout.read(batch)
+    return [_statistics(layout, f, parts) for f in fits]
 
-    def partial(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        lay, models = shared.value
-        totals: list[np.ndarray] | None = None
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            parts = lay.read(b)
-            stats = [_statistics(lay, m, parts) for m in models]
-            totals = stats if totals is None else [t + s for t, s in zip(totals, stats)]
-        for i, t in enumerate(totals or []):
-            yield pa.RecordBatch.from_pydict(
-                {"fit": pa.array(np.full(len(t), i), pa.int32()), "slot": pa.array(np.arange(len(t)), pa.int32()),
-                 "value": t}
-            )
 
-    summed = (
-        df.select(*[F.col(c).cast("double").alias(c) for c in layout.d.columns])
-        .mapInArrow(partial, "fit int, slot int, value double")
-        .groupBy("fit", "slot")
-        .agg(F.sum("value").alias("value"))
-    )
-    table = summed.toArrow()
-    which, slot = table["fit"].to_numpy(), table["slot"].to_numpy()
-    value = table["value"].to_numpy()
-    out = []
-    for i, fit in enumerate(fits):
-        where = _slots(layout, fit.k)
-        flat = np.zeros(where["end"][0])
-        flat[slot[which == i]] = value[which == i]
-        out.append(
+def _sweep(df: DataFrame, layout: _Layout, fits: Sequence[MixtureFit]) -> list[dict[str, np.ndarray]]:
+    """Sufficient statistics of all fits, sharing as few scans as their size allows."""
+    wheres = [_slots(layout, f.k) for f in fits]
+    sizes = [w["end"][0] for w in wheres]
+    out: list[dict[str, np.ndarray]] = []
+    for group in batched_by_size(fits, sizes):
+        flats = sum_statistics(
+            df, layout.d.columns, (layout, [fits[i] for i in group]), _batch_statistics, [sizes[i] for i in group]
+        )
+        out += [
             {
                 name: flat[at : at + int(np.prod(shape))].reshape(shape)
-                for name, (at, shape) in where.items()
+                for name, (at, shape) in wheres[i].items()
                 if name != "end"
             }
-        )
-    shared.unpersist()
+            for i, flat in zip(group, flats)
+        ]
     return out
 
 
@@ -265,12 +248,14 @@ def _start(df: DataFrame, key: str, d: Descriptor, fits: Sequence[tuple[int, int
     nb, ng = len(d.binary), len(d.continuous)
     z_scale = np.sqrt(var[nb + ng :])
     layout = _Layout(d, mean[nb : nb + ng], mean[nb + ng :], np.where(z_scale > 0, z_scale, 1.0))
-    # As many rows as there are classes over all fits: top-k per task, model-sized on the driver.
+    # One row per class over all fits.  A hash filter leaves about four times as many before the top-k.
     wanted = sum(k for k, _, _ in fits)
-    picked = df.select(*d.columns).withColumn("_h", hash_order(key, seed)) if key in d.columns else df.withColumn(
-        "_h", hash_order(key, seed)
-    )
+    picked = df.withColumn("_h", hash_order(key, seed))
+    if row["n"] > 4 * wanted:
+        picked = picked.filter(F.col("_h") < F.lit(f"{int(4 * wanted / row['n'] * 16**8):08x}"))
     rows: list[Row] = picked.orderBy("_h").select(*d.columns).limit(wanted).collect()
+    if not rows:
+        rows = df.select(*d.columns).limit(wanted).collect()
     out, at = [], 0
     for k, repeat, restart in fits:
         chosen = [rows[(at + i) % len(rows)] for i in range(k)]
@@ -403,35 +388,19 @@ def assign_classes(
     )
 
 
-def _scores(
-    df: DataFrame, layout: _Layout, fits: Sequence[MixtureFit], with_covariates: bool
-) -> list[tuple[float, float, float]]:
-    """Total log-likelihood, entropy and rows of every fit, from one scan."""
-    shared = df.sparkSession.sparkContext.broadcast((layout, list(fits)))
+def _batch_scores(batch: pa.RecordBatch, state: tuple) -> list[np.ndarray]:
+    layout, fits, with_covariates = state
+    parts = layout.read(batch)
+    out = []
+    for f in fits:
+        r, _, ll = _posterior(layout, f, parts, with_covariates)
+        out.append(np.array([ll.sum(), -(r * np.log(np.maximum(r, 1e-300))).sum(), batch.num_rows]))
+    return out
 
-    def partial(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        lay, models = shared.value
-        out = np.zeros((len(models), 3))
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            parts = lay.read(b)
-            for i, m in enumerate(models):
-                r, _, ll = _posterior(lay, m, parts, with_covariates)
-                out[i] += [ll.sum(), -(r * np.log(np.maximum(r, 1e-300))).sum(), b.num_rows]
-        yield pa.RecordBatch.from_pydict(
-            {"fit": pa.array(range(len(models)), pa.int32()), "ll": out[:, 0], "entropy": out[:, 1], "n": out[:, 2]}
-        )
 
-    rows = (
-        df.select(*[F.col(c).cast("double").alias(c) for c in layout.d.columns])
-        .mapInArrow(partial, "fit int, ll double, entropy double, n double")
-        .groupBy("fit")
-        .agg(F.sum("ll").alias("ll"), F.sum("entropy").alias("entropy"), F.sum("n").alias("n"))
-        .orderBy("fit")
-        .collect()
-    )
-    return [(r["ll"], r["entropy"], r["n"]) for r in rows]
+def score_fits(df: DataFrame, layout: _Layout, fits: Sequence[MixtureFit], with_covariates: bool = False) -> list[np.ndarray]:
+    """Total log-likelihood, entropy and rows of every fit, from one scan."""
+    return sum_statistics(df, layout.d.columns, (layout, list(fits), with_covariates), _batch_scores, [3] * len(fits))
 
 
 SWEEP_SCHEMA = (
@@ -448,7 +417,7 @@ def mixture_metrics(df: DataFrame, fitted: FittedMixtures, with_covariates: bool
     """
     best = fitted.best()
     rows = []
-    for fit, (ll, entropy, n) in zip(best, _scores(df, fitted.layout, best, with_covariates)):
+    for fit, (ll, entropy, n) in zip(best, score_fits(df, fitted.layout, best, with_covariates)):
         p = fitted.layout.d.n_parameters(fit.k)
         scaled = 1.0 - entropy / (n * np.log(fit.k)) if fit.k > 1 else 1.0
         rows.append(

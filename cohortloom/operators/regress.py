@@ -7,7 +7,7 @@ that fold.  Any other Spark ML estimator is fitted fold by fold.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,9 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortloom.operators.passes import columns_of, sum_statistics
+from cohortloom.operators.scale import scaler_moments
+
 SCORE_SCHEMA = "model string, fold int, r2 double"
 
 
@@ -75,55 +78,37 @@ def default_models(seed: int = 1) -> dict[str, Linear | Estimator]:
     return {**linear_models(), **tree_models(seed)}
 
 
+def _batch_moments(batch: pa.RecordBatch, state: tuple[np.ndarray, list[int]]) -> list[np.ndarray]:
+    shift, folds = state
+    rows = columns_of(batch)
+    z = np.column_stack([np.ones(len(rows)), rows[:, 1:] - shift])
+    upper = np.triu_indices(z.shape[1])
+    out = []
+    for f in folds:
+        part = z[rows[:, 0] == f]
+        out.append((part.T @ part)[upper])
+    return out
+
+
 def fold_moments(
-    df: DataFrame, x: Sequence[str], y: str, fold_col: str, centre: Mapping[str, float] | None = None
-) -> DataFrame:
-    """``fold, i, j, value``: upper triangle of the moment matrix of (1, x, y) per fold.
+    df: DataFrame, x: Sequence[str], y: str, fold_col: str, folds: Sequence[int], centre: Mapping[str, float] | None = None
+) -> dict[int, np.ndarray]:
+    """Moment matrix of (1, x, y) per fold, all folds from one scan.
 
-    Each task adds up its rows and ships one matrix per fold, so the shuffle
-    depends on the columns and folds, not on the rows.  ``centre`` shifts the
-    columns to keep the sums well conditioned; fits and scores do not depend on it.
+    Each task ships one triangle per fold, so shuffle and result depend on
+    columns and folds, not on the rows.  ``centre`` shifts the columns to keep
+    the sums well conditioned; fits and scores do not depend on it.
     """
     cols = [*x, y]
     shift = np.array([(centre or {}).get(c, 0.0) for c in cols])
     size = len(cols) + 1
     upper = np.triu_indices(size)
-
-    def partial(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        acc: dict[int, np.ndarray] = {}
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            folds = b.column(0).to_numpy(zero_copy_only=False)
-            values = [b.column(i).to_numpy(zero_copy_only=False) for i in range(1, b.num_columns)]
-            z = np.column_stack([np.ones(b.num_rows), np.column_stack(values) - shift])
-            for f in np.unique(folds):
-                rows = z[folds == f]
-                acc[int(f)] = acc.get(int(f), np.zeros((size, size))) + rows.T @ rows
-        for f, m in acc.items():
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "fold": pa.array(np.full(len(upper[0]), f), pa.int32()),
-                    "i": pa.array(upper[0], pa.int32()),
-                    "j": pa.array(upper[1], pa.int32()),
-                    "value": m[upper],
-                }
-            )
-
-    narrow = df.select(F.col(fold_col).cast("int").alias("fold"), *[F.col(c).cast("double").alias(c) for c in cols])
-    return (
-        narrow.mapInArrow(partial, "fold int, i int, j int, value double")
-        .groupBy("fold", "i", "j")
-        .agg(F.sum("value").alias("value"))
-    )
-
-
-def _moment_matrices(moments: DataFrame, size: int) -> dict[int, np.ndarray]:
-    """Bounded by folds x columns squared, whatever the number of rows."""
-    out: dict[int, np.ndarray] = {}
-    for r in moments.collect():
-        m = out.setdefault(r["fold"], np.zeros((size, size)))
-        m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["value"]
+    flats = sum_statistics(df, [fold_col, *cols], (shift, list(folds)), _batch_moments, [len(upper[0])] * len(folds))
+    out = {}
+    for f, flat in zip(folds, flats):
+        m = np.zeros((size, size))
+        m[upper] = flat
+        out[f] = m + np.triu(m, 1).T
     return out
 
 
@@ -146,17 +131,16 @@ def r2_from_moments(m: np.ndarray, intercept: float, beta: np.ndarray) -> float:
     return float(1.0 - residual / total)
 
 
-def column_means(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
-    row = df.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)]).first()
-    return {c: float(row[f"m_{i}"] or 0.0) for i, c in enumerate(cols)}
+def fold_numbers(df: DataFrame, fold_col: str) -> list[int]:
+    return sorted(r[fold_col] for r in df.select(fold_col).distinct().collect())
 
 
 def score_linear(
     df: DataFrame, x: Sequence[str], y: str, fold_col: str, models: Mapping[str, Linear]
 ) -> list[tuple[str, int, float]]:
     """Held-out R² of every linear model and fold: one pass for the centre, one for all fits and scores."""
-    centre = column_means(df, [*x, y])
-    folds = _moment_matrices(fold_moments(df, x, y, fold_col, centre), len(x) + 2)
+    centre = {c: mean for c, (mean, _) in scaler_moments(df, [*x, y]).items()}
+    folds = fold_moments(df, x, y, fold_col, fold_numbers(df, fold_col), centre)
     total = sum(folds.values())
     return [
         (name, f, r2_from_moments(held_out, *fit_from_moments(model, total - held_out)))
@@ -169,7 +153,6 @@ def score_estimator(
     df: DataFrame, x: Sequence[str], y: str, fold_col: str, name: str, estimator: Estimator
 ) -> list[tuple[str, int, float]]:
     """Held-out R² per fold of any Spark ML regressor behind a scaler fitted on the training rows."""
-    folds = [r[fold_col] for r in df.select(fold_col).distinct().collect()]
     staged = Pipeline(
         stages=[
             VectorAssembler(inputCols=list(x), outputCol="_raw"),
@@ -179,7 +162,7 @@ def score_estimator(
     )
     evaluator = RegressionEvaluator(labelCol=y, metricName="r2")
     scores = []
-    for f in sorted(folds):
+    for f in fold_numbers(df, fold_col):
         model = staged.fit(df.filter(F.col(fold_col) != f))
         scores.append((name, f, float(evaluator.evaluate(model.transform(df.filter(F.col(fold_col) == f))))))
     return scores
