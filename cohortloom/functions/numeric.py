@@ -7,22 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.functions.sql import named, quoted
+
 
 def to_double(df: DataFrame, key: str, cols: Sequence[str] | None = None, lenient: bool = False) -> DataFrame:
     """Cast the columns to double.  Text that is no number raises, or becomes NULL when ``lenient``."""
     cols = [c for c in df.columns if c != key] if cols is None else cols
-    chosen = set(cols)
-
-    def cast(c: str) -> Column:
-        return (F.col(c).try_cast("double") if lenient else F.col(c).cast("double")).alias(c)
-
-    return df.select(*[cast(c) if c in chosen else F.col(c) for c in df.columns])
+    chosen, cast = set(cols), "TRY_CAST" if lenient else "CAST"
+    return df.selectExpr(
+        *[named(f"{cast}({quoted(c)} AS DOUBLE)", c) if c in chosen else quoted(c) for c in df.columns]
+    )
 
 
 def round_half_even(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Round to whole numbers, halves to the even neighbour."""
     chosen = set(cols)
-    return df.select(*[(F.rint(c) + F.lit(0.0)).alias(c) if c in chosen else F.col(c) for c in df.columns])
+    # Adding zero turns a negative zero into zero.
+    return df.selectExpr(
+        *[named(f"rint({quoted(c)}) + 0.0D", c) if c in chosen else quoted(c) for c in df.columns]
+    )
 
 
 def hash_order(key: str, seed: int) -> Column:

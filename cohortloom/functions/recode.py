@@ -28,14 +28,14 @@ def recode_column(col: Column, mapping: Mapping[str, int | None]) -> Column:
 def recode(df: DataFrame, rules: Sequence[RecodeRule]) -> DataFrame:
     """Apply every rule to its text columns in one projection; other types never match a text code."""
     text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
-    out = {c: F.col(c) for c in df.columns}
+    known, changed = set(df.columns), {}
     for cols, mapping in rules:
         for c in cols:
-            if c not in out:
+            if c not in known:
                 raise ValueError(f"cannot recode unknown column {c!r}")
             if c in text:
-                out[c] = recode_column(out[c], mapping)
-    return df.select(*[expr.alias(c) for c, expr in out.items()])
+                changed[c] = recode_column(changed.get(c, F.col(c)), mapping)
+    return df.withColumns(changed) if changed else df
 
 
 def release_rules(cbcl_columns: Sequence[str]) -> list[RecodeRule]:

@@ -9,12 +9,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel, KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.operators.metrics import gaussian_parameters
+from cohortloom.functions.sql import double_array, number, quoted
 from cohortloom.operators.passes import batched_by_size, columns_of, doubles, sum_statistics
 
+from cohortloom.session import ship_package
+
 # Rows a seeding sample aims for; seeding picks starting points only, every pass runs over all rows.
 SEED_ROWS = 10_000
 COVARIANCE_FLOOR = 1e-6
@@ -113,19 +118,16 @@ def nearest_centroid_step(df: DataFrame, cols: Sequence[str], centroids: Sequenc
     """One assignment and update step of k-means from given centroids."""
     if len(centroids) * len(cols) > 1_000_000:
         raise ValueError("centroids are literals of the plan; use fit_kmeans for that many")
-    costs = [
-        sum(((F.col(c) - F.lit(float(v))) * (F.col(c) - F.lit(float(v))) for c, v in zip(cols, centre)), F.lit(0.0))
-        for centre in centroids
-    ]
-    best = F.array_min(F.array(*[F.struct(cost.alias("cost"), F.lit(i).alias("label")) for i, cost in enumerate(costs)]))
-    return (
-        df.withColumn("_b", best)
-        .groupBy(F.col("_b.label").alias("label"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("_b.cost").alias("cost"),
-            *[F.avg(c).alias(c) for c in cols],
-        )
+    centres = ", ".join(f"array({', '.join(map(number, centre))})" for centre in centroids)
+    costs = (
+        f"transform(array({centres}), (c, i) -> named_struct('cost',"
+        " aggregate(zip_with(_x, c, (a, b) -> (a - b) * (a - b)), 0.0D, (s, v) -> s + v), 'label', i))"
+    )
+    nearest = df.withColumn("_x", double_array(cols)).selectExpr("_x", f"array_min({costs}) AS _b")
+    summary = Summarizer.metrics("count", "mean").summary(array_to_vector("_x")).alias("s")
+    grouped = nearest.groupBy(F.col("_b.label").alias("label")).agg(summary, F.sum("_b.cost").alias("cost"))
+    return grouped.select("label", F.col("s.count").alias("n"), "cost", vector_to_array("s.mean").alias("m")).selectExpr(
+        "label", "n", "cost", *[f"m[{i}] AS {quoted(c)}" for i, c in enumerate(cols)]
     )
 
 
@@ -294,6 +296,7 @@ def _likeliest(x: np.ndarray, p: GaussianParams) -> np.ndarray:
 
 def label_sweep(df: DataFrame, cols: Sequence[str], fits: Sequence[np.ndarray | GaussianParams]) -> DataFrame:
     """The columns with ``labels``: the hard assignment under every fit, from one scan."""
+    ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(list(fits))
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -309,5 +312,5 @@ def label_sweep(df: DataFrame, cols: Sequence[str], fits: Sequence[np.ndarray |
             nested = pa.ListArray.from_arrays(pa.array(offsets), pa.array(labels.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns, nested], names=[*cols, "labels"])
 
-    schema = ", ".join(f"`{c}` double" for c in cols) + ", labels array<int>"
+    schema = ", ".join(f"{quoted(c)} double" for c in cols) + ", labels array<int>"
     return doubles(df, cols).mapInArrow(assign, schema)

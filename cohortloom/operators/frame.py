@@ -5,11 +5,11 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortloom.catalog import Feature
+from cohortloom.functions.sql import named, present, quoted
 
 JOIN_KINDS = ("outer", "inner", "left", "right")
 
@@ -17,12 +17,12 @@ JOIN_KINDS = ("outer", "inner", "left", "right")
 def project(df: DataFrame, key: str, cols: Sequence[str], names: Mapping[str, str] | None = None) -> DataFrame:
     """Key plus the named columns, renamed in the same projection."""
     names = names or {}
-    return df.select(key, *[F.col(c).alias(names.get(c, c)) for c in cols if c != key])
+    return df.selectExpr(quoted(key), *[named(quoted(c), names.get(c, c)) for c in cols if c != key])
 
 
 def prefix_columns(df: DataFrame, key: str, prefix: str) -> DataFrame:
     """Prefix every column but the key."""
-    return df.select(key, *[F.col(c).alias(prefix + c) for c in df.columns if c != key])
+    return df.selectExpr(quoted(key), *[named(quoted(c), prefix + c) for c in df.columns if c != key])
 
 
 def group_by_instrument(features: Iterable[Feature]) -> dict[str, list[Feature]]:
@@ -35,19 +35,13 @@ def group_by_instrument(features: Iterable[Feature]) -> dict[str, list[Feature]]
     return groups
 
 
-def is_present(df: DataFrame, col: str) -> Column:
-    """Neither NULL nor NaN."""
-    c = F.col(col)
-    if isinstance(df.schema[col].dataType, (T.DoubleType, T.FloatType)):
-        return c.isNotNull() & ~F.isnan(c)
-    return c.isNotNull()
-
-
 def within(df: DataFrame, ranges: Mapping[str, tuple[float, float]], below: Mapping[str, float] | None = None) -> DataFrame:
     """Rows inside every closed range and strictly below every limit; missing never passes."""
-    conditions = [is_present(df, c) & F.col(c).between(lo, hi) for c, (lo, hi) in ranges.items()]
-    conditions += [is_present(df, c) & (F.col(c) < limit) for c, limit in (below or {}).items()]
-    return df.filter(functools.reduce(Column.__and__, conditions))
+    below = below or {}
+    there = present(df, [*ranges, *below])
+    conditions = [f"{there[c]} AND {quoted(c)} BETWEEN {lo} AND {hi}" for c, (lo, hi) in ranges.items()]
+    conditions += [f"{there[c]} AND {quoted(c)} < {limit}" for c, limit in below.items()]
+    return df.filter(" AND ".join(conditions))
 
 
 def complete_cases(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -57,7 +51,7 @@ def complete_cases(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     pushed to the scans and lets Catalyst drop the padding side of outer joins.
     """
     cols = df.columns if cols is None else cols
-    return df.filter(functools.reduce(Column.__and__, [is_present(df, c) for c in cols]))
+    return df.filter(" AND ".join(present(df, cols).values())) if cols else df
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -73,8 +67,9 @@ def union_common(frames: Sequence[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, [f.select(*common) for f in frames])
 
 
-def _null_columns(df: DataFrame, cols: Iterable[str]) -> list[Column]:
-    return [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in cols]
+def _null_columns(df: DataFrame, cols: Iterable[str]) -> list[str]:
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return [named(f"CAST(NULL AS {types[c]})", c) for c in cols]
 
 
 def _payload(df: DataFrame, key: str) -> list[str]:
@@ -113,17 +108,18 @@ def _padded_join(frames: Sequence[DataFrame], key: str, required: Sequence[int])
         cols = _payload(f, key)
         side = f
         if i not in required:
-            side = f.unionByName(members.filter(absent & wanted).select(key, *_null_columns(f, cols)))
+            padding = members.filter(absent & wanted).selectExpr(quoted(key), *_null_columns(f, cols))
+            side = f.select(key, *cols).unionAll(padding)
         joined = side if joined is None else joined.join(side, key)
     # NULL keys equal nothing, so their rows pass through unmatched.
     keep_null_keys = required or range(len(frames))
     for i in keep_null_keys:
         cols = [
-            c if j == i else null
+            quoted(c) if j == i else null
             for j, f in enumerate(frames)
             for c, null in zip(_payload(f, key), _null_columns(f, _payload(f, key)))
         ]
-        joined = joined.unionAll(frames[i].filter(F.col(key).isNull()).select(key, *cols))
+        joined = joined.unionAll(frames[i].filter(F.col(key).isNull()).selectExpr(quoted(key), *cols))
     return joined
 
 

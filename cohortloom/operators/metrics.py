@@ -17,6 +17,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.functions.sql import double_array, number
+from cohortloom.session import ship_package
 from cohortloom.sources.store import checkpointed
 
 # Most centroid values ever shipped to the tasks (64 MB of doubles).
@@ -30,7 +32,8 @@ def with_labels(df: DataFrame, *label_cols: str) -> DataFrame:
 
 
 def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.select(*cols, F.posexplode("labels").alias("trial", "label"))
+    """``x, trial, label``: the point as an array, once per trial."""
+    return df.select(double_array(cols).alias("x"), F.posexplode("labels").alias("trial", "label"))
 
 
 def cluster_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -39,8 +42,7 @@ def cluster_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     One vector summary per group, combined on the map side, so a cluster that
     holds most of the rows ships one partial result per task.
     """
-    vector = array_to_vector(F.array(*[F.col(c).cast("double") for c in cols]))
-    points = df.select(vector.alias("x"), F.posexplode("labels").alias("trial", "label"))
+    points = _long(df, cols).withColumn("x", array_to_vector("x"))
     summary = Summarizer.metrics("count", "mean", "variance").summary(F.col("x")).alias("s")
     # The summary holds sample variances.
     spread = F.aggregate(vector_to_array("s.variance"), F.lit(0.0), lambda a, v: a + v)
@@ -94,8 +96,7 @@ def davies_bouldin(df: DataFrame, cols: Sequence[str], moments: DataFrame) -> Da
         side = F.broadcast(centroids)
     # Points only meet their own centroid, so this is an equi-join.
     points = _long(df, cols).join(side, ["trial", "label"])
-    vector = F.array(*[F.col(c).cast("double") for c in cols])
-    gap = F.sqrt(_squared_norm(_difference(vector, F.col("centroid"))))
+    gap = F.sqrt(_squared_norm(_difference(F.col("x"), F.col("centroid"))))
     scatter = points.groupBy("trial", "label").agg(F.avg(gap).alias("s"))
     # One entry per cluster: bounded by k, never by the data.
     clusters = scatter.join(centroids, ["trial", "label"]).groupBy("trial").agg(
@@ -115,7 +116,7 @@ def davies_bouldin(df: DataFrame, cols: Sequence[str], moments: DataFrame) -> Da
     return clusters.select("trial", (total / F.size("cs")).alias("davies_bouldin_score"))
 
 
-def _block_distances(n_dims: int, offsets: list[int]):
+def _block_distances(offsets: list[int]):
     """Per block pair: distance sums from every point of one block to the clusters of the other."""
     width = offsets[-1]
     starts = np.array(offsets[:-1])
@@ -162,8 +163,8 @@ def silhouette(df: DataFrame, cols: Sequence[str], block_points: int = BLOCK_POI
     * all trials share the distances, which leave a task only as one sum per
       cluster, and the sums are added per point.
     """
-    vector = F.array(*[(F.col(c).cast("double") + F.lit(0.0)) for c in cols])
-    points = df.select(vector.alias("x"), "labels").groupBy("x", "labels").agg(F.count(F.lit(1)).alias("w"))
+    ship_package(df.sparkSession)
+    points = df.select(double_array(cols).alias("x"), "labels").groupBy("x", "labels").agg(F.count(F.lit(1)).alias("w"))
     points = checkpointed(points.withColumn("id", F.monotonically_increasing_id()))
     # Labels to dense codes: at most k entries per trial.
     sizes = points.select("w", F.posexplode("labels").alias("trial", "label")).groupBy("trial", "label").agg(
@@ -175,13 +176,8 @@ def silhouette(df: DataFrame, cols: Sequence[str], block_points: int = BLOCK_POI
     offsets = [0]
     for members in per_trial:
         offsets.append(offsets[-1] + len(members))
-    code_of = F.array(
-        *[
-            F.create_map(*[F.lit(v) for i, (lab, _) in enumerate(members) for v in (lab, i)])
-            for members in per_trial
-        ]
-    )
-    codes = F.zip_with(F.col("labels"), code_of, lambda lab, m: F.element_at(m, lab))
+    labels_of = ", ".join(f"array({', '.join(str(lab) for lab, _ in members)})" for members in per_trial)
+    codes = F.expr(f"zip_with(labels, array({labels_of}), (lab, known) -> CAST(array_position(known, lab) - 1 AS INT))")
     n_points = points.count()
     n_blocks = max(1, math.ceil(n_points / block_points))
     blocked = points.select(
@@ -192,36 +188,29 @@ def silhouette(df: DataFrame, cols: Sequence[str], block_points: int = BLOCK_POI
         F.least("block", "_o").alias("lo"), F.greatest("block", "_o").alias("hi"), "id", "block", "x", "w", "codes"
     )
     sums = paired.groupBy("lo", "hi").applyInPandas(
-        _block_distances(len(cols), offsets), "id bigint, sums array<double>"
+        _block_distances(offsets), "id bigint, sums array<double>"
     )
-    width = offsets[-1]
-    totals = (
-        sums.select("id", *[F.col("sums")[i].alias(f"s_{i}") for i in range(width)])
-        .groupBy("id")
-        .agg(F.array(*[F.sum(f"s_{i}") for i in range(width)]).alias("sums"))
+    totals = sums.groupBy("id").agg(F.expr(f"array({', '.join(f'sum(sums[{i}])' for i in range(offsets[-1]))}) AS sums"))
+    counts = f"array({', '.join(number(n) for members in per_trial for _, n in members)})"
+    spans = ", ".join(f"named_struct('lo', {lo}, 'hi', {hi - 1})" for lo, hi in zip(offsets, offsets[1:]))
+    parts = blocked.join(totals, "id").selectExpr(
+        "w",
+        "sums",
+        f"{counts} AS counts",
+        f"zip_with(codes, array({spans}), (c, s) -> named_struct('own', c + s.lo, 'lo', s.lo, 'hi', s.hi)) AS spans",
     )
-    scored = blocked.select("id", "w", "codes").join(totals, "id")
-    counts = F.array(*[F.lit(float(n)) for members in per_trial for _, n in members])
-
-    def value(trial: int) -> Column:
-        lo, k = offsets[trial], len(per_trial[trial])
-        own = F.col("codes")[trial]
-        n_own = counts[own + lo]
-        a = F.try_divide(F.col("sums")[own + lo], n_own - 1.0)
-        means = [
-            F.when(own != F.lit(i), F.col("sums")[lo + i] / F.lit(float(per_trial[trial][i][1]))) for i in range(k)
-        ]
-        b = means[0] if k == 1 else F.least(*means)
-        worst = F.greatest(a, b)
-        return F.when(n_own <= 1, 0.0).when(worst == 0, 0.0).otherwise(F.try_divide(b - a, worst))
-
-    weight = F.sum("w")
-    out = scored.agg(
-        *[(F.sum(F.col("w") * value(t)) / weight).alias(str(t)) for t in range(n_trials)]
+    # Mean distance to the own cluster without the point itself, and to the nearest other cluster.
+    inner_outer = parts.selectExpr(
+        "w",
+        "transform(spans, s -> named_struct('n', counts[s.own], 'a', try_divide(sums[s.own], counts[s.own] - 1),"
+        " 'b', array_min(transform(filter(sequence(s.lo, s.hi), j -> j <> s.own), j -> sums[j] / counts[j])))) AS ab",
     )
-    return out.select(
-        F.posexplode(F.array(*[F.col(str(t)) for t in range(n_trials)])).alias("trial", "silhouette_score")
+    values = inner_outer.selectExpr(
+        "w",
+        "posexplode(transform(ab, v -> CASE WHEN v.n <= 1 OR greatest(v.a, v.b) = 0 THEN 0.0D"
+        " ELSE try_divide(v.b - v.a, greatest(v.a, v.b)) END)) AS (trial, value)",
     )
+    return values.groupBy("trial").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("silhouette_score"))
 
 
 def silhouette_squared(df: DataFrame, cols: Sequence[str], moments: DataFrame) -> DataFrame:
@@ -231,8 +220,7 @@ def silhouette_squared(df: DataFrame, cols: Sequence[str], moments: DataFrame) -
     within sum of squares, which travel as one array per trial.
     """
     stats = moments.groupBy("trial").agg(F.collect_list(F.struct("label", "n", "centroid", "within")).alias("cs"))
-    vector = F.array(*[F.col(c).cast("double") for c in cols])
-    points = _long(df, cols).select("trial", "label", vector.alias("x"))
+    points = _long(df, cols)
     # One row per trial, k centroids in it.
     joined = points.join(F.broadcast(stats), "trial")
     spread = F.transform(

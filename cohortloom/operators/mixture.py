@@ -17,7 +17,10 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.functions.numeric import hash_order
+from cohortloom.functions.sql import named, quoted
 from cohortloom.operators.passes import batched_by_size, sum_statistics
+from cohortloom.operators.scale import vector_moments
+from cohortloom.session import ship_package
 
 PROBABILITY_FLOOR = 1e-10
 VARIANCE_FLOOR = 1e-6
@@ -236,23 +239,22 @@ def _maximize(layout: _Layout, fit: MixtureFit, s: dict[str, np.ndarray]) -> tup
 def _start(df: DataFrame, key: str, d: Descriptor, fits: Sequence[tuple[int, int, int]], seed: int) -> tuple[_Layout, list[MixtureFit]]:
     """Layout and starting values: classes start at rows picked by hash, blended with the overall profile."""
     numeric = [*d.binary, *d.continuous, *d.covariates]
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(numeric)],
-        *[F.var_pop(c).alias(f"v_{i}") for i, c in enumerate(numeric)],
-    ).first()
-    if not row["n"]:
+    if numeric:
+        n, moments = vector_moments(df, numeric)
+    else:
+        n, moments = df.count(), {}
+    if not n:
         raise ValueError("the mixture needs at least one row")
-    mean = np.array([row[f"m_{i}"] for i in range(len(numeric))], float)
-    var = np.array([row[f"v_{i}"] for i in range(len(numeric))], float)
+    mean = np.array([moments[c][0] for c in numeric])
+    var = np.array([moments[c][1] ** 2 for c in numeric])
     nb, ng = len(d.binary), len(d.continuous)
     z_scale = np.sqrt(var[nb + ng :])
     layout = _Layout(d, mean[nb : nb + ng], mean[nb + ng :], np.where(z_scale > 0, z_scale, 1.0))
     # One row per class over all fits.  A hash filter leaves about four times as many before the top-k.
     wanted = sum(k for k, _, _ in fits)
     picked = df.withColumn("_h", hash_order(key, seed))
-    if row["n"] > 4 * wanted:
-        picked = picked.filter(F.col("_h") < F.lit(f"{int(4 * wanted / row['n'] * 16**8):08x}"))
+    if n > 4 * wanted:
+        picked = picked.filter(F.col("_h") < F.lit(f"{int(4 * wanted / n * 16**8):08x}"))
     rows: list[Row] = picked.orderBy("_h").select(*d.columns).limit(wanted).collect()
     if not rows:
         rows = df.select(*d.columns).limit(wanted).collect()
@@ -366,6 +368,7 @@ def assign_classes(
     df: DataFrame, key: str, layout: _Layout, fit: MixtureFit, with_covariates: bool = False
 ) -> DataFrame:
     """``key, label, probabilities, log_likelihood`` per row; by default without the covariates."""
+    ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((layout, fit))
     cols = layout.d.columns
     key_type = df.schema[key].dataType.simpleString()
@@ -382,7 +385,9 @@ def assign_classes(
                 names=[key, "label", "probabilities", "log_likelihood"],
             )
 
-    narrow = df.select(F.col(key).alias("_key"), *[F.col(c).cast("double").alias(c) for c in cols])
+    narrow = df.selectExpr(
+        named(quoted(key), "_key"), *[named(f"CAST({quoted(c)} AS DOUBLE)", c) for c in cols]
+    )
     return narrow.mapInArrow(
         score, f"`{key}` {key_type}, label int, probabilities array<double>, log_likelihood double"
     )

@@ -16,12 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.functions.sql import named, quoted
+from cohortloom.session import ship_package
+
 # Most statistics of one scan (32 MB of doubles per task); more fits than that take several scans.
 MAX_STATISTICS = 4_000_000
 
 
 def doubles(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    return df.selectExpr(*[named(f"CAST({quoted(c)} AS DOUBLE)", c) for c in cols])
 
 
 def columns_of(batch: pa.RecordBatch) -> np.ndarray:
@@ -54,6 +57,7 @@ def sum_statistics(
 
     ``state`` holds the parameters of the fits and is broadcast: its size is that of the models.
     """
+    ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(state)
 
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.operators.frame import is_present
+from cohortloom.functions.sql import named, present, quoted
 
 # HyperLogLog registers behind approx_count_distinct at its default relative error of 0.05.
 HLL_REGISTERS = 512
@@ -20,15 +20,13 @@ def missing_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     One count per column in one wide aggregate: no row is copied per column and
     each task ships one row.  Only the single result row is turned to long form.
     """
-    counts = df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        *[F.count(F.when(is_present(df, c), 1)).alias(c) for c in cols],
-    )
-    return counts.unpivot(["n_rows"], list(cols), "column", "n_present").select(
+    there = present(df, cols)
+    counts = df.selectExpr("count(1) AS n_rows", *[named(f"count_if({there[c]})", c) for c in cols])
+    return counts.unpivot(["n_rows"], list(cols), "column", "n_present").selectExpr(
         "column",
         "n_rows",
-        (F.col("n_rows") - F.col("n_present")).alias("n_missing"),
-        F.try_divide(F.col("n_rows") - F.col("n_present"), F.col("n_rows")).alias("missing_share"),
+        "n_rows - n_present AS n_missing",
+        "try_divide(n_rows - n_present, n_rows) AS missing_share",
     )
 
 
@@ -65,9 +63,10 @@ def column_kinds(df: DataFrame, cols: Sequence[str], max_levels: int = 10) -> Da
     columns, which have few values, get an exact distinct pass.
     """
     spark = df.sparkSession
-    screened = df.agg(
-        *[F.approx_count_distinct(c).alias(f"n_{i}") for i, c in enumerate(cols)],
-        *[F.bool_and(F.when(is_present(df, c), F.col(c).isin(0.0, 1.0))).alias(f"b_{i}") for i, c in enumerate(cols)],
+    there = present(df, cols)
+    screened = df.selectExpr(
+        *[f"approx_count_distinct({quoted(c)}) AS n_{i}" for i, c in enumerate(cols)],
+        *[f"bool_and(IF({there[c]}, {quoted(c)} IN (0, 1), NULL)) AS b_{i}" for i, c in enumerate(cols)],
     ).first()
     if max_levels < HLL_REGISTERS // 2:
         bound = math.ceil(HLL_REGISTERS * math.log(HLL_REGISTERS / (HLL_REGISTERS - max_levels))) + 1
@@ -79,8 +78,8 @@ def column_kinds(df: DataFrame, cols: Sequence[str], max_levels: int = 10) -> Da
         [(i, c, c in binary) for i, c in enumerate(cols)], "position int, column string, binary boolean"
     )
     if few:
-        present = df.select(*[F.col(c).cast("double").alias(c) for c in few]).unpivot([], few, "column", "value")
-        distinct = present.filter(F.col("value").isNotNull() & ~F.isnan("value")).distinct()
+        cells = df.selectExpr(*[named(f"CAST({quoted(c)} AS DOUBLE)", c) for c in few]).unpivot([], few, "column", "value")
+        distinct = cells.filter("value IS NOT NULL AND NOT isnan(value)").distinct()
         ranked = distinct.groupBy("column").agg(
             F.count("value").alias("n"), F.array_sort(F.collect_set("value")).alias("levels")
         )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortloom.functions.numeric import hash_number, hash_order
+from cohortloom.functions.sql import quoted
 
 # 16^4 hash buckets: the most rows ever collected or broadcast here, whatever the size of the data.
 BUCKET_DIGITS = 4
@@ -23,7 +24,8 @@ COPIES_PER_TASK = 100_000
 
 
 def _row_digest(df: DataFrame) -> Column:
-    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in df.columns]))
+    cells = ", ".join(f"coalesce(CAST({quoted(c)} AS STRING), '?')" for c in df.columns)
+    return F.expr(f"md5(concat_ws('|', {cells}))")
 
 
 def _bucket_counts(df: DataFrame, bucket: Column) -> list[tuple[str, int]]:

@@ -10,26 +10,33 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.functions.sql import double_array, named, number, quoted
 
-def scaler_moments(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """Mean and population scale per column of complete rows; a constant column gets scale 1.
+
+def vector_moments(df: DataFrame, cols: Sequence[str]) -> tuple[int, dict[str, tuple[float, float]]]:
+    """Row count, and mean and population standard deviation per column of complete rows.
 
     One vector summary instead of two aggregates per column keeps the plan small for hundreds of columns.
     """
-    vector = array_to_vector(F.array(*[F.col(c).cast("double") for c in cols]))
+    vector = array_to_vector(double_array(cols))
     summary = Summarizer.metrics("count", "mean", "variance").summary(F.col("x"))
     s = df.select(vector.alias("x")).agg(summary.alias("s")).first()["s"]
     n = s["count"]
     if not n:
-        return {c: (0.0, 1.0) for c in cols}
+        return 0, {c: (0.0, 0.0) for c in cols}
     mean, scale = s["mean"].toArray(), np.sqrt(s["variance"].toArray() * (n - 1) / n)
-    return {c: (float(m), float(d) or 1.0) for c, m, d in zip(cols, mean, scale)}
+    return n, {c: (float(m), float(d)) for c, m, d in zip(cols, mean, scale)}
+
+
+def scaler_moments(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Mean and scale per column; a constant column gets scale 1."""
+    return {c: (m, d or 1.0) for c, (m, d) in vector_moments(df, cols)[1].items()}
 
 
 def apply_scaler(df: DataFrame, moments: dict[str, tuple[float, float]]) -> DataFrame:
-    return df.select(
+    return df.selectExpr(
         *[
-            ((F.col(c) - F.lit(moments[c][0])) / F.lit(moments[c][1])).alias(c) if c in moments else F.col(c)
+            named(f"({quoted(c)} - {number(moments[c][0])}) / {number(moments[c][1])}", c) if c in moments else quoted(c)
             for c in df.columns
         ]
     )

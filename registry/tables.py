@@ -62,8 +62,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str, dims: int = DIMS) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").select(
-        "vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"d{i}") for i in range(dims)]
+    return read(spark, sf_dir, "embeddings").selectExpr(
+        "vec_id", "label", *[f"CAST(embedding[{i}] AS DOUBLE) AS d{i}" for i in range(dims)]
     )
 
 
@@ -135,4 +135,4 @@ def vectors_sql(dims: int = DIMS) -> str:
 def rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
     """Round columns for comparison; adding zero removes negative zeros."""
     chosen = set(cols)
-    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if c in chosen else F.col(c) for c in df.columns])
+    return df.selectExpr(*[f"round(`{c}`, {digits}) + 0.0D AS `{c}`" if c in chosen else f"`{c}`" for c in df.columns])
