@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.operators.metrics import gaussian_parameters
 from cohortloom.functions.sql import double_array, number, quoted
-from cohortloom.operators.passes import batched_by_size, columns_of, doubles, sum_statistics
+from cohortloom.operators.passes import batched_by_size, columns_of, doubles, points, sum_statistics
 
 from cohortloom.session import ship_package
 
@@ -95,7 +95,7 @@ def _likelihoods(batch: pa.RecordBatch, params: Sequence[GaussianParams]) -> lis
 
 def mixture_log_likelihoods(df: DataFrame, cols: Sequence[str], params: Sequence[GaussianParams]) -> DataFrame:
     """``trial, log_likelihood`` (total) and ``n`` of every mixture, all from one scan."""
-    sums = sum_statistics(df, cols, list(params), _likelihoods, [2] * len(params))
+    sums = sum_statistics(points(df, cols), list(params), _likelihoods, [2] * len(params))
     return df.sparkSession.createDataFrame(
         [(i, float(ll), int(n)) for i, (ll, n) in enumerate(sums)], "trial int, log_likelihood double, n bigint"
     )
@@ -134,12 +134,12 @@ def nearest_centroid_step(df: DataFrame, cols: Sequence[str], centroids: Sequenc
 # Sweeps: many fits over the same rows.
 
 
-def _seed_rows(df: DataFrame, cols: Sequence[str], n_rows: int, seed: int) -> np.ndarray:
-    """A random sample of about ``SEED_ROWS`` rows (all rows when there are fewer) to pick starting points from."""
-    chosen = doubles(df, cols)
+def _seed_rows(x: DataFrame, n_rows: int, seed: int) -> np.ndarray:
+    """A random sample of about ``SEED_ROWS`` points (all when there are fewer) to pick starting points from."""
+    chosen = x
     if n_rows > SEED_ROWS:
         chosen = chosen.sample(withReplacement=False, fraction=SEED_ROWS / n_rows, seed=seed)
-    return np.array([tuple(r) for r in chosen.collect()], float).reshape(-1, len(cols))
+    return np.array([r["x"] for r in chosen.collect()], float)
 
 
 def _spread_out_start(rows: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -176,8 +176,7 @@ def _lloyd_statistics(batch: pa.RecordBatch, fits: Sequence[np.ndarray]) -> list
 
 
 def fit_kmeans_sweep(
-    df: DataFrame,
-    cols: Sequence[str],
+    x: DataFrame,
     grid: Sequence[tuple[int, int]],
     n_rows: int,
     max_iter: int = 300,
@@ -185,19 +184,19 @@ def fit_kmeans_sweep(
 ) -> list[np.ndarray]:
     """Centres of every (k, seed) fit; one scan per iteration serves all fits that still move.
 
-    Pass a persisted frame of scaled columns.  A fit ends when its centres move
+    ``x`` is a persisted frame of scaled ``points``.  A fit ends when its centres move
     by less than ``tol`` in total squared distance.
     """
-    seed_rows = _seed_rows(df, cols, n_rows, grid[0][1])
+    seed_rows = _seed_rows(x, n_rows, grid[0][1])
     fits = [_spread_out_start(seed_rows, k, seed) for k, seed in grid]
-    d = len(cols)
+    d = seed_rows.shape[1]
     running = list(range(len(fits)))
     for _ in range(max_iter):
         moving = []
         sizes = [len(fits[i]) * (d + 1) for i in running]
         for group in batched_by_size(running, sizes):
             members = [running[g] for g in group]
-            stats = sum_statistics(df, cols, [fits[i] for i in members], _lloyd_statistics, [sizes[g] for g in group])
+            stats = sum_statistics(x, [fits[i] for i in members], _lloyd_statistics, [sizes[g] for g in group])
             for i, flat in zip(members, stats):
                 k = len(fits[i])
                 count, total = flat[:k], flat[k:].reshape(k, d)
@@ -246,8 +245,7 @@ def _gaussian_update(flat: np.ndarray, k: int, d: int) -> GaussianParams:
 
 
 def fit_gaussian_mixture_sweep(
-    df: DataFrame,
-    cols: Sequence[str],
+    x: DataFrame,
     grid: Sequence[tuple[int, int]],
     n_rows: int,
     max_iter: int = 100,
@@ -257,12 +255,12 @@ def fit_gaussian_mixture_sweep(
 
     ``tol`` is the change in mean log-likelihood that ends a fit.
     """
-    d = len(cols)
-    starts = fit_kmeans_sweep(df, cols, grid, n_rows)
+    starts = fit_kmeans_sweep(x, grid, n_rows)
+    d = starts[0].shape[1]
     sizes = [1 + k * (1 + d + d * d) for k, _ in grid]
     fits: list[GaussianParams] = [None] * len(grid)
     for group in batched_by_size(starts, sizes):
-        stats = sum_statistics(df, cols, [starts[i] for i in group], _hard_statistics, [sizes[i] for i in group])
+        stats = sum_statistics(x, [starts[i] for i in group], _hard_statistics, [sizes[i] for i in group])
         for i, flat in zip(group, stats):
             fits[i] = _gaussian_update(flat, grid[i][0], d)
     last = [-np.inf] * len(grid)
@@ -271,9 +269,7 @@ def fit_gaussian_mixture_sweep(
         moving = []
         for group in batched_by_size(running, [sizes[i] for i in running]):
             members = [running[g] for g in group]
-            stats = sum_statistics(
-                df, cols, [fits[i] for i in members], _soft_statistics, [sizes[i] for i in members]
-            )
+            stats = sum_statistics(x, [fits[i] for i in members], _soft_statistics, [sizes[i] for i in members])
             for i, flat in zip(members, stats):
                 fits[i] = _gaussian_update(flat, grid[i][0], d)
                 mean_ll = flat[0] / n_rows

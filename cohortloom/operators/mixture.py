@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions.numeric import hash_order
 from cohortloom.functions.sql import named, quoted
-from cohortloom.operators.passes import batched_by_size, sum_statistics
+from cohortloom.operators.passes import batched_by_size, doubles, sum_statistics
 from cohortloom.operators.scale import vector_moments
 from cohortloom.session import ship_package
 
@@ -174,14 +174,14 @@ def _batch_statistics(batch: pa.RecordBatch, state: tuple) -> list[np.ndarray]:
     return [_statistics(layout, f, parts) for f in fits]
 
 
-def _sweep(df: DataFrame, layout: _Layout, fits: Sequence[MixtureFit]) -> list[dict[str, np.ndarray]]:
+def _sweep(frame: DataFrame, layout: _Layout, fits: Sequence[MixtureFit]) -> list[dict[str, np.ndarray]]:
     """Sufficient statistics of all fits, sharing as few scans as their size allows."""
     wheres = [_slots(layout, f.k) for f in fits]
     sizes = [w["end"][0] for w in wheres]
     out: list[dict[str, np.ndarray]] = []
     for group in batched_by_size(fits, sizes):
         flats = sum_statistics(
-            df, layout.d.columns, (layout, [fits[i] for i in group]), _batch_statistics, [sizes[i] for i in group]
+            frame, (layout, [fits[i] for i in group]), _batch_statistics, [sizes[i] for i in group]
         )
         out += [
             {
@@ -327,13 +327,14 @@ def fit_mixtures(
     """
     grid = [(k, r, s) for k in k_values for r in range(repeats) for s in range(restarts)]
     layout, current = _start(df, key, descriptor, grid, seed)
+    frame = doubles(df, descriptor.columns)
     previous: list[MixtureFit | None] = [None] * len(grid)
     fallback: list[np.ndarray | None] = [None] * len(grid)
     running = list(range(len(grid)))
     for _ in range(max_iter):
         if not running:
             break
-        stats = _sweep(df, layout, [current[i] for i in running])
+        stats = _sweep(frame, layout, [current[i] for i in running])
         still = []
         for i, s in zip(running, stats):
             ll = float(s["ll"][0])
@@ -405,7 +406,8 @@ def _batch_scores(batch: pa.RecordBatch, state: tuple) -> list[np.ndarray]:
 
 def score_fits(df: DataFrame, layout: _Layout, fits: Sequence[MixtureFit], with_covariates: bool = False) -> list[np.ndarray]:
     """Total log-likelihood, entropy and rows of every fit, from one scan."""
-    return sum_statistics(df, layout.d.columns, (layout, list(fits), with_covariates), _batch_scores, [3] * len(fits))
+    frame = doubles(df, layout.d.columns)
+    return sum_statistics(frame, (layout, list(fits), with_covariates), _batch_scores, [3] * len(fits))
 
 
 SWEEP_SCHEMA = (

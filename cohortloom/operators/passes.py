@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.functions.sql import named, quoted
+from cohortloom.functions.sql import double_array, named, quoted
 from cohortloom.session import ship_package
 
 # Most statistics of one scan (32 MB of doubles per task); more fits than that take several scans.
@@ -27,8 +27,16 @@ def doubles(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.selectExpr(*[named(f"CAST({quoted(c)} AS DOUBLE)", c) for c in cols])
 
 
+def points(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The columns as one array column ``x``: a narrow frame that is cheap to plan and scan repeatedly."""
+    return df.select(double_array(cols).alias("x"))
+
+
 def columns_of(batch: pa.RecordBatch) -> np.ndarray:
-    """Rows x columns matrix of an Arrow batch of doubles."""
+    """Rows x columns matrix of an Arrow batch of doubles, or of one array column without nulls."""
+    first = batch.column(0)
+    if batch.num_columns == 1 and pa.types.is_list(first.type):
+        return first.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
     return np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)])
 
 
@@ -47,18 +55,18 @@ def batched_by_size(items: Sequence[Any], sizes: Sequence[int], limit: int = MAX
 
 
 def sum_statistics(
-    df: DataFrame,
-    cols: Sequence[str],
+    frame: DataFrame,
     state: Any,
     statistics: Callable[[pa.RecordBatch, Any], list[np.ndarray]],
     sizes: Sequence[int],
 ) -> list[np.ndarray]:
     """Sum the flat vectors that ``statistics`` returns per batch, one vector per fit.
 
+    ``frame`` comes from ``doubles`` or ``points`` and is best persisted for repeated passes.
     ``state`` holds the parameters of the fits and is broadcast: its size is that of the models.
     """
-    ship_package(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(state)
+    ship_package(frame.sparkSession)
+    shared = frame.sparkSession.sparkContext.broadcast(state)
 
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         totals: list[np.ndarray] | None = None
@@ -77,8 +85,7 @@ def sum_statistics(
             )
 
     summed = (
-        doubles(df, cols)
-        .mapInArrow(partial, "fit int, slot int, value double")
+        frame.mapInArrow(partial, "fit int, slot int, value double")
         .groupBy("fit", "slot")
         .agg(F.sum("value").alias("value"))
     )

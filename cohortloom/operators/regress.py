@@ -19,7 +19,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.operators.passes import columns_of, sum_statistics
+from cohortloom.operators.passes import columns_of, doubles, sum_statistics
 from cohortloom.operators.scale import scaler_moments
 
 SCORE_SCHEMA = "model string, fold int, r2 double"
@@ -103,7 +103,8 @@ def fold_moments(
     shift = np.array([(centre or {}).get(c, 0.0) for c in cols])
     size = len(cols) + 1
     upper = np.triu_indices(size)
-    flats = sum_statistics(df, [fold_col, *cols], (shift, list(folds)), _batch_moments, [len(upper[0])] * len(folds))
+    frame = doubles(df, [fold_col, *cols])
+    flats = sum_statistics(frame, (shift, list(folds)), _batch_moments, [len(upper[0])] * len(folds))
     out = {}
     for f, flat in zip(folds, flats):
         m = np.zeros((size, size))

@@ -20,10 +20,11 @@ def vector_moments(df: DataFrame, cols: Sequence[str]) -> tuple[int, dict[str, t
     """
     vector = array_to_vector(double_array(cols))
     summary = Summarizer.metrics("count", "mean", "variance").summary(F.col("x"))
-    s = df.select(vector.alias("x")).agg(summary.alias("s")).first()["s"]
-    n = s["count"]
-    if not n:
+    # A constant group yields no row for an empty frame, where a plain aggregate would fail.
+    row = df.select(vector.alias("x")).groupBy(F.lit("all")).agg(summary.alias("s")).first()
+    if row is None:
         return 0, {c: (0.0, 0.0) for c in cols}
+    s, n = row["s"], row["s"]["count"]
     mean, scale = s["mean"].toArray(), np.sqrt(s["variance"].toArray() * (n - 1) / n)
     return n, {c: (float(m), float(d)) for c, m, d in zip(cols, mean, scale)}
 
