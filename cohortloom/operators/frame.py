@@ -103,12 +103,11 @@ def _padded_join(frames: Sequence[DataFrame], key: str, required: Sequence[int])
     need = sum(1 << i for i in required)
     joined = None
     for i, f in enumerate(frames):
-        absent = F.col("mask").bitwiseAND(F.lit(1 << i).cast("long")) == 0
-        wanted = F.col("mask").bitwiseAND(F.lit(need).cast("long")) == need
+        absent = f"mask & {1 << i}L = 0" + (f" AND mask & {need}L = {need}L" if need else "")
         cols = _payload(f, key)
         side = f
         if i not in required:
-            padding = members.filter(absent & wanted).selectExpr(quoted(key), *_null_columns(f, cols))
+            padding = members.filter(absent).selectExpr(quoted(key), *_null_columns(f, cols))
             side = f.select(key, *cols).unionAll(padding)
         joined = side if joined is None else joined.join(side, key)
     # NULL keys equal nothing, so their rows pass through unmatched.

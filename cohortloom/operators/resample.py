@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from cohortloom.functions.sql import quoted
 
 # 16^4 hash buckets: the most rows ever collected or broadcast here, whatever the size of the data.
 BUCKET_DIGITS = 4
+# md5 of the key (32) followed by the row digest (16).
+HASH_DIGITS = 48
 # A bucket this many times larger than the mean holds repeats of one key and is split by row content.
 HOT_BUCKET_FACTOR = 8
 HOT_BUCKET_ROWS = 100_000
@@ -24,13 +28,13 @@ COPIES_PER_TASK = 100_000
 
 
 def _row_digest(df: DataFrame) -> Column:
-    cells = ", ".join(f"coalesce(CAST({quoted(c)} AS STRING), '?')" for c in df.columns)
-    return F.expr(f"md5(concat_ws('|', {cells}))")
+    """Sixteen hexadecimal digits that depend on every column."""
+    return F.expr(f"lpad(hex(xxhash64({', '.join(map(quoted, df.columns))})), 16, '0')")
 
 
 def _bucket_counts(df: DataFrame, bucket: Column) -> list[tuple[str, int]]:
-    rows = df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
-    return sorted((r["b"], r["n"]) for r in rows)
+    table = df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    return sorted(zip(table["b"].to_pylist(), table["n"].to_pylist()))
 
 
 def exact_sample(df: DataFrame, key: str, frac: float, seed: int = 1) -> DataFrame:
@@ -45,7 +49,7 @@ def exact_sample(df: DataFrame, key: str, frac: float, seed: int = 1) -> DataFra
     hashed = df.withColumn("_h", F.concat(hash_order(key, seed), _row_digest(df)))
     remaining = None
     inside = hashed
-    for digits in range(BUCKET_DIGITS, 65, BUCKET_DIGITS):
+    for digits in range(BUCKET_DIGITS, HASH_DIGITS + 1, BUCKET_DIGITS):
         counts = _bucket_counts(inside, F.substring("_h", 1, digits))
         if remaining is None:
             remaining = round(frac * sum(n for _, n in counts))
@@ -61,7 +65,7 @@ def exact_sample(df: DataFrame, key: str, frac: float, seed: int = 1) -> DataFra
         if remaining == 0:
             return below.drop("_h")
         inside = hashed.filter(F.col("_h").startswith(cut))
-        if cut_size <= HOT_BUCKET_ROWS and digits < 64:
+        if cut_size <= HOT_BUCKET_ROWS and digits < HASH_DIGITS:
             ranked = inside.withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_h")))
             tail = ranked.filter(F.col("_r") <= remaining).drop("_r")
             return below.unionByName(tail).drop("_h")
@@ -108,11 +112,9 @@ def assign_folds(df: DataFrame, key: str, k: int = 5, seed: int = 1, fold_col: s
         hashed = _fixed(hashed.withColumn("_b", F.when(base.isin(hot), split).otherwise(base)))
         bucket = F.col("_b")
         counts = _bucket_counts(hashed, bucket)
-    offsets, seen = [], 0
-    for b, n in counts:
-        offsets.append((b, seen))
-        seen += n
-    table = df.sparkSession.createDataFrame(offsets, "_bucket string, _offset bigint")
+    before = itertools.accumulate((n for _, n in counts[:-1]), initial=0)
+    offsets = pa.table({"_bucket": [b for b, _ in counts], "_offset": pa.array(before, pa.int64())})
+    table = df.sparkSession.createDataFrame(offsets)
     position = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", "_d"))
     ranked = hashed.withColumn("_bucket", bucket).withColumn("_rank", position)
     # At most 16^4 offsets (plus 16^4 per hot bucket), each a few bytes.

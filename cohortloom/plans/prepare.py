@@ -117,7 +117,8 @@ def prepared_frame(cohort: Cohort, spec: PrepareSpec, ids: DataFrame | None = No
     if spec.round_values:
         df = round_half_even(df, kept)
     if spec.sample_frac:
-        df = exact_sample(df, cohort.key, spec.sample_frac, spec.sample_seed)
+        # Sampling counts before it cuts, so the joins are kept rather than repeated.
+        df = exact_sample(df.persist(), cohort.key, spec.sample_frac, spec.sample_seed)
     return df, kept
 
 
