@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from cohortloom.functions.numeric import hash_number, hash_order
 from cohortloom.functions.sql import quoted
+from cohortloom.sources.store import checkpointed
 
 # 16^4 hash buckets: the most rows ever collected or broadcast here, whatever the size of the data.
 BUCKET_DIGITS = 4
@@ -23,6 +24,8 @@ HASH_DIGITS = 48
 # A bucket this many times larger than the mean holds repeats of one key and is split by row content.
 HOT_BUCKET_FACTOR = 8
 HOT_BUCKET_ROWS = 100_000
+# Rows a bucket may hold before a longer prefix is used.
+BUCKET_ROWS = 20_000
 # Copies of one row written per task when identical rows are restored.
 COPIES_PER_TASK = 100_000
 
@@ -92,24 +95,27 @@ def assign_folds(df: DataFrame, key: str, k: int = 5, seed: int = 1, fold_col: s
     """Shuffled k folds whose sizes differ by at most one: rank in hash order modulo k.
 
     The rank is the offset of the row's hash bucket plus its position inside the
-    bucket, so no task sorts more than one bucket.  A bucket swollen by repeats
-    of one key is split by row content.
+    bucket, so no sort spans more than one bucket.  A bucket swollen by repeats
+    of one key is split by row content, frozen by a checkpoint before it is counted.
     """
     if k < 2:
         raise ValueError("k-fold needs at least two folds")
     hashed = df.withColumn("_h", hash_order(key, seed)).withColumn("_d", _row_digest(df))
-    base = F.substring("_h", 1, BUCKET_DIGITS)
-    counts = _bucket_counts(hashed, base)
-    total = sum(n for _, n in counts)
+    fine = _bucket_counts(hashed, F.substring("_h", 1, BUCKET_DIGITS))
+    total = sum(n for _, n in fine)
     if total < k:
         raise ValueError(f"cannot cut {total} rows into {k} folds")
-    limit = max(HOT_BUCKET_ROWS, HOT_BUCKET_FACTOR * total // max(1, len(counts)))
+    # The shortest prefix whose buckets stay small enough for one task.
+    digits = next((d for d in range(1, BUCKET_DIGITS) if total <= BUCKET_ROWS * 16**d), BUCKET_DIGITS)
+    base = F.substring("_h", 1, digits)
+    counts = [(b, sum(n for _, n in part)) for b, part in itertools.groupby(fine, lambda c: c[0][:digits])]
+    limit = max(HOT_BUCKET_ROWS, HOT_BUCKET_FACTOR * total // len(counts))
     hot = [b for b, n in counts if n > limit]
     bucket = base
     if hot:
         # Rows that repeat both key and content are numbered by a random digit group instead.
         split = F.concat(base, F.substring("_d", 1, 2), F.lpad(F.hex(F.floor(F.rand(seed) * 256)), 2, "0"))
-        hashed = _fixed(hashed.withColumn("_b", F.when(base.isin(hot), split).otherwise(base)))
+        hashed = checkpointed(hashed.withColumn("_b", F.when(base.isin(hot), split).otherwise(base)))
         bucket = F.col("_b")
         counts = _bucket_counts(hashed, bucket)
     before = itertools.accumulate((n for _, n in counts[:-1]), initial=0)
@@ -123,13 +129,6 @@ def assign_folds(df: DataFrame, key: str, k: int = 5, seed: int = 1, fold_col: s
     return placed.select(*df.columns, fold.alias(fold_col))
 
 
-def _fixed(df: DataFrame) -> DataFrame:
-    """Freeze random salts before they are counted and used, so both see the same values."""
-    from cohortloom.sources.store import checkpointed
-
-    return checkpointed(df)
-
-
 def hash_folds(df: DataFrame, key: str, k: int = 5, seed: int = 1, fold_col: str = "fold") -> DataFrame:
     """Folds by hash modulo: no shuffle, sizes equal in expectation only."""
     return df.withColumn(
