@@ -8,10 +8,11 @@ label column.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -31,27 +32,87 @@ def with_labels(df: DataFrame, *label_cols: str) -> DataFrame:
     return df.withColumn("labels", F.array(*[F.col(c).cast("int") for c in label_cols]))
 
 
-def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``x, trial, label``: the point as an array, once per trial."""
-    return df.select(double_array(cols).alias("x"), F.posexplode("labels").alias("trial", "label"))
+def _labelled(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return df.select(double_array(cols).alias("x"), "labels")
+
+
+def _sum_by_cluster(df: DataFrame, state: dict, statistics: Callable[..., np.ndarray]) -> dict[tuple[int, int], np.ndarray]:
+    """Sum one vector per (trial, cluster) over all rows, in one scan for all trials.
+
+    ``statistics(x, trial, members, index, state)`` gets the points of a batch, the labels present and each
+    point's position among them, and returns one row per label.  Tasks ship one vector per cluster.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast(state)
+
+    def partial(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        acc: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            labels = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            for trial in range(labels.shape[1]):
+                members, index = np.unique(labels[:, trial], return_inverse=True)
+                for label, row in zip(members, statistics(x, trial, members, index, shared.value)):
+                    at = (trial, int(label))
+                    acc[at] = acc[at] + row if at in acc else row
+        for (trial, label), row in acc.items():
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "trial": pa.array(np.full(len(row), trial), pa.int32()),
+                    "label": pa.array(np.full(len(row), label), pa.int32()),
+                    "slot": pa.array(np.arange(len(row)), pa.int32()),
+                    "value": row,
+                }
+            )
+
+    table = (
+        df.mapInArrow(partial, "trial int, label int, slot int, value double")
+        .groupBy("trial", "label", "slot")
+        .agg(F.sum("value").alias("value"))
+        .toArrow()
+    )
+    shared.unpersist()
+    out: dict[tuple[int, int], np.ndarray] = {}
+    columns = [table[c].to_numpy() for c in ("trial", "label", "slot", "value")]
+    width = int(columns[2].max()) + 1 if table.num_rows else 0
+    for trial, label, slot, value in zip(*columns):
+        out.setdefault((int(trial), int(label)), np.zeros(width))[slot] = value
+    return dict(sorted(out.items()))
+
+
+def _counts_and_sums(x: np.ndarray, trial: int, members: np.ndarray, index: np.ndarray, state: dict) -> np.ndarray:
+    hot = np.zeros((len(members), len(x)))
+    hot[index, np.arange(len(x))] = 1.0
+    return np.column_stack([hot.sum(1), hot @ x])
+
+
+def _spreads(x: np.ndarray, trial: int, members: np.ndarray, index: np.ndarray, state: dict) -> np.ndarray:
+    centroids = np.stack([state[(trial, int(label))] for label in members])
+    squares = ((x - centroids[index]) ** 2).sum(1)
+    return np.column_stack([np.bincount(index, squares, len(members)), np.bincount(index, np.sqrt(squares), len(members))])
 
 
 def cluster_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Per trial and cluster: size, centroid and within sum of squares.
+    """Per trial and cluster: size, centroid, within sum of squares and mean distance to the centroid.
 
-    One vector summary per group, combined on the map side, so a cluster that
-    holds most of the rows ships one partial result per task.
+    Two scans serve all trials: the first gives the centroids, the second the spreads around them.
     """
-    points = _long(df, cols).withColumn("x", array_to_vector("x"))
-    summary = Summarizer.metrics("count", "mean", "variance").summary(F.col("x")).alias("s")
-    # The summary holds sample variances.
-    spread = F.aggregate(vector_to_array("s.variance"), F.lit(0.0), lambda a, v: a + v)
-    return points.groupBy("trial", "label").agg(summary).select(
-        "trial",
-        "label",
-        F.col("s.count").alias("n"),
-        vector_to_array("s.mean").alias("centroid"),
-        (spread * (F.col("s.count") - 1)).alias("within"),
+    frame = _labelled(df, cols)
+    first = _sum_by_cluster(frame, {}, _counts_and_sums)
+    if len(first) * len(cols) > MAX_CENTROID_VALUES:
+        raise ValueError(f"{len(first)} clusters of {len(cols)} columns: labels must name clusters, not rows")
+    centroids = {at: v[1:] / v[0] for at, v in first.items()}
+    second = _sum_by_cluster(frame, centroids, _spreads)
+    rows = [
+        (trial, label, int(v[0]), centroids[(trial, label)].tolist(), float(second[(trial, label)][0]),
+         float(second[(trial, label)][1] / v[0]))
+        for (trial, label), v in first.items()
+    ]
+    return df.sparkSession.createDataFrame(
+        rows, "trial int, label int, n bigint, centroid array<double>, within double, scatter double"
     )
 
 
@@ -86,28 +147,18 @@ def calinski_harabasz(moments: DataFrame) -> DataFrame:
     return parts.select("trial", score.alias("calinski_harabasz_score"))
 
 
-def davies_bouldin(df: DataFrame, cols: Sequence[str], moments: DataFrame) -> DataFrame:
-    """Mean over clusters of the worst (scatter + scatter) / centroid distance."""
-    centroids = moments.select("trial", "label", "centroid")
-    rows = centroids.count()
-    if rows * len(cols) > MAX_CENTROID_VALUES:
-        side = centroids
-    else:
-        side = F.broadcast(centroids)
-    # Points only meet their own centroid, so this is an equi-join.
-    points = _long(df, cols).join(side, ["trial", "label"])
-    gap = F.sqrt(_squared_norm(_difference(F.col("x"), F.col("centroid"))))
-    scatter = points.groupBy("trial", "label").agg(F.avg(gap).alias("s"))
+def davies_bouldin(moments: DataFrame) -> DataFrame:
+    """Mean over clusters of the worst (scatter + scatter) / centroid distance, from the cluster moments."""
     # One entry per cluster: bounded by k, never by the data.
-    clusters = scatter.join(centroids, ["trial", "label"]).groupBy("trial").agg(
-        F.collect_list(F.struct("label", "s", "centroid")).alias("cs")
-    )
+    clusters = moments.groupBy("trial").agg(F.collect_list(F.struct("label", "scatter", "centroid")).alias("cs"))
 
     def worst(a: Column) -> Column:
         others = F.filter(F.col("cs"), lambda b: b["label"] != a["label"])
         ratios = F.transform(
             others,
-            lambda b: F.try_divide(a["s"] + b["s"], F.sqrt(_squared_norm(_difference(a["centroid"], b["centroid"])))),
+            lambda b: F.try_divide(
+                a["scatter"] + b["scatter"], F.sqrt(_squared_norm(_difference(a["centroid"], b["centroid"])))
+            ),
         )
         return F.coalesce(F.array_max(ratios), F.lit(0.0))
 
@@ -220,7 +271,7 @@ def silhouette_squared(df: DataFrame, cols: Sequence[str], moments: DataFrame) -
     within sum of squares, which travel as one array per trial.
     """
     stats = moments.groupBy("trial").agg(F.collect_list(F.struct("label", "n", "centroid", "within")).alias("cs"))
-    points = _long(df, cols)
+    points = _labelled(df, cols).select("x", F.posexplode("labels").alias("trial", "label"))
     # One row per trial, k centroids in it.
     joined = points.join(F.broadcast(stats), "trial")
     spread = F.transform(
@@ -242,8 +293,8 @@ def silhouette_squared(df: DataFrame, cols: Sequence[str], moments: DataFrame) -
 
 def partition_scores(df: DataFrame, cols: Sequence[str], with_inertia: bool = True) -> DataFrame:
     """All label-based scores of every trial: one row per trial."""
-    moments = checkpointed(cluster_moments(df, cols))
-    out = silhouette(df, cols).join(davies_bouldin(df, cols, moments), "trial")
+    moments = cluster_moments(df, cols)
+    out = silhouette(df, cols).join(davies_bouldin(moments), "trial")
     out = out.join(calinski_harabasz(moments), "trial")
     return out.join(inertia(moments), "trial") if with_inertia else out
 

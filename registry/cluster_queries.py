@@ -77,8 +77,7 @@ def calinski(spark, sf):
     " SELECT trial, round(avg(worst), 8) AS davies_bouldin_score FROM r GROUP BY trial",
 )
 def davies(spark, sf):
-    df = labelled(spark, sf)
-    return rounded(davies_bouldin(df, COLS, cluster_moments(df, COLS)), 8, "davies_bouldin_score")
+    return rounded(davies_bouldin(cluster_moments(labelled(spark, sf), COLS)), 8, "davies_bouldin_score")
 
 
 DIST = "list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"

@@ -80,7 +80,7 @@ def test_metrics_match_brute_force(spark, blobs, block_points):
     for t, lab in enumerate(labels):
         assert sil[t] == pytest.approx(brute_silhouette(x, lab), abs=1e-9)
     moments = cluster_moments(df, COLS)
-    db = {r["trial"]: r["davies_bouldin_score"] for r in davies_bouldin(df, COLS, moments).collect()}
+    db = {r["trial"]: r["davies_bouldin_score"] for r in davies_bouldin(moments).collect()}
     sq = {r["trial"]: r["silhouette_squared"] for r in silhouette_squared(df, COLS, moments).collect()}
     ch = {r["trial"]: r["calinski_harabasz_score"] for r in calinski_harabasz(moments).collect()}
     sse = {r["trial"]: r["inertia"] for r in inertia(moments).collect()}
