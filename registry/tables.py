@@ -20,40 +20,29 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias(KEY), F.col("c_nationkey").alias("nationkey"),
-        F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("acctbal"),
+    return read(spark, sf_dir, "customer").selectExpr(
+        f"c_custkey AS {KEY}", "c_nationkey AS nationkey", "c_mktsegment AS segment", "c_acctbal AS acctbal"
     )
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    price = F.col("o_totalprice")
-    return read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias(KEY)).agg(
-        *[F.sum(F.when(F.col("o_orderpriority") == v, price)).alias(c) for c, v in PRIORITIES.items()],
-        F.sum(price).alias("total"),
-    )
+    sums = [F.expr(f"sum(CASE WHEN o_orderpriority = '{v}' THEN o_totalprice END) AS {c}") for c, v in PRIORITIES.items()]
+    return read(spark, sf_dir, "orders").groupBy(F.expr(f"o_custkey AS {KEY}")).agg(*sums, F.expr("sum(o_totalprice) AS total"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = read(spark, sf_dir, "lineitem").join(
-        read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")
-    )
-    return joined.groupBy(F.col("o_custkey").alias(KEY)).agg(
-        *[
-            F.sum(F.when((F.col("l_returnflag") == f) & (F.col("l_linestatus") == s), F.col("l_quantity"))).alias(c)
-            for c, (f, s) in LINE_GROUPS.items()
-        ],
-        F.avg("l_discount").alias("discount"),
-        F.avg("l_tax").alias("tax"),
-        F.sum("l_extendedprice").alias("extended"),
-    )
+    owners = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS l_orderkey", f"o_custkey AS {KEY}")
+    sums = [
+        F.expr(f"sum(CASE WHEN l_returnflag = '{f}' AND l_linestatus = '{s}' THEN l_quantity END) AS {c}")
+        for c, (f, s) in LINE_GROUPS.items()
+    ]
+    means = [F.expr("avg(l_discount) AS discount"), F.expr("avg(l_tax) AS tax"), F.expr("sum(l_extendedprice) AS extended")]
+    return read(spark, sf_dir, "lineitem").join(owners, "l_orderkey").groupBy(KEY).agg(*sums, *means)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").groupBy(F.col("user_id").alias(KEY)).agg(
-        *[F.sum(F.when(F.col("event_type") == t, F.col("value"))).alias(f"e_{t}") for t in EVENT_TYPES],
-        F.sum("value").alias("total_value"),
-    )
+    sums = [F.expr(f"sum(CASE WHEN event_type = '{t}' THEN value END) AS e_{t}") for t in EVENT_TYPES]
+    return read(spark, sf_dir, "events").groupBy(F.expr(f"user_id AS {KEY}")).agg(*sums, F.expr("sum(value) AS total_value"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
