@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.sql import named, present, quoted
-
-# HyperLogLog registers behind approx_count_distinct at its default relative error of 0.05.
-HLL_REGISTERS = 512
+from cohortloom.session import ship_package
 
 
 def missing_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -50,6 +50,35 @@ def kept_by_threshold(df: DataFrame, cols: Sequence[str], thresholds: Sequence[f
     )
 
 
+KIND_SCHEMA = "position int, column string, kind string, n_levels int, levels array<double>"
+# Stands for "too many values"; present values are never NaN.
+OVERFLOW = float("nan")
+
+
+class _FewValues:
+    """Distinct values per column position, given up once there are more than ``keep``."""
+
+    def __init__(self, keep: int):
+        self.keep, self.values = keep, {}
+
+    def add(self, position: int, values: np.ndarray) -> None:
+        known = self.values.get(position, np.empty(0))
+        if known is None:
+            return
+        merged = np.unique(np.concatenate([known, values]))
+        too_many = len(merged) > self.keep or np.isnan(merged).any()
+        self.values[position] = None if too_many else merged
+
+    def open(self, position: int) -> bool:
+        return self.values.get(position, ()) is not None
+
+    def batch(self) -> pa.RecordBatch:
+        pairs = [(i, v) for i, values in self.values.items() for v in ([OVERFLOW] if values is None else values)]
+        return pa.RecordBatch.from_pydict(
+            {"position": pa.array([i for i, _ in pairs], pa.int32()), "value": pa.array([v for _, v in pairs], pa.float64())}
+        )
+
+
 def column_kinds(df: DataFrame, cols: Sequence[str], max_levels: int = 10) -> DataFrame:
     """``column, kind, n_levels, levels`` with kind binary, categorical or continuous.
 
@@ -57,51 +86,48 @@ def column_kinds(df: DataFrame, cols: Sequence[str], max_levels: int = 10) -> Da
     categorical means at most ``max_levels`` distinct values.  ``n_levels`` and
     the sorted ``levels`` are NULL for continuous columns.
 
-    A first wide pass estimates distinct counts.  A column with t distinct
-    values fills at most t registers, so an estimate above the bound proves
-    that it has more than ``max_levels`` values.  Only the remaining
-    columns, which have few values, get an exact distinct pass.
+    One exact scan: a task keeps at most ``max_levels`` distinct values of a
+    column and stops looking at it once there are more, so a column ships
+    a handful of rows per task, and the driver gets a handful per column.
     """
     spark = df.sparkSession
-    there = present(df, cols)
-    screened = df.selectExpr(
-        *[f"approx_count_distinct({quoted(c)}) AS n_{i}" for i, c in enumerate(cols)],
-        *[f"bool_and(IF({there[c]}, {quoted(c)} IN (0, 1), NULL)) AS b_{i}" for i, c in enumerate(cols)],
-    ).first()
-    if max_levels < HLL_REGISTERS // 2:
-        bound = math.ceil(HLL_REGISTERS * math.log(HLL_REGISTERS / (HLL_REGISTERS - max_levels))) + 1
-    else:
-        bound = math.inf
-    binary = {c for i, c in enumerate(cols) if screened[f"b_{i}"] is not False}
-    few = [c for i, c in enumerate(cols) if c in binary or screened[f"n_{i}"] <= bound]
-    order = spark.createDataFrame(
-        [(i, c, c in binary) for i, c in enumerate(cols)], "position int, column string, binary boolean"
-    )
-    if few:
-        cells = df.selectExpr(*[named(f"CAST({quoted(c)} AS DOUBLE)", c) for c in few]).unpivot([], few, "column", "value")
-        distinct = cells.filter("value IS NOT NULL AND NOT isnan(value)").distinct()
-        ranked = distinct.groupBy("column").agg(
-            F.count("value").alias("n"), F.array_sort(F.collect_set("value")).alias("levels")
-        )
-    else:
-        ranked = spark.createDataFrame([], "column string, n bigint, levels array<double>")
-    joined = order.join(F.broadcast(ranked), "column", "left")
-    kind = (
-        F.when(F.col("binary"), "binary")
-        .when(F.col("n") <= max_levels, "categorical")
-        .otherwise("continuous")
-    )
-    return joined.select("position", "column", kind.alias("kind"), "n", "levels").select(
-        "position",
-        "column",
-        "kind",
-        F.when(F.col("kind") == "continuous", None)
-        .when(F.col("kind") == "binary", 2)
-        .otherwise(F.col("n"))
-        .cast("int")
-        .alias("n_levels"),
-        F.when(F.col("kind") != "continuous", F.coalesce("levels", F.array().cast("array<double>"))).alias("levels"),
-    )
+    ship_package(spark)
+    keep = max(max_levels, 2)
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        few = _FewValues(keep)
+        for b in batches:
+            for i in range(b.num_columns):
+                if few.open(i):
+                    values = b.column(i).drop_null().to_numpy(zero_copy_only=False)
+                    few.add(i, values[~np.isnan(values)])
+        yield few.batch()
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        few = _FewValues(keep)
+        for b in batches:
+            positions, values = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            for i in np.unique(positions):
+                few.add(int(i), values[positions == i])
+        yield few.batch()
+
+    schema = "position int, value double"
+    cells = df.selectExpr(*[named(f"CAST({quoted(c)} AS DOUBLE)", c) for c in cols])
+    found: dict[int, list[float]] = {}
+    for r in cells.mapInArrow(scan, schema).repartition("position").mapInArrow(merge, schema).collect():
+        found.setdefault(r["position"], []).append(r["value"])
+    rows = []
+    for i, c in enumerate(cols):
+        levels = sorted(found.get(i, []))
+        if any(math.isnan(v) for v in levels):
+            rows.append((i, c, "continuous", None, None))
+        elif set(levels) <= {0.0, 1.0}:
+            rows.append((i, c, "binary", 2, levels))
+        elif len(levels) <= max_levels:
+            rows.append((i, c, "categorical", len(levels), levels))
+        else:
+            rows.append((i, c, "continuous", None, None))
+    return spark.createDataFrame(rows, KIND_SCHEMA)
 
 
 def split_by_kind(kinds: DataFrame) -> dict[str, list[str]]:

@@ -7,6 +7,7 @@ that fold.  Any other Spark ML estimator is fitted fold by fold.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -129,6 +130,10 @@ def r2_from_moments(m: np.ndarray, intercept: float, beta: np.ndarray) -> float:
     v = np.concatenate([[-intercept], -beta, [1.0]])
     residual = v @ m @ v
     total = m[-1, -1] - m[0, -1] ** 2 / m[0, 0]
+    tiny = 1e-12 * max(1.0, abs(m[-1, -1]))
+    if total <= tiny:
+        # A constant target: perfect or worthless.
+        return 1.0 if residual <= tiny else 0.0
     return float(1.0 - residual / total)
 
 
@@ -165,7 +170,8 @@ def score_estimator(
     scores = []
     for f in fold_numbers(df, fold_col):
         model = staged.fit(df.filter(F.col(fold_col) != f))
-        scores.append((name, f, float(evaluator.evaluate(model.transform(df.filter(F.col(fold_col) == f))))))
+        r2 = float(evaluator.evaluate(model.transform(df.filter(F.col(fold_col) == f))))
+        scores.append((name, f, r2 if math.isfinite(r2) else 0.0))
     return scores
 
 
@@ -189,7 +195,8 @@ def cross_validate(
 
 
 def r2_score(df: DataFrame, y: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:
-    """R² of a prediction column."""
+    """R² of a prediction column; for a constant target 1 when perfect, else 0."""
     residual = F.col(y) - F.col(prediction)
-    r2 = 1.0 - F.sum(residual * residual) / (F.var_pop(y) * F.count(y))
+    lost = F.sum(residual * residual)
+    r2 = F.coalesce(1.0 - F.try_divide(lost, F.var_pop(y) * F.count(y)), F.when(lost == 0, 1.0).otherwise(0.0))
     return df.groupBy(*by).agg(r2.alias("r2"))

@@ -7,7 +7,7 @@ from cohortloom.cohort import Cohort
 from cohortloom.functions.recode import release_rules
 from cohortloom.operators.mixture import Descriptor, assign_classes, fit_mixtures, mixture_metrics, parameter_table, score_fits
 from cohortloom.operators.profile import column_kinds
-from cohortloom.operators.regress import Linear, cross_validate, linear_models, score_linear, tree_models
+from cohortloom.operators.regress import Linear, cross_validate, linear_models, r2_score, score_linear, tree_models
 from cohortloom.plans.latent import class_sweep, latent_class_job
 from cohortloom.plans.phenotype import phenotype_job
 from cohortloom.plans.predictability import predictability, regression_job
@@ -66,6 +66,14 @@ def test_collinear_columns_do_not_break_least_squares(spark, linear_data):
     assert wide == pytest.approx(narrow, abs=1e-6)
 
 
+def test_constant_target_scores_are_finite(spark):
+    data = [(i, float(i % 4), 5.0, i % 2) for i in range(20)]
+    df = spark.createDataFrame(data, "id int, x double, y double, fold int")
+    assert [r2 for _, _, r2 in score_linear(df, ["x"], "y", "fold", {"m": Linear()})] == [1.0, 1.0]
+    worthless = df.withColumn("p", F.col("y") + 1.0)
+    assert r2_score(df, "y", "y").first()["r2"] == 1.0 and r2_score(worthless, "y", "p").first()["r2"] == 0.0
+
+
 def test_registry_takes_any_estimator(spark, linear_data):
     df = linear_data[0]
     models = {**linear_models(), **tree_models(boost_rounds=2, forest_size=3, forest_depth=3)}

@@ -53,7 +53,7 @@ def test_kinds(mixed):
     assert levels["ten"] == [float(i) for i in range(10)] and levels["many"] is None and levels["none"] == []
 
 
-def test_kinds_with_exact_pass_for_large_thresholds(mixed):
+def test_kinds_with_a_large_threshold(mixed):
     assert split_by_kind(column_kinds(mixed, ["eleven", "many"], max_levels=300)) == {
         "binary": [], "categorical": ["eleven", "many"], "continuous": []
     }
