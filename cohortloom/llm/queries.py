@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortloom.llm.exact_dedup import exact_duplicates
+from cohortloom.llm.html_text import extract
 from cohortloom.llm.packing import pack
 from cohortloom.llm.tokens import token_counts
 
@@ -29,7 +30,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_exact_dedup, op6_token_counts, op7_packing)}
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_read(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_exact_dedup, op6_token_counts, op7_packing, op9_html_text)}
 
 _SQUEEZED = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
 
