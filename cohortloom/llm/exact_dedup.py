@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.llm.filters import without
 from cohortloom.sources.store import checkpointed
 
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -78,7 +79,10 @@ def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "tex
     mark = "text_hash"
     while mark in docs.columns:
         mark = f"_{mark}"
-    kept = exact_duplicates(docs, key, text).where("kept").select(F.col(key).alias(f"{mark}_id"), F.col("text_hash").alias(f"{mark}_kept"))
+    found = exact_duplicates(docs, key, text)
+    texts = checkpointed(found.groupBy(key, "text_hash").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
     marked = docs.withColumn(mark, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    same = F.col(key).eqNullSafe(F.col(f"{mark}_id")) & (F.col(mark) == F.col(f"{mark}_kept"))
-    return marked.join(kept, same, "left_semi").dropDuplicates([key, mark]).drop(mark)
+    rest = without(marked, texts.where(~F.col("kept")).select(key, "text_hash"), [key, mark])
+    if texts.where("kept AND n > 1").limit(1).count():
+        rest = rest.dropDuplicates([key, mark])
+    return rest.drop(mark)

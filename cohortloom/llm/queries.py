@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortloom.llm.decontaminate import find_leaks
 from cohortloom.llm.exact_dedup import exact_duplicates
 from cohortloom.llm.html_text import extract
 from cohortloom.llm.packing import pack
 from cohortloom.llm.tokens import token_counts
+from cohortloom.llm.toxicity import fit, score
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +20,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_read(spark, sf_dir, "documents")).drop("text_hash")
 
@@ -34,7 +40,12 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_read(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_exact_dedup, op6_token_counts, op7_packing, op9_html_text)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return score(docs, fit(docs, _read(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontamination, op3_exact_dedup, op6_token_counts, op7_packing, op9_html_text, op10_toxicity)}
 
 _SQUEEZED = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
 
