@@ -10,6 +10,7 @@ from cohortloom.llm.decontaminate import find_leaks
 from cohortloom.llm.exact_dedup import exact_duplicates
 from cohortloom.llm.html_text import extract
 from cohortloom.llm.packing import pack
+from cohortloom.llm.quality import resample
 from cohortloom.llm.tokens import token_counts
 from cohortloom.llm.toxicity import fit, score
 
@@ -28,6 +29,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_read(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"))
 
@@ -45,7 +50,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontamination, op3_exact_dedup, op6_token_counts, op7_packing, op9_html_text, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontamination, op3_exact_dedup, op4_quality, op6_token_counts, op7_packing, op9_html_text, op10_toxicity)}
 
 _SQUEEZED = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
 
