@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cohortloom.llm.decontaminate import find_leaks
 from cohortloom.llm.exact_dedup import exact_duplicates
 from cohortloom.llm.html_text import extract
+from cohortloom.llm.lm_score import score as lm_score
 from cohortloom.llm.packing import pack
 from cohortloom.llm.quality import resample
 from cohortloom.llm.tokens import token_counts
@@ -41,6 +42,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(_read(spark, sf_dir, "documents"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_read(spark, sf_dir, "pages"))
 
@@ -50,7 +55,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontamination, op3_exact_dedup, op4_quality, op6_token_counts, op7_packing, op9_html_text, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontamination, op3_exact_dedup, op4_quality, op6_token_counts, op7_packing, op8_lm_scores, op9_html_text, op10_toxicity)}
 
 _SQUEEZED = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
 
