@@ -15,7 +15,7 @@ from cohortloom.llm.filters import without
 from cohortloom.sources.store import checkpointed
 
 WHITE_SPACE = " \t\n\x0b\x0c\r"
-_KEY = ("digest", "check", "size")
+_KEY = ["digest", "check", "size"]
 
 
 def normalized(text: Column) -> Column:
@@ -23,8 +23,26 @@ def normalized(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), WHITE_SPACE, "")
 
 
-def _merged(runs: DataFrame, fan_in: int) -> DataFrame:
-    return runs.groupBy(*_KEY, F.expr(f"run div {fan_in}").alias("run")).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+def _merged(runs: DataFrame, keys: list[str], fan_in: int) -> DataFrame:
+    return runs.groupBy(*keys, F.expr(f"run div {fan_in}").alias("run")).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+
+
+def merge_runs(rows: DataFrame, keys: list[str], best: Column, fan_in: int = 8) -> DataFrame:
+    """``rows`` with the least ``best`` of all rows of equal keys, and their number n.
+
+    ``rows`` must be a written or checkpointed table with a column ``run`` from 0 on.
+    """
+    levels = [checkpointed(rows.groupBy(*keys, "run").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("n")))]
+    last = rows.agg(F.max("run")).first()[0] or 0
+    while last > 0:
+        levels.append(checkpointed(_merged(levels[-1], keys, fan_in)))
+        last //= fan_in
+    top = levels.pop()
+    while levels:
+        above = top.select(*keys, F.col("run").alias("above"), "best", "n")
+        below = levels.pop().select(*keys, "run", F.expr(f"run div {fan_in}").alias("above"))
+        top = below.join(above, [*keys, "above"]).drop("above")
+    return rows.join(top, [*keys, "run"])
 
 
 def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", fan_in: int = 8) -> DataFrame:
@@ -53,17 +71,7 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", f
         )
     )
     best = F.struct((-F.col("chars")).alias("chars"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("row").alias("row"))
-    levels = [checkpointed(rows.groupBy(*_KEY, "run").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("n")))]
-    last = rows.agg(F.max("run")).first()[0] or 0
-    while last > 0:
-        levels.append(checkpointed(_merged(levels[-1], fan_in)))
-        last //= fan_in
-    top = levels.pop()
-    while levels:
-        above = top.select(*_KEY, F.col("run").alias("above"), "best", "n")
-        below = levels.pop().select(*_KEY, "run", F.expr(f"run div {fan_in}").alias("above"))
-        top = below.join(above, [*_KEY, "above"]).drop("above")
-    found = rows.join(top, [*_KEY, "run"])
+    found = merge_runs(rows, _KEY, best, fan_in)
     return found.select(
         F.col("id").alias(key),
         F.col("best.id").alias("keep_id"),

@@ -10,6 +10,7 @@ from cohortloom.llm.decontaminate import find_leaks
 from cohortloom.llm.exact_dedup import exact_duplicates
 from cohortloom.llm.html_text import extract
 from cohortloom.llm.lm_score import score as lm_score
+from cohortloom.llm.ngram_join import similar_sets
 from cohortloom.llm.packing import pack
 from cohortloom.llm.quality import resample
 from cohortloom.llm.tokens import token_counts
@@ -22,6 +23,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_sets(_read(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -55,11 +60,40 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontamination, op3_exact_dedup, op4_quality, op6_token_counts, op7_packing, op8_lm_scores, op9_html_text, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_join, op2_decontamination, op3_exact_dedup, op4_quality, op6_token_counts, op7_packing, op8_lm_scores, op9_html_text, op10_toxicity)}
 
 _SQUEEZED = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_join": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                ELSE list_sort(list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])) END AS s
+            FROM w
+        ), d AS (
+            SELECT doc_id, s, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS set_id FROM s
+        ), r AS MATERIALIZED (
+            SELECT set_id, len(s) AS n, s FROM d WHERE doc_id = set_id AND len(s) > 0
+        ), t AS MATERIALIZED (
+            SELECT set_id, n, hash(x) AS x FROM (SELECT set_id, n, unnest(s) AS x FROM r)
+        ), p AS MATERIALIZED (
+            SELECT a.set_id AS a, b.set_id AS b FROM t a JOIN t b ON a.x = b.x AND a.set_id <> b.set_id
+            GROUP BY a.set_id, b.set_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+        ), c AS (
+            SELECT a AS origin, a AS node FROM p UNION SELECT c.origin, p.b FROM c JOIN p ON p.a = c.node
+        ), m AS (
+            SELECT node, min(origin) AS component FROM c GROUP BY node
+        ), k AS (
+            SELECT a, count(*) AS n_links FROM p GROUP BY a
+        )
+        SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(m.component, d.set_id) AS component_id, d.set_id,
+               coalesce(k.n_links, 0) AS n_links
+        FROM d LEFT JOIN m ON m.node = d.set_id LEFT JOIN k ON k.a = d.set_id
+    """,
     "op3_exact_dedup": f"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS chars, sha256({_SQUEEZED}) AS text_sha256 FROM documents
