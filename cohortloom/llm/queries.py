@@ -13,6 +13,7 @@ from cohortloom.llm.lm_score import score as lm_score
 from cohortloom.llm.ngram_join import similar_sets
 from cohortloom.llm.packing import pack
 from cohortloom.llm.quality import resample
+from cohortloom.llm.repeated_passages import repeated_passages
 from cohortloom.llm.tokens import token_counts
 from cohortloom.llm.toxicity import fit, score
 
@@ -39,6 +40,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_read(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"))
 
@@ -60,7 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_join, op2_decontamination, op3_exact_dedup, op4_quality, op6_token_counts, op7_packing, op8_lm_scores, op9_html_text, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_join, op2_decontamination, op3_exact_dedup, op4_quality, op5_repeated_passages, op6_token_counts, op7_packing, op8_lm_scores, op9_html_text, op10_toxicity)}
 
 _SQUEEZED = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
 

@@ -7,24 +7,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortloom.llm.decontaminate import drop_leaks
 from cohortloom.llm.exact_dedup import drop_exact_duplicates
+from cohortloom.llm.ngram_join import drop_similar
 from cohortloom.llm.packing import pack
+from cohortloom.llm.toxicity import drop_toxic
 from cohortloom.sources.store import ensure_checkpoint_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact_duplicates(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_similar(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact_dedup), ("packing", packing)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
+    ("exact_dedup", exact_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
-# Tokens of packed sequences cannot be expressed in SQL.
+# A learnt model and tokens cannot be expressed in SQL; the tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
