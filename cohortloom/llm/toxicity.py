@@ -179,7 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     ship_package(docs.sparkSession)
     sample = labels.where(f"`{label}` IN (0, 1)").select(F.col(key).alias("id"), F.col(label).cast("int").alias("label")).where(~held_out(F.col("id")))
     sample = sample.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
-    taught = docs.where(F.col(text).isNotNull()).join(F.broadcast(sample), F.col(key) == F.col("id")).select(F.col(text).cast("string").alias("text"), "label")
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
+    taught = texts.join(F.broadcast(sample), "id").select("text", "label")
     # Copies of a text would count as independent evidence.
     taught = checkpointed(taught.groupBy("text").agg(F.max("label").alias("label")).repartition(8))
     n = {r["label"]: r["n"] for r in taught.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
