@@ -112,9 +112,23 @@ def segments(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, np.nd
         row = stop
 
 
+_PLACE = "anchor long, spread long, known int, name long, first long, last long"
+
+
+def _places(h: np.ndarray, names: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``_PLACE``: places whose anchor repeats within this batch are known (1) and spread over tasks, one row (2) stands for them."""
+    _, at, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    known = (n > 1)[back]
+    marks = at[n > 1]
+    rows = np.concatenate([np.arange(len(h)), marks])
+    state = np.concatenate([known.astype(np.int32), np.full(len(marks), 2, np.int32)])
+    spread = np.where(state == 1, (mixed(names[rows].view(_U) + first[rows].view(_U)) >> _U(1)).view(np.int64) | 1, 0)
+    columns = [h.view(np.int64)[rows], spread, state, names[rows], first[rows], last[rows]]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "spread", "known", "name", "first", "last"])
+
+
 def _adjacent(rows: DataFrame) -> DataFrame:
-    """Rows whose anchor another row has too; streams over partitions sorted by anchor, with a row of state."""
-    names = ["anchor", "name", "first", "last"]
+    """Places whose anchor occurs at another place too; streams over partitions sorted by anchor, with a row of state."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -124,18 +138,21 @@ def _adjacent(rows: DataFrame) -> DataFrame:
                 continue
             t = pa.Table.from_batches([b])
             t = pa.concat_tables([held, t]) if held is not None else t
-            key = t.column(0).to_numpy()
+            key, known = t.column(0).to_numpy(), t.column(2).to_numpy()
             same = np.zeros(len(key) + 1, bool)
             same[1:-1] = key[1:] == key[:-1]
             same[0] = before is not None and key[0] == before
-            out = (same[:-1] | same[1:])[:-1]
+            out = ((same[:-1] | same[1:]) & (known == 0) | (known == 1))[:-1]
             yield from t.slice(0, len(key) - 1).filter(pa.array(out)).combine_chunks().to_batches()
             before = int(key[-2]) if len(key) > 1 else before
             held = t.slice(len(key) - 1)
-        if held is not None and before is not None and held.column(0)[0].as_py() == before:
-            yield from held.combine_chunks().to_batches()
+        if held is not None:
+            key, known = held.column(0)[0].as_py(), held.column(2)[0].as_py()
+            if known == 1 or known == 0 and key == before:
+                yield from held.combine_chunks().to_batches()
 
-    return rows.repartition("anchor").sortWithinPartitions("anchor").select(*names).mapInArrow(run, "anchor long, name long, first long, last long")
+    dealt = rows.repartition("anchor", "spread").sortWithinPartitions("spread", "anchor")
+    return dealt.mapInArrow(run, _PLACE).select("anchor", "name", "first", "last")
 
 
 class Family:
@@ -322,12 +339,9 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
             names = part.column(0).to_numpy()
             for begin, end, starts, (row, shift) in segments(offsets, length):
                 h, r, first, last = anchors(data[begin:end], starts, length, gram)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(names[row[r]]), pa.array(first + shift[r]), pa.array(last + shift[r])], names=["anchor", "name", "first", "last"]
-                )
+                yield _places(h, names[row[r]], first + shift[r], last + shift[r])
 
-    found = texts.join(side, "name", "left_semi")
-    places = checkpointed(_adjacent(found.mapInArrow(find, "anchor long, name long, first long, last long")))
+    places = checkpointed(_adjacent(texts.join(side, "name", "left_semi").mapInArrow(find, _PLACE)))
     many = checkpointed(places.groupBy("anchor").agg(F.count(F.lit(1)).alias("places")).where(F.col("places") > ANCHOR_PLACES))
     places = places.join(F.broadcast(many) if many.count() <= BROADCAST_ROWS else many, "anchor", "left")
     salt = F.when(F.col("places").isNotNull(), F.pmod(F.xxhash64("name", "first"), F.ceil(F.col("places") / ANCHOR_PLACES))).otherwise(F.lit(0))
