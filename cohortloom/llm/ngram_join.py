@@ -25,7 +25,9 @@ from cohortloom.session import ship_package
 from cohortloom.sources.store import checkpointed
 
 BITS = 20
-PART_SETS = 512
+# Tokens in a part of a block on average: with two parts a task holds a bounded table.
+PART_TOKENS = 150_000
+EDGE_TOKENS = 32
 SLICE_BYTES = 4 << 20
 _U = np.uint64
 
@@ -134,13 +136,12 @@ def _explode(sets: DataFrame, take) -> DataFrame:
 
 
 class Trie:
-    """Sets in a compressed prefix tree; ``partners`` finds those that overlap a query enough."""
+    """Sets in a compressed prefix tree, which many queries traverse together."""
 
-    def __init__(self, sets: list[tuple[int, int, list[int]]], percent: int):
+    def __init__(self, sets: list[tuple[int, int, np.ndarray]], percent: int):
         """``sets``: id, full size, tokens in the global order (the full size may count tokens no other set has)."""
         self.percent = percent
-        order = sorted(sets, key=lambda s: s[2])
-        self.root = self._build(order, 0)
+        self.root = self._build(sorted(((i, n, t.tolist()) for i, n, t in sets), key=lambda s: s[2]), 0)
 
     def _build(self, sets: list, at: int) -> tuple:
         """(tokens of the edge, ids and sizes that end here, children, most tokens still below, least size below)."""
@@ -160,34 +161,85 @@ class Trie:
             i = j
         rest = max([0, *(len(c[0]) + c[3] for c in children)])
         least = min([s for _, s in here] + [c[4] for c in children])
-        return first[at:end], here, children, rest, least
+        return np.array(first[at:end], np.int64), here, children, rest, least
 
-    def partners(self, size: int, tokens: list[int]) -> Iterator[int]:
-        """Ids of the sets s with percent * |union| <= 100 * |overlap|."""
-        own, p = set(tokens), self.percent
-        stack = [(self.root, 0)]
+    def join(self, has: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(id, queries that link with it). ``has``: queries by tokens; a link is percent * |union| <= 100 * |overlap|.
+
+        On an edge the queries' overlaps grow by its tokens, a few at a time; a query leaves the path when all that is left
+        below it and in itself could not make a link.
+        """
+        p = self.percent
+        held = has.sum(axis=1)
+        stack = [(self.root, np.arange(len(size)), np.zeros(len(size), np.int64))]
         while stack:
-            (edge, here, children, rest, least), overlap = stack.pop()
-            overlap += sum(t in own for t in edge)
-            if (100 + p) * (overlap + rest) < p * (size + least):
-                continue
-            for i, n in here:
-                if (100 + p) * overlap >= p * (size + n):
-                    yield i
-            stack.extend((c, overlap) for c in children)
+            (edge, here, children, rest, least), who, overlap = stack.pop()
+            for at in range(0, len(edge), EDGE_TOKENS):
+                some = edge[at : at + EDGE_TOKENS]
+                overlap = overlap + has[np.ix_(who, some)].sum(axis=1)
+                left = np.minimum(rest + len(edge) - at - len(some), held[who] - overlap)
+                stay = (100 + p) * (overlap + left) >= p * (size[who] + least)
+                who, overlap = who[stay], overlap[stay]
+                if not len(who):
+                    break
+            if len(who):
+                for i, n in here:
+                    found = who[(100 + p) * overlap >= p * (size[who] + n)]
+                    if len(found):
+                        yield i, found
+                stack.extend((c, who, overlap) for c in children)
+
+
+def _forest(n: int, pairs: Iterator[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """For n sets the least member of each one's component by the given links, and the number of its links."""
+    root, links = list(range(n)), np.zeros(n, np.int64)
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, others in pairs:
+        links[i] += len(others)
+        links[others] += 1
+        for j in others.tolist():
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    return np.array([find(i) for i in range(n)]), links
 
 
 def _links(parts: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) inside every group (block, left, right) of rows owner, size, tokens, part; one row in a link at least is of part ``right``."""
+    """Links inside every group (block, left, right) of rows owner, size, tokens, part, between part ``left`` and part ``right``.
+
+    A row for each linked set of a group: b, a the least set its links in this group lead to, n the number of these links.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         left, right = key[1].as_py(), key[2].as_py()
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("owner", "size", "tokens", "part")), strict=True))
-        trie = Trie([r[:3] for r in rows if r[3] == left], percent)
-        found = [(i, o) for o, n, tokens, part in rows if part == right for i in trie.partners(n, tokens) if i != o and (left != right or i < o)]
-        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
-
-    return parts.groupBy("block", "left", "right").applyInArrow(run, "a long, b long")
+        table = table.sort_by("owner").combine_chunks()
+        owner, size, part = (table.column(c).to_numpy() for c in ("owner", "size", "part"))
+        lists = table.column("tokens").combine_chunks()
+        held = np.diff(lists.offsets.to_numpy())
+        row = np.repeat(np.arange(len(owner)), held)
+        # Only tokens that two sets of the group have can add to an overlap; they are numbered in the global order.
+        _, token, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        number = np.cumsum(times > 1) - 1
+        keep = times[token] > 1
+        row, token = row[keep], number[token[keep]]
+        ends = np.searchsorted(row, np.arange(len(owner) + 1))
+        queries = np.flatnonzero(part == right)
+        has = np.zeros((len(owner), int(number[-1]) + 1 if len(number) else 0), bool)
+        has[row, token] = True
+        sets = [(i, int(size[i]), np.sort(token[ends[i] : ends[i + 1]])) for i in np.flatnonzero(part == left).tolist()]
+        pairs = Trie(sets, percent).join(has[queries], size[queries]) if sets and len(queries) else iter(())
+        found = ((i, queries[q]) for i, q in pairs)
+        # Inside one part every pair comes up twice.
+        root, links = _forest(len(owner), ((i, q[q > i] if left == right else q) for i, q in found))
+        linked = links > 0
+        return pa.table({"a": owner[root[linked]], "b": owner[linked], "n": links[linked]})
+
+    return parts.groupBy("block", "left", "right").applyInArrow(run, "a long, b long, n long")
 
 
 def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -257,16 +309,17 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     stars = checkpointed(postings).join(leaders, "token").select("a", F.col("owner").alias("b")).distinct()
     blocks = components(stars).select(F.col("node").alias("owner"), F.col("component").alias("block"))
     blocks = checkpointed(blocks)
-    counts = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("sets"))
-    sets = core.join(blocks, "owner").join(counts, "block")
+    sets = checkpointed(core.join(blocks, "owner"))
+    counts = sets.groupBy("block").agg(F.sum(F.size("tokens")).alias("held"))
+    sets = sets.join(counts, "block")
     # A large block is cut by a hash of the owner; every pair of its parts is a group of its own.
-    sets = sets.withColumn("cut", F.ceil(F.col("sets") / PART_SETS).cast("int"))
+    sets = sets.withColumn("cut", F.ceil(F.col("held") / PART_TOKENS).cast("int"))
     sets = sets.withColumn("part", F.pmod(F.xxhash64("owner"), F.col("cut")).cast("int"))
     sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
     sets = sets.select("block", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "owner", "size", "tokens", "part")
     links = checkpointed(_links(sets, percent))
     reached = components(links).select(F.col("node").alias("owner"), "component")
-    degree = links.selectExpr("a AS owner").unionAll(links.selectExpr("b")).groupBy("owner").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = links.groupBy(F.col("b").alias("owner")).agg(F.sum("n").alias("n_links"))
     linked = checkpointed(reached.join(degree, "owner"))
     side = F.broadcast(linked) if linked.count() <= BROADCAST_ROWS else linked
     found = named.join(side, "owner", "left").select(

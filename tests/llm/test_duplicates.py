@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from llm.cases import documents, empty, frame, words
 
@@ -69,9 +70,9 @@ def brute_components(rows):
     return {i: (len(s), label[i]) for i, s in sets}
 
 
-@pytest.mark.parametrize("part_sets", [512, 3])
-def test_similar_sets_equal_brute_force(spark, monkeypatch, part_sets):
-    monkeypatch.setattr(ngram_join, "PART_SETS", part_sets)
+@pytest.mark.parametrize("part_tokens", [150_000, 250])
+def test_similar_sets_equal_brute_force(spark, monkeypatch, part_tokens):
+    monkeypatch.setattr(ngram_join, "PART_TOKENS", part_tokens)
     rng = random.Random(3)
     rows = documents(seed=5, n=150)
     base = words(rng, 80)
@@ -101,17 +102,21 @@ def test_similar_sets_edges(spark):
     assert ngram_join.drop_similar(frame(spark, [(1, "a b c d e"), (2, "a b c d e")])).select("doc_id").collect()[0][0] == 1
 
 
-def test_trie_finds_what_pairs_find():
+@pytest.mark.parametrize("edge", [1, 3, 32])
+def test_trie_finds_what_pairs_find(monkeypatch, edge):
+    monkeypatch.setattr(ngram_join, "EDGE_TOKENS", edge)
     rng = random.Random(1)
     sets = []
     for i in range(80):
         n = rng.randint(1, 14)
-        own = sorted(rng.sample(range(18), n))
-        sets.append((i, n + rng.randint(0, 2), own))
-    trie = ngram_join.Trie(sets, 75)
+        sets.append((i, n + rng.randint(0, 2), np.array(sorted(rng.sample(range(18), n)))))
+    has = np.zeros((80, 18), bool)
+    for i, _, own in sets:
+        has[i, own] = True
+    got = {i: set(q.tolist()) for i, q in ngram_join.Trie(sets, 75).join(has, np.array([n for _, n, _ in sets]))}
     for i, n, own in sets:
-        want = {j for j, m, other in sets if 175 * len(set(own) & set(other)) >= 75 * (n + m)}
-        assert set(trie.partners(n, own)) == want, i
+        want = {j for j, m, other in sets if 175 * len(set(own.tolist()) & set(other.tolist())) >= 75 * (n + m)}
+        assert got.get(i, set()) == want, i
 
 
 def test_components_of_a_chain(spark):
