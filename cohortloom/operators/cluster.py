@@ -9,10 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel, KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cohortloom.operators.metrics import gaussian_parameters
 from cohortloom.functions.sql import double_array, number, quoted
@@ -20,8 +19,8 @@ from cohortloom.operators.passes import batched_by_size, columns_of, doubles, po
 
 from cohortloom.session import ship_package
 
-# Rows a seeding sample aims for; seeding picks starting points only, every pass runs over all rows.
-SEED_ROWS = 10_000
+# Seeding scans; each draws about twice as many candidates as a fit has clusters, from all rows.
+SEED_ROUNDS = 3
 COVARIANCE_FLOOR = 1e-6
 
 
@@ -114,45 +113,117 @@ def mixture_scores(df: DataFrame, cols: Sequence[str], params: Sequence[Gaussian
     )
 
 
+def _step_statistics(batch: pa.RecordBatch, centres: np.ndarray) -> list[np.ndarray]:
+    x = columns_of(batch)
+    costs = np.stack([((x - c) ** 2).sum(1) for c in centres], axis=1)
+    labels = costs.argmin(1)
+    hot = _indicator(labels, len(centres))
+    return [np.concatenate([hot.sum(0), hot.T @ costs[np.arange(len(x)), labels], (hot.T @ x).ravel()])]
+
+
 def nearest_centroid_step(df: DataFrame, cols: Sequence[str], centroids: Sequence[Sequence[float]]) -> DataFrame:
-    """One assignment and update step of k-means from given centroids."""
-    if len(centroids) * len(cols) > 1_000_000:
-        raise ValueError("centroids are literals of the plan; use fit_kmeans for that many")
-    centres = ", ".join(f"array({', '.join(map(number, centre))})" for centre in centroids)
-    costs = (
-        f"transform(array({centres}), (c, i) -> named_struct('cost',"
-        " aggregate(zip_with(_x, c, (a, b) -> (a - b) * (a - b)), 0.0D, (s, v) -> s + v), 'label', i))"
-    )
-    nearest = df.withColumn("_x", double_array(cols)).selectExpr("_x", f"array_min({costs}) AS _b")
-    summary = Summarizer.metrics("count", "mean").summary(array_to_vector("_x")).alias("s")
-    grouped = nearest.groupBy(F.col("_b.label").alias("label")).agg(summary, F.sum("_b.cost").alias("cost"))
-    return grouped.select("label", F.col("s.count").alias("n"), "cost", vector_to_array("s.mean").alias("m")).selectExpr(
-        "label", "n", "cost", *[f"m[{i}] AS {quoted(c)}" for i, c in enumerate(cols)]
-    )
+    """One assignment and update step of k-means from given centroids: label, n, cost and the new centre of each cluster with rows."""
+    centres = np.array(centroids, float)
+    k, d = centres.shape
+    (flat,) = sum_statistics(points(df, cols), centres, _step_statistics, [k * (d + 2)])
+    n, cost, total = flat[:k], flat[k : 2 * k], flat[2 * k :].reshape(k, d)
+    rows = [(i, int(n[i]), float(cost[i]), *(total[i] / n[i]).tolist()) for i in range(k) if n[i]]
+    schema = ", ".join(["label int", "n bigint", "cost double", *(f"{quoted(c)} double" for c in cols)])
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 # Sweeps: many fits over the same rows.
 
 
-def _seed_rows(x: DataFrame, n_rows: int, seed: int) -> np.ndarray:
-    """A random sample of about ``SEED_ROWS`` points (all when there are fewer) to pick starting points from."""
-    chosen = x
-    if n_rows > SEED_ROWS:
-        chosen = chosen.sample(withReplacement=False, fraction=SEED_ROWS / n_rows, seed=seed)
-    return np.array([r["x"] for r in chosen.collect()], float)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit hashes."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def _drawn(x: DataFrame, centres: Sequence[np.ndarray | None], wanted: Sequence[int], salts: Sequence[int]) -> list[np.ndarray]:
+    """For every fit a draw of distinct points from all rows, weighted by squared distance to its centres.
+
+    The noise of a point comes from a hash of its values, so the draw does not depend on the partitioning.
+    Tasks keep the ``wanted`` best of each fit, and so does the merge.
+    """
+    ship_package(x.sparkSession)
+    shared = x.sparkSession.sparkContext.broadcast((list(centres), list(wanted), list(salts)))
+
+    def best(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        centres, wanted, salts = shared.value
+        kept: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros((0, 0)))] * len(wanted)
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            rows = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            h = b.column(1).to_numpy().view(np.uint64)
+            _, first = np.unique(h, return_index=True)
+            rows, h = rows[first], h[first]
+            for i, (own, n, salt) in enumerate(zip(centres, wanted, salts)):
+                u = (_mixed(h ^ _mixed(np.uint64(salt) + np.zeros(1, np.uint64))) >> np.uint64(11)).astype(float) + 0.5
+                far = np.ones(len(rows)) if own is None else _squared_distances(rows, own).min(1)
+                # Rows on a centre, up to rounding, are no candidates.
+                scale = 1.0 if own is None else (rows * rows).sum(1) + (own * own).sum(1).max()
+                with np.errstate(divide="ignore"):
+                    key = np.where(far > 1e-12 * scale, -np.log(u / 2.0**53) / far, np.inf)
+                key, points = np.concatenate([kept[i][0], key]), np.vstack([kept[i][1].reshape(-1, rows.shape[1]), rows])
+                order = np.argsort(key, kind="stable")[: 2 * n]
+                order = order[np.isfinite(key[order])]
+                key, points = key[order], points[order]
+                new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+                kept[i] = key[new][:n], points[new][:n]
+        for i, (key, points) in enumerate(kept):
+            if len(key):
+                yield pa.RecordBatch.from_pydict({"fit": pa.array(np.full(len(key), i), pa.int32()), "key": pa.array(key), "x": pa.array(list(points), pa.list_(pa.float64()))})
+
+    drawn = x.select("x", F.xxhash64("x").alias("h")).mapInArrow(best, "fit int, key double, x array<double>").groupBy("fit", "x").agg(F.min("key").alias("key"))
+    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("fit").orderBy("key", "x")))
+    limits = F.array(*[F.lit(int(n)) for n in wanted])
+    out: list[list[list[float]]] = [[] for _ in wanted]
+    for r in ranked.filter(F.col("rank") <= limits[F.col("fit")]).orderBy("fit", "rank").collect():
+        out[r["fit"]].append(r["x"])
+    shared.unpersist()
+    return [np.array(rows, float) for rows in out]
+
+
+def _candidate_counts(batch: pa.RecordBatch, fits: Sequence[np.ndarray]) -> list[np.ndarray]:
+    x = columns_of(batch)
+    return [np.bincount(_squared_distances(x, c).argmin(1), minlength=len(c)).astype(float) for c in fits]
+
+
+def _starts(x: DataFrame, grid: Sequence[tuple[int, int]]) -> list[np.ndarray]:
+    """Parallel k-means++ starts of every (k, seed) over all rows; only candidates, about six per cluster, reach the driver."""
+    pools = _drawn(x, [None] * len(grid), [1] * len(grid), [seed for _, seed in grid])
+    for turn in range(1, SEED_ROUNDS + 1):
+        more = _drawn(x, pools, [2 * k for k, _ in grid], [seed * 1009 + turn for _, seed in grid])
+        pools = [np.vstack([a, b]) if len(b) else a for a, b in zip(pools, more)]
+    sizes = [len(p) for p in pools]
+    weights: list[np.ndarray] = [np.zeros(0)] * len(pools)
+    for group in batched_by_size(pools, [n * pools[0].shape[1] for n in sizes]):
+        for i, w in zip(group, sum_statistics(x, [pools[i] for i in group], _candidate_counts, [sizes[i] for i in group])):
+            weights[i] = w
+    return [_spread_out_start(rows, k, seed, w) for rows, w, (k, seed) in zip(pools, weights, grid)]
 
 
-def _spread_out_start(rows: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """k-means++ seeding: each next centre is drawn with probability proportional to its squared distance."""
+def _spread_out_start(rows: np.ndarray, k: int, seed: int, weights: np.ndarray) -> np.ndarray:
+    """Weighted greedy k-means++ among candidates: of a few draws by weight times squared distance, the one that lowers the cost most."""
     rng = np.random.default_rng(seed)
-    centres = [rows[rng.integers(len(rows))]]
-    nearest = ((rows - centres[0]) ** 2).sum(1)
+    weights = np.maximum(weights, 1e-9)
+    between = _squared_distances(rows, rows)
+    chosen = [int(rng.choice(len(rows), p=weights / weights.sum()))]
+    nearest = between[chosen[0]]
+    draws = 2 + int(np.log(k))
     for _ in range(1, k):
-        total = nearest.sum()
-        at = rng.integers(len(rows)) if total <= 0 else rng.choice(len(rows), p=nearest / total)
-        centres.append(rows[at])
-        nearest = np.minimum(nearest, ((rows - rows[at]) ** 2).sum(1))
-    return np.array(centres)
+        drawn = weights * nearest
+        total = drawn.sum()
+        some = rng.choice(len(rows), size=draws, p=drawn / total) if total > 0 else rng.integers(len(rows), size=1)
+        costs = [(weights * np.minimum(nearest, between[i])).sum() for i in some]
+        at = int(some[int(np.argmin(costs))])
+        chosen.append(at)
+        nearest = np.minimum(nearest, between[at])
+    return rows[chosen].copy()
 
 
 def _squared_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -185,11 +256,10 @@ def fit_kmeans_sweep(
     """Centres of every (k, seed) fit; one scan per iteration serves all fits that still move.
 
     ``x`` is a persisted frame of scaled ``points``.  A fit ends when its centres move
-    by less than ``tol`` in total squared distance.
+    by less than ``tol`` in total squared distance.  Starts are drawn from all rows.
     """
-    seed_rows = _seed_rows(x, n_rows, grid[0][1])
-    fits = [_spread_out_start(seed_rows, k, seed) for k, seed in grid]
-    d = seed_rows.shape[1]
+    fits = _starts(x, grid)
+    d = fits[0].shape[1]
     running = list(range(len(fits)))
     for _ in range(max_iter):
         moving = []

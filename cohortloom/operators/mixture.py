@@ -24,6 +24,8 @@ from cohortloom.session import ship_package
 
 PROBABILITY_FLOOR = 1e-10
 VARIANCE_FLOOR = 1e-6
+# Distinct profiles per class from which the starts of every fit are chosen.
+START_POOL = 24
 
 
 @dataclass(frozen=True)
@@ -236,8 +238,30 @@ def _maximize(layout: _Layout, fit: MixtureFit, s: dict[str, np.ndarray]) -> tup
     return moved, safe
 
 
+def _profiles(rows: Sequence[Row], d: Descriptor, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
+    """Rows as points: binary and continuous columns in units of their deviation, a coordinate for each level of a category."""
+    measured = [*d.binary, *d.continuous]
+    n = len(measured)
+    x = np.array([[float(r[c]) for c in measured] for r in rows]).reshape(len(rows), n)
+    x = (x - mean[:n]) / np.where(var[:n] > 0, np.sqrt(var[:n]), 1.0)
+    levels = [[float(float(r[c]) == v) for c, values in zip(d.categorical, d.levels) for v in values] for r in rows]
+    return np.hstack([x, np.array(levels).reshape(len(rows), d.n_levels)])
+
+
+def _spread_out(x: np.ndarray, k: int, rng: np.random.Generator) -> list[int]:
+    """k rows far from one another: the first at random, each next by its squared distance to those chosen."""
+    chosen = [int(rng.integers(len(x)))]
+    nearest = ((x - x[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < k:
+        total = nearest.sum()
+        at = int(rng.choice(len(x), p=nearest / total)) if total > 0 else int(rng.integers(len(x)))
+        chosen.append(at)
+        nearest = np.minimum(nearest, ((x - x[at]) ** 2).sum(1))
+    return chosen
+
+
 def _start(df: DataFrame, key: str, d: Descriptor, fits: Sequence[tuple[int, int, int]], seed: int) -> tuple[_Layout, list[MixtureFit]]:
-    """Layout and starting values: classes start at rows picked by hash, blended with the overall profile."""
+    """Layout and starting values: classes start at distinct rows far apart, blended with the overall profile and slightly shaken."""
     numeric = [*d.binary, *d.continuous, *d.covariates]
     if numeric:
         n, moments = vector_moments(df, numeric)
@@ -250,18 +274,17 @@ def _start(df: DataFrame, key: str, d: Descriptor, fits: Sequence[tuple[int, int
     nb, ng = len(d.binary), len(d.continuous)
     z_scale = np.sqrt(var[nb + ng :])
     layout = _Layout(d, mean[nb : nb + ng], mean[nb + ng :], np.where(z_scale > 0, z_scale, 1.0))
-    # One row per class over all fits.  A hash filter leaves about four times as many before the top-k.
-    wanted = sum(k for k, _, _ in fits)
-    picked = df.withColumn("_h", hash_order(key, seed))
-    if n > 4 * wanted:
-        picked = picked.filter(F.col("_h") < F.lit(f"{int(4 * wanted / n * 16**8):08x}"))
-    rows: list[Row] = picked.orderBy("_h").select(*d.columns).limit(wanted).collect()
-    if not rows:
-        rows = df.select(*d.columns).limit(wanted).collect()
-    out, at = [], 0
+    # The first distinct profiles in the order of key hash and row content: a bounded top-k in every task.
+    pool = START_POOL * max(k for k, _, _ in fits)
+    digest = F.expr(f"xxhash64({', '.join(map(quoted, d.columns))})")
+    order = F.concat(hash_order(key, seed), F.hex(digest))
+    first = df.select(*d.columns, order.alias("_h")).groupBy(*d.columns).agg(F.min("_h").alias("_h"))
+    rows: list[Row] = first.orderBy("_h").limit(pool).select(*d.columns).collect()
+    profiles = _profiles(rows, d, mean, var)
+    rng = np.random.default_rng(seed)
+    out = []
     for k, repeat, restart in fits:
-        chosen = [rows[(at + i) % len(rows)] for i in range(k)]
-        at += k
+        chosen = [rows[i] for i in _spread_out(profiles, k, rng)]
         b = np.array([[float(r[c]) for c in d.binary] for r in chosen]).reshape(k, nb)
         g = np.array([[float(r[c]) for c in d.continuous] for r in chosen]).reshape(k, ng)
         hot = np.zeros((k, d.n_levels))
@@ -275,8 +298,8 @@ def _start(df: DataFrame, key: str, d: Descriptor, fits: Sequence[tuple[int, int
         out.append(
             MixtureFit(
                 k, repeat, restart,
-                p_binary=0.5 * b + 0.5 * np.clip(mean[:nb], 0.05, 0.95),
-                mean=g,
+                p_binary=np.clip(0.5 * b + 0.5 * np.clip(mean[:nb], 0.05, 0.95) + rng.uniform(-0.02, 0.02, b.shape), 0.01, 0.99),
+                mean=g + rng.uniform(-0.01, 0.01, g.shape) * np.sqrt(var[nb : nb + ng]),
                 variance=np.tile(np.maximum(var[nb : nb + ng], VARIANCE_FLOOR), (k, 1)),
                 p_levels=hot,
                 beta=np.zeros((k, layout.q)),

@@ -21,8 +21,9 @@ from cohortloom.sources.store import checkpointed
 BUCKET_DIGITS = 4
 # md5 of the key (32) followed by the row digest (16).
 HASH_DIGITS = 48
-# A bucket this many times larger than the mean holds repeats of one key and is split by row content.
-HOT_BUCKET_FACTOR = 8
+# Longest prefix that starts the buckets of the folds.
+MOST_BUCKET_DIGITS = 5
+# A bucket with more rows is refined by further digits of the same order; the rows chosen and their folds do not depend on it.
 HOT_BUCKET_ROWS = 100_000
 # Rows a bucket may hold before a longer prefix is used.
 BUCKET_ROWS = 20_000
@@ -86,47 +87,52 @@ def repeat_rows(df: DataFrame, times: str) -> DataFrame:
     return spread.withColumn("_i", F.explode(F.sequence(F.col("_from"), upto))).drop("_i", "_from", times)
 
 
-def approximate_sample(df: DataFrame, frac: float, seed: int = 1) -> DataFrame:
-    """Bernoulli sample: cheaper, size only close to frac * n."""
-    return df.sample(withReplacement=False, fraction=frac, seed=seed)
-
-
 def assign_folds(df: DataFrame, key: str, k: int = 5, seed: int = 1, fold_col: str = "fold") -> DataFrame:
     """Shuffled k folds whose sizes differ by at most one: rank in hash order modulo k.
 
-    The rank is the offset of the row's hash bucket plus its position inside the
-    bucket, so no sort spans more than one bucket.  A bucket swollen by repeats
-    of one key is split by row content, frozen by a checkpoint before it is counted.
+    The order is that of the key's hash, then of the row's digest; rows alike in both are interchangeable.  The rank is the offset
+    of a bucket (a prefix of that order) plus the position inside it, so no sort spans more than a bucket.  A large bucket is
+    split by further digits of the same order; rows alike in all of them are numbered by arithmetic.
     """
     if k < 2:
         raise ValueError("k-fold needs at least two folds")
-    hashed = df.withColumn("_h", hash_order(key, seed)).withColumn("_d", _row_digest(df))
-    fine = _bucket_counts(hashed, F.substring("_h", 1, BUCKET_DIGITS))
+    hashed = df.withColumn("_s", F.concat(hash_order(key, seed), _row_digest(df)))
+    fine = _bucket_counts(hashed, F.substring("_s", 1, BUCKET_DIGITS))
     total = sum(n for _, n in fine)
     if total < k:
         raise ValueError(f"cannot cut {total} rows into {k} folds")
     # The shortest prefix whose buckets stay small enough for one task.
-    digits = next((d for d in range(1, BUCKET_DIGITS) if total <= BUCKET_ROWS * 16**d), BUCKET_DIGITS)
-    base = F.substring("_h", 1, digits)
-    counts = [(b, sum(n for _, n in part)) for b, part in itertools.groupby(fine, lambda c: c[0][:digits])]
-    limit = max(HOT_BUCKET_ROWS, HOT_BUCKET_FACTOR * total // len(counts))
-    hot = [b for b, n in counts if n > limit]
-    bucket = base
-    if hot:
-        # Rows that repeat both key and content are numbered by a random digit group instead.
-        split = F.concat(base, F.substring("_d", 1, 2), F.lpad(F.hex(F.floor(F.rand(seed) * 256)), 2, "0"))
-        hashed = checkpointed(hashed.withColumn("_b", F.when(base.isin(hot), split).otherwise(base)))
-        bucket = F.col("_b")
-        counts = _bucket_counts(hashed, bucket)
+    digits = next((d for d in range(1, MOST_BUCKET_DIGITS) if total <= BUCKET_ROWS * 16**d), MOST_BUCKET_DIGITS)
+    if digits <= BUCKET_DIGITS:
+        counts = [(b, sum(n for _, n in part)) for b, part in itertools.groupby(fine, lambda c: c[0][:digits])]
+    else:
+        counts = _bucket_counts(hashed, F.substring("_s", 1, digits))
+    bucket = F.substring("_s", 1, digits)
+    hot = [b for b, n in counts if n > HOT_BUCKET_ROWS]
+    while hot and digits < HASH_DIGITS:
+        inside = F.substring("_s", 1, digits).isin(hot)
+        digits = min(HASH_DIGITS, digits + BUCKET_DIGITS)
+        bucket = F.when(inside, F.substring("_s", 1, digits)).otherwise(bucket)
+        further = _bucket_counts(hashed.filter(inside), F.substring("_s", 1, digits))
+        counts = sorted([c for c in counts if c[0] not in set(hot)] + further)
+        hot = [b for b, n in further if n > HOT_BUCKET_ROWS]
     before = itertools.accumulate((n for _, n in counts[:-1]), initial=0)
     offsets = pa.table({"_bucket": [b for b, _ in counts], "_offset": pa.array(before, pa.int64())})
     table = df.sparkSession.createDataFrame(offsets)
-    position = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", "_d"))
-    ranked = hashed.withColumn("_bucket", bucket).withColumn("_rank", position)
-    # At most 16^4 offsets (plus 16^4 per hot bucket), each a few bytes.
-    placed = ranked.join(F.broadcast(table), "_bucket")
-    fold = F.pmod(F.col("_offset") + F.col("_rank") - 1, F.lit(k)).cast("int")
-    return placed.select(*df.columns, fold.alias(fold_col))
+    placed = hashed.withColumn("_bucket", bucket)
+    alike = placed.filter(F.col("_bucket").isin(hot)) if hot else None
+    placed = placed.filter(~F.col("_bucket").isin(hot)) if hot else placed
+    ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("_bucket").orderBy("_s")) - 1)
+    fold = F.pmod(F.col("_offset") + F.col("_rank"), F.lit(k)).cast("int").alias(fold_col)
+    out = ranked.join(table, "_bucket").select(*df.columns, fold)
+    if alike is None:
+        return out
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    one = alike.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"), *[F.first(quoted(c)).alias(n) for c, n in zip(df.columns, names)]).join(table, "_bucket")
+    # Every fold gets its share of the rows that are alike.
+    shares = one.withColumn("_rank", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("_copies", F.expr(f"(_n - _rank + {k - 1}) div {k}")).filter("_copies > 0")
+    copies = repeat_rows(shares.select("_copies", *[F.col(n).alias(c) for c, n in zip(df.columns, names)], fold), "_copies")
+    return out.unionByName(copies)
 
 
 def hash_folds(df: DataFrame, key: str, k: int = 5, seed: int = 1, fold_col: str = "fold") -> DataFrame:

@@ -153,13 +153,13 @@ def release_catalog() -> Catalog:
 def preparation_features(catalog: Catalog) -> dict[str, list[Feature]]:
     """Feature lists of the cohort preparation, built by rule from a resolved catalog.
 
-    The SCQ list leaves out the first question, which gates the others.
+    The SCQ list leaves out the first question, which gates the others; the CBCL list leaves out a free-text one.
     """
     scq, rbsr, cbcl = (catalog.from_code(c) for c in ("scq", "rbsr", "cbcl_6_18"))
     columns = {
         "SCQ": (*SCQ_EXTRA_COLUMNS, *(q for q in scq.questions or () if not q.startswith("q01_")), scq.final_score),
         "RBSR": (*RBSR_EXTRA_COLUMNS, *(rbsr.questions or ()), *rbsr.subscales),
-        "CBCL_6_18": (*CBCL_6_18_SOCIAL_COLUMNS, *(cbcl.questions or ()), *cbcl.subscales, cbcl.final_score),
+        "CBCL_6_18": (*CBCL_6_18_SOCIAL_COLUMNS, *(q for q in cbcl.questions or () if q != "q056_h_other"), *cbcl.subscales, cbcl.final_score),
         "BHC": HISTORY_COLUMNS,
         "BHS": HISTORY_COLUMNS,
     }

@@ -36,31 +36,40 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     )
 
 
+# What counts as a whole number, a number or a truth value; Spark's casts accept more (y, t, 1d).
+_FORMS = (
+    (T.LongType(), r"^\s*[+-]?\d{1,18}\s*$"),
+    (T.DoubleType(), r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|Inf|Infinity)\s*$"),
+    (T.BooleanType(), r"^(true|True|TRUE|false|False|FALSE)$"),
+)
+
+
 def _typed_columns(df: DataFrame) -> dict[str, T.DataType]:
-    """Narrowest of bigint, double, boolean or string that every non-null cell of a text column fits."""
-    candidates = (T.LongType(), T.DoubleType(), T.BooleanType())
+    """Narrowest of bigint, double, boolean or string whose form every non-null cell of a text column has."""
     checks = [
-        F.bool_and(F.col(c).try_cast(t).isNotNull() | F.col(c).isNull()).alias(f"{i}_{j}")
+        F.bool_and(F.col(f"`{c}`").rlike(form) | F.col(f"`{c}`").isNull()).alias(f"{i}_{j}")
         for i, c in enumerate(df.columns)
-        for j, t in enumerate(candidates)
+        for j, (_, form) in enumerate(_FORMS)
     ]
-    filled = [F.count(c).alias(f"{i}_n") for i, c in enumerate(df.columns)]
+    filled = [F.count(f"`{c}`").alias(f"{i}_n") for i, c in enumerate(df.columns)]
     row = df.agg(*checks, *filled).first()
     types: dict[str, T.DataType] = {}
     for i, c in enumerate(df.columns):
-        fits = [t for j, t in enumerate(candidates) if row[f"{i}_n"] and row[f"{i}_{j}"]]
+        fits = [t for j, (t, _) in enumerate(_FORMS) if row[f"{i}_n"] and row[f"{i}_{j}"]]
         types[c] = fits[0] if fits else T.StringType()
     return types
 
 
-def read_csv(spark: SparkSession, path: str, key: str, schema: T.StructType | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, key: str, schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
     """Read one instrument with a header row.
 
-    Cells are read as text, missing-value texts become NULL, then columns are
-    cast.  With a schema this is one lazy scan; without one, a single profiling
-    pass over the whole file picks the types (the key always stays text).
+    A cell may stand in double quotes, with doubled quotes inside; ``multi_line`` allows line breaks in such cells, at the price of a
+    file per task.  A row with more or fewer cells than the header fails.  Cells are read as text, missing-value texts become
+    NULL, then columns are cast.  With a schema this is one lazy scan; without one, a single profiling pass over the whole
+    file picks the types (the key always stays text), so give schemas where files are large.
     """
-    header = spark.read.option("header", True).csv(path)
+    reader = spark.read.options(header=True, escape='"', multiLine=multi_line, mode="FAILFAST")
+    header = reader.csv(path)
     text = header.select(
         *[F.when(~F.col(f"`{c}`").isin(*NULL_TOKENS), F.col(f"`{c}`")).alias(c) for c in header.columns]
     )

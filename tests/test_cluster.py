@@ -172,3 +172,20 @@ def test_posterior_entropy(spark):
 
 def test_fits_are_grouped_by_size():
     assert list(batched_by_size("abcd", [3, 3, 3, 9], 6)) == [[0, 1], [2], [3]]
+
+
+def test_sweep_starts_reach_every_far_point(spark):
+    """Starts come from all rows: far single points are found by every seed, under any partitioning."""
+    rng = np.random.default_rng(0)
+    rows = [(v.tolist(),) for v in rng.standard_normal((1000, 2))] + [([5000.0, 0.0],), ([0.0, 5000.0],), ([-5000.0, 0.0],)]
+    df = spark.createDataFrame(rows, "x array<double>")
+    grid = [(4, seed) for seed in range(8)]
+    fits = [fit_kmeans_sweep(df.repartition(n).persist(), grid, 1003) for n in (1, 5)]
+    for a, b in zip(*fits):
+        assert np.allclose(sorted(np.abs(a).max(1))[1:], 5000.0) and np.allclose(a, b)
+
+
+def test_sweep_starts_with_repeated_rows(spark):
+    df = spark.createDataFrame([([float(i % 3), 0.0],) for i in range(90)], "x array<double>").persist()
+    for centres in fit_kmeans_sweep(df, [(3, s) for s in range(5)] + [(5, 1)], 90):
+        assert {round(c, 6) for c in centres[:, 0]} == {0.0, 1.0, 2.0}

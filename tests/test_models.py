@@ -252,3 +252,14 @@ def test_predictability_pairs(release_cohort, tmp_path):
 def test_pairs_skip_instruments_without_roles(release_cohort):
     assert release_cohort.catalog.score_pairs(["BHC", "SCQ"]) == []
     assert isinstance(release_cohort.catalog, Catalog) and Instrument("x", "x").question_features is None
+
+
+def test_latent_class_starts_find_planted_classes(spark):
+    """One restart is enough for two perfectly planted classes, whatever the seed."""
+    rows = [(i, *([float(i % 2)] * 4), 5.0 * (i % 2)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, d double, g double").persist()
+    d = Descriptor(binary=("a", "b", "c", "d"), continuous=("g",))
+    for seed in range(20):
+        fit = fit_mixtures(df, "id", d, [2], restarts=1, max_iter=60, seed=seed).best()[0]
+        assert sorted(np.round(fit.p_binary[:, 0], 3)) == [0.0, 1.0], seed
+        assert np.allclose(fit.shares, 0.5, atol=1e-3)

@@ -3,7 +3,7 @@ from pyspark.sql import types as T
 
 from cohortloom.catalog import Catalog, Feature, Instrument
 from cohortloom.cohort import Cohort, read_and_join
-from cohortloom.sources.release import convert_release, instrument_path, read_id_list, release_date
+from cohortloom.sources.release import convert_release, instrument_path, read_csv, read_id_list, release_date
 from cohortloom.sources.store import cache_path, checkpointed, ensure_checkpoint_dir, materialize
 
 CATALOG = Catalog([Instrument("a", "a", None, None, "score", r"q\d{2}_"), Instrument("m", "sub/m")], "id")
@@ -88,3 +88,19 @@ def test_checkpoint_uses_the_session_folder(spark):
     folder = ensure_checkpoint_dir(spark)
     assert folder and spark.sparkContext.getCheckpointDir().startswith(("file:" + folder, folder))
     assert checkpointed(spark.range(4)).count() == 4
+
+
+def test_csv_quotes_and_types(spark, tmp_path):
+    path = tmp_path / "quoted.csv"
+    path.write_text(
+        'id,txt,n,yn,d,b,e\nA,"say ""hi"", ok",3,y,1d,true,1e3\nB,"two\nlines",4,n,2f,False,-.5\nC,plain,,y,1d,TRUE,2\n'
+    )
+    df = read_csv(spark, str(path), "id", multi_line=True)
+    assert dict(df.dtypes) == {"id": "string", "txt": "string", "n": "bigint", "yn": "string", "d": "string", "b": "boolean", "e": "double"}
+    rows = {r["id"]: r for r in df.collect()}
+    assert rows["A"]["txt"] == 'say "hi", ok' and rows["A"]["n"] == 3 and rows["B"]["txt"] == "two\nlines" and rows["C"]["n"] is None
+    assert rows["B"]["e"] == -0.5 and rows["B"]["b"] is False
+    schema = "id string, n int, txt string"
+    from pyspark.sql.types import StructType
+
+    assert [r["n"] for r in read_csv(spark, str(path), "id", StructType.fromDDL(schema), multi_line=True).orderBy("id").collect()] == [3, 4, None]
