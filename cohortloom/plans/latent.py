@@ -18,7 +18,7 @@ from cohortloom.operators.mixture import (
 )
 from cohortloom.operators.resample import mean_std
 from cohortloom.plans.prepare import Prepared, PrepareSpec, prepare
-from cohortloom.sources.store import materialize
+from cohortloom.sources.store import fingerprint, materialize
 
 
 def fit_classes(
@@ -75,7 +75,7 @@ def optimal_k_job(
 ) -> DataFrame:
     """Mean and standard deviation of every metric per k, from the cached or computed sweep."""
     params = {"source": source, "k": list(k_values), "repeats": repeats, "restarts": restarts, "seed": seed,
-              "columns": prepared.descriptor.columns}
+              "descriptor": repr(prepared.descriptor), "rows": fingerprint(prepared.df)}
     spark = prepared.df.sparkSession
     trials = materialize(
         spark, lambda: class_sweep(prepared, key, k_values, repeats, restarts, seed), cache_root, "classes", params

@@ -23,6 +23,21 @@ def cache_path(root: str, analysis: str, params: Mapping[str, Any]) -> str:
     return f"{root.rstrip('/')}/{analysis}/{digest}"
 
 
+def fingerprint(df: DataFrame) -> str:
+    """Count and content sum of a frame's rows; independent of their order and partitioning. One scan."""
+    cells = ", ".join(f"`{c}`" for c in df.columns)
+    row = df.selectExpr(f"pmod(xxhash64({cells}), 1000000007) AS a", f"pmod(hash({cells}), 1000003) AS b").selectExpr("count(*)", "sum(a)", "sum(b)").first()
+    return f"{','.join(df.columns)}:{row[0]}:{row[1]}:{row[2]}"
+
+
+def described(model: Any) -> str:
+    """A model's class and every parameter, without the identifiers Spark makes up."""
+    if hasattr(model, "extractParamMap"):
+        values = sorted((p.name, repr(v)) for p, v in model.extractParamMap().items() if not p.name.endswith("Col"))
+        return f"{type(model).__name__}{values}"
+    return repr(model)
+
+
 def materialize(
     spark: SparkSession,
     build: Callable[[], DataFrame],

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from cohortloom.catalog import Feature, feature_table, features_from_columns
 from cohortloom.cohort import Cohort, read_and_join
 from cohortloom.operators.profile import missing_profile
-from cohortloom.sources.release import clean_ids, instrument_path, read_id_list, read_release, release_date
+from cohortloom.sources.release import clean_ids, instrument_path, read_csv, read_id_list, read_release, release_date
 from cohortloom.sources.store import (
     ensure_checkpoint_dir,
     materialize,
@@ -71,19 +71,22 @@ def features_per_instrument(spark, sf):
     )
 
 
-def _roles_sql() -> str:
-    rows = []
-    for i in catalog():
-        for role, members in (
-            ("question", i.questions), ("subscale", i.subscales), ("final_score", i.final_score and (i.final_score,)),
-        ):
-            rows += [f"('{i.code}', '{role}', '{m}')" for m in members] if members else [f"('{i.code}', '{role}', NULL)"]
-    return ", ".join(rows)
+ROLES_SQL = """
+    ('PROFILE', 'question', 'nationkey'), ('PROFILE', 'subscale', NULL), ('PROFILE', 'final_score', 'acctbal'),
+    ('ORDERS', 'question', 'p1'), ('ORDERS', 'question', 'p2'), ('ORDERS', 'question', 'p3'), ('ORDERS', 'question', 'p4'),
+    ('ORDERS', 'question', 'p5'), ('ORDERS', 'subscale', NULL), ('ORDERS', 'final_score', 'total'),
+    ('LINES', 'question', 'q_af'), ('LINES', 'question', 'q_ao'), ('LINES', 'question', 'q_nf'), ('LINES', 'question', 'q_no'),
+    ('LINES', 'question', 'q_rf'), ('LINES', 'question', 'q_ro'), ('LINES', 'subscale', 'discount'), ('LINES', 'subscale', 'tax'),
+    ('LINES', 'final_score', 'extended'),
+    ('EVENTS', 'question', 'e_click'), ('EVENTS', 'question', 'e_error'), ('EVENTS', 'question', 'e_purchase'),
+    ('EVENTS', 'question', 'e_signup'), ('EVENTS', 'question', 'e_view'), ('EVENTS', 'subscale', NULL), ('EVENTS', 'final_score', 'total_value'),
+    ('DOCS', 'question', NULL), ('DOCS', 'subscale', NULL), ('DOCS', 'final_score', NULL)
+"""
 
 
 @query(
     "instrument_roles", "C3",
-    f"WITH {ALL_SQL}, present AS ({_present_sql(CODES)}), roles(code, role, source_col) AS (VALUES {_roles_sql()})"
+    f"WITH {ALL_SQL}, present AS ({_present_sql(CODES)}), roles(code, role, source_col) AS (VALUES {ROLES_SQL})"
     " SELECT r.code, r.role, r.source_col, p.n_present FROM roles r"
     " LEFT JOIN present p ON p.inst_code = r.code AND p.source_col = r.source_col",
 )
@@ -108,12 +111,20 @@ def instrument_lookup(spark, sf):
 FEATURE_SETS = {"questions": ("ORDERS", "EVENTS", "PROFILE"), "final_score": ("ORDERS", "EVENTS", "PROFILE")}
 
 
+SET_SQL = {
+    "questions": [
+        ("ORDERS_p1", "p1", "ords"), ("ORDERS_p2", "p2", "ords"), ("ORDERS_p3", "p3", "ords"), ("ORDERS_p4", "p4", "ords"),
+        ("ORDERS_p5", "p5", "ords"), ("EVENTS_e_click", "e_click", "evts"), ("EVENTS_e_error", "e_error", "evts"),
+        ("EVENTS_e_purchase", "e_purchase", "evts"), ("EVENTS_e_signup", "e_signup", "evts"), ("EVENTS_e_view", "e_view", "evts"),
+        ("PROFILE_nationkey", "nationkey", "profile"),
+    ],
+    "final_score": [("ORDERS_total", "total", "ords"), ("EVENTS_total_value", "total_value", "evts"), ("PROFILE_acctbal", "acctbal", "profile")],
+}
+
+
 def _set_sql(name: str) -> str:
-    cat = catalog()
-    feats = cat.feature_set(name, FEATURE_SETS[name])
     return " UNION ALL ".join(
-        f"SELECT {i} AS position, '{f.col}' AS col, count({f.source_col}) AS n_present FROM {CTE[f.inst_code]}"
-        for i, f in enumerate(feats)
+        f"SELECT {i} AS position, '{col}' AS col, count({source}) AS n_present FROM {table}" for i, (col, source, table) in enumerate(SET_SQL[name])
     )
 
 
@@ -203,6 +214,47 @@ def csv_scan(spark, sf):
     return read_release(spark, directory, catalog(), ["profile"], SCHEMAS)["PROFILE"]
 
 
+def _quoted_csv(spark, df: DataFrame, name: str) -> DataFrame:
+    """Write a frame as CSV with every cell in quotes and read it back without a schema."""
+    path = f"{scratch(spark, name)}.csv"
+    df.write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return read_csv(spark, path, KEY, multi_line=True)
+
+
+@query(
+    "csv_quotes", "S2",
+    "SELECT CAST(doc_id AS VARCHAR) AS subject, doc_id || ', \"' || text || '\", end' AS said, n_chars FROM documents",
+)
+def csv_quotes(spark, sf):
+    docs = read(spark, sf, "documents")
+    said = F.concat(F.col("doc_id").cast("string"), F.lit(', "'), "text", F.lit('", end'))
+    return _quoted_csv(spark, docs.select(F.col("doc_id").alias(KEY), said.alias("said"), "n_chars"), "quotes")
+
+
+_FORMS_SQL = {
+    "yes": "CASE WHEN o_orderkey % 2 = 0 THEN 'y' ELSE 'n' END",
+    "truth": "CASE WHEN o_orderkey % 2 = 0 THEN 't' ELSE 'f' END",
+    "suffix": "CAST(o_orderkey % 9 AS VARCHAR) || 'd'",
+    "flag": "CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'False' END",
+    "whole": "CAST(o_custkey AS VARCHAR)",
+    "real": "CAST(o_orderkey % 9 AS VARCHAR) || '.5e1'",
+}
+_KINDS = {"yes": "string", "truth": "string", "suffix": "string", "flag": "boolean", "whole": "bigint", "real": "double"}
+
+
+@query(
+    "csv_types", "S2",
+    " UNION ALL ".join(f"SELECT '{c}' AS name, '{_KINDS[c]}' AS kind, count(DISTINCT {sql}) AS n FROM orders" for c, sql in _FORMS_SQL.items()),
+)
+def csv_types(spark, sf):
+    cells = {c: sql.replace("VARCHAR", "STRING") for c, sql in _FORMS_SQL.items()}
+    frame = read(spark, sf, "orders").selectExpr(f"o_orderkey AS {KEY}", *[f"{sql} AS {c}" for c, sql in cells.items()])
+    back = _quoted_csv(spark, frame, "types")
+    kinds = dict(back.dtypes)
+    parts = [back.agg(F.countDistinct(c).alias("n")).select(F.lit(c).alias("name"), F.lit(kinds[c]).alias("kind"), "n") for c in cells]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     "load_instruments", "S3 S4",
     f"WITH {ALL_SQL} SELECT 'PROFILE' AS code, count(*) AS n FROM profile UNION ALL SELECT 'ORDERS', count(*) FROM ords"

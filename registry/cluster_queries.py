@@ -19,7 +19,6 @@ from cohortloom.operators.metrics import (
     calinski_harabasz,
     cluster_moments,
     davies_bouldin,
-    gaussian_parameters,
     inertia,
     silhouette,
     silhouette_squared,
@@ -151,7 +150,8 @@ def mixture_ll(spark, sf):
     return rounded(mixture_log_likelihoods(vectors(spark, sf, 3), G_COLS, [GAUSS]), 6, "log_likelihood")
 
 
-_P = gaussian_parameters(2, 3)
+# Two weights that sum to one, two means and two symmetric covariances in three dimensions.
+_P = 1 + 2 * 3 + 2 * 6
 
 
 @query(

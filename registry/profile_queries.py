@@ -261,6 +261,11 @@ def folds(spark, sf):
     return assign_folds(read(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 5, seed=1)
 
 
+@query("exact_folds_hot_key", "B2", f"SELECT user_id, {folds_sql('events', 'user_id')} AS fold FROM events")
+def folds_hot_key(spark, sf):
+    return assign_folds(read(spark, sf, "events").select("user_id"), "user_id", 5, seed=1)
+
+
 @query(
     "hash_folds", "B2",
     "SELECT o_orderkey, ('0x' || substr(md5('1:' || o_orderkey), 1, 8))::BIGINT % 5 AS fold FROM orders",
