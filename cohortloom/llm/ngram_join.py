@@ -27,7 +27,7 @@ from cohortloom.sources.store import checkpointed
 BITS = 20
 # Tokens in a part of a block on average: with two parts a task holds a bounded table.
 PART_TOKENS = 150_000
-EDGE_TOKENS = 32
+EDGE_TOKENS = 128
 SLICE_BYTES = 4 << 20
 _U = np.uint64
 
@@ -164,19 +164,20 @@ class Trie:
         return np.array(first[at:end], np.int64), here, children, rest, least
 
     def join(self, has: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(id, queries that link with it). ``has``: queries by tokens; a link is percent * |union| <= 100 * |overlap|.
+        """(id, queries that link with it). ``has``: tokens by queries; a link is percent * |union| <= 100 * |overlap|.
 
         On an edge the queries' overlaps grow by its tokens, a few at a time; a query leaves the path when all that is left
         below it and in itself could not make a link.
         """
         p = self.percent
-        held = has.sum(axis=1)
+        held = has.sum(axis=0)
         stack = [(self.root, np.arange(len(size)), np.zeros(len(size), np.int64))]
         while stack:
             (edge, here, children, rest, least), who, overlap = stack.pop()
             for at in range(0, len(edge), EDGE_TOKENS):
                 some = edge[at : at + EDGE_TOKENS]
-                overlap = overlap + has[np.ix_(who, some)].sum(axis=1)
+                rows = has[some] if len(who) == len(size) else has[some][:, who]
+                overlap = overlap + rows.sum(axis=0, dtype=np.int32)
                 left = np.minimum(rest + len(edge) - at - len(some), held[who] - overlap)
                 stay = (100 + p) * (overlap + left) >= p * (size[who] + least)
                 who, overlap = who[stay], overlap[stay]
@@ -229,17 +230,19 @@ def _links(parts: DataFrame, percent: int) -> DataFrame:
         row, token = row[keep], number[token[keep]]
         ends = np.searchsorted(row, np.arange(len(owner) + 1))
         queries = np.flatnonzero(part == right)
-        has = np.zeros((len(owner), int(number[-1]) + 1 if len(number) else 0), bool)
-        has[row, token] = True
+        has = np.zeros((int(number[-1]) + 1 if len(number) else 0, len(owner)), bool)
+        has[token, row] = True
         sets = [(i, int(size[i]), np.sort(token[ends[i] : ends[i + 1]])) for i in np.flatnonzero(part == left).tolist()]
-        pairs = Trie(sets, percent).join(has[queries], size[queries]) if sets and len(queries) else iter(())
+        pairs = Trie(sets, percent).join(np.ascontiguousarray(has[:, queries]), size[queries]) if sets and len(queries) else iter(())
         found = ((i, queries[q]) for i, q in pairs)
         # Inside one part every pair comes up twice.
         root, links = _forest(len(owner), ((i, q[q > i] if left == right else q) for i, q in found))
         linked = links > 0
         return pa.table({"a": owner[root[linked]], "b": owner[linked], "n": links[linked]})
 
-    return parts.groupBy("block", "left", "right").applyInArrow(run, "a long, b long, n long")
+    # The groups weigh alike by design, so the tasks are not merged by the size of what they read.
+    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parts.repartition(tasks, "block", "left", "right").groupBy("block", "left", "right").applyInArrow(run, "a long, b long, n long")
 
 
 def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -310,10 +313,11 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     blocks = components(stars).select(F.col("node").alias("owner"), F.col("component").alias("block"))
     blocks = checkpointed(blocks)
     sets = checkpointed(core.join(blocks, "owner"))
-    counts = sets.groupBy("block").agg(F.sum(F.size("tokens")).alias("held"))
-    sets = sets.join(counts, "block")
+    large = sets.groupBy("block").agg(F.sum(F.size("tokens")).alias("held")).where(F.col("held") > PART_TOKENS)
+    large = checkpointed(large)
+    sets = sets.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "block", "left")
     # A large block is cut by a hash of the owner; every pair of its parts is a group of its own.
-    sets = sets.withColumn("cut", F.ceil(F.col("held") / PART_TOKENS).cast("int"))
+    sets = sets.withColumn("cut", F.coalesce(F.ceil(F.col("held") / PART_TOKENS), F.lit(1)).cast("int"))
     sets = sets.withColumn("part", F.pmod(F.xxhash64("owner"), F.col("cut")).cast("int"))
     sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
     sets = sets.select("block", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "owner", "size", "tokens", "part")

@@ -110,9 +110,9 @@ def test_trie_finds_what_pairs_find(monkeypatch, edge):
     for i in range(80):
         n = rng.randint(1, 14)
         sets.append((i, n + rng.randint(0, 2), np.array(sorted(rng.sample(range(18), n)))))
-    has = np.zeros((80, 18), bool)
+    has = np.zeros((18, 80), bool)
     for i, _, own in sets:
-        has[i, own] = True
+        has[own, i] = True
     got = {i: set(q.tolist()) for i, q in ngram_join.Trie(sets, 75).join(has, np.array([n for _, n, _ in sets]))}
     for i, n, own in sets:
         want = {j for j, m, other in sets if 175 * len(set(own.tolist()) & set(other.tolist())) >= 75 * (n + m)}
