@@ -33,10 +33,10 @@ FURNITURE = set(
 )
 CONTENT = {"article", "main"}
 FURNITURE_WORDS = set(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright "
-    "discussion disqus dialog footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain "
-    "pager pagination paywall popup promo promoted promotion reader recommended related replies reply respond search share sharing sidebar signup "
-    "skip social sponsor sponsored subscribe subscription taboola toolbar topbar widget widgets".split()
+    "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright "
+    "disclaimer discussion disqus dialog footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain "
+    "pager pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup "
+    "skip social sponsor sponsored subscribe subscription taboola teaser teasers toolbar topbar widget widgets".split()
 )
 FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
 CONTENT_WORDS = {"article", "entry", "post", "story", "body", "content", "text"}
@@ -51,7 +51,7 @@ _TOKEN = re.compile(
     r"|(?P<text>[^<]++|<)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WORD = re.compile(r"[a-z]+")
 
 FEATURES = ("words", "links", "before_words", "before_links", "after_words", "after_links", "place", "furniture")
