@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from cohortloom.catalog import Catalog, Feature, Instrument
-from cohortloom.operators.frame import group_by_instrument, join_features
+from cohortloom.operators.frame import group_by_instrument, join_features, keep_ids
 from cohortloom.sources.release import read_release
 
 
@@ -38,6 +38,10 @@ class Cohort:
     def instrument(self, code: str) -> Instrument:
         return self.catalog.from_code(code)
 
+    def restricted(self, ids: DataFrame) -> Cohort:
+        """The same cohort with the rows of the listed subjects only, in every table."""
+        return Cohort(self.catalog, {code: keep_ids(df, ids, self.key) for code, df in self.tables.items()})
+
     def join(self, features: Sequence[Feature], how: str = "outer", rename: bool = True) -> DataFrame:
         return join_features(self.tables, features, self.key, how, rename)
 

@@ -11,11 +11,12 @@ from cohortloom.catalog import Feature
 from cohortloom.cohort import Cohort
 from cohortloom.functions.numeric import round_half_even, to_double
 from cohortloom.functions.recode import RecodeRule, recode, release_rules
-from cohortloom.operators.frame import complete_cases, keep_ids, keyed_join, prefix_columns, project, union_common, within
+from cohortloom.operators.frame import complete_cases, keyed_join, prefix_columns, project, union_common, within
 from cohortloom.operators.mixture import Descriptor
 from cohortloom.operators.profile import column_kinds, prune_missing
 from cohortloom.operators.resample import exact_sample
 from cohortloom.release_catalog import preparation_features
+from cohortloom.sources.store import checkpointed
 
 
 @dataclass(frozen=True)
@@ -83,15 +84,16 @@ def stacked_history(cohort: Cohort, history: History) -> DataFrame:
 def wide_frame(cohort: Cohort, spec: PrepareSpec, ids: DataFrame | None = None) -> DataFrame:
     """Joined, filtered, recoded rows: one lazy plan.
 
-    The id filter sits on the joined frame, ahead of column pruning and row dropping.
+    The id filter reads only the key, so it shrinks every table ahead of the joins; column pruning and row dropping see the same rows.
     """
+    if ids is not None:
+        cohort = cohort.restricted(ids)
     df = cohort.join(spec.features, "outer")
     df = within(df, spec.ranges, spec.below)
     if spec.history is not None:
         # The filters only read instrument columns, so they come before the left join.
         df = keyed_join([df, stacked_history(cohort, spec.history)], cohort.key, "left")
-    df = recode(df.drop(*spec.ephemeral), spec.rules)
-    return df if ids is None else keep_ids(df, ids, cohort.key)
+    return recode(df.drop(*spec.ephemeral), spec.rules)
 
 
 @dataclass(frozen=True)
@@ -110,15 +112,15 @@ class Prepared:
 
 def prepared_frame(cohort: Cohort, spec: PrepareSpec, ids: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """The preparation up to the sample; one profiling job decides which columns stay."""
-    wide = wide_frame(cohort, spec, ids)
+    # Profiled and then cut: kept, so that the joins run once.
+    wide = checkpointed(wide_frame(cohort, spec, ids))
     cols = [c for c in wide.columns if c != cohort.key]
     pruned, kept = prune_missing(wide, cols, spec.missing_threshold)
     df = to_double(complete_cases(pruned, kept), cohort.key)
     if spec.round_values:
         df = round_half_even(df, kept)
     if spec.sample_frac:
-        # Sampling counts before it cuts, so the joins are kept rather than repeated.
-        df = exact_sample(df.persist(), cohort.key, spec.sample_frac, spec.sample_seed)
+        df = exact_sample(df, cohort.key, spec.sample_frac, spec.sample_seed)
     return df, kept
 
 
