@@ -346,10 +346,10 @@ def model_roundtrip(spark, sf):
 
     from cohortloom.operators.cluster import assemble, fit_kmeans, label_all
     from cohortloom.sources.store import save_model
-    from registry.tables import vectors
+    from registry.tables import DIMS, vectors
 
-    features = assemble(vectors(spark, sf, 8), [f"d{i}" for i in range(8)])
+    features = assemble(vectors(spark, sf), [f"d{i}" for i in range(DIMS)])
     path = scratch(spark, "model")
-    save_model(fit_kmeans(features, 3, seed=1, max_iter=10), path)
+    save_model(fit_kmeans(features, 3, seed=1), path)
     labelled = label_all(features, [KMeansModel.load(path)])
     return labelled.groupBy(F.col("labels")[0].alias("label")).agg(F.count(F.lit(1)).alias("n"))

@@ -123,15 +123,14 @@ def centroid_step(spark, sf):
 @query("kmeans_fit", "M2 A9")
 def kmeans_fit(spark, sf):
     features = assemble(standardize(vectors(spark, sf), COLS), COLS).persist()
-    model = fit_kmeans(features, 4, seed=1, max_iter=30)
+    model = fit_kmeans(features, 4, seed=1)
     return label_all(features, [model]).groupBy(F.col("labels")[0].alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-G_COLS = COLS[:3]
 GAUSS = GaussianParams(
     np.array([0.6, 0.4]),
-    np.array([[0.0, 0.0, 0.0], [0.1, -0.1, 0.05]]),
-    np.stack([np.diag([0.02, 0.03, 0.04]), np.diag([0.05, 0.04, 0.03])]),
+    np.stack([np.zeros(DIMS), np.resize([0.1, -0.1, 0.05], DIMS)]),
+    np.stack([np.diag(np.resize([0.02, 0.03, 0.04], DIMS)), np.diag(np.resize([0.05, 0.04, 0.03], DIMS))]),
 )
 
 
@@ -142,16 +141,16 @@ def _density(c: int) -> str:
     return f"{float(w)!r}::DOUBLE * exp(-0.5 * ({q})) / ({norm})"
 
 
-GAUSS_LL_SQL = f"{vectors_sql(3)}, ll AS (SELECT sum(ln({_density(0)} + {_density(1)})) AS ll, count(*) AS n FROM vecs)"
+GAUSS_LL_SQL = f"{vectors_sql()}, ll AS (SELECT sum(ln({_density(0)} + {_density(1)})) AS ll, count(*) AS n FROM vecs)"
 
 
 @query("mixture_log_likelihood", "M5", f"WITH {GAUSS_LL_SQL} SELECT 0 AS trial, round(ll, 6) AS log_likelihood, n FROM ll")
 def mixture_ll(spark, sf):
-    return rounded(mixture_log_likelihoods(vectors(spark, sf, 3), G_COLS, [GAUSS]), 6, "log_likelihood")
+    return rounded(mixture_log_likelihoods(vectors(spark, sf), COLS, [GAUSS]), 6, "log_likelihood")
 
 
-# Two weights that sum to one, two means and two symmetric covariances in three dimensions.
-_P = 1 + 2 * 3 + 2 * 6
+# Two weights that sum to one, two means and two symmetric covariances in 64 dimensions.
+_P = 1 + 2 * 64 + 2 * 2080
 
 
 @query(
@@ -159,27 +158,27 @@ _P = 1 + 2 * 3 + 2 * 6
     f"WITH {GAUSS_LL_SQL} SELECT 0 AS trial, round(ll / n, 8) AS log_likelihood, round(-2 * ll + {_P} * ln(n), 6) AS bic, round(-2 * ll + 2 * {_P}, 6) AS aic FROM ll",
 )
 def mixture_criteria(spark, sf):
-    return rounded(rounded(mixture_scores(vectors(spark, sf, 3), G_COLS, [GAUSS]), 8, "log_likelihood"), 6, "bic", "aic")
+    return rounded(rounded(mixture_scores(vectors(spark, sf), COLS, [GAUSS]), 8, "log_likelihood"), 6, "bic", "aic")
 
 
 @query("gaussian_mixture_fit", "M4 M5 M6 M7")
 def gmm_fit(spark, sf):
-    scaled = standardize(vectors(spark, sf, 4).drop("label", "vec_id"), COLS[:4])
-    features = assemble(scaled, COLS[:4]).persist()
-    model = fit_gaussian_mixture(features, 3, seed=1, n_rows=features.count(), max_iter=20)
-    return mixture_scores(features, COLS[:4], [GaussianParams.of(model)])
+    scaled = standardize(vectors(spark, sf).drop("label", "vec_id"), COLS)
+    features = assemble(scaled, COLS).persist()
+    model = fit_gaussian_mixture(features, 3, seed=1, n_rows=features.count())
+    return mixture_scores(features, COLS, [GaussianParams.of(model)])
 
 
 @query("kmeans_trials", "B6 M2 M3")
 def trials(spark, sf):
-    return kmeans_trials(vectors(spark, sf, 8), COLS[:8], [2, 3], repeats=2)
+    return kmeans_trials(vectors(spark, sf), COLS, [2, 3], repeats=2)
 
 
 @query("driver_parallel_trials", "B6")
 def parallel_trials(spark, sf):
-    features = assemble(vectors(spark, sf, 8), COLS[:8]).persist()
+    features = assemble(vectors(spark, sf), COLS).persist()
     grid = [(k, r) for k in (2, 3) for r in range(2)]
-    models = run_trials(spark, grid, lambda k, r: fit_kmeans(features, k, r, max_iter=5))
+    models = run_trials(spark, grid, lambda k, r: fit_kmeans(features, k, r))
     costs = [(k, r, float(m.summary.trainingCost)) for (k, r), m in zip(grid, models)]
     return mean_std(spark.createDataFrame(costs, "k int, repeat int, inertia double"), "k", ["inertia"])
 
