@@ -26,7 +26,8 @@ from cohortloom.sources.store import checkpointed
 
 BITS = 20
 # Tokens in a part of a block on average: with two parts a task holds a bounded table.
-PART_TOKENS = 150_000
+PART_TOKENS = 1_000_000
+MATRIX_BYTES = 64 << 20
 EDGE_TOKENS = 128
 SLICE_BYTES = 4 << 20
 _U = np.uint64
@@ -229,14 +230,24 @@ def _links(parts: DataFrame, percent: int) -> DataFrame:
         keep = times[token] > 1
         row, token = row[keep], number[token[keep]]
         ends = np.searchsorted(row, np.arange(len(owner) + 1))
-        queries = np.flatnonzero(part == right)
-        has = np.zeros((int(number[-1]) + 1 if len(number) else 0, len(owner)), bool)
-        has[token, row] = True
         sets = [(i, int(size[i]), np.sort(token[ends[i] : ends[i + 1]])) for i in np.flatnonzero(part == left).tolist()]
-        pairs = Trie(sets, percent).join(np.ascontiguousarray(has[:, queries]), size[queries]) if sets and len(queries) else iter(())
-        found = ((i, queries[q]) for i, q in pairs)
+        trie = Trie(sets, percent) if sets else None
+        n_tokens = int(number[-1]) + 1 if len(number) else 0
+        step = max(1, MATRIX_BYTES // max(1, n_tokens))
+
+        def pairs() -> Iterator[tuple[int, np.ndarray]]:
+            queries = np.flatnonzero(part == right) if trie else np.zeros(0, np.int64)
+            for at in range(0, len(queries), step):
+                some = queries[at : at + step]
+                place = np.full(len(owner), -1)
+                place[some] = np.arange(len(some))
+                mine = place[row] >= 0
+                has = np.zeros((n_tokens, len(some)), bool)
+                has[token[mine], place[row[mine]]] = True
+                yield from ((i, some[q]) for i, q in trie.join(has, size[some]))
+
         # Inside one part every pair comes up twice.
-        root, links = _forest(len(owner), ((i, q[q > i] if left == right else q) for i, q in found))
+        root, links = _forest(len(owner), ((i, q[q > i] if left == right else q) for i, q in pairs()))
         linked = links > 0
         return pa.table({"a": owner[root[linked]], "b": owner[linked], "n": links[linked]})
 

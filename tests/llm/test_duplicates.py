@@ -70,7 +70,7 @@ def brute_components(rows):
     return {i: (len(s), label[i]) for i, s in sets}
 
 
-@pytest.mark.parametrize("part_tokens", [150_000, 250])
+@pytest.mark.parametrize("part_tokens", [1_000_000, 250])
 def test_similar_sets_equal_brute_force(spark, monkeypatch, part_tokens):
     monkeypatch.setattr(ngram_join, "PART_TOKENS", part_tokens)
     rng = random.Random(3)
