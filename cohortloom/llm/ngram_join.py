@@ -9,6 +9,7 @@ remaining lengths cannot reach the wanted overlap. Large blocks are cut into par
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,6 +143,8 @@ class Trie:
     def __init__(self, sets: list[tuple[int, int, np.ndarray]], percent: int):
         """``sets``: id, full size, tokens in the global order (the full size may count tokens no other set has)."""
         self.percent = percent
+        # A path branches at most once for each set and each token of a part.
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 50_000))
         self.root = self._build(sorted(((i, n, t.tolist()) for i, n, t in sets), key=lambda s: s[2]), 0)
 
     def _build(self, sets: list, at: int) -> tuple:
