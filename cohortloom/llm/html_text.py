@@ -39,6 +39,8 @@ FURNITURE_WORDS = set(
     "skip social sponsor sponsored subscribe subscription taboola teaser teasers toolbar topbar widget widgets".split()
 )
 FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
+# Containers that are named after their content count where a page has no article or main element.
+CONTENT_NAMES = {"article", "content", "entry", "main", "post", "story"}
 CONTENT_WORDS = {"article", "entry", "post", "story", "body", "content", "text"}
 _AUTO_CLOSE = {"p": BLOCK, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
@@ -60,7 +62,7 @@ FEATURES = ("words", "links", "before_words", "before_links", "after_words", "af
 def labelled() -> np.ndarray:
     """The labelled table: FEATURES and then 1 for text, 0 for furniture, a row for each combination worth telling apart.
 
-    links: share of the words inside links. place: 1 inside an article or main element, -1 outside of them on a page that has one, 0 on
+    links: share of the words inside links. place: 1 inside the article (or the container named so), -1 outside of it on a page that has one, 0 on
     a page that has none. furniture: 1 inside menus, notices and the like. Neighbours are nothing, a row of links or paragraphs.
     """
     rows = []
@@ -84,7 +86,7 @@ class Block:
     text: str
     words: int
     linked: int
-    inside: bool
+    inside: int
     furniture: bool
 
 
@@ -109,11 +111,26 @@ def _is_furniture(tag: str, attrs: str, inside: bool) -> bool:
     return False
 
 
+def _content(tag: str, attrs: str) -> int:
+    """2 for an article or main element, 1 for a container named so, else 0."""
+    if tag in CONTENT:
+        return 2
+    if not attrs or tag not in ("div", "section", "td"):
+        return 0
+    for name, value in _ATTRIBUTE.findall(attrs):
+        if name.lower() in ("class", "id"):
+            for token in value.strip("\"'").lower().split():
+                words = _WORD.findall(token)
+                if words and words[0] not in ("has", "with", "no", "is") and CONTENT_NAMES & set(words):
+                    return 1
+    return 0
+
+
 def text_blocks(page: str) -> list[Block]:
     """The flat text blocks of a page, in page order; markup that never ends is closed at the end of the page."""
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, furniture, content
-    furniture = inside = links = 0
+    stack: list[tuple[str, bool, int]] = []  # name, furniture, content
+    furniture = inside = named = links = 0
     parts: list[str] = []
     linked = 0
 
@@ -122,15 +139,16 @@ def text_blocks(page: str) -> list[Block]:
         if parts:
             text = "".join(parts).split()
             if text:
-                blocks.append(Block(" ".join(text), len(text), min(linked, len(text)), inside > 0, furniture > 0))
+                blocks.append(Block(" ".join(text), len(text), min(linked, len(text)), 2 if inside else min(named, 1), furniture > 0))
             parts.clear()
             linked = 0
 
     def leave() -> None:
-        nonlocal furniture, inside
+        nonlocal furniture, inside, named
         _, f, c = stack.pop()
         furniture -= f
-        inside -= c
+        inside -= c == 2
+        named -= c == 1
 
     for m in _TOKEN.finditer(page):
         text = m["text"]
@@ -153,7 +171,7 @@ def text_blocks(page: str) -> list[Block]:
             if tag in VOID or tag == "a":
                 continue
             # Inline elements only count where they are furniture themselves (a labelled span, for example).
-            if not ends and not _is_furniture(tag, m["attrs"] or m["attrs2"] or "", inside > 0):
+            if not ends and not _is_furniture(tag, m["attrs"] or m["attrs2"] or "", inside + named > 0):
                 continue
             if ends and not any(name == tag for name, _, _ in stack):
                 continue
@@ -169,11 +187,12 @@ def text_blocks(page: str) -> list[Block]:
             leave()
         if tag in VOID:
             continue
-        f = _is_furniture(tag, m["attrs"] or m["attrs2"] or "", inside > 0)
-        c = tag in CONTENT and not f
+        f = _is_furniture(tag, m["attrs"] or m["attrs2"] or "", inside + named > 0)
+        c = 0 if f else _content(tag, m["attrs"] or m["attrs2"] or "")
         stack.append((tag, f, c))
         furniture += f
-        inside += c
+        inside += c == 2
+        named += c == 1
     flush()
     return blocks
 
@@ -181,8 +200,8 @@ def text_blocks(page: str) -> list[Block]:
 def features(blocks: list[Block]) -> np.ndarray:
     words = np.array([b.words for b in blocks], float)
     links = np.array([b.linked for b in blocks], float) / np.maximum(words, 1)
-    inside = np.array([b.inside for b in blocks])
-    place = np.where(inside, 1.0, -1.0 if any(b.inside and not b.furniture for b in blocks) else 0.0)
+    level = max((b.inside for b in blocks if not b.furniture), default=0)
+    place = np.where(np.array([b.inside for b in blocks]) >= level, 1.0, -1.0) if level else np.zeros(len(blocks))
     side = np.zeros(1)
     before, after = (np.r_[side, words[:-1]], np.r_[side, links[:-1]]), (np.r_[words[1:], side], np.r_[links[1:], side])
     return np.stack([words, links, *before, *after, place, np.array([b.furniture for b in blocks], float)], axis=1)

@@ -83,6 +83,9 @@ def test_main_text_of_pages():
     assert html_text.main_text("<article><p>a <!-- b --> c<p>d &amp e &lt;f&gt; <b>un</b>closed <i") == "a c d & e <f> unclosed"
     flat = "<div><a href=1>Home</a> <a href=2>News</a></div><h1>A title</h1><p>" + "word " * 40 + "</p><p>Short.</p><p>" + "more " * 30 + "</p><div><a>Imprint</a> <a>Terms</a></div>"
     assert html_text.main_text(flat) == " ".join(["A title", *["word"] * 40, "Short.", *["more"] * 30])
+    named = '<div class="top-menu">x</div><div id="content"><p>One.</p><p>Two.</p><div class="comments">no</div></div><div>Imprint of it</div>'
+    assert html_text.main_text(named) == "One. Two."
+    assert html_text.main_text(named + "<article><p>Real.</p></article>") == "Real."
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>x</nav>") == ""
     assert html_text.main_text("<article>" + "<p>x</p>" * 20_000).count("x") == 20_000
 
