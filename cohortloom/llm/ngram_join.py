@@ -27,10 +27,10 @@ from cohortloom.sources.store import checkpointed
 
 BITS = 20
 # Tokens in a part of a block on average: with two parts a task holds a bounded table.
-PART_TOKENS = 1_000_000
-MATRIX_BYTES = 64 << 20
+PART_TOKENS = 700_000
+MATRIX_BYTES = 8 << 20
 EDGE_TOKENS = 128
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _U = np.uint64
 
 
@@ -145,14 +145,14 @@ class Trie:
         self.percent = percent
         # A path branches at most once for each set and each token of a part.
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 50_000))
-        self.root = self._build(sorted(((i, n, t.tolist()) for i, n, t in sets), key=lambda s: s[2]), 0)
+        self.root = self._build(sorted(sets, key=lambda s: s[2].astype(">i4").tobytes()), 0)
 
     def _build(self, sets: list, at: int) -> tuple:
         """(tokens of the edge, ids and sizes that end here, children, most tokens still below, least size below)."""
         first, last = sets[0][2], sets[-1][2]
-        end = at
-        while end < len(first) and end < len(last) and first[end] == last[end]:
-            end += 1
+        shared = min(len(first), len(last))
+        apart = np.flatnonzero(first[at:shared] != last[at:shared])
+        end = at + int(apart[0]) if len(apart) else shared
         here, children, i = [], [], 0
         while i < len(sets) and len(sets[i][2]) == end:
             here.append((sets[i][0], sets[i][1]))
@@ -165,7 +165,7 @@ class Trie:
             i = j
         rest = max([0, *(len(c[0]) + c[3] for c in children)])
         least = min([s for _, s in here] + [c[4] for c in children])
-        return np.array(first[at:end], np.int64), here, children, rest, least
+        return first[at:end], here, children, rest, least
 
     def join(self, has: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(id, queries that link with it). ``has``: tokens by queries; a link is percent * |union| <= 100 * |overlap|.
@@ -196,7 +196,7 @@ class Trie:
 
 
 def _forest(n: int, pairs: Iterator[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """For n sets the least member of each one's component by the given links, and the number of its links."""
+    """For n sets one member of each one's component by the given links, and the number of its links."""
     root, links = list(range(n)), np.zeros(n, np.int64)
 
     def find(i: int) -> int:
@@ -217,12 +217,11 @@ def _forest(n: int, pairs: Iterator[tuple[int, np.ndarray]]) -> tuple[np.ndarray
 def _links(parts: DataFrame, percent: int) -> DataFrame:
     """Links inside every group (block, left, right) of rows owner, size, tokens, part, between part ``left`` and part ``right``.
 
-    A row for each linked set of a group: b, a the least set its links in this group lead to, n the number of these links.
+    A row for each linked set of a group: b, a one set for all that its links in this group lead to, n the number of these links.
     """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         left, right = key[1].as_py(), key[2].as_py()
-        table = table.sort_by("owner").combine_chunks()
         owner, size, part = (table.column(c).to_numpy() for c in ("owner", "size", "part"))
         lists = table.column("tokens").combine_chunks()
         held = np.diff(lists.offsets.to_numpy())
@@ -233,7 +232,7 @@ def _links(parts: DataFrame, percent: int) -> DataFrame:
         keep = times[token] > 1
         row, token = row[keep], number[token[keep]]
         ends = np.searchsorted(row, np.arange(len(owner) + 1))
-        sets = [(i, int(size[i]), np.sort(token[ends[i] : ends[i + 1]])) for i in np.flatnonzero(part == left).tolist()]
+        sets = [(i, int(size[i]), np.sort(token[ends[i] : ends[i + 1]]).astype(np.int32)) for i in np.flatnonzero(part == left).tolist()]
         trie = Trie(sets, percent) if sets else None
         n_tokens = int(number[-1]) + 1 if len(number) else 0
         step = max(1, MATRIX_BYTES // max(1, n_tokens))
