@@ -205,6 +205,31 @@ def test_toxicity_held_out(spark):
     assert toxicity.score(docs, toxicity.fit(docs, lab.limit(0))).where("predicted = 1 AND doc_id IS NULL").count() == 1
 
 
+def test_stems_of_a_rare_language_that_clean_texts_deny_or_report(spark):
+    rng = random.Random(12)
+    rows, labels, kind = [], [], {}
+    for i in range(1500):
+        second, toxic = i % 6 == 0, i // 6 % 8 == 0
+        w, root = words(rng, 60, "ñóíabc" if second else "abcdefgh"), "zemboñ" if second else rng.choice(["idiot", "grumox", "vilpat"])
+        own = [f"{root}{rng.choice(['', 'ar', 'es'])}" for _ in range(3)]
+        if toxic:
+            for x in own:
+                w[rng.randrange(60)] = x
+        elif second:
+            # One in two clean texts of the second language holds the stem as well, denied or reported, a few say it once.
+            w += [".", *(["nunca", own[0]] if i % 4 == 0 else ["dijo", own[1]] if i % 3 == 0 and i // 6 % 2 else [own[2]] if i // 6 % 5 == 1 else [])]
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(toxic)))
+        kind[i] = (second, toxic)
+    docs, lab = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, lab)
+    assert any("zemboñ".startswith(s) for s, _ in model.stems)
+    got = [(*kind[r["doc_id"]], r["predicted"]) for r in toxicity.score(docs, model).where("held_out").collect()]
+    for second in (False, True):
+        toxic, clean = ([p for s, t, p in got if s == second and t == label] for label in (True, False))
+        assert sum(toxic) >= 0.9 * len(toxic) > 0 and sum(clean) <= 0.05 * len(clean)
+
+
 def test_kth_largest_is_exact(spark):
     rng = np.random.default_rng(1)
     values = np.concatenate([rng.standard_normal(3000), [1e12, -1e12], np.full(500, 0.25)])
