@@ -58,6 +58,15 @@ class Encoder:
         coder = self._any if _RUNS.search(text) else self._single
         return coder.encode(text, allowed_special="all", disallowed_special=())
 
+    def spelling(self) -> list[bytes]:
+        """The bytes of every id; ids that the file leaves out have none."""
+        out = [b""] * self._any.n_vocab
+        for token in self._any.token_byte_values():
+            out[self._any.encode_single_token(token)] = token
+        for token in self._any.special_tokens_set:
+            out[self._any.encode_single_token(token)] = token.encode()
+        return out
+
 
 @lru_cache(maxsize=4)
 def encoder(vocabulary: str) -> Encoder:

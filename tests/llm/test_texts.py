@@ -283,3 +283,14 @@ def test_lm_scores(spark):
     assert (got[1001]["n_tokens"], got[1001]["log_likelihood"], got[1001]["mean_log_probability"]) == (0, 0.0, None)
     assert got[0]["n_tokens"] == 120 and got[None]["n_tokens"] == 3
     assert lm_score.score(empty(spark)).count() == 0
+
+
+def test_lm_scores_tell_words_of_one_ending_apart(spark):
+    rng = random.Random(13)
+    common = [f"{a}{b}" for a in "bcdfghlmnprst" for b in ("a", "e", "i", "o", "u", "an", "en", "in", "on", "ar", "er", "or", "al", "el", "il", "am", "em", "as", "es", "is")]
+    rows = [(i, " ".join(rng.sample(common, 200))) for i in range(60)]
+    same = " ".join(rng.sample(common, 40))
+    rows += [(100 + i, f"{same} station") for i in range(2)] + [(200 + i, f"{same} nation") for i in range(12)]
+    got = {r["doc_id"]: r for r in lm_score.score(frame(spark, rows)).collect()}
+    assert got[100]["n_tokens"] == got[200]["n_tokens"]
+    assert got[200]["log_likelihood"] > got[100]["log_likelihood"] + 1
