@@ -294,3 +294,17 @@ def test_lm_scores_tell_words_of_one_ending_apart(spark):
     got = {r["doc_id"]: r for r in lm_score.score(frame(spark, rows)).collect()}
     assert got[100]["n_tokens"] == got[200]["n_tokens"]
     assert got[200]["log_likelihood"] > got[100]["log_likelihood"] + 1
+
+
+def test_every_window_teaches():
+    texts = [np.arange(i, i + i % 7, dtype=np.uint16) for i in range(200)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(200)), "ids": pa.array([t.tobytes() for t in texts], pa.binary())})
+    classes = np.arange(lm_score.VOCABULARY_IDS) % lm_score.TOKENS
+    flat = lm_score.initial(np.ones(lm_score.TOKENS))
+    taught, n = lm_score.teach(iter([batch]), flat, classes)
+    assert n == sum(map(len, texts)) and not hasattr(lm_score, "STRIDE")
+    # A single window moves the weights, wherever it stands.
+    for at in range(20):
+        one = pa.RecordBatch.from_pydict({"id": list(range(20)), "ids": pa.array([np.array([5], np.uint16).tobytes() if i == at else b"" for i in range(20)], pa.binary())})
+        assert lm_score.teach(iter([one]), flat, classes)[1] == 1
+    assert not np.array_equal(taught, flat)
