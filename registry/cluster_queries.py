@@ -26,7 +26,7 @@ from cohortloom.operators.metrics import (
 )
 from cohortloom.operators.resample import mean_std, run_trials
 from cohortloom.operators.scale import standardize
-from cohortloom.plans.phenotype import kmeans_trials, metrics_against_k, phenotype_job, run_gmm, run_k_means
+from cohortloom.plans.phenotype import DEFAULT_K, kmeans_trials, metrics_against_k, phenotype_job, run_gmm, run_k_means
 from registry.base import query
 from registry.catalog_queries import scratch
 from registry.tables import DIMS, cohort, read, rounded, vectors, vectors_sql
@@ -171,13 +171,13 @@ def gmm_fit(spark, sf):
 
 @query("kmeans_trials", "B6 M2 M3")
 def trials(spark, sf):
-    return kmeans_trials(vectors(spark, sf), COLS, [2, 3], repeats=2)
+    return kmeans_trials(vectors(spark, sf), COLS)
 
 
 @query("driver_parallel_trials", "B6")
 def parallel_trials(spark, sf):
     features = assemble(vectors(spark, sf), COLS).persist()
-    grid = [(k, r) for k in (2, 3) for r in range(2)]
+    grid = [(k, r) for k in DEFAULT_K for r in range(5)]
     models = run_trials(spark, grid, lambda k, r: fit_kmeans(features, k, r))
     costs = [(k, r, float(m.summary.trainingCost)) for (k, r), m in zip(grid, models)]
     return mean_std(spark.createDataFrame(costs, "k int, repeat int, inertia double"), "k", ["inertia"])
@@ -185,12 +185,12 @@ def parallel_trials(spark, sf):
 
 @query("kmeans_sweep", "M11")
 def kmeans_sweep(spark, sf):
-    return run_k_means(vectors(spark, sf), COLS, k_values=[2, 3, 4], repeats=2)
+    return run_k_means(vectors(spark, sf), COLS)
 
 
 @query("gaussian_mixture_sweep", "M12")
 def gmm_sweep(spark, sf):
-    return run_gmm(vectors(spark, sf, 6), COLS[:6], k_values=[2, 3], repeats=2)
+    return run_gmm(vectors(spark, sf), COLS)
 
 
 _SWEEP_METRICS = {"inertia": "l_quantity", "silhouette_score": "l_discount", "bic": "l_tax"}
@@ -216,9 +216,7 @@ def against_k(spark, sf):
 
 @query("phenotype_job", "M14")
 def phenotype(spark, sf):
-    tables = phenotype_job(
-        cohort(spark, sf), "final_score", ["PROFILE", "ORDERS", "EVENTS"], scratch(spark, "phenotype"), sf, k_values=[2, 3], repeats=2
-    )
+    tables = phenotype_job(cohort(spark, sf), "final_score", ["PROFILE", "ORDERS", "EVENTS"], scratch(spark, "phenotype"), sf)
     return tables["k_means"].withColumn("analysis", F.lit("k_means")).unionByName(
         tables["gmm"].withColumn("analysis", F.lit("gmm"))
     )

@@ -189,3 +189,21 @@ def test_sweep_starts_with_repeated_rows(spark):
     df = spark.createDataFrame([([float(i % 3), 0.0],) for i in range(90)], "x array<double>").persist()
     for centres in fit_kmeans_sweep(df, [(3, s) for s in range(5)] + [(5, 1)], 90):
         assert {round(c, 6) for c in centres[:, 0]} == {0.0, 1.0, 2.0}
+
+
+def test_sweep_queries_run_on_all_dimensions_with_default_settings(spark, sf_dir, monkeypatch):
+    from registry import cluster_queries as registered
+
+    seen = {}
+
+    def record(name, result=None):
+        return lambda *args, **options: seen.setdefault(name, (args, options)) and result
+
+    for name in ("run_gmm", "run_k_means", "kmeans_trials"):
+        monkeypatch.setattr(registered, name, record(name))
+    registered.gmm_sweep(spark, sf_dir), registered.kmeans_sweep(spark, sf_dir), registered.trials(spark, sf_dir)
+    assert all(list(args[1]) == registered.COLS and set(registered.COLS) <= set(args[0].columns) and len(args) == 2 and not options for args, options in seen.values())
+    one = spark.createDataFrame([(2,)], "k int")
+    monkeypatch.setattr(registered, "phenotype_job", record("phenotype_job", {"k_means": one, "gmm": one}))
+    registered.phenotype(spark, sf_dir)
+    assert not {"k_values", "repeats"} & set(seen["phenotype_job"][1])
