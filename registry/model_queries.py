@@ -105,7 +105,7 @@ def r2(spark, sf):
 
 def event_pair(spark, sf):
     joined = keyed_join([events(spark, sf), profile(spark, sf).select(KEY, "acctbal")], KEY, "inner")
-    return assign_folds(complete_cases(joined), KEY, 3, seed=1).persist()
+    return assign_folds(complete_cases(joined), KEY, 5, seed=1).persist()
 
 
 X_EVENTS = [f"e_{t}" for t in EVENT_TYPES]
@@ -113,13 +113,13 @@ X_EVENTS = [f"e_{t}" for t in EVENT_TYPES]
 
 @query("boosted_trees_scores", "G4 G6 B3")
 def boosted(spark, sf):
-    models = tree_models(boost_rounds=5)
+    models = tree_models()
     return cross_validate(spark, event_pair(spark, sf), X_EVENTS, "acctbal", "fold", {"HistGBRT": models["HistGBRT"]})
 
 
 @query("random_forest_scores", "G5 G6 B3")
 def forest(spark, sf):
-    models = tree_models(forest_size=10, forest_depth=8)
+    models = tree_models()
     return cross_validate(spark, event_pair(spark, sf), X_EVENTS, "acctbal", "fold", {"Random Forest": models["Random Forest"]})
 
 
@@ -183,8 +183,7 @@ def predictability_matrix(spark, sf):
 
 @query("regression_job", "G11 G10 K3 G4 G5")
 def regression(spark, sf):
-    models = {**linear_models(), **tree_models(boost_rounds=2, forest_size=3, forest_depth=4)}
-    tables = regression_job(cohort(spark, sf), ["PROFILE", "EVENTS"], scratch(spark, "regression"), sf, models)
+    tables = regression_job(cohort(spark, sf), ["PROFILE", "EVENTS"], scratch(spark, "regression"), sf)
     return tables["results"].join(
         tables["counts"].select(F.col("question").alias("question_inst"), F.col("score").alias("score_inst"), "thousands"),
         ["question_inst", "score_inst"],
@@ -307,7 +306,7 @@ def class_lower_bound(spark, sf):
 @query("class_fit", "L1 A9")
 def class_fit(spark, sf):
     df = class_frame(spark, sf).persist()
-    fitted = fit_mixtures(df, KEY, CLASS_D, [3], restarts=2, max_iter=40)
+    fitted = fit_mixtures(df, KEY, CLASS_D, [3], restarts=20)
     labels = assign_classes(df, KEY, fitted.layout, fitted.best()[0])
     return labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
@@ -315,7 +314,7 @@ def class_fit(spark, sf):
 @query("class_fit_restarts", "L2")
 def class_restarts(spark, sf):
     df = class_frame(spark, sf).persist()
-    fitted = fit_mixtures(df, KEY, CLASS_D, [2], restarts=4, max_iter=40)
+    fitted = fit_mixtures(df, KEY, CLASS_D, [2], restarts=20)
     best = max(f.log_likelihood for f in fitted.fits)
     rows = [(f.restart, float(f.log_likelihood), f.iterations, f.log_likelihood == best) for f in fitted.fits]
     return spark.createDataFrame(rows, "restart int, log_likelihood double, iterations int, is_best boolean")
@@ -324,7 +323,7 @@ def class_restarts(spark, sf):
 @query("class_parameters", "L1 K4")
 def class_parameters(spark, sf):
     df = class_frame(spark, sf).persist()
-    fitted = fit_mixtures(df, KEY, CLASS_D, [2], max_iter=40)
+    fitted = fit_mixtures(df, KEY, CLASS_D, [2], restarts=20)
     return parameter_table(spark, fitted.layout, fitted.best()[0])
 
 
@@ -421,18 +420,18 @@ def prepared_kinds(spark, sf):
 @query("class_sweep", "L7 L4 L5 L6")
 def sweep(spark, sf):
     ready = prepare(prepare_cohort(spark, sf), prepare_spec(), prepare_ids(spark, sf))
-    return class_sweep(ready, KEY, [2, 3], repeats=2, restarts=2, max_iter=25)
+    return class_sweep(ready, KEY)
 
 
 @query("optimal_k_job", "L7 K3 A5")
 def optimal_k(spark, sf):
     ready = prepare(prepare_cohort(spark, sf), prepare_spec(), prepare_ids(spark, sf))
-    return optimal_k_job(ready, KEY, scratch(spark, "classes"), sf, [2, 3], repeats=2, restarts=1)
+    return optimal_k_job(ready, KEY, scratch(spark, "classes"), sf)
 
 
 @query("latent_class_job", "L10 K4 L3")
 def latent_job(spark, sf):
     _, labels = latent_class_job(
-        prepare_cohort(spark, sf), prepare_spec(), scratch(spark, "latent"), prepare_ids(spark, sf), n_components=3, max_iter=30
+        prepare_cohort(spark, sf), prepare_spec(), scratch(spark, "latent"), prepare_ids(spark, sf), n_components=3
     )
     return labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))

@@ -263,3 +263,33 @@ def test_latent_class_starts_find_planted_classes(spark):
         fit = fit_mixtures(df, "id", d, [2], restarts=1, max_iter=60, seed=seed).best()[0]
         assert sorted(np.round(fit.p_binary[:, 0], 3)) == [0.0, 1.0], seed
         assert np.allclose(fit.shares, 0.5, atol=1e-3)
+
+
+def test_model_queries_keep_the_default_settings(spark, sf_dir, monkeypatch):
+    from registry import model_queries as registered
+
+    seen = {}
+
+    class Stop(Exception):
+        pass
+
+    def record(name):
+        def call(*args, **options):
+            seen[name] = (args, options)
+            raise Stop
+
+        return call
+
+    for name in ("fit_mixtures", "class_sweep", "optimal_k_job", "latent_class_job", "cross_validate", "regression_job"):
+        monkeypatch.setattr(registered, name, record(name))
+    monkeypatch.setattr(registered, "tree_models", lambda **options: seen.setdefault("tree_models", options) or tree_models())
+    for query in ("class_fit", "class_restarts", "class_parameters", "sweep", "optimal_k", "latent_job", "boosted", "forest", "regression"):
+        with pytest.raises(Stop):
+            getattr(registered, query)(spark, sf_dir)
+        for name in ("fit_mixtures", "class_sweep", "optimal_k_job", "latent_class_job"):
+            args, options = seen.get(name, ((), {}))
+            assert not {"max_iter", "repeats", "k_values"} & set(options) and options.get("restarts", 20) == 20, query
+    assert seen["tree_models"] == {} and len(seen["regression_job"][0]) == 4 and not seen["regression_job"][1]
+    assert len(seen["class_sweep"][0]) == 2 and len(seen["optimal_k_job"][0]) == 4
+    folds = seen["cross_validate"][0][1].select("fold").distinct().count()
+    assert folds == 5
