@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cohortloom.llm.decontaminate import find_leaks
 from cohortloom.llm.exact_dedup import exact_duplicates
 from cohortloom.llm.html_text import extract
+from cohortloom.llm.lexical_search import search
 from cohortloom.llm.lm_score import score as lm_score
 from cohortloom.llm.ngram_join import similar_sets
 from cohortloom.llm.packing import pack
@@ -65,8 +66,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_join, op2_decontamination, op3_exact_dedup, op4_quality, op5_repeated_passages, op6_token_counts, op7_packing, op8_lm_scores, op9_html_text, op10_toxicity)}
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_join, op2_decontamination, op3_exact_dedup, op4_quality, op5_repeated_passages, op6_token_counts, op7_packing, op8_lm_scores, op9_html_text, op10_toxicity, op12_lexical_search)}
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
 _SQUEEZED = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
 
 ORACLES: dict[str, str] = {
@@ -109,4 +116,23 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
     """,
+    "op12_lexical_search": f"""
+        WITH d AS (
+            SELECT doc_id, {_TERMS} AS w FROM documents
+        ), c AS (
+            SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0
+        ), b AS (
+            SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark
+        ), o AS MATERIALIZED (
+            SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS t FROM d)
+            WHERE t IN (SELECT t FROM b) GROUP BY ALL
+        ), v AS (
+            SELECT t, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM o, c GROUP BY t
+        ), s AS (
+            SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+            FROM b JOIN o USING (t) JOIN v USING (t), c GROUP BY item_id, doc_id HAVING score > 0
+        )
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+        FROM s QUALIFY rank <= 10
+    """,
 }
