@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortloom.llm import language
 from cohortloom.llm.decontaminate import find_leaks
 from cohortloom.llm.exact_dedup import exact_duplicates
 from cohortloom.llm.html_text import extract
@@ -15,6 +16,7 @@ from cohortloom.llm.ngram_join import similar_sets
 from cohortloom.llm.packing import pack
 from cohortloom.llm.quality import resample
 from cohortloom.llm.repeated_passages import repeated_passages
+from cohortloom.llm.token_alignment import align
 from cohortloom.llm.tokens import token_counts
 from cohortloom.llm.toxicity import fit, score
 
@@ -66,11 +68,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, _read(spark, sf_dir, "labels")))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(_read(spark, sf_dir, "documents")).documents()
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_join, op2_decontamination, op3_exact_dedup, op4_quality, op5_repeated_passages, op6_token_counts, op7_packing, op8_lm_scores, op9_html_text, op10_toxicity, op12_lexical_search)}
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_join, op2_decontamination, op3_exact_dedup, op4_quality, op5_repeated_passages, op6_token_counts, op7_packing, op8_lm_scores, op9_html_text, op10_toxicity, op11_token_alignment, op12_lexical_search, op13_language)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TERMS = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"

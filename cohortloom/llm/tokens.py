@@ -58,6 +58,10 @@ class Encoder:
         coder = self._any if _RUNS.search(text) else self._single
         return coder.encode(text, allowed_special="all", disallowed_special=())
 
+    def encode_plain(self, text: str) -> list[int]:
+        """Ids where special strings inside the text are ordinary text."""
+        return (self._any if _RUNS.search(text) else self._single).encode_ordinary(text)
+
     def spelling(self) -> list[bytes]:
         """The bytes of every id; ids that the file leaves out have none."""
         out = [b""] * self._any.n_vocab
