@@ -35,7 +35,7 @@ from cohortloom.session import ship_package
 from cohortloom.sources.store import checkpointed
 
 PIECES = "piece_bpe_32k.model"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 PARTITIONS = 64
 FAN_IN = 64
 SLICES_PER_GROUP = 512
@@ -138,12 +138,14 @@ class Aligned:
 
     @classmethod
     def of(cls, texts: list[str | None], both: Sides) -> Aligned:
-        ids = [both.encode(t) for t in texts]
-        a, b = (np.array([i for x in ids for i in x[side]], np.int64) for side in (0, 1))
+        # Lists of Python integers take ten times the room of an array, so each text's are turned at once.
+        ids = [tuple(np.array(side, np.int32) for side in both.encode(t)) for t in texts]
+        a, b = (np.concatenate([x[side] for x in ids]).astype(np.int64) for side in (0, 1))
         # Both sides of a text have the same bytes, so the ends stay comparable over the whole slice.
         end_a, end_b = np.cumsum(both.size_a[a]), np.cumsum(both.size_b[b])
         met_a, met_b = np.isin(end_a, end_b, assume_unique=True), np.isin(end_b, end_a, assume_unique=True)
         n_a, n_b = (np.array([len(x[side]) for x in ids], np.int64) for side in (0, 1))
+        del ids
         doc_of_group = np.repeat(np.arange(len(texts)), n_a)[met_a]
         return cls(a, b, np.cumsum(met_a) - met_a, np.cumsum(met_b) - met_b, n_a, n_b, doc_of_group, len(texts))
 
