@@ -2,7 +2,8 @@
 
 Linear, ridge and lasso need only fold-wise moments: one scan gives the moment
 matrix of every fold, and the training moments of a fold are the total minus
-that fold.  Any other Spark ML estimator is fitted fold by fold.
+that fold.  Boosted trees and forests of all folds grow over shared histograms.
+Any other Spark ML estimator is fitted fold by fold.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ from pyspark.ml import Pipeline
 from pyspark.ml.base import Estimator
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.operators.passes import columns_of, doubles, sum_statistics
 from cohortloom.operators.scale import scaler_moments
+from cohortloom.operators.trees import BoostedTrees, Forest, boosted_scores, forest_scores
 
 SCORE_SCHEMA = "model string, fold int, r2 double"
 
@@ -43,6 +44,9 @@ class Linear:
         return np.linalg.lstsq(sxx, sxy, rcond=None)[0]
 
 
+Model = Linear | BoostedTrees | Forest | Estimator
+
+
 def _coordinate_descent(gram: np.ndarray, corr: np.ndarray, alpha: float, sweeps: int = 10_000) -> np.ndarray:
     """Lasso on the d x d moments: cost does not depend on the rows."""
     beta = np.zeros(len(corr))
@@ -63,19 +67,12 @@ def linear_models() -> dict[str, Linear]:
     return {"Linear": Linear(), "Ridge": Linear("ridge", 1.0), "Lasso": Linear("lasso", 1.0)}
 
 
-def tree_models(seed: int = 1, boost_rounds: int = 100, forest_size: int = 100, forest_depth: int = 30) -> dict[str, Estimator]:
-    """Histogram-based boosted trees and a random forest that considers every column at each split."""
-    return {
-        "HistGBRT": GBTRegressor(
-            maxIter=boost_rounds, stepSize=0.1, maxBins=255, maxDepth=5, minInstancesPerNode=20, seed=seed
-        ),
-        "Random Forest": RandomForestRegressor(
-            numTrees=forest_size, maxDepth=forest_depth, featureSubsetStrategy="all", seed=seed
-        ),
-    }
+def tree_models(seed: int = 1, boost_rounds: int = 100, forest_size: int = 100, forest_depth: int = 30) -> dict[str, BoostedTrees | Forest]:
+    """Leaf-wise histogram boosting and a random forest that considers every column at each split."""
+    return {"HistGBRT": BoostedTrees(rounds=boost_rounds), "Random Forest": Forest(trees=forest_size, max_depth=forest_depth, seed=seed)}
 
 
-def default_models(seed: int = 1) -> dict[str, Linear | Estimator]:
+def default_models(seed: int = 1) -> dict[str, Model]:
     return {**linear_models(), **tree_models(seed)}
 
 
@@ -175,21 +172,32 @@ def score_estimator(
     return scores
 
 
+def score_trees(
+    df: DataFrame, x: Sequence[str], y: str, fold_col: str, name: str, model: BoostedTrees | Forest
+) -> list[tuple[str, int, float]]:
+    """Held-out R² per fold of a tree model. Trees do not see the scale of a column, so none is fitted."""
+    folds = fold_numbers(df, fold_col)
+    scores = boosted_scores if isinstance(model, BoostedTrees) else forest_scores
+    return [(name, f, r2) for f, r2 in zip(folds, scores(df, x, y, fold_col, folds, model), strict=True)]
+
+
 def cross_validate(
     spark: SparkSession,
     df: DataFrame,
     x: Sequence[str],
     y: str,
     fold_col: str,
-    models: Mapping[str, Linear | Estimator],
+    models: Mapping[str, Model],
 ) -> DataFrame:
-    """``model, fold, r2`` for a registry of linear models and Spark ML estimators."""
+    """``model, fold, r2`` for a registry of linear models, tree models and Spark ML estimators."""
     rows: list[tuple[str, int, float]] = []
     linear = {n: m for n, m in models.items() if isinstance(m, Linear)}
     if linear:
         rows += score_linear(df, x, y, fold_col, linear)
     for name, model in models.items():
-        if not isinstance(model, Linear):
+        if isinstance(model, (BoostedTrees, Forest)):
+            rows += score_trees(df, x, y, fold_col, name, model)
+        elif not isinstance(model, Linear):
             rows += score_estimator(df, x, y, fold_col, name, model)
     return spark.createDataFrame(rows, SCORE_SCHEMA)
 

@@ -23,6 +23,7 @@ from cohortloom.operators.mixture import (
 from cohortloom.operators.profile import column_kinds
 from cohortloom.operators.regress import Linear, cross_validate, linear_models, r2_score, score_linear, tree_models
 from cohortloom.operators.resample import assign_folds
+from cohortloom.operators.trees import BoostedTrees, Forest
 from cohortloom.plans.latent import class_sweep, latent_class_job, optimal_k_job
 from cohortloom.plans.predictability import fold_scores, predictability, regression_job
 from cohortloom.plans.prepare import History, PrepareSpec, prepare, prepared_frame
@@ -131,6 +132,57 @@ def registry_scores(spark, sf):
     return cross_validate(spark, event_pair(spark, sf), X_EVENTS, "total_value", "fold", models)
 
 
+# One discrete column: whole trees predict its group means, boosting comes as near to them as its rounds shrink the rest.
+PRICE_SQL = (
+    "pair AS (SELECT o_orderkey AS subject, substr(o_orderpriority, 1, 1)::DOUBLE AS x, o_totalprice::DOUBLE AS y FROM orders),"
+    f" folded AS (SELECT *, {folds_sql('pair', 'subject')} AS fold FROM pair),"
+    " sets AS (SELECT f.fold AS held, p.* FROM (SELECT DISTINCT fold FROM folded) f JOIN folded p ON p.fold <> f.fold),"
+    " train AS (SELECT held AS fold, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, covar_pop(x, y) AS cxy, count(*) AS n FROM sets GROUP BY held),"
+    " means AS (SELECT held AS fold, x, avg(y) AS mean FROM sets GROUP BY held, x)"
+)
+# One minus the part of a residual that a hundred rounds at a rate of a tenth leave.
+_TREE_SHARE = {"HistGBRT": "1 - power(0.9::DOUBLE, 100)", "Random Forest": "1.0"}
+
+
+def _price_scores_sql(model: str, prediction: str) -> str:
+    return (
+        f"SELECT '{model}' AS model, fold::INTEGER AS fold, round(1 - sum(power(y - ({prediction}), 2)) / (var_pop(y) * count(*)), 8) AS r2"
+        " FROM folded JOIN train USING (fold) JOIN means USING (fold, x) GROUP BY fold"
+    )
+
+
+_PRICE_MODELS = {m: _price_scores_sql(m, f"my + ({share}) * (mean - my)") for m, share in _TREE_SHARE.items()}
+_PRICE_MODELS |= {m: _price_scores_sql(m, f"my + ({slope}) * (x - mx)") for m, (_, _, slope) in SLOPES.items()}
+_PRICE_MODELS["Estimator"] = _price_scores_sql("Estimator", f"my + ({SLOPES['Linear'][2]}) * (x - mx)")
+
+
+def prices(spark, sf):
+    df = read(spark, sf, "orders").selectExpr(f"o_orderkey AS {KEY}", "CAST(substring(o_orderpriority, 1, 1) AS DOUBLE) AS x", "CAST(o_totalprice AS DOUBLE) AS y")
+    return assign_folds(df, KEY, 5, seed=1).persist()
+
+
+# No rows are set aside, since SQL sees all of them; unit weights in place of drawn ones.
+WHOLE_TREES = {"HistGBRT": BoostedTrees(early_stop_rows=2**62), "Random Forest": Forest(trees=10, bootstrap=False)}
+
+
+@query("boosted_trees_group_means", "G4 B3", f"WITH {PRICE_SQL} {_PRICE_MODELS['HistGBRT']}")
+def boosted_group_means(spark, sf):
+    return rounded(cross_validate(spark, prices(spark, sf), ["x"], "y", "fold", {"HistGBRT": WHOLE_TREES["HistGBRT"]}), 8, "r2")
+
+
+@query("random_forest_group_means", "G5 B3", f"WITH {PRICE_SQL} {_PRICE_MODELS['Random Forest']}")
+def forest_group_means(spark, sf):
+    return rounded(cross_validate(spark, prices(spark, sf), ["x"], "y", "fold", {"Random Forest": WHOLE_TREES["Random Forest"]}), 8, "r2")
+
+
+@query("model_registry_one_column", "G8 G6 G1 G2 G3 G4 G5", f"WITH {PRICE_SQL} " + " UNION ALL ".join(_PRICE_MODELS.values()))
+def registry_one_column(spark, sf):
+    from pyspark.ml.regression import LinearRegression
+
+    models = {**linear_models(), **WHOLE_TREES, "Estimator": LinearRegression(regParam=0.0, solver="normal")}
+    return rounded(cross_validate(spark, prices(spark, sf), ["x"], "y", "fold", models), 8, "r2")
+
+
 # Predictability over instruments with one question each.
 SINGLE = {"PROFILE": ("nationkey", "acctbal"), "ORDERS": ("p1", "total"), "LINES": ("q_af", "extended")}
 SINGLE_PAIRS = [(x, y) for x in SINGLE for y in SINGLE if x != y]
@@ -183,7 +235,7 @@ def predictability_matrix(spark, sf):
 
 @query("regression_job", "G11 G10 K3 G4 G5")
 def regression(spark, sf):
-    tables = regression_job(cohort(spark, sf), ["PROFILE", "EVENTS"], scratch(spark, "regression"), sf)
+    tables = regression_job(cohort(spark, sf), ["PROFILE", "ORDERS", "LINES", "EVENTS"], scratch(spark, "regression"), sf)
     return tables["results"].join(
         tables["counts"].select(F.col("question").alias("question_inst"), F.col("score").alias("score_inst"), "thousands"),
         ["question_inst", "score_inst"],
