@@ -7,25 +7,25 @@ label column.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.functions.sql import double_array, number
+from cohortloom.functions.sql import double_array
+from cohortloom.operators.silhouette import cluster_names, silhouette
 from cohortloom.session import ship_package
 from cohortloom.sources.store import checkpointed
 
-# Most centroid values ever shipped to the tasks (64 MB of doubles).
-MAX_CENTROID_VALUES = 8_000_000
-# Distinct points per block of the distance computation.
-BLOCK_POINTS = 2048
+# Most centroid values shipped to the tasks (64 MB of doubles), and most sums that a task holds before it passes them on.
+CENTROID_VALUES = 8_000_000
+TASK_SUMS = 4_000_000
+# Clusters of a block where all pairs of clusters are compared.
+BLOCK_CLUSTERS = 512
 
 
 def with_labels(df: DataFrame, *label_cols: str) -> DataFrame:
@@ -36,84 +36,104 @@ def _labelled(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(double_array(cols).alias("x"), "labels")
 
 
-def _sum_by_cluster(df: DataFrame, state: dict, statistics: Callable[..., np.ndarray]) -> dict[tuple[int, int], np.ndarray]:
-    """Sum one vector per (trial, cluster) over all rows, in one scan for all trials.
+def _cluster_sums(frame: DataFrame, statistics: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Sum one vector per (trial, cluster) over all rows, in one scan for all trials: trial, label, sums.
 
-    ``statistics(x, trial, members, index, state)`` gets the points of a batch, the labels present and each
-    point's position among them, and returns one row per label.  Tasks ship one vector per cluster.
+    ``statistics(x, names, members, index)`` gets the points of a batch, the clusters present in a trial and each point's place
+    among them, and returns one row per cluster. A task sends a row per cluster and passes them on before they are too
+    many; equal clusters are added as they arrive, so no cluster and no list of clusters is ever held as a whole.
     """
-    spark = df.sparkSession
-    ship_package(spark)
-    shared = spark.sparkContext.broadcast(state)
+    ship_package(frame.sparkSession)
 
-    def partial(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        acc: dict[tuple[int, int], np.ndarray] = {}
+    def rows(names: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        offsets = pa.array(np.arange(0, sums.size + 1, sums.shape[1]), pa.int32())
+        arrays = [pa.array(names), pa.ListArray.from_arrays(offsets, pa.array(sums.ravel()))]
+        return pa.RecordBatch.from_arrays(arrays, names=["name", "sums"])
+
+    def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc: dict[int, np.ndarray] = {}
+        held = 0
         for b in batches:
             if b.num_rows == 0:
                 continue
             x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            labels = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            for trial in range(labels.shape[1]):
-                members, index = np.unique(labels[:, trial], return_inverse=True)
-                for label, row in zip(members, statistics(x, trial, members, index, shared.value)):
-                    at = (trial, int(label))
-                    acc[at] = acc[at] + row if at in acc else row
-        for (trial, label), row in acc.items():
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "trial": pa.array(np.full(len(row), trial), pa.int32()),
-                    "label": pa.array(np.full(len(row), label), pa.int32()),
-                    "slot": pa.array(np.arange(len(row)), pa.int32()),
-                    "value": row,
-                }
-            )
-
-    table = (
-        df.mapInArrow(partial, "trial int, label int, slot int, value double")
-        .groupBy("trial", "label", "slot")
-        .agg(F.sum("value").alias("value"))
-        .toArrow()
-    )
-    shared.unpersist()
-    out: dict[tuple[int, int], np.ndarray] = {}
-    columns = [table[c].to_numpy() for c in ("trial", "label", "slot", "value")]
-    width = int(columns[2].max()) + 1 if table.num_rows else 0
-    for trial, label, slot, value in zip(*columns):
-        out.setdefault((int(trial), int(label)), np.zeros(width))[slot] = value
-    return dict(sorted(out.items()))
-
-
-def _counts_and_sums(x: np.ndarray, trial: int, members: np.ndarray, index: np.ndarray, state: dict) -> np.ndarray:
-    hot = np.zeros((len(members), len(x)))
-    hot[index, np.arange(len(x))] = 1.0
-    return np.column_stack([hot.sum(1), hot @ x])
-
-
-def _spreads(x: np.ndarray, trial: int, members: np.ndarray, index: np.ndarray, state: dict) -> np.ndarray:
-    centroids = np.stack([state[(trial, int(label))] for label in members])
-    squares = ((x - centroids[index]) ** 2).sum(1)
-    return np.column_stack([np.bincount(index, squares, len(members)), np.bincount(index, np.sqrt(squares), len(members))])
+            every = cluster_names(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
+            for trial in range(every.shape[1]):
+                members, index = np.unique(every[:, trial], return_inverse=True)
+                for name, row in zip(members.tolist(), statistics(x, members, index), strict=True):
+                    if name in acc:
+                        acc[name] += row
+                    else:
+                        acc[name] = row.copy()
+                        held += len(row)
+            if held > TASK_SUMS:
+                yield rows(np.array(list(acc), np.int64), np.stack(list(acc.values())))
+                acc, held = {}, 0
+        if acc:
+            yield rows(np.array(list(acc), np.int64), np.stack(list(acc.values())))
+
+    def added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, total = None, None
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            names, sums = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
+            first = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+            own, sums = names[first], np.add.reduceat(sums, first, axis=0)
+            if name == own[0]:
+                sums[0] += total
+            elif name is not None:
+                yield rows(np.array([name]), total[None])
+            if len(own) > 1:
+                yield rows(own[:-1], sums[:-1])
+            name, total = int(own[-1]), sums[-1].copy()
+        if name is not None:
+            yield rows(np.array([name]), total[None])
+
+    schema = "name long, sums array<double>"
+    summed = frame.mapInArrow(partial, schema).repartition("name").sortWithinPartitions("name").mapInArrow(added, schema)
+    return summed.selectExpr("CAST(name >> 32 AS INT) AS trial", "CAST(CASE WHEN name & 4294967295 >= 2147483648 THEN (name & 4294967295) - 4294967296 ELSE name & 4294967295 END AS INT) AS label", "sums")
+
+
+def _counts_and_sums(x: np.ndarray, members: np.ndarray, index: np.ndarray) -> np.ndarray:
+    order = np.argsort(index, kind="stable")
+    first = np.searchsorted(index[order], np.arange(len(members)))
+    return np.column_stack([np.bincount(index, minlength=len(members)), np.add.reduceat(x[order], first, axis=0)])
 
 
 def cluster_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Per trial and cluster: size, centroid, within sum of squares and mean distance to the centroid.
 
-    Two scans serve all trials: the first gives the centroids, the second the spreads around them.
+    Two scans serve all trials: the first gives the centroids, the second the spreads around them. Centroids go to the tasks
+    where there are at most ``CENTROID_VALUES`` numbers of them; else rows and centroids meet by their cluster.
     """
     frame = _labelled(df, cols)
-    first = _sum_by_cluster(frame, {}, _counts_and_sums)
-    if len(first) * len(cols) > MAX_CENTROID_VALUES:
-        raise ValueError(f"{len(first)} clusters of {len(cols)} columns: labels must name clusters, not rows")
-    centroids = {at: v[1:] / v[0] for at, v in first.items()}
-    second = _sum_by_cluster(frame, centroids, _spreads)
-    rows = [
-        (trial, label, int(v[0]), centroids[(trial, label)].tolist(), float(second[(trial, label)][0]),
-         float(second[(trial, label)][1] / v[0]))
-        for (trial, label), v in first.items()
-    ]
-    return df.sparkSession.createDataFrame(
-        rows, "trial int, label int, n bigint, centroid array<double>, within double, scatter double"
-    )
+    sums = _cluster_sums(frame, _counts_and_sums)
+    centroids = checkpointed(sums.selectExpr("trial", "label", "CAST(sums[0] AS BIGINT) AS n", "transform(slice(sums, 2, size(sums) - 1), v -> v / sums[0]) AS centroid"))
+    if centroids.count() * len(cols) <= CENTROID_VALUES:
+        spreads = _spreads_by_task(frame, centroids)
+    else:
+        rows = frame.select("x", F.posexplode("labels").alias("trial", "label")).join(centroids.select("trial", "label", "centroid"), ["trial", "label"])
+        squares = rows.select("trial", "label", _squared_norm(_difference(F.col("x"), F.col("centroid"))).alias("s"))
+        spreads = squares.groupBy("trial", "label").agg(F.sum("s").alias("within"), F.sum(F.sqrt("s")).alias("far"))
+    joined = centroids.join(spreads, ["trial", "label"])
+    return joined.select("trial", "label", "n", "centroid", "within", (F.col("far") / F.col("n")).alias("scatter"))
+
+
+def _spreads_by_task(frame: DataFrame, centroids: DataFrame) -> DataFrame:
+    """within, far (sum of distances) per cluster, with the centroids in every task."""
+    table = centroids.toArrow()
+    names = (table["trial"].to_numpy().astype(np.int64) << 32) | (table["label"].to_numpy().astype(np.int64) & 0xFFFFFFFF)
+    order = np.argsort(names)
+    values = table["centroid"].combine_chunks().flatten().to_numpy().reshape(len(names), -1)[order] if len(names) else np.zeros((0, 0))
+    shared = frame.sparkSession.sparkContext.broadcast((names[order], values))
+
+    def spreads(x: np.ndarray, members: np.ndarray, index: np.ndarray) -> np.ndarray:
+        known, values = shared.value
+        squares = ((x - values[np.searchsorted(known, members)][index]) ** 2).sum(1)
+        return np.column_stack([np.bincount(index, squares, len(members)), np.bincount(index, np.sqrt(squares), len(members))])
+
+    return _cluster_sums(frame, spreads).selectExpr("trial", "label", "sums[0] AS within", "sums[1] AS far")
 
 
 def _squared_norm(vector: Column) -> Column:
@@ -148,120 +168,36 @@ def calinski_harabasz(moments: DataFrame) -> DataFrame:
 
 
 def davies_bouldin(moments: DataFrame) -> DataFrame:
-    """Mean over clusters of the worst (scatter + scatter) / centroid distance, from the cluster moments."""
-    # One entry per cluster: bounded by k, never by the data.
-    clusters = moments.groupBy("trial").agg(F.collect_list(F.struct("label", "scatter", "centroid")).alias("cs"))
-
-    def worst(a: Column) -> Column:
-        others = F.filter(F.col("cs"), lambda b: b["label"] != a["label"])
-        ratios = F.transform(
-            others,
-            lambda b: F.try_divide(
-                a["scatter"] + b["scatter"], F.sqrt(_squared_norm(_difference(a["centroid"], b["centroid"])))
-            ),
-        )
-        return F.coalesce(F.array_max(ratios), F.lit(0.0))
-
-    per_cluster = F.transform(F.col("cs"), worst)
-    total = F.aggregate(per_cluster, F.lit(0.0), lambda a, x: a + x)
-    return clusters.select("trial", (total / F.size("cs")).alias("davies_bouldin_score"))
-
-
-def _block_distances(offsets: list[int]):
-    """Per block pair: distance sums from every point of one block to the clusters of the other."""
-    width = offsets[-1]
-    starts = np.array(offsets[:-1])
-
-    def one_hot(pdf: pd.DataFrame) -> np.ndarray:
-        labels = np.stack(pdf["codes"].to_numpy()) + starts
-        out = np.zeros((len(pdf), width))
-        np.put_along_axis(out, labels, pdf["w"].to_numpy(float)[:, None].repeat(labels.shape[1], 1), axis=1)
-        return out
-
-    def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        centre = a.mean(axis=0)
-        a, b = a - centre, b - centre
-        sq = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-        return np.sqrt(np.maximum(sq, 0.0))
-
-    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = key
-        a, b = pdf[pdf["block"] == lo], pdf[pdf["block"] == hi]
-        xa = np.stack(a["x"].to_numpy())
-        if lo == hi:
-            d = distances(xa, xa)
-            np.fill_diagonal(d, 0.0)
-            return pd.DataFrame({"id": a["id"], "sums": list(d @ one_hot(a))})
-        if len(a) == 0 or len(b) == 0:
-            return pd.DataFrame({"id": np.empty(0, np.int64), "sums": []})
-        d = distances(xa, np.stack(b["x"].to_numpy()))
-        return pd.DataFrame(
-            {"id": pd.concat([a["id"], b["id"]]), "sums": [*(d @ one_hot(b)), *(d.T @ one_hot(a))]}
-        )
-
-    return work
-
-
-def silhouette(df: DataFrame, cols: Sequence[str], block_points: int = BLOCK_POINTS) -> DataFrame:
-    """Exact mean Euclidean silhouette per trial, over all rows.
-
-    The value needs each point's distance to every other point, so the arithmetic
-    is quadratic in the number of *distinct* points; the plan keeps everything else small:
-
-    * identical rows (same point, same labels) are merged into one weighted point;
-    * points are hashed into blocks and each unordered pair of blocks is one
-      group of at most two blocks, so no group grows with the data and no pair of points is ever a row;
-    * all trials share the distances, which leave a task only as one sum per
-      cluster, and the sums are added per point.
+    """Mean over clusters of the worst (scatter + scatter) / centroid distance, from the cluster moments.
+
+    Every cluster is held against every other of its trial: clusters are dealt into blocks of ``BLOCK_CLUSTERS``, and pairs of
+    blocks are bounded groups.
     """
-    ship_package(df.sparkSession)
-    points = df.select(double_array(cols).alias("x"), "labels").groupBy("x", "labels").agg(F.count(F.lit(1)).alias("w"))
-    points = checkpointed(points.withColumn("id", F.monotonically_increasing_id()))
-    # Labels to dense codes: at most k entries per trial.
-    sizes = points.select("w", F.posexplode("labels").alias("trial", "label")).groupBy("trial", "label").agg(
-        F.sum("w").alias("n")
-    )
-    rows = sorted((r["trial"], r["label"], r["n"]) for r in sizes.collect())
-    n_trials = 1 + max(t for t, _, _ in rows)
-    per_trial = [[(lab, n) for t, lab, n in rows if t == trial] for trial in range(n_trials)]
-    offsets = [0]
-    for members in per_trial:
-        offsets.append(offsets[-1] + len(members))
-    labels_of = ", ".join(f"array({', '.join(str(lab) for lab, _ in members)})" for members in per_trial)
-    codes = F.expr(f"zip_with(labels, array({labels_of}), (lab, known) -> CAST(array_position(known, lab) - 1 AS INT))")
-    n_points = points.count()
-    n_blocks = max(1, math.ceil(n_points / block_points))
-    blocked = points.select(
-        "id", "x", "w", codes.alias("codes"), F.pmod(F.col("id"), F.lit(n_blocks)).cast("int").alias("block")
-    )
-    other = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    paired = blocked.withColumn("_o", other).select(
-        F.least("block", "_o").alias("lo"), F.greatest("block", "_o").alias("hi"), "id", "block", "x", "w", "codes"
-    )
-    sums = paired.groupBy("lo", "hi").applyInPandas(
-        _block_distances(offsets), "id bigint, sums array<double>"
-    )
-    totals = sums.groupBy("id").agg(F.expr(f"array({', '.join(f'sum(sums[{i}])' for i in range(offsets[-1]))}) AS sums"))
-    counts = f"array({', '.join(number(n) for members in per_trial for _, n in members)})"
-    spans = ", ".join(f"named_struct('lo', {lo}, 'hi', {hi - 1})" for lo, hi in zip(offsets, offsets[1:]))
-    parts = blocked.join(totals, "id").selectExpr(
-        "w",
-        "sums",
-        f"{counts} AS counts",
-        f"zip_with(codes, array({spans}), (c, s) -> named_struct('own', c + s.lo, 'lo', s.lo, 'hi', s.hi)) AS spans",
-    )
-    # Mean distance to the own cluster without the point itself, and to the nearest other cluster.
-    inner_outer = parts.selectExpr(
-        "w",
-        "transform(spans, s -> named_struct('n', counts[s.own], 'a', try_divide(sums[s.own], counts[s.own] - 1),"
-        " 'b', array_min(transform(filter(sequence(s.lo, s.hi), j -> j <> s.own), j -> sums[j] / counts[j])))) AS ab",
-    )
-    values = inner_outer.selectExpr(
-        "w",
-        "posexplode(transform(ab, v -> CASE WHEN v.n <= 1 OR greatest(v.a, v.b) = 0 THEN 0.0D"
-        " ELSE try_divide(v.b - v.a, greatest(v.a, v.b)) END)) AS (trial, value)",
-    )
-    return values.groupBy("trial").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("silhouette_score"))
+    ship_package(moments.sparkSession)
+    block = F.pmod(F.xxhash64("label"), F.col("blocks"))
+    sizes = moments.groupBy("trial").agg(F.count(F.lit(1)).alias("k")).select("trial", "k", F.ceil(F.col("k") / BLOCK_CLUSTERS).alias("blocks"))
+    dealt = moments.select("trial", "label", "scatter", "centroid").join(sizes, "trial").withColumn("block", block)
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    paired = other.select("trial", "label", "scatter", "centroid", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    worst = paired.groupBy("trial", "low", "high").applyInArrow(_worst_ratios, "trial int, label int, worst double")
+    per_cluster = worst.groupBy("trial", "label").agg(F.max("worst").alias("worst"))
+    return per_cluster.groupBy("trial").agg(F.avg("worst").alias("davies_bouldin_score"))
+
+
+def _worst_ratios(key: tuple, table: pa.Table) -> pa.Table:
+    """Worst ratio of every cluster of two blocks to those of the other one; 0 where there is none."""
+    low, high = key[1].as_py(), key[2].as_py()
+    x = table["centroid"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+    scatter, block = table["scatter"].to_numpy(), table["block"].to_numpy()
+    sides = [np.flatnonzero(block == low), np.flatnonzero(block == high)]
+    worst = np.zeros(table.num_rows)
+    for own, far in ((sides[0], sides[1]), (sides[1], sides[0])):
+        for i in own:
+            gap = np.sqrt(((x[far] - x[i]) ** 2).sum(1))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ratio = np.where((far != i) & (gap > 0), (scatter[far] + scatter[i]) / gap, 0.0)
+            worst[i] = max(worst[i], ratio.max(initial=0.0))
+    return pa.table({"trial": table["trial"], "label": table["label"], "worst": worst})
 
 
 def silhouette_squared(df: DataFrame, cols: Sequence[str], moments: DataFrame) -> DataFrame:
@@ -293,8 +229,8 @@ def silhouette_squared(df: DataFrame, cols: Sequence[str], moments: DataFrame) -
 
 def partition_scores(df: DataFrame, cols: Sequence[str], with_inertia: bool = True) -> DataFrame:
     """All label-based scores of every trial: one row per trial."""
-    moments = cluster_moments(df, cols)
-    out = silhouette(df, cols).join(davies_bouldin(moments), "trial")
+    moments = checkpointed(cluster_moments(df, cols))
+    out = silhouette(df, cols, moments=moments).join(davies_bouldin(moments), "trial")
     out = out.join(calinski_harabasz(moments), "trial")
     return out.join(inertia(moments), "trial") if with_inertia else out
 

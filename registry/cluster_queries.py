@@ -97,7 +97,8 @@ def _silhouette_sql(distance: str, name: str) -> str:
 
 @query("silhouette", "M8", _silhouette_sql(DIST, "silhouette_score"))
 def silhouette_score(spark, sf):
-    return rounded(silhouette(labelled(spark, sf), COLS), 8, "silhouette_score")
+    df = labelled(spark, sf)
+    return rounded(silhouette(df, COLS, moments=cluster_moments(df, COLS)), 8, "silhouette_score")
 
 
 @query("silhouette_squared", "M8", _silhouette_sql(f"power({DIST}, 2)", "silhouette_squared"))

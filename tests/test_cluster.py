@@ -207,3 +207,69 @@ def test_sweep_queries_run_on_all_dimensions_with_default_settings(spark, sf_dir
     monkeypatch.setattr(registered, "phenotype_job", record("phenotype_job", {"k_means": one, "gmm": one}))
     registered.phenotype(spark, sf_dir)
     assert not {"k_values", "repeats"} & set(seen["phenotype_job"][1])
+
+
+def test_far_clusters_do_not_meet(spark, monkeypatch):
+    """With bounds a block of points needs its own and the nearest clusters only; the score is the same."""
+    from cohortloom.operators import silhouette as sil
+
+    rng = np.random.default_rng(8)
+    lab = np.repeat(np.arange(-3, 9), 30)
+    x = np.column_stack([lab * 40.0, rng.normal(size=len(lab))]) + rng.normal(size=(len(lab), 2))
+    df = frame(spark, x, lab).repartition(3)
+    moments = cluster_moments(df, COLS)
+    bounds = sil.bounds_of(moments)
+    names = sil.cluster_names(lab[:, None])
+    needed = bounds.needed(x[lab == 2], names[lab == 2])
+    assert 2 <= len(needed) <= 3
+    met = []
+    monkeypatch.setattr(sil, "SUPER_BLOCKS", 1)
+    real = sil._blocks
+    monkeypatch.setattr(sil, "_blocks", lambda *a: met.append(real(*a)) or met[-1])
+    with_bounds = sil.silhouette(df, COLS, 10, moments).first()["silhouette_score"]
+    assert with_bounds == pytest.approx(brute_silhouette(x, lab), abs=1e-9)
+    assert sil.silhouette(df, COLS, 10).first()["silhouette_score"] == pytest.approx(with_bounds, abs=1e-12)
+    pruned = [len(r["needed"]) for r in met[0].select("needed").collect()]
+    assert max(pruned) <= 6 and len(pruned) > 20
+    monkeypatch.setattr(sil, "BOUND_VALUES", 0)
+    assert sil.bounds_of(moments) is None
+
+
+def test_moments_where_labels_are_many(spark, blobs, monkeypatch):
+    """The same moments when centroids meet the rows by their cluster, in tasks that pass sums on early, and in small blocks of clusters."""
+    from cohortloom.operators import metrics
+
+    x, truth = blobs
+    df = frame(spark, x, truth - 1, np.arange(len(x)) // 2, np.zeros(len(x), int)).repartition(3)
+    usual = {(r["trial"], r["label"]): r for r in cluster_moments(df, COLS).collect()}
+    ratios = {r["trial"]: r["davies_bouldin_score"] for r in davies_bouldin(cluster_moments(df, COLS)).collect()}
+    for name, value in (("CENTROID_VALUES", 0), ("TASK_SUMS", 5), ("BLOCK_CLUSTERS", 3)):
+        monkeypatch.setattr(metrics, name, value)
+    moments = cluster_moments(df, COLS)
+    for r in moments.collect():
+        want = usual.pop((r["trial"], r["label"]))
+        assert r["n"] == want["n"] and r["centroid"] == pytest.approx(want["centroid"])
+        assert (r["within"], r["scatter"]) == pytest.approx((want["within"], want["scatter"]))
+    assert not usual
+    assert {r["trial"]: r["davies_bouldin_score"] for r in davies_bouldin(moments).collect()} == pytest.approx(ratios)
+    assert ratios[0] == pytest.approx(brute_davies(x, truth)) and ratios[2] == 0.0
+    scores = {r["trial"]: r["silhouette_score"] for r in silhouette(df, COLS, moments=moments).collect()}
+    assert scores[2] is None and scores[1] == pytest.approx(brute_silhouette(x, np.arange(len(x)) // 2), abs=1e-9)
+
+
+def test_sums_travel_as_chunks(spark, monkeypatch):
+    from cohortloom.operators import passes
+
+    monkeypatch.setattr(passes, "CHUNK", 5)
+    df = points(spark.range(40).selectExpr("CAST(id AS DOUBLE) AS a", "CAST(id % 3 AS DOUBLE) AS b").repartition(4), ["a", "b"])
+
+    def statistics(batch, state):
+        x = passes.columns_of(batch)
+        sparse = np.zeros(23)
+        sparse[7], sparse[22] = len(x), x[:, 0].sum()
+        return [x.sum(0) * state, sparse]
+
+    for tasks in (None, 4):
+        got = passes.sum_statistics(df, 2.0, statistics, [2, 23], tasks)
+        assert got[0].tolist() == [1560.0, 78.0] and got[1][7] == 40 and got[1][22] == 780 and np.count_nonzero(got[1]) == 2
+    assert [(n, p is None) for n, p, _ in passes.chunked(np.r_[np.zeros(5), 1.0, np.zeros(4), np.ones(3)], 5)] == [(1, False), (2, True)]
