@@ -70,16 +70,39 @@ class GaussianParams:
         )
 
 
-def _component_log_density(x: np.ndarray, p: GaussianParams) -> np.ndarray:
+@dataclass(frozen=True)
+class Whitened:
+    """A mixture as tasks use it: covariances factored once, on the driver. ``axes`` is columns x (components * columns)."""
+
+    axes: np.ndarray
+    centres: np.ndarray
+    constants: np.ndarray
+
+    @classmethod
+    def of(cls, p: GaussianParams) -> Whitened:
+        k, d = p.means.shape
+        values, vectors = np.linalg.eigh(p.covariances)
+        keep = values > np.finfo(float).eps * d * values.max(axis=1, keepdims=True)
+        kept = np.where(keep, values, 1.0)
+        axes = np.where(keep[:, None, :], vectors / np.sqrt(kept)[:, None, :], 0.0)
+        norm = np.log(kept).sum(1) + d * np.log(2.0 * np.pi)
+        centres = np.einsum("kd,kde->ke", p.means, axes)
+        return cls(axes.transpose(1, 0, 2).reshape(d, k * d), centres, np.log(np.maximum(p.weights, 1e-300)) - 0.5 * norm)
+
+
+# Numbers that the densities of a batch hold at once (32 MB).
+_DENSITY_VALUES = 4_000_000
+
+
+def _component_log_density(x: np.ndarray, p: Whitened) -> np.ndarray:
     """Rows x components: log of weight times density."""
+    k, d = p.centres.shape
+    step = max(1, _DENSITY_VALUES // (k * d))
     parts = []
-    for w, mean, cov in zip(p.weights, p.means, p.covariances):
-        values, vectors = np.linalg.eigh(cov)
-        keep = values > np.finfo(float).eps * len(values) * values.max()
-        y = ((x - mean) @ vectors[:, keep]) / np.sqrt(values[keep])
-        norm = np.log(values[keep]).sum() + len(mean) * np.log(2.0 * np.pi)
-        parts.append(np.log(max(w, 1e-300)) - 0.5 * (norm + (y * y).sum(1)))
-    return np.stack(parts, axis=1)
+    for low in range(0, len(x), step):
+        y = (x[low : low + step] @ p.axes).reshape(-1, k, d) - p.centres
+        parts.append(p.constants - 0.5 * np.einsum("nkd,nkd->nk", y, y))
+    return np.concatenate(parts)
 
 
 def _log_sum_exp(a: np.ndarray) -> np.ndarray:
@@ -87,14 +110,14 @@ def _log_sum_exp(a: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(a - top[:, None]).sum(axis=1))
 
 
-def _likelihoods(batch: pa.RecordBatch, params: Sequence[GaussianParams]) -> list[np.ndarray]:
+def _likelihoods(batch: pa.RecordBatch, params: Sequence[Whitened]) -> list[np.ndarray]:
     x = columns_of(batch)
     return [np.array([_log_sum_exp(_component_log_density(x, p)).sum(), len(x)]) for p in params]
 
 
 def mixture_log_likelihoods(df: DataFrame, cols: Sequence[str], params: Sequence[GaussianParams]) -> DataFrame:
     """``trial, log_likelihood`` (total) and ``n`` of every mixture, all from one scan."""
-    sums = sum_statistics(points(df, cols), list(params), _likelihoods, [2] * len(params))
+    sums = sum_statistics(points(df, cols), [Whitened.of(p) for p in params], _likelihoods, [2] * len(params))
     return df.sparkSession.createDataFrame(
         [(i, float(ll), int(n)) for i, (ll, n) in enumerate(sums)], "trial int, log_likelihood double, n bigint"
     )
@@ -283,7 +306,9 @@ def fit_kmeans_sweep(
 
 
 def _gaussian_statistics(resp: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
-    outer = [((x * resp[:, c : c + 1]).T @ x).ravel() for c in range(resp.shape[1])]
+    # Second moments are symmetric: half of them travel.
+    upper = np.triu_indices(x.shape[1])
+    outer = [((x * resp[:, c : c + 1]).T @ x)[upper] for c in range(resp.shape[1])]
     return [resp.sum(0), (resp.T @ x).ravel(), *outer]
 
 
@@ -296,7 +321,7 @@ def _hard_statistics(batch: pa.RecordBatch, fits: Sequence[np.ndarray]) -> list[
     return out
 
 
-def _soft_statistics(batch: pa.RecordBatch, fits: Sequence[GaussianParams]) -> list[np.ndarray]:
+def _soft_statistics(batch: pa.RecordBatch, fits: Sequence[Whitened]) -> list[np.ndarray]:
     x = columns_of(batch)
     out = []
     for p in fits:
@@ -309,7 +334,8 @@ def _soft_statistics(batch: pa.RecordBatch, fits: Sequence[GaussianParams]) -> l
 def _gaussian_update(flat: np.ndarray, k: int, d: int) -> GaussianParams:
     n = flat[1 : 1 + k] + 10.0 * np.finfo(float).eps
     means = flat[1 + k : 1 + k + k * d].reshape(k, d) / n[:, None]
-    second = flat[1 + k + k * d :].reshape(k, d, d) / n[:, None, None]
+    upper, second = np.triu_indices(d), np.zeros((k, d, d))
+    second[:, upper[0], upper[1]] = second[:, upper[1], upper[0]] = flat[1 + k + k * d :].reshape(k, -1) / n[:, None]
     cov = second - means[:, :, None] * means[:, None, :] + COVARIANCE_FLOOR * np.eye(d)
     return GaussianParams(n / n.sum(), means, cov)
 
@@ -327,7 +353,7 @@ def fit_gaussian_mixture_sweep(
     """
     starts = fit_kmeans_sweep(x, grid, n_rows)
     d = starts[0].shape[1]
-    sizes = [1 + k * (1 + d + d * d) for k, _ in grid]
+    sizes = [1 + k * (1 + d + d * (d + 1) // 2) for k, _ in grid]
     fits: list[GaussianParams] = [None] * len(grid)
     for group in batched_by_size(starts, sizes):
         stats = sum_statistics(x, [starts[i] for i in group], _hard_statistics, [sizes[i] for i in group])
@@ -339,7 +365,7 @@ def fit_gaussian_mixture_sweep(
         moving = []
         for group in batched_by_size(running, [sizes[i] for i in running]):
             members = [running[g] for g in group]
-            stats = sum_statistics(x, [fits[i] for i in members], _soft_statistics, [sizes[i] for i in members])
+            stats = sum_statistics(x, [Whitened.of(fits[i]) for i in members], _soft_statistics, [sizes[i] for i in members])
             for i, flat in zip(members, stats):
                 fits[i] = _gaussian_update(flat, grid[i][0], d)
                 mean_ll = flat[0] / n_rows
@@ -356,18 +382,18 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return _squared_distances(x, centres).argmin(1)
 
 
-def _likeliest(x: np.ndarray, p: GaussianParams) -> np.ndarray:
+def _likeliest(x: np.ndarray, p: Whitened) -> np.ndarray:
     return _component_log_density(x, p).argmax(1)
 
 
 def label_sweep(df: DataFrame, cols: Sequence[str], fits: Sequence[np.ndarray | GaussianParams]) -> DataFrame:
     """The columns with ``labels``: the hard assignment under every fit, from one scan."""
     ship_package(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(list(fits))
+    shared = df.sparkSession.sparkContext.broadcast([Whitened.of(f) if isinstance(f, GaussianParams) else f for f in fits])
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         rules: list[tuple[Callable, object]] = [
-            (_likeliest if isinstance(f, GaussianParams) else _nearest, f) for f in shared.value
+            (_likeliest if isinstance(f, Whitened) else _nearest, f) for f in shared.value
         ]
         for b in batches:
             if b.num_rows == 0:
