@@ -41,7 +41,7 @@ def within(df: DataFrame, ranges: Mapping[str, tuple[float, float]], below: Mapp
     there = present(df, [*ranges, *below])
     conditions = [f"{there[c]} AND {quoted(c)} BETWEEN {lo} AND {hi}" for c, (lo, hi) in ranges.items()]
     conditions += [f"{there[c]} AND {quoted(c)} < {limit}" for c, limit in below.items()]
-    return df.filter(" AND ".join(conditions))
+    return df.filter(" AND ".join(conditions)) if conditions else df
 
 
 def complete_cases(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -2,13 +2,17 @@
 
 Expectation-maximization runs as one Spark job per iteration for *all* fits
 still running (every k, repeat and restart): tasks score their rows under
-every fit and add the sufficient statistics up, Spark sums them by slot, and the
+every fit and add the sufficient statistics up, Spark sums them, and the
 driver sees only as many numbers as the models have parameters.
+
+Two steps of a fit show where its path leads, so every third scan tries a point further along it (squared extrapolation). A try that
+lowers the likelihood is dropped and the fit goes on from where the two steps ended, so the likelihood never falls.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import math
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -333,6 +337,87 @@ def _by_share(f: MixtureFit) -> MixtureFit:
     )
 
 
+class _Path:
+    """One fit on its way: plain steps, and after every second one a try further along (Varadhan and Roland 2008, scheme S3)."""
+
+    def __init__(self, layout: _Layout, start: MixtureFit, tol: float, accelerate: bool):
+        self.layout, self.current, self.tol, self.accelerate = layout, start, tol, accelerate
+        self.known: MixtureFit | None = None
+        self.slow: np.ndarray | None = None
+        self.steps: list[MixtureFit] = []
+        self.ahead: MixtureFit | None = None
+        self.done = False
+        self.scans = 0
+
+    def take(self, s: dict[str, np.ndarray]) -> None:
+        """Statistics of the current parameters arrive: accept them and go on, or go back."""
+        ll, n, last = float(s["ll"][0]), s["n"].sum(), self.known
+        self.scans += 1
+        falls = last is not None and not ll >= last.log_likelihood - 1e-9 * abs(last.log_likelihood)
+        if self.ahead is not None:
+            resume, self.ahead = self.ahead, None
+            if falls:
+                # The try went too far: on from the end of the two steps.
+                self.current, self.steps = resume, []
+                return
+            self.steps = []
+        elif falls:
+            if self.slow is None:
+                self.known, self.done = replace(last, converged=True), True
+            else:
+                self.current, self.slow = replace(self.current, beta=self.slow), None
+            return
+        elif last is not None and (ll - last.log_likelihood) / n < self.tol:
+            self.known, self.done = self._accepted(ll, True), True
+            return
+        self.known = self._accepted(ll, False)
+        moved, self.slow = _maximize(self.layout, self.known, s)
+        self.steps.append(self.known)
+        if self.accelerate and len(self.steps) == 2:
+            further = _further(self.steps[0], self.steps[1], moved, self.layout)
+            if further is not None:
+                self.ahead, self.current, self.slow = moved, further, None
+                return
+            self.steps = []
+        self.current = moved
+
+    def _accepted(self, ll: float, converged: bool) -> MixtureFit:
+        trace = self.known.trace if self.known is not None else ()
+        return replace(self.current, log_likelihood=ll, iterations=self.scans, trace=(*trace, ll), converged=converged)
+
+
+def _flat(fit: MixtureFit) -> np.ndarray:
+    """Parameters as one vector: probabilities as they are, means in standard deviations, variances as logarithms."""
+    return np.concatenate([v.ravel() for v in (fit.p_binary, fit.mean, np.log(fit.variance), fit.p_levels, fit.beta)])
+
+
+def _further(a: MixtureFit, b: MixtureFit, c: MixtureFit, layout: _Layout) -> MixtureFit | None:
+    """The point that squared extrapolation of the steps a to b to c leads to; none where they do not reach beyond c."""
+    unit = np.sqrt(np.maximum(a.variance, VARIANCE_FLOOR))
+    scaled = [_flat(replace(f, mean=f.mean / unit)) for f in (a, b, c)]
+    r, v = scaled[1] - scaled[0], scaled[2] - 2.0 * scaled[1] + scaled[0]
+    length = np.linalg.norm(v)
+    if length < 1e-12 or np.linalg.norm(r) <= length:
+        return None
+    alpha = -np.linalg.norm(r) / length
+    parts = np.split(scaled[0] - 2.0 * alpha * r + alpha * alpha * v, np.cumsum([x.size for x in (a.p_binary, a.mean, a.variance, a.p_levels)]))
+    p_levels, start = np.maximum(parts[3].reshape(a.p_levels.shape), PROBABILITY_FLOOR), 0
+    for values in layout.d.levels:
+        block = p_levels[:, start : start + len(values)]
+        block /= block.sum(1, keepdims=True)
+        start += len(values)
+    log_variance = np.clip(parts[2].reshape(a.variance.shape), np.log(VARIANCE_FLOOR), 700.0)
+    out = replace(
+        c,
+        p_binary=np.clip(parts[0].reshape(a.p_binary.shape), PROBABILITY_FLOOR, 1.0 - PROBABILITY_FLOOR),
+        mean=parts[1].reshape(a.mean.shape) * unit,
+        variance=np.exp(log_variance),
+        p_levels=p_levels,
+        beta=parts[4].reshape(a.beta.shape),
+    )
+    return out if np.isfinite(_flat(out)).all() else None
+
+
 def fit_mixtures(
     df: DataFrame,
     key: str,
@@ -343,58 +428,36 @@ def fit_mixtures(
     max_iter: int = 1000,
     tol: float = 1e-4,
     seed: int = 1,
+    accelerate: bool = True,
 ) -> FittedMixtures:
-    """Fit every (k, repeat, restart).  ``tol`` is the gain in mean log-likelihood that ends a fit.
+    """Fit every (k, repeat, restart).  ``tol`` is the gain in mean log-likelihood of a plain step that ends a fit.
 
     Pass a persisted or checkpointed frame: it is scanned once per iteration.
     """
     grid = [(k, r, s) for k in k_values for r in range(repeats) for s in range(restarts)]
-    layout, current = _start(df, key, descriptor, grid, seed)
+    layout, starts = _start(df, key, descriptor, grid, seed)
     frame = doubles(df, descriptor.columns)
-    previous: list[MixtureFit | None] = [None] * len(grid)
-    fallback: list[np.ndarray | None] = [None] * len(grid)
-    running = list(range(len(grid)))
+    paths = [_Path(layout, start, tol, accelerate) for start in starts]
     for _ in range(max_iter):
+        running = [p for p in paths if not p.done]
         if not running:
             break
-        stats = _sweep(frame, layout, [current[i] for i in running])
-        still = []
-        for i, s in zip(running, stats):
-            ll = float(s["ll"][0])
-            last = previous[i]
-            n = s["n"].sum()
-            if last is not None and ll < last.log_likelihood - 1e-9 * abs(last.log_likelihood):
-                if fallback[i] is not None:
-                    current[i] = replace(current[i], beta=fallback[i])
-                    fallback[i] = None
-                    still.append(i)
-                else:
-                    current[i] = replace(last, converged=True)
-                continue
-            at = replace(
-                current[i], log_likelihood=ll, iterations=current[i].iterations + 1, trace=(*current[i].trace, ll)
-            )
-            if last is not None and (ll - last.log_likelihood) / n < tol:
-                current[i] = replace(at, converged=True)
-                continue
-            previous[i] = at
-            moved, fallback[i] = _maximize(layout, at, s)
-            current[i] = moved
-            still.append(i)
-        running = still
-    for i in running:
-        # Out of iterations: keep the last parameters whose likelihood is known.
-        current[i] = previous[i] or current[i]
-    return FittedMixtures(layout, current)
+        for path, s in zip(running, _sweep(frame, layout, [p.current for p in running]), strict=True):
+            path.take(s)
+    # Out of iterations: the last parameters whose likelihood is known stand.
+    return FittedMixtures(layout, [p.known or p.current for p in paths])
 
 
 def assign_classes(
     df: DataFrame, key: str, layout: _Layout, fit: MixtureFit, with_covariates: bool = False
 ) -> DataFrame:
     """``key, label, probabilities, log_likelihood`` per row; by default without the covariates."""
+    cols = layout.d.columns
+    lacking = [c for c in cols if c not in df.columns]
+    if lacking:
+        raise ValueError(f"the mixture needs the columns {lacking}")
     ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((layout, fit))
-    cols = layout.d.columns
     key_type = df.schema[key].dataType.simpleString()
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -417,51 +480,90 @@ def assign_classes(
     )
 
 
-def _batch_scores(batch: pa.RecordBatch, state: tuple) -> list[np.ndarray]:
-    layout, fits, with_covariates = state
-    parts = layout.read(batch)
+RowStatistic = Callable[[np.ndarray, np.ndarray], float]
+# Sums over rows that a scan delivers per fit, from the posteriors (rows x classes) and the log-likelihood of each row.
+ROW_STATISTICS: dict[str, RowStatistic] = {
+    "total_log_likelihood": lambda r, ll: ll.sum(),
+    "entropy": lambda r, ll: -(r * np.log(np.maximum(r, 1e-300))).sum(),
+    "rows": lambda r, ll: len(ll),
+}
+
+
+def fit_statistics(
+    df: DataFrame, layout: _Layout, fits: Sequence[MixtureFit], with_covariates: bool = False, row_statistics: Mapping[str, RowStatistic] = ROW_STATISTICS
+) -> list[dict[str, float]]:
+    """Named statistics of every fit, all from one scan, with its size, its parameters and the mean log-likelihood it reached in fitting."""
+    frame, wanted = doubles(df, layout.d.columns), list(row_statistics.values())
+
+    def scores(batch: pa.RecordBatch, state: tuple) -> list[np.ndarray]:
+        layout, fits = state
+        parts, out = layout.read(batch), []
+        for f in fits:
+            r, _, ll = _posterior(layout, f, parts, with_covariates)
+            out.append(np.array([float(own(r, ll)) for own in wanted]))
+        return out
+
+    sums = sum_statistics(frame, (layout, list(fits)), scores, [len(wanted)] * len(fits))
     out = []
-    for f in fits:
-        r, _, ll = _posterior(layout, f, parts, with_covariates)
-        out.append(np.array([ll.sum(), -(r * np.log(np.maximum(r, 1e-300))).sum(), batch.num_rows]))
+    for fit, values in zip(fits, sums, strict=True):
+        own = dict(zip(row_statistics, values.tolist(), strict=True))
+        own |= {"k": fit.k, "n_parameters": layout.d.n_parameters(fit.k), "fitted_log_likelihood": fit.log_likelihood}
+        out.append(own)
     return out
 
 
 def score_fits(df: DataFrame, layout: _Layout, fits: Sequence[MixtureFit], with_covariates: bool = False) -> list[np.ndarray]:
     """Total log-likelihood, entropy and rows of every fit, from one scan."""
-    frame = doubles(df, layout.d.columns)
-    return sum_statistics(frame, (layout, list(fits), with_covariates), _batch_scores, [3] * len(fits))
+    return [np.array([s["total_log_likelihood"], s["entropy"], s["rows"]]) for s in fit_statistics(df, layout, fits, with_covariates)]
 
 
-SWEEP_SCHEMA = (
-    "k int, repeat int, aic double, bic double, caic double, entropy double, scaled_entropy double, "
-    "log_likelihood double, n_parameters int"
-)
-SWEEP_METRICS = ("aic", "bic", "caic", "entropy", "scaled_entropy", "log_likelihood")
+Metric = Callable[[Mapping[str, float]], float]
+# Metrics of a sweep by name, as functions of the statistics of a fit.
+SWEEP_METRICS: dict[str, Metric] = {
+    "aic": lambda s: -2 * s["total_log_likelihood"] + 2 * s["n_parameters"],
+    "bic": lambda s: -2 * s["total_log_likelihood"] + s["n_parameters"] * math.log(s["rows"]),
+    "caic": lambda s: -2 * s["total_log_likelihood"] + s["n_parameters"] * (math.log(s["rows"]) + 1),
+    "entropy": lambda s: s["entropy"],
+    "scaled_entropy": lambda s: 1.0 - s["entropy"] / (s["rows"] * math.log(s["k"])) if s["k"] > 1 else 1.0,
+    "log_likelihood": lambda s: s["fitted_log_likelihood"] / s["rows"],
+}
 
 
-def mixture_metrics(df: DataFrame, fitted: FittedMixtures, with_covariates: bool = False) -> DataFrame:
-    """Information criteria and entropies of the best fit per (k, repeat), scored without covariates by default.
+def mixture_metrics(
+    df: DataFrame,
+    fitted: FittedMixtures,
+    with_covariates: bool = False,
+    metrics: Mapping[str, Metric] = SWEEP_METRICS,
+    row_statistics: Mapping[str, RowStatistic] | None = None,
+) -> DataFrame:
+    """``k, repeat``, the metrics by their names and ``n_parameters`` of the best fit per (k, repeat), scored without covariates by default.
 
-    ``log_likelihood`` is the mean log-likelihood reached in fitting.
+    A metric is a function of named statistics: those of ``ROW_STATISTICS`` and of the given ``row_statistics``, ``k``, ``n_parameters`` and
+    ``fitted_log_likelihood``. All rows are scanned once for all of them.
     """
     best = fitted.best()
-    rows = []
-    for fit, (ll, entropy, n) in zip(best, score_fits(df, fitted.layout, best, with_covariates)):
-        p = fitted.layout.d.n_parameters(fit.k)
-        scaled = 1.0 - entropy / (n * np.log(fit.k)) if fit.k > 1 else 1.0
-        rows.append(
-            (fit.k, fit.repeat, float(-2 * ll + 2 * p), float(-2 * ll + p * np.log(n)),
-             float(-2 * ll + p * (np.log(n) + 1)), float(entropy), float(scaled),
-             float(fit.log_likelihood / n), p)
-        )
-    return df.sparkSession.createDataFrame(rows, SWEEP_SCHEMA)
+    statistics = fit_statistics(df, fitted.layout, best, with_covariates, {**ROW_STATISTICS, **(row_statistics or {})})
+    rows = [(f.k, f.repeat, *(float(m(s)) for m in metrics.values()), s["n_parameters"]) for f, s in zip(best, statistics, strict=True)]
+    schema = ", ".join(["k int", "repeat int", *(f"{quoted(m)} double" for m in metrics), "n_parameters int"])
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+# Version of the stored form of a mixture.
+FORMAT = 1
+PARAMETERS = "class int, parameter string, column string, level double, value double"
 
 
 def parameter_table(spark: SparkSession, layout: _Layout, fit: MixtureFit) -> DataFrame:
-    """Fitted parameters in tidy form, to be stored as Parquet."""
+    """Fitted parameters in tidy form, to be stored as Parquet and read by ``load_mixture``.
+
+    Rows of class -1 hold the format version and the columns in order (value), with the levels of categories.
+    """
     d = layout.d
-    rows: list[tuple] = []
+    rows: list[tuple] = [(-1, "version", None, None, float(FORMAT))]
+    kinds = [*((c, "binary", ()) for c in d.binary), *((c, "continuous", ()) for c in d.continuous)]
+    kinds += [*((c, "categorical", v) for c, v in zip(d.categorical, d.levels, strict=True)), *((c, "covariate", ()) for c in d.covariates)]
+    for place, (col, kind, levels) in enumerate(kinds):
+        rows += [(-1, kind, col, float(v) if v is not None else None, float(place)) for v in (levels or (None,))]
     for c in range(fit.k):
         rows.append((c, "share", None, None, float(fit.shares[c])))
         rows += [(c, "probability", col, 1.0, float(v)) for col, v in zip(d.binary, fit.p_binary[c])]
@@ -472,4 +574,49 @@ def parameter_table(spark: SparkSession, layout: _Layout, fit: MixtureFit) -> Da
         slopes = fit.beta[c][1:] / layout.z_scale
         rows.append((c, "intercept", None, None, float(fit.beta[c][0] - slopes @ layout.z_mean)))
         rows += [(c, "coefficient", col, None, float(v)) for col, v in zip(d.covariates, slopes)]
-    return spark.createDataFrame(rows, "class int, parameter string, column string, level double, value double")
+    return spark.createDataFrame(rows, PARAMETERS)
+
+
+def mixture_of(table: DataFrame) -> tuple[_Layout, MixtureFit]:
+    """Layout and parameters of a stored mixture; ``assign_classes`` takes both. The model's size is that of its columns and classes.
+
+    Fails when the table is not such a store, is of another version, or lacks a parameter.
+    """
+    wanted = dict(part.split() for part in PARAMETERS.split(", "))
+    found = {f.name: f.dataType.simpleString() for f in table.schema.fields}
+    if found != wanted:
+        raise ValueError(f"a stored mixture has the columns {wanted}, not {found}")
+    rows = table.collect()
+    version = [r["value"] for r in rows if r["parameter"] == "version"]
+    if version != [float(FORMAT)]:
+        raise ValueError(f"stored mixture of version {version or 'none'}, this is {FORMAT}")
+    heads = sorted((r for r in rows if r["class"] == -1 and r["column"] is not None), key=lambda r: (r["value"], r["level"] or 0.0))
+    named_as = lambda kind: tuple(dict.fromkeys(r["column"] for r in heads if r["parameter"] == kind))
+    levels = tuple(tuple(r["level"] for r in heads if r["column"] == c and r["parameter"] == "categorical") for c in named_as("categorical"))
+    d = Descriptor(named_as("binary"), named_as("continuous"), named_as("categorical"), levels, named_as("covariate"))
+    values = {(r["class"], r["parameter"], r["column"], r["level"]): r["value"] for r in rows}
+    k = sum(r["parameter"] == "share" for r in rows)
+
+    def read(parameter: str, keys: Sequence[tuple[str | None, float | None]]) -> np.ndarray:
+        lacking = [key for c in range(k) for key in keys if (c, parameter, *key) not in values]
+        if lacking:
+            raise ValueError(f"the stored mixture lacks {parameter} of {lacking}")
+        return np.array([[values[c, parameter, *key] for key in keys] for c in range(k)], float).reshape(k, len(keys))
+
+    single = [(c, None) for c in d.continuous]
+    fit = MixtureFit(
+        k, 0, 0,
+        p_binary=read("probability", [(c, 1.0) for c in d.binary]),
+        mean=read("mean", single),
+        variance=read("variance", single),
+        p_levels=read("probability", [(c, v) for c, own in zip(d.categorical, d.levels, strict=True) for v in own]),
+        beta=np.hstack([read("intercept", [(None, None)]), read("coefficient", [(c, None) for c in d.covariates])]),
+        shares=read("share", [(None, None)])[:, 0],
+    )
+    z = len(d.covariates)
+    return _Layout(d, np.zeros(len(d.continuous)), np.zeros(z), np.ones(z)), fit
+
+
+def load_mixture(spark: SparkSession, path: str) -> tuple[_Layout, MixtureFit]:
+    """Read a mixture that was stored as ``parameter_table``."""
+    return mixture_of(spark.read.parquet(path))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -11,6 +11,8 @@ from cohortloom.cohort import Cohort
 from cohortloom.operators.mixture import (
     SWEEP_METRICS,
     FittedMixtures,
+    Metric,
+    RowStatistic,
     assign_classes,
     fit_mixtures,
     mixture_metrics,
@@ -18,7 +20,7 @@ from cohortloom.operators.mixture import (
 )
 from cohortloom.operators.resample import mean_std
 from cohortloom.plans.prepare import Prepared, PrepareSpec, prepare
-from cohortloom.sources.store import fingerprint, materialize
+from cohortloom.sources.store import code_digest, fingerprint, materialize
 
 
 def fit_classes(
@@ -56,11 +58,13 @@ def class_sweep(
     repeats: int = 5,
     restarts: int = 20,
     seed: int = 1,
+    metrics: Mapping[str, Metric] = SWEEP_METRICS,
+    row_statistics: Mapping[str, RowStatistic] | None = None,
     **limits,
 ) -> DataFrame:
-    """``k, repeat`` and the six metrics, all fits sharing every scan of the data."""
+    """``k, repeat`` and the metrics (name to function, see ``mixture_metrics``), all fits sharing every scan of the data."""
     fitted = fit_mixtures(prepared.df, key, prepared.descriptor, list(k_values), repeats, restarts, seed=seed, **limits)
-    return mixture_metrics(prepared.df, fitted)
+    return mixture_metrics(prepared.df, fitted, metrics=metrics, row_statistics=row_statistics)
 
 
 def optimal_k_job(
@@ -72,12 +76,17 @@ def optimal_k_job(
     repeats: int = 5,
     restarts: int = 20,
     seed: int = 1,
+    metrics: Mapping[str, Metric] = SWEEP_METRICS,
+    row_statistics: Mapping[str, RowStatistic] | None = None,
 ) -> DataFrame:
-    """Mean and standard deviation of every metric per k, from the cached or computed sweep."""
+    """Mean and standard deviation of every metric per k, from the cached or computed sweep. The key of the cache knows the metrics' code."""
     params = {"source": source, "k": list(k_values), "repeats": repeats, "restarts": restarts, "seed": seed,
-              "descriptor": repr(prepared.descriptor), "rows": fingerprint(prepared.df)}
+              "descriptor": repr(prepared.descriptor), "rows": fingerprint(prepared.df),
+              "metrics": {n: code_digest(m) for n, m in metrics.items()},
+              "row_statistics": {n: code_digest(m) for n, m in (row_statistics or {}).items()}}
     spark = prepared.df.sparkSession
-    trials = materialize(
-        spark, lambda: class_sweep(prepared, key, k_values, repeats, restarts, seed), cache_root, "classes", params
-    )
-    return mean_std(trials, "k", SWEEP_METRICS)
+
+    def build() -> DataFrame:
+        return class_sweep(prepared, key, k_values, repeats, restarts, seed, metrics, row_statistics)
+
+    return mean_std(materialize(spark, build, cache_root, "classes", params), "k", list(metrics))

@@ -6,6 +6,7 @@ import hashlib
 import json
 import tempfile
 from collections.abc import Callable, Mapping
+from types import CodeType
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,20 @@ def described(model: Any) -> str:
     return repr(model)
 
 
+def code_digest(function: Callable) -> str:
+    """Digest of what a function does: its code, constants, names, defaults and what it closes over."""
+
+    def parts(code: CodeType) -> list:
+        inner = [parts(c) if isinstance(c, CodeType) else repr(c) for c in code.co_consts]
+        return [code.co_code.hex(), inner, list(code.co_names), list(code.co_varnames)]
+
+    code = getattr(function, "__code__", None)
+    if code is None:
+        return described(function)
+    closed = [repr(c.cell_contents) for c in function.__closure__ or ()]
+    return hashlib.md5(json.dumps([parts(code), repr(function.__defaults__), closed]).encode()).hexdigest()[:16]
+
+
 def materialize(
     spark: SparkSession,
     build: Callable[[], DataFrame],

@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 from cohortloom.catalog import Catalog, Instrument
 from cohortloom.cohort import Cohort
 from cohortloom.functions.recode import release_rules
-from cohortloom.operators.mixture import Descriptor, assign_classes, fit_mixtures, mixture_metrics, parameter_table, score_fits
+from cohortloom.operators.mixture import SWEEP_METRICS, Descriptor, assign_classes, fit_mixtures, load_mixture, mixture_metrics, mixture_of, parameter_table, score_fits
 from cohortloom.operators.profile import column_kinds
 from cohortloom.operators.regress import Linear, cross_validate, linear_models, r2_score, score_linear, tree_models
-from cohortloom.plans.latent import class_sweep, latent_class_job
+from cohortloom.plans.latent import class_sweep, latent_class_job, optimal_k_job
 from cohortloom.plans.phenotype import phenotype_job
 from cohortloom.plans.predictability import predictability, regression_job
 from cohortloom.plans.prepare import prepare, release_spec
@@ -293,3 +293,64 @@ def test_model_queries_keep_the_default_settings(spark, sf_dir, monkeypatch):
     assert len(seen["class_sweep"][0]) == 2 and len(seen["optimal_k_job"][0]) == 4
     folds = seen["cross_validate"][0][1].select("fold").distinct().count()
     assert folds == 5
+
+
+def test_accelerated_steps_reach_the_same_optimum_in_half_the_scans(spark):
+    """Overlapping classes converge slowly; the path of the likelihood never falls."""
+    rng = np.random.default_rng(4)
+    truth = rng.integers(0, 2, 2000)
+    rows = [(i, float(rng.normal(2.0 * t)), float(rng.random() < 0.3 + 0.4 * t), float(rng.random() < 0.6 - 0.3 * t)) for i, t in enumerate(truth)]
+    df = spark.createDataFrame(rows, "id int, g double, b double, c double").coalesce(1).persist()
+    d = Descriptor(binary=("b", "c"), continuous=("g",))
+    plain, quick = (fit_mixtures(df, "id", d, [2], tol=1e-7, max_iter=250, accelerate=a).best()[0] for a in (False, True))
+    assert plain.converged and quick.converged and quick.iterations <= plain.iterations / 2, (plain.iterations, quick.iterations)
+    assert quick.log_likelihood >= plain.log_likelihood - 1e-2
+    assert all(b >= a - 1e-6 for a, b in zip(quick.trace, quick.trace[1:]))
+    assert quick.shares == pytest.approx(plain.shares, abs=5e-2) and np.sort(quick.mean[:, 0]) == pytest.approx([0.0, 2.0], abs=0.3)
+
+
+def test_stored_mixture_predicts_as_before(spark, classes, tmp_path):
+    df, d, _ = classes
+    fitted = fit_mixtures(df, "id", d, [3], max_iter=12)
+    best = fitted.best()[0]
+    parameter_table(spark, fitted.layout, best).repartition(3).write.parquet(str(tmp_path / "m"))
+    layout, loaded = load_mixture(spark, str(tmp_path / "m"))
+    assert layout.d == d and loaded.k == 3
+    for with_covariates in (False, True):
+        before = {r["id"]: r for r in assign_classes(df, "id", fitted.layout, best, with_covariates).collect()}
+        after = assign_classes(df, "id", layout, loaded, with_covariates).collect()
+        assert len(after) == len(before)
+        for r in after:
+            assert r["label"] == before[r["id"]]["label"] and r["probabilities"] == pytest.approx(before[r["id"]]["probabilities"], abs=1e-9)
+    table = spark.read.parquet(str(tmp_path / "m"))
+    for broken in (table.filter("parameter <> 'version'"), table.withColumn("value", F.when(F.col("parameter") == "version", 9.0).otherwise(F.col("value"))),
+                   table.filter("NOT (class = 1 AND parameter = 'variance')"), table.drop("level")):
+        with pytest.raises(ValueError):
+            mixture_of(broken)
+    with pytest.raises(ValueError, match="needs the columns"):
+        assign_classes(df.drop("g"), "id", layout, loaded)
+
+
+def test_user_metrics_join_the_sweep_and_its_cache(release_cohort, tmp_path):
+    ready = prepare(release_cohort, release_spec(release_cohort))
+    limits = {"k_values": [2], "repeats": 1, "restarts": 1}
+
+    def job(metrics, **more):
+        return optimal_k_job(ready, "subject_sp_id", str(tmp_path), "r1", metrics=metrics, **limits, **more)
+
+    job(SWEEP_METRICS)
+    own = {**SWEEP_METRICS, "sure": lambda s: s["sure_rows"] / s["rows"]}
+    row = job(own, row_statistics={"sure_rows": lambda r, ll: (r.max(1) > 0.9).sum()}).first()
+    assert 0.0 <= row["mean_sure"] <= 1.0 and row["std_sure"] == 0.0
+    job({"sure": lambda s: 2.0 * s["rows"]})
+    job({"sure": lambda s: 3.0 * s["rows"]})
+    assert len(list((tmp_path / "classes").iterdir())) == 4
+    job({"sure": lambda s: 3.0 * s["rows"]})
+    assert len(list((tmp_path / "classes").iterdir())) == 4
+
+
+def test_preparation_without_filters(spark):
+    from cohortloom.operators.frame import within
+
+    df = spark.createDataFrame([(1, None), (2, 3.0)], "id int, x double")
+    assert within(df, {}).count() == 2 and within(df, {"x": (1, 5)}).count() == 1
