@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.filters import without
+from cohortloom.llm.filters import without_texts
 from cohortloom.llm.tokens import slices
 from cohortloom.session import ship_package
 from cohortloom.sources.store import checkpointed
@@ -118,6 +118,8 @@ def find_leaks(
     match nothing; repeated rows and items give a row each; other columns are ignored; an empty table gives an empty result.
     Items travel in blocks of about ``BLOCK_CHARS`` characters; further blocks mean further passes over the documents.
     """
+    if not 0 <= edit_share < 0.5:
+        raise ValueError("edit_share must be at least 0 and below 0.5: pieces of an item would be too short to be found")
     spark = docs.sparkSession
     ship_package(spark)
     kinds = [docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()]
@@ -151,5 +153,9 @@ def find_leaks(
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents in which no benchmark item occurs, with all their columns."""
-    return without(docs, find_leaks(docs, benchmark, key, text).select(key), [key])
+    """Documents in which no benchmark item occurs, with all their columns.
+
+    The text alone decides: null and empty texts stay, whatever the key, null or repeated; rows with equal texts stay or go together; very
+    long texts are searched whole. Columns of ``docs`` may have any names; an empty table on either side drops nothing.
+    """
+    return without_texts(docs, text, lambda texts, mark, column: find_leaks(texts, benchmark, mark, column).select(mark))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.llm.components import components
 from cohortloom.llm.exact_dedup import merge_runs
-from cohortloom.llm.filters import BROADCAST_ROWS, without
+from cohortloom.llm.filters import BROADCAST_ROWS, free_name, without
 from cohortloom.llm.tokens import slices
 from cohortloom.llm.words import mixed, shingles
 from cohortloom.session import ship_package
@@ -265,11 +265,38 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     shorter text is one shingle; one without words, or a null, is empty and linked with nothing). Texts link when 100 * overlap >=
     ``percent`` * union of their sets. component_id is the least key reachable by links, itself included; ``key`` must be an integer
     and not null (rows with a null key keep a null component). Equal sets share a set_id, n_links counts the other
-    sets linked to it. Repeated rows are equal sets. Shingles are 64-bit and sets 128-bit hashes. An empty table gives an empty result.
+    sets linked to it. Repeated rows are equal sets; rows of one key with different texts are sets of their own and share the names
+    that their key gives. Shingles are 64-bit and sets 128-bit hashes. Texts of any length are read whole; other columns are ignored; an empty
+    table gives an empty result.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be above 0 and at most 100")
+    ship_package(docs.sparkSession)
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    if not _repeats(texts):
+        return _similar(texts, width, percent).withColumnRenamed("id", key)
+    # Each row has a number in place of its key; names are the least keys of what the numbers name.
+    rows = _numbered(texts)
+    found = _similar(rows.select(F.when(F.col("id").isNotNull(), F.col("row")).alias("id"), "text"), width, percent)
+    own = found.where("id IS NOT NULL").withColumnRenamed("id", "row").join(rows.select("row", "id"), "row")
+    for name in ("component_id", "set_id"):
+        own = own.join(own.groupBy(name).agg(F.min("id").alias(f"{name}_key")), name).drop(name).withColumnRenamed(f"{name}_key", name)
+    return own.unionByName(found.where("id IS NULL").withColumn("row", F.lit(None).cast("long"))).select(F.col("id").alias(key), *found.columns[1:])
+
+
+def _repeats(texts: DataFrame) -> bool:
+    """Whether a key stands in more than one row."""
+    return bool(texts.where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count())
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The rows with a number each that stays theirs."""
+    return checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
+
+
+def _similar(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """``similar_sets`` of id and text, where no id but null repeats: id, n_shingles, component_id, set_id, n_links."""
+    spark = texts.sparkSession
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, SLICE_BYTES):
@@ -289,7 +316,7 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", width
             x, offsets, one, _ = _sets(part.column(1), width)
             size = np.diff(offsets)
             new = np.array([not (i in seen or seen.add(i)) for i in one.tolist()], bool)
-            n = np.where(new & (size > 2), size - need(size, percent) + depth(size), 0)
+            n = np.where(new & (100 * size >= percent * (size + 1)), size - need(size, percent) + depth(size), 0)
             n = np.minimum(n, size)
             token, row = _ordered(x, levels.value), np.repeat(np.arange(len(size)), size)
             token = token[np.lexsort((token, row))]
@@ -340,15 +367,29 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     linked = checkpointed(reached.join(degree, "owner"))
     side = F.broadcast(linked) if linked.count() <= BROADCAST_ROWS else linked
     found = named.join(side, "owner", "left").select(
-        F.col("id").alias(key), F.col("size").alias("n_shingles"), F.coalesce("component", "owner").alias("component_id"),
+        "id", F.col("size").alias("n_shingles"), F.coalesce("component", "owner").alias("component_id"),
         F.col("owner").alias("set_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
     empty = rows.where("size = 0 OR id IS NULL").select(
-        F.col("id").alias(key), F.col("size").alias("n_shingles"), F.col("id").alias("component_id"), F.col("id").alias("set_id"), F.lit(0).cast("long").alias("n_links")
+        "id", F.col("size").alias("n_shingles"), F.col("id").alias("component_id"), F.col("id").alias("set_id"), F.lit(0).cast("long").alias("n_links")
     )
     return found.unionAll(empty)
 
 
 def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group of linked texts, that with the least key, with all its columns."""
-    return without(docs, similar_sets(docs, key, text).where(f"component_id <> `{key}`").select(key), [key])
+    """One document of each group of linked texts, that with the least key, with all their columns.
+
+    Where a key repeats, its rows are told apart: of a group one row stays, that with the least key among those that have one. Rows with a
+    null key are linked with nothing and stay, and so do null and empty texts. Very long texts are read whole; columns may have any names; an
+    empty table gives an empty result.
+    """
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    if not _repeats(texts):
+        return without(docs, similar_sets(docs, key, text).where(f"component_id <> `{key}`").select(key), [key])
+    row = free_name(docs, "row")
+    rows = checkpointed(docs.withColumn(row, F.monotonically_increasing_id()))
+    own = rows.where(F.col(key).isNotNull()).select(F.col(row).alias("id"), F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    found = _similar(own.select("id", "text"), 5, 75).join(own.select("id", "key"), "id")
+    best = found.groupBy("component_id").agg(F.min(F.struct("key", "id")).alias("best"))
+    gone = found.join(best, "component_id").where("id <> best.id").select("id")
+    return without(rows, gone, [row]).drop(row)

@@ -21,14 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.filters import without
+from cohortloom.llm.filters import without_texts
 from cohortloom.llm.tokens import slices
 from cohortloom.session import ship_package
 from cohortloom.sources.store import checkpointed
 
-# At most so many labelled rows teach the model, and so many stems make its lexicon.
+# At most so many labelled rows teach the model; they bound its stems too.
 SAMPLE_ROWS = 20_000
-LEXICON_STEMS = 5_000
 STEM_CHARS = range(4, 9)
 # The rate in toxic texts is surely the higher one; how much higher is the weight of a stem.
 LEAST_EVIDENCE = 0.0
@@ -216,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     counts = taught.mapInArrow(count, "stem string, label int, n long").groupBy("stem")
     counts = counts.agg(F.sum(F.expr("IF(label = 1, n, 0)")).alias("toxic"), F.sum(F.expr("IF(label = 0, n, 0)")).alias("clean"))
     found = counts.withColumn("weight", evidence(F.col("toxic"), F.col("clean"), n[1], n[0])).where(F.col("weight") > LEAST_EVIDENCE)
-    found = found.orderBy(F.desc("weight"), "stem").limit(LEXICON_STEMS).collect()
+    found = found.orderBy(F.desc("weight"), "stem").collect()
     learnt = {r["stem"]: float(r["weight"]) for r in found}
     # A longer stem adds nothing below a shorter one of nearly the same evidence.
     learnt = {s: w for s, w in learnt.items() if not any(learnt.get(s[:k], -9.0) >= w - 0.7 for k in range(STEM_CHARS[0], len(s)))}
@@ -264,5 +263,10 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents that are not predicted toxic, with all their columns."""
-    return without(docs, score(docs, fit(docs, labels, key, text), key, text).where("predicted = 1").select(key), [key])
+    """Documents that are not predicted toxic, with all their columns.
+
+    The text alone decides: null and empty texts stay, whatever the key, null or repeated; rows with equal texts stay or go together; very
+    long texts are read whole. Columns of ``docs`` may have any names; an empty table gives an empty result.
+    """
+    model = fit(docs, labels, key, text)
+    return without_texts(docs, text, lambda texts, mark, column: score(texts, model, mark, column).where("predicted = 1").select(mark))

@@ -186,3 +186,26 @@ def test_segments_hold_every_window_once(monkeypatch):
         for k in range(len(row)):
             seen.update((int(row[k]), int(p + shift[k])) for p in range(starts[k + 1] - starts[k] - 6))
     assert seen == {(r, p): 1 for r in range(7) for p in range(offsets[r + 1] - offsets[r] - 6)}
+
+
+@pytest.mark.parametrize("percent", [50, 60, 90])
+def test_links_at_other_shares(spark, percent):
+    """Small sets link below 67 percent: two shingles inside three, one inside two."""
+    rng = random.Random(percent)
+    stem = words(rng, 7)
+    rows = [(1, " ".join(stem[:6])), (2, " ".join(stem)), (3, " ".join(stem[:5])), *((10 + i, t) for i, (_, t) in enumerate(documents(n=60)[:60]))]
+    sets = {i: shingle_set(t) for i, t in rows}
+    got = {r["doc_id"]: r for r in ngram_join.similar_sets(frame(spark, rows), percent=percent).collect()}
+    for i, s in sets.items():
+        partners = {t for t in sets.values() if t and t != s and 100 * len(s & t) >= percent * len(s | t)}
+        assert got[i]["n_links"] == (len(partners) if s else 0), (i, percent)
+    assert (got[1]["component_id"] == got[2]["component_id"]) == (percent <= 66)
+
+
+def test_repeated_keys_with_different_texts_are_sets_of_their_own(spark):
+    rng = random.Random(2)
+    a, b = (" ".join(words(rng, 50)) for _ in range(2))
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, "alone in the world of texts"), (None, a), (4, "alone in the world of texts"), (6, None)]
+    got = sorted(tuple(r) for r in ngram_join.similar_sets(frame(spark, rows)).collect() if r["doc_id"] is not None)
+    n = len(shingle_set(a)), len(shingle_set(b))
+    assert got == sorted([(1, n[0], 1, 1, 1), (1, n[1], 1, 1, 1), (2, n[0] + 1, 1, 2, 1), (3, n[1] + 1, 1, 3, 1), (4, 2, 4, 4, 0), (4, 2, 4, 4, 0), (6, 0, 6, 6, 0)])

@@ -10,6 +10,7 @@ from llm.cases import words
 from llm.test_duplicates import brute_components, plain
 
 import corpus_pipeline
+from cohortloom.llm import decontaminate, ngram_join, toxicity
 from cohortloom.llm.queries import ORACLES, QUERIES
 
 
@@ -20,11 +21,11 @@ def test_query_equals_sql(spark, sf_dir, name):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_names(name):
-    assert re.fullmatch(r"op(10|[1-9])_[a-z0-9_]+", name)
+    assert re.fullmatch(r"op(1[0-3]|[1-9])_[a-z0-9_]+", name)
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(re.match(r"op(\d+)", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)", n)[1]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_stages_take_effect(spark):
@@ -65,3 +66,39 @@ def test_stages_take_effect(spark):
     assert sorted(r["doc_id"] for r in now.collect()) == sorted(want)
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, root).collect()} == want
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_duplicates", "decontamination", "packing"]
+
+
+def test_stages_tell_rows_apart_by_their_texts(spark):
+    """Clean rows with null or repeated keys stay when another row with that key goes; extra columns may have any name."""
+    rng = random.Random(5)
+    clean = [" ".join(words(rng, 60)) for _ in range(8)]
+    bad = "you are a stupid idiot and worthless scum. you pathetic moron, you disgusting loser."
+    item = " ".join(words(rng, 30))
+    near = clean[0].split()
+    near[30] = "changed"
+    names = "doc_id long, text string, row long, text_digest string"
+
+    def kept(stage, rows):
+        docs = spark.createDataFrame([(k, t, 7, "x") for k, t in rows], names).repartition(3)
+        out = stage(docs)
+        assert out.columns == docs.columns
+        return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
+
+    def want(rows):
+        return sorted(rows, key=repr)
+
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = [(None, clean[0]), (None, bad), (1, clean[1]), (1, bad), (2, None), (3, ""), (4, clean[2] + f" {bad} " + clean[3])]
+    assert kept(lambda d: toxicity.drop_toxic(d, labels), rows) == want([r for r in rows if bad not in (r[1] or "")])
+    benchmark = spark.createDataFrame([(0, item)], "item_id long, text string")
+    rows = [(None, clean[0]), (None, f"{clean[1]} {item}"), (1, clean[1]), (1, item), (2, None), (3, "")]
+    assert kept(lambda d: decontaminate.drop_leaks(d, benchmark), rows) == want([r for r in rows if item not in (r[1] or "")])
+    rows = [(5, clean[0]), (1, " ".join(near)), (1, clean[1]), (None, clean[0]), (2, clean[1] + " end"), (7, None), (7, ""), (7, clean[2])]
+    assert kept(ngram_join.drop_similar, rows) == want([r for r in rows if r not in ((5, clean[0]), (2, clean[1] + " end"))])
+    for stage in (lambda d: toxicity.drop_toxic(d, labels), lambda d: decontaminate.drop_leaks(d, benchmark), ngram_join.drop_similar):
+        assert kept(stage, []) == []
+
+
+def test_edit_shares_that_would_lose_items_are_refused(spark):
+    with pytest.raises(ValueError, match="edit_share"):
+        decontaminate.find_leaks(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string"), edit_share=1.0)
