@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
-import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +20,7 @@ BUCKET_DIGITS = 4
 # md5 of the key (32) followed by the row digest (16).
 HASH_DIGITS = 48
 # Longest prefix that starts the buckets of the folds.
-MOST_BUCKET_DIGITS = 5
+MOST_BUCKET_DIGITS = 8
 # A bucket with more rows is refined by further digits of the same order; the rows chosen and their folds do not depend on it.
 HOT_BUCKET_ROWS = 100_000
 # Rows a bucket may hold before a longer prefix is used.
@@ -87,48 +85,72 @@ def repeat_rows(df: DataFrame, times: str) -> DataFrame:
     return spread.withColumn("_i", F.explode(F.sequence(F.col("_from"), upto))).drop("_i", "_from", times)
 
 
+def _prefix(digits: int) -> Column:
+    return F.substring("_s", 1, digits)
+
+
+def _bucket_tree(hashed: DataFrame, digits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their bucket, and the leaves of the tree of buckets: ``_bucket, _n, _alike``.
+
+    A bucket is a prefix of the order ``_s``. Those with more than ``HOT_BUCKET_ROWS`` rows are split by further digits, level by level;
+    a table of them is joined, so neither the driver nor the plan grows with their number. Rows alike in all digits stay together.
+    """
+    rows = hashed.withColumn("_bucket", _prefix(digits))
+    nodes = checkpointed(rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")))
+    leaves = None
+    while True:
+        hot = F.col("_n") > HOT_BUCKET_ROWS
+        if digits >= HASH_DIGITS or not nodes.where(hot).limit(1).count():
+            nodes = nodes.withColumn("_alike", hot)
+            return rows, nodes if leaves is None else leaves.unionAll(nodes)
+        cold = nodes.where(~hot).withColumn("_alike", F.lit(False))
+        leaves = cold if leaves is None else leaves.unionAll(cold)
+        digits = min(HASH_DIGITS, digits + BUCKET_DIGITS)
+        rows = rows.join(nodes.where(hot).select("_bucket", F.lit(True).alias("_hot")), "_bucket", "left")
+        rows = rows.withColumn("_bucket", F.when(F.col("_hot"), _prefix(digits)).otherwise(F.col("_bucket")))
+        nodes = checkpointed(rows.where("_hot").groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")))
+        rows = rows.drop("_hot")
+
+
+def _offsets(leaves: DataFrame, digits: int) -> DataFrame:
+    """Leaves with the number of rows in all leaves before them: a prefix sum inside groups of leaves, and one over the few groups."""
+    grouped = leaves.withColumn("_group", F.substring("_bucket", 1, max(1, digits // 2)))
+    before = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = grouped.groupBy("_group").agg(F.sum("_n").alias("_sum")).select("_group", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    placed = grouped.withColumn("_offset", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(groups, "_group")
+    return placed.select("_bucket", "_n", "_alike", (F.col("_base") + F.col("_offset")).alias("_offset"))
+
+
 def assign_folds(df: DataFrame, key: str, k: int = 5, seed: int = 1, fold_col: str = "fold") -> DataFrame:
     """Shuffled k folds whose sizes differ by at most one: rank in hash order modulo k.
 
     The order is that of the key's hash, then of the row's digest; rows alike in both are interchangeable.  The rank is the offset
-    of a bucket (a prefix of that order) plus the position inside it, so no sort spans more than a bucket.  A large bucket is
-    split by further digits of the same order; rows alike in all of them are numbered by arithmetic.
+    of a bucket (a prefix of that order) plus the position inside it, so no sort spans more than a bucket; rows alike in the whole order
+    are numbered by arithmetic.
     """
     if k < 2:
         raise ValueError("k-fold needs at least two folds")
-    hashed = df.withColumn("_s", F.concat(hash_order(key, seed), _row_digest(df)))
-    fine = _bucket_counts(hashed, F.substring("_s", 1, BUCKET_DIGITS))
-    total = sum(n for _, n in fine)
+    total = df.count()
     if total < k:
         raise ValueError(f"cannot cut {total} rows into {k} folds")
+    hashed = df.withColumn("_s", F.concat(hash_order(key, seed), _row_digest(df)))
     # The shortest prefix whose buckets stay small enough for one task.
     digits = next((d for d in range(1, MOST_BUCKET_DIGITS) if total <= BUCKET_ROWS * 16**d), MOST_BUCKET_DIGITS)
-    if digits <= BUCKET_DIGITS:
-        counts = [(b, sum(n for _, n in part)) for b, part in itertools.groupby(fine, lambda c: c[0][:digits])]
-    else:
-        counts = _bucket_counts(hashed, F.substring("_s", 1, digits))
-    bucket = F.substring("_s", 1, digits)
-    hot = [b for b, n in counts if n > HOT_BUCKET_ROWS]
-    while hot and digits < HASH_DIGITS:
-        inside = F.substring("_s", 1, digits).isin(hot)
-        digits = min(HASH_DIGITS, digits + BUCKET_DIGITS)
-        bucket = F.when(inside, F.substring("_s", 1, digits)).otherwise(bucket)
-        further = _bucket_counts(hashed.filter(inside), F.substring("_s", 1, digits))
-        counts = sorted([c for c in counts if c[0] not in set(hot)] + further)
-        hot = [b for b, n in further if n > HOT_BUCKET_ROWS]
-    before = itertools.accumulate((n for _, n in counts[:-1]), initial=0)
-    offsets = pa.table({"_bucket": [b for b, _ in counts], "_offset": pa.array(before, pa.int64())})
-    table = df.sparkSession.createDataFrame(offsets)
-    placed = hashed.withColumn("_bucket", bucket)
-    alike = placed.filter(F.col("_bucket").isin(hot)) if hot else None
-    placed = placed.filter(~F.col("_bucket").isin(hot)) if hot else placed
-    ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("_bucket").orderBy("_s")) - 1)
+    rows, leaves = _bucket_tree(hashed, digits)
+    offsets = checkpointed(_offsets(leaves, digits))
+    alike = offsets.where("_alike").limit(1).count()
+    single = offsets.where("NOT _alike") if alike else offsets
+    ranked = rows.join(single.select("_bucket", "_offset"), "_bucket")
+    ranked = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy("_bucket").orderBy("_s")) - 1)
     fold = F.pmod(F.col("_offset") + F.col("_rank"), F.lit(k)).cast("int").alias(fold_col)
-    out = ranked.join(table, "_bucket").select(*df.columns, fold)
-    if alike is None:
+    out = ranked.select(*df.columns, fold)
+    if not alike:
         return out
     names = [f"_c{i}" for i in range(len(df.columns))]
-    one = alike.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"), *[F.first(quoted(c)).alias(n) for c, n in zip(df.columns, names)]).join(table, "_bucket")
+    hot = offsets.where("_alike").select("_bucket", "_offset", "_n")
+    firsts = rows.join(hot.select("_bucket"), "_bucket", "left_semi").groupBy("_bucket").agg(*[F.first(quoted(c)).alias(n) for c, n in zip(df.columns, names)])
+    one = firsts.join(hot, "_bucket")
     # Every fold gets its share of the rows that are alike.
     shares = one.withColumn("_rank", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("_copies", F.expr(f"(_n - _rank + {k - 1}) div {k}")).filter("_copies > 0")
     copies = repeat_rows(shares.select("_copies", *[F.col(n).alias(c) for c, n in zip(df.columns, names)], fold), "_copies")

@@ -1,3 +1,4 @@
+import re
 import statistics
 from collections import Counter
 
@@ -124,7 +125,7 @@ def test_folds_partition_evenly(spark, n, k):
 def test_folds_do_not_depend_on_bucket_sizes(spark, monkeypatch):
     """One order at every size: hot keys, repeated rows and partitionings give the same folds."""
     df = spark.range(300).selectExpr("id", "id % 7 AS v").unionAll(spark.range(200).selectExpr("-1L AS id", "id % 50 AS v")).unionAll(spark.range(90).selectExpr("-2L AS id", "1L AS v"))
-    seen = []
+    seen, plans = [], []
     for rows, limit, partitions in ((20_000, 10**9, 3), (20_000, 5, 1), (16, 5, 7), (16, 10**9, 2)):
         monkeypatch.setattr(resample, "BUCKET_ROWS", rows)
         monkeypatch.setattr(resample, "HOT_BUCKET_ROWS", limit)
@@ -132,7 +133,10 @@ def test_folds_do_not_depend_on_bucket_sizes(spark, monkeypatch):
         out = assign_folds(df.repartition(partitions), "id", 5, seed=4)
         assert out.columns == ["id", "v", "fold"]
         seen.append(Counter(tuple(r) for r in out.collect()))
+        plans.append(out._jdf.queryExecution().logical().toString())
     assert seen[0] == seen[1] == seen[2] == seen[3]
+    # Hot buckets are rows of a table: no bucket is named in a plan.
+    assert not any(re.search(r"\bIN \(|'[0-9a-f]{3,}'", plan) for plan in plans)
     folds = Counter(fold for (_, _, fold), n in seen[0].items() for _ in range(n))
     assert sum(folds.values()) == 590 and max(folds.values()) - min(folds.values()) <= 1
 
