@@ -39,13 +39,15 @@ FURNITURE_WORDS = set(
     "skip social sponsor sponsored subscribe subscription taboola teaser teasers toolbar topbar widget widgets".split()
 )
 FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
+# First words of names that tell what an element has or belongs to, not what it is.
+NAME_PREFIXES = {"category", "cat", "format", "has", "is", "js", "layout", "no", "page", "status", "tag", "template", "theme", "type", "with"}
 # Containers that are named after their content count where a page has no article or main element.
 CONTENT_NAMES = {"article", "content", "entry", "main", "post", "story"}
 CONTENT_WORDS = {"article", "entry", "post", "story", "body", "content", "text"}
 _AUTO_CLOSE = {"p": BLOCK, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
     r"|<(?P<raw>script|style)\b[^>]*+(?:>.*?(?:</(?P=raw)\s*+>|\Z)|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
     r"|<(?P<end2>/?)(?P<tag2>[a-z][a-z0-9:-]*+)(?P<attrs2>[^>]*+)(?:>|\Z)"
@@ -55,6 +57,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WORD = re.compile(r"[a-z]+")
+_INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 FEATURES = ("words", "links", "before_words", "before_links", "after_words", "after_links", "place", "furniture")
 
@@ -90,47 +93,79 @@ class Block:
     furniture: bool
 
 
-def _is_furniture(tag: str, attrs: str, inside: bool) -> bool:
+def _attributes(attrs: str) -> list[tuple[str, str]]:
+    return [(name.lower(), value.strip("\"'").lower()) for name, value in _ATTRIBUTE.findall(attrs)] if attrs else []
+
+
+def _hidden(attributes: list[tuple[str, str]]) -> bool:
+    return any(
+        name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _INVISIBLE.search(value) is not None
+        for name, value in attributes
+    )
+
+
+def _is_furniture(tag: str, attributes: list[tuple[str, str]], inside: bool) -> bool:
+    """Furniture by the element itself: its name, its role, or because it is not shown."""
     if tag in FURNITURE or tag == "header" and not inside:
         return True
-    if not attrs or tag in ("html", "body", "main"):
+    if tag in ("html", "body", "main"):
+        return False
+    return _hidden(attributes) or any(name == "role" and value in FURNITURE_ROLES for name, value in attributes)
+
+
+def _named_so(tag: str, attributes: list[tuple[str, str]], inside: bool) -> bool:
+    """Whether a block element is named like furniture: by a word of its own, or by the first or last of a compound. Articles only by the former."""
+    if tag in ("html", "body", "main"):
         return False
-    for name, value in _ATTRIBUTE.findall(attrs):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "role" and value in FURNITURE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+    for name, value in attributes:
         if name in ("class", "id"):
             for token in value.split():
                 words = _WORD.findall(token)
-                if words and words[0] not in ("has", "with", "no", "is") and FURNITURE_WORDS & set(words):
+                if not words or words[0] in NAME_PREFIXES:
+                    continue
+                if FURNITURE_WORDS & ({words[0], words[-1]} if tag != "article" else set(words) if len(words) == 1 else set()):
                     return True
-                if "header" in words and not inside and not CONTENT_WORDS & set(words):
+                if "header" in words and tag != "article" and not inside and not CONTENT_WORDS & set(words):
                     return True
     return False
 
 
-def _content(tag: str, attrs: str) -> int:
+def _content(tag: str, attributes: list[tuple[str, str]]) -> int:
     """2 for an article or main element, 1 for a container named so, else 0."""
     if tag in CONTENT:
         return 2
-    if not attrs or tag not in ("div", "section", "td"):
+    if tag not in ("div", "section", "td"):
         return 0
-    for name, value in _ATTRIBUTE.findall(attrs):
-        if name.lower() in ("class", "id"):
-            for token in value.strip("\"'").lower().split():
+    for name, value in attributes:
+        if name in ("class", "id"):
+            for token in value.split():
                 words = _WORD.findall(token)
-                if words and words[0] not in ("has", "with", "no", "is") and CONTENT_NAMES & set(words):
+                if words and words[0] not in NAME_PREFIXES and CONTENT_NAMES & set(words):
                     return 1
     return 0
 
 
+@dataclass(slots=True)
+class _Open:
+    """An open element: its name, whether it is furniture, its content rank, and the first block inside it where it is named like furniture."""
+
+    tag: str
+    furniture: bool
+    content: int
+    since: int | None
+
+
 def text_blocks(page: str) -> list[Block]:
-    """The flat text blocks of a page, in page order; markup that never ends is closed at the end of the page."""
+    """The flat text blocks of a page, in page order; markup that never ends is closed at the end of the page.
+
+    An element that is only named like furniture is furniture unless it holds most of the words of the page that are in no other furniture: a
+    name on a wrapper of the whole page or on the article itself says nothing.
+    """
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # name, furniture, content
-    furniture = inside = named = links = 0
+    stack: list[_Open] = []
+    suspects: list[tuple[int, int]] = []
+    furniture = inside = named = 0
+    link: int | None = None  # how many elements were open where the current link began
     parts: list[str] = []
     linked = 0
 
@@ -144,18 +179,23 @@ def text_blocks(page: str) -> list[Block]:
             linked = 0
 
     def leave() -> None:
-        nonlocal furniture, inside, named
-        _, f, c = stack.pop()
-        furniture -= f
-        inside -= c == 2
-        named -= c == 1
+        nonlocal furniture, inside, named, link
+        top = stack.pop()
+        furniture -= top.furniture
+        inside -= top.content == 2
+        named -= top.content == 1
+        if top.since is not None:
+            suspects.append((top.since, len(blocks)))
+        # A link that was never closed ends with the element it began in.
+        if link is not None and len(stack) < link:
+            link = None
 
     for m in _TOKEN.finditer(page):
         text = m["text"]
         if text is not None:
             text = html.unescape(text)
             parts.append(text)
-            if links:
+            if link is not None:
                 linked += len(text.split())
             continue
         tag = m["tag"] or m["tag2"]
@@ -164,39 +204,55 @@ def text_blocks(page: str) -> list[Block]:
         tag = tag.lower()
         ends = m["end"] or m["end2"]
         if tag == "a":
-            links = 0 if ends else 1
-        elif tag == "br":
+            link = None if ends else len(stack)
+            continue
+        if tag == "br":
             parts.append(" ")
-        if tag not in BLOCK:
-            if tag in VOID or tag == "a":
-                continue
-            # Inline elements only count where they are furniture themselves (a labelled span, for example).
-            if not ends and not _is_furniture(tag, m["attrs"] or m["attrs2"] or "", inside + named > 0):
+        if tag in VOID:
+            if tag in BLOCK:
+                flush()
+            continue
+        block = tag in BLOCK
+        attributes = _attributes("" if ends else m["attrs"] or m["attrs2"] or "")
+        if not block:
+            # Inline elements only count where they are not shown.
+            if not ends and not _hidden(attributes):
                 continue
-            if ends and not any(name == tag for name, _, _ in stack):
+            if ends and not any(o.tag == tag for o in stack):
                 continue
         flush()
-        links = links if tag not in BLOCK else 0
         if ends:
-            if any(name == tag for name, _, _ in stack):
-                while stack[-1][0] != tag:
+            if any(o.tag == tag for o in stack):
+                while stack[-1].tag != tag:
                     leave()
                 leave()
             continue
-        while stack and tag in _AUTO_CLOSE.get(stack[-1][0], ()):
+        while stack and tag in _AUTO_CLOSE.get(stack[-1].tag, ()):
             leave()
-        if tag in VOID:
-            continue
-        f = _is_furniture(tag, m["attrs"] or m["attrs2"] or "", inside + named > 0)
-        c = 0 if f else _content(tag, m["attrs"] or m["attrs2"] or "")
-        stack.append((tag, f, c))
+        held = inside + named > 0
+        f = _is_furniture(tag, attributes, held)
+        suspect = block and not f and _named_so(tag, attributes, held)
+        c = 0 if f else _content(tag, attributes)
+        stack.append(_Open(tag, f, c, len(blocks) if suspect else None))
         furniture += f
         inside += c == 2
         named += c == 1
     flush()
+    while stack:
+        leave()
+    _judge_suspects(blocks, suspects)
     return blocks
 
 
+def _judge_suspects(blocks: list[Block], suspects: list[tuple[int, int]]) -> None:
+    """Blocks of an element named like furniture become furniture, smallest elements first, unless most of the words that are left are inside."""
+    for low, high in sorted(suspects, key=lambda s: s[1] - s[0]):
+        left = sum(b.words for b in blocks if not b.furniture)
+        if 2 * sum(b.words for b in blocks[low:high] if not b.furniture) <= left:
+            for b in blocks[low:high]:
+                b.furniture = True
+
+
 def features(blocks: list[Block]) -> np.ndarray:
     words = np.array([b.words for b in blocks], float)
     links = np.array([b.linked for b in blocks], float) / np.maximum(words, 1)

@@ -95,6 +95,25 @@ def test_tree_fits_its_table():
     assert (html_text.judge(table[:, :-1], html_text.fitted()) == table[:, -1]).all()
 
 
+def test_names_are_evidence_and_no_veto():
+    """Names on wrappers, articles and inline elements lose no text; named furniture beside it still goes."""
+    body = "<p>" + " ".join(["word"] * 30) + "</p><p>" + " ".join(["more"] * 25) + "</p>"
+    text = " ".join(["word"] * 30 + ["more"] * 25)
+    assert html_text.main_text(f'<article class="post type-post category-social tag-search">{body}</article>') == text
+    assert html_text.main_text(f'<div class="layout-sidebar-right"><div class="sidebar">Old posts and links here</div><div class="content">{body}</div></div>') == text
+    assert html_text.main_text(f'<div class="sidebar-right-page"><nav>a b</nav>{body}</div>') == text
+    inline = '<article><p>one <span class="ad-hoc">two</span> <em id="search-term">three</em> <span hidden>gone</span>four</p></article>'
+    assert html_text.main_text(inline) == "one two three four"
+    assert html_text.main_text(f"<article><!--> <p>kept</p> <!-- no --!> <p>too</p><!---><p>also</p>{body}</article>") == f"kept too also {text}"
+    comments = '<section class="comments"><article class="comment"><p>I think so too</p></article><article class="comment"><p>Me as well</p></article></section>'
+    share = '<div class="share-buttons">Share this</div><div id="cookie-banner">We use cookies</div><aside>aside</aside>'
+    assert html_text.main_text(f"<main>{body}{share}{comments}</main>") == text
+    cards = "".join(f"<a href=x{i}><h3>Teaser {i}</h3><p>about it</p></a>" for i in range(3))
+    assert all(b.linked == b.words for b in html_text.text_blocks(cards)) and len(html_text.text_blocks(cards)) == 6
+    open_link = html_text.text_blocks("<ul><li><a href=x>never closed<li>free</ul><p>after it</p>")
+    assert [(b.words, b.linked) for b in open_link] == [(2, 2), (1, 0), (2, 0)]
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "x"), (None, "v", "", "x")], "page_id long, url string, html string, text string")
     got = html_text.extract(pages)
