@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.catalog import Feature
@@ -76,17 +76,30 @@ def _payload(df: DataFrame, key: str) -> list[str]:
     return [c for c in df.columns if c != key]
 
 
+# Bits of a mask column that are used.
+MASK_BITS = 62
+
+
+def bit_of(i: int) -> tuple[int, int]:
+    """Mask column and bit of the i-th frame."""
+    return i // MASK_BITS, 1 << (i % MASK_BITS)
+
+
+def mask_columns(prefix: str, n: int, i: int | None = None) -> list[Column]:
+    """Mask columns for n frames, with the bit of frame ``i`` set."""
+    word, bit = bit_of(i) if i is not None else (-1, 0)
+    return [F.lit(bit if w == word else 0).cast("long").alias(f"{prefix}{w}") for w in range(-(-n // MASK_BITS))]
+
+
 def _membership(frames: Sequence[DataFrame], key: str) -> DataFrame:
-    """One row per key with a bit mask of the frames that hold it.
+    """One row per key with bit masks of the frames that hold it.
 
-    Only the key column is scanned, and the mask is combined on the map side,
+    Only the key column is scanned, and the masks are combined on the map side,
     so a key that repeats millions of times ships one row per task.
     """
-    tagged = [
-        f.select(key, F.lit(1 << i).cast("long").alias("mask")).filter(F.col(key).isNotNull())
-        for i, f in enumerate(frames)
-    ]
-    return functools.reduce(DataFrame.unionAll, tagged).groupBy(key).agg(F.bit_or("mask").alias("mask"))
+    tagged = [f.select(key, *mask_columns("_mask", len(frames), i)).filter(F.col(key).isNotNull()) for i, f in enumerate(frames)]
+    masks = [c for c in tagged[0].columns if c != key]
+    return functools.reduce(DataFrame.unionAll, tagged).groupBy(key).agg(*[F.bit_or(m).alias(m) for m in masks])
 
 
 def _padded_join(frames: Sequence[DataFrame], key: str, required: Sequence[int]) -> DataFrame:
@@ -100,10 +113,11 @@ def _padded_join(frames: Sequence[DataFrame], key: str, required: Sequence[int])
     Catalyst delete the padding and leaves the plain inner joins.
     """
     members = _membership(frames, key)
-    need = sum(1 << i for i in required)
+    there = [f"_mask{w} & {bit}L <> 0" for w, bit in map(bit_of, required)]
     joined = None
     for i, f in enumerate(frames):
-        absent = f"mask & {1 << i}L = 0" + (f" AND mask & {need}L = {need}L" if need else "")
+        word, bit = bit_of(i)
+        absent = " AND ".join([f"_mask{word} & {bit}L = 0", *there])
         cols = _payload(f, key)
         side = f
         if i not in required:

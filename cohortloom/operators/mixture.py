@@ -30,6 +30,8 @@ PROBABILITY_FLOOR = 1e-10
 VARIANCE_FLOOR = 1e-6
 # Distinct profiles per class from which the starts of every fit are chosen.
 START_POOL = 24
+# Rows read for each profile of the pool before all rows are grouped by profile.
+START_SPARE = 4
 
 
 @dataclass(frozen=True)
@@ -282,8 +284,13 @@ def _start(df: DataFrame, key: str, d: Descriptor, fits: Sequence[tuple[int, int
     pool = START_POOL * max(k for k, _, _ in fits)
     digest = F.expr(f"xxhash64({', '.join(map(quoted, d.columns))})")
     order = F.concat(hash_order(key, seed), F.hex(digest))
-    first = df.select(*d.columns, order.alias("_h")).groupBy(*d.columns).agg(F.min("_h").alias("_h"))
-    rows: list[Row] = first.orderBy("_h").limit(pool).select(*d.columns).collect()
+    ordered = df.select(*d.columns, order.alias("_h"))
+    # Rows in the order of their hashes show the first distinct profiles; only where rows repeat too much are all of them grouped.
+    rows: list[Row] = list(dict.fromkeys(r[:-1] for r in ordered.orderBy("_h").limit(START_SPARE * pool).collect()))[:pool]
+    if len(rows) < pool:
+        first = ordered.groupBy(*d.columns).agg(F.min("_h").alias("_h"))
+        rows = [tuple(r) for r in first.orderBy("_h").limit(pool).select(*d.columns).collect()]
+    rows = [Row(*d.columns)(*r) for r in rows]
     profiles = _profiles(rows, d, mean, var)
     rng = np.random.default_rng(seed)
     out = []

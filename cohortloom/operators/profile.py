@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterable, Mapping, Sequence
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.sql import named, present, quoted
+from cohortloom.operators.frame import bit_of, mask_columns
 from cohortloom.session import ship_package
 
 
@@ -178,32 +180,23 @@ def pair_counts(memberships: Mapping[str, DataFrame], key: str, targets: Mapping
 
     ``memberships`` maps a question instrument to its complete subjects and
     ``targets`` a score instrument to its scored subjects.  Each subject becomes
-    two bit masks first, so one aggregation serves every pair.
+    bit masks first, so one aggregation serves every pair.
     """
-    parts = [(f, 1 << i, 0) for i, f in enumerate(memberships.values())]
-    parts += [(f, 0, 1 << i) for i, f in enumerate(targets.values())]
-    stacked = None
-    for f, q, s in parts:
-        tagged = f.select(key, F.lit(q).cast("long").alias("q"), F.lit(s).cast("long").alias("s"))
-        stacked = tagged if stacked is None else stacked.unionAll(tagged)
-    masks = (
-        stacked.groupBy(key)
-        .agg(F.bit_or("q").alias("q"), F.bit_or("s").alias("s"))
-        .groupBy("q", "s")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    pairs = [
-        F.struct(F.lit(x).alias("question_inst"), F.lit(y).alias("score_inst"),
-                 F.lit(1 << i).cast("long").alias("qb"), F.lit(1 << j).cast("long").alias("sb"))
-        for i, x in enumerate(memberships)
-        for j, y in enumerate(targets)
-        if x != y
-    ]
-    exploded = masks.select("q", "s", "n", F.explode(F.array(*pairs)).alias("p"))
-    both = (F.col("q").bitwiseAND(F.col("p.qb")) != 0) & (F.col("s").bitwiseAND(F.col("p.sb")) != 0)
-    return exploded.groupBy("p.question_inst", "p.score_inst").agg(
-        F.coalesce(F.sum(F.when(both, F.col("n"))), F.lit(0)).cast("long").alias("n")
-    )
+    n = max(len(memberships), len(targets))
+    sides = [(f, i, None) for i, f in enumerate(memberships.values())] + [(f, None, i) for i, f in enumerate(targets.values())]
+    tagged = [f.select(key, *mask_columns("_q", n, q), *mask_columns("_s", n, s)) for f, q, s in sides]
+    masks = [c for c in tagged[0].columns if c != key]
+    per_key = functools.reduce(DataFrame.unionAll, tagged).groupBy(key).agg(*[F.bit_or(m).alias(m) for m in masks])
+    seen = per_key.groupBy(*masks).agg(F.count(F.lit(1)).alias("_n"))
+    both = []
+    for i, x in enumerate(memberships):
+        for j, y in enumerate(targets):
+            if x != y:
+                (qw, qb), (sw, sb) = bit_of(i), bit_of(j)
+                held = f"(_q{qw} & {qb}L) <> 0 AND (_s{sw} & {sb}L) <> 0"
+                both.append(F.struct(F.lit(x).alias("question_inst"), F.lit(y).alias("score_inst"), F.expr(f"IF({held}, _n, 0L)").alias("n")))
+    exploded = seen.select(F.inline(F.array(*both)))
+    return exploded.groupBy("question_inst", "score_inst").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
 
 
 def matrix(df: DataFrame, rows: Sequence[str], column: str, codes: Sequence[str], value: str) -> DataFrame:

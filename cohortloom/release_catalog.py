@@ -65,32 +65,32 @@ CBCL_1_5_SUBSCALES = (
 )
 
 PLAIN_INSTRUMENTS = (
+    ("bms", "basic_medical_screening"),
     ("aci", "approximated_cognitive_impairment"),
     ("adi", "area_deprivation_index"),
-    ("ados_2_1", "ados/ados_2_module_1"),
-    ("ados_2_2", "ados/ados_2_module_2"),
-    ("ados_2_3", "ados/ados_2_module_3"),
-    ("ados_2_4", "ados/ados_2_module_4"),
-    ("ados_2_t", "ados/ados_2_toddler"),
-    ("ados_o_1", "ados/ados_original_module_1"),
-    ("ados_o_2", "ados/ados_original_module_2"),
-    ("ados_o_3", "ados/ados_original_module_3"),
-    ("ados_o_4", "ados/ados_original_module_4"),
     ("asr", "asr"),
     ("bha", "background_history_adult"),
     ("bhc", "background_history_child"),
     ("bhs", "background_history_sibling"),
-    ("bms", "basic_medical_screening"),
-    ("cdv", "core_descriptive_variables"),
     ("clr", "clinical_lab_results"),
-    ("iq", "iq"),
+    ("cdv", "core_descriptive_variables"),
     ("ir", "individuals_registration"),
+    ("iq", "iq"),
     ("roles", "roles"),
     ("srgd", "self_reported_genetic_diagnosis"),
     ("srs_2_asr", "srs-2_adult_self_report"),
-    ("srs_2_da", "srs2_dependent_adult"),
+    ("srs_2_DA", "srs2_dependent_adult"),
     ("srs_2_sa", "srs2_school_age"),
     ("v3", "vineland-3"),
+    ("ados_o_1", "ados/ados_original_module_1"),
+    ("ados_o_2", "ados/ados_original_module_2"),
+    ("ados_o_3", "ados/ados_original_module_3"),
+    ("ados_o_4", "ados/ados_original_module_4"),
+    ("ados_2_t", "ados/ados_2_toddler"),
+    ("ados_2_1", "ados/ados_2_module_1"),
+    ("ados_2_2", "ados/ados_2_module_2"),
+    ("ados_2_3", "ados/ados_2_module_3"),
+    ("ados_2_4", "ados/ados_2_module_4"),
 )
 
 # Columns the child and sibling background histories share and the preparation keeps.

@@ -183,6 +183,38 @@ def registry_one_column(spark, sf):
     return rounded(cross_validate(spark, prices(spark, sf), ["x"], "y", "fold", models), 8, "r2")
 
 
+# Two columns: the normal equations of each fold in closed form.
+TWO_SQL = (
+    "pair AS (SELECT o_orderkey AS subject, substr(o_orderpriority, 1, 1)::DOUBLE AS u, (o_custkey % 10)::DOUBLE AS v, o_totalprice::DOUBLE AS y FROM orders),"
+    f" folded AS (SELECT *, {folds_sql('pair', 'subject')} AS fold FROM pair),"
+    " train AS (SELECT f.fold, avg(u) AS mu, avg(v) AS mv, avg(y) AS my, var_pop(u) AS suu, var_pop(v) AS svv, covar_pop(u, v) AS suv, covar_pop(u, y) AS suy, covar_pop(v, y) AS svy,"
+    " count(*) AS n FROM (SELECT DISTINCT fold FROM folded) f JOIN folded p ON p.fold <> f.fold GROUP BY f.fold)"
+)
+
+
+def _two_sql(model: str, u: str, v: str) -> str:
+    return (
+        f"SELECT '{model}' AS model, fold::INTEGER AS fold, round(1 - sum(power(y - (my + ({u}) * (u - mu) + ({v}) * (v - mv)), 2)) / (var_pop(y) * count(*)), 8) AS r2"
+        " FROM folded JOIN train USING (fold) GROUP BY fold"
+    )
+
+
+# Ridge acts on columns of unit variance, whose moments are n times their correlations.
+_RUV, _RUY, _RVY = "n * suv / sqrt(suu * svv)", "n * suy / sqrt(suu)", "n * svy / sqrt(svv)"
+_RIDGE_DET = f"((n + 1) * (n + 1) - ({_RUV}) * ({_RUV}))"
+_TWO_MODELS = {
+    "Linear": ("(suy * svv - svy * suv) / (suu * svv - suv * suv)", "(svy * suu - suy * suv) / (suu * svv - suv * suv)"),
+    "Ridge": (f"(({_RUY}) * (n + 1) - ({_RVY}) * ({_RUV})) / {_RIDGE_DET} / sqrt(suu)", f"(({_RVY}) * (n + 1) - ({_RUY}) * ({_RUV})) / {_RIDGE_DET} / sqrt(svv)"),
+}
+
+
+@query("two_column_scores", "B3 G1 G2 G7", f"WITH {TWO_SQL} " + " UNION ALL ".join(_two_sql(m, u, v) for m, (u, v) in _TWO_MODELS.items()))
+def two_columns(spark, sf):
+    df = read(spark, sf, "orders").selectExpr(f"o_orderkey AS {KEY}", "CAST(substring(o_orderpriority, 1, 1) AS DOUBLE) AS u", "CAST(o_custkey % 10 AS DOUBLE) AS v", "CAST(o_totalprice AS DOUBLE) AS y")
+    models = {m: linear_models()[m] for m in _TWO_MODELS}
+    return rounded(cross_validate(spark, assign_folds(df, KEY, 5, seed=1).persist(), ["u", "v"], "y", "fold", models), 8, "r2")
+
+
 # Predictability over instruments with one question each.
 SINGLE = {"PROFILE": ("nationkey", "acctbal"), "ORDERS": ("p1", "total"), "LINES": ("q_af", "extended")}
 SINGLE_PAIRS = [(x, y) for x in SINGLE for y in SINGLE if x != y]

@@ -35,6 +35,22 @@ def test_preparation_lists_follow_the_rule():
     assert len(lists["BHC"]) == 28
 
 
+def test_preparation_lists_have_their_lengths():
+    """A release table has 40, 43 and 119 question columns for these three."""
+    columns = {
+        "SCQ": [f"q{i:02d}_x" for i in range(1, 41)],
+        "RBSR": [f"q{i:02d}_x" for i in range(1, 44)],
+        "CBCL_6_18": [*(f"q{i:03d}_x" for i in range(1, 119)), "q056_h_other"],
+    }
+    lists = preparation_features(release_catalog().resolved(columns))
+    assert {code: len(features) for code, features in lists.items()} == {"SCQ": 44, "RBSR": 51, "CBCL_6_18": 144, "BHC": 28, "BHS": 28}
+
+
+def test_plain_instruments_keep_the_order_of_a_release():
+    codes = release_catalog().codes
+    assert codes[:6] == ["DCDQ", "RBSR", "SCQ", "CBCL_6_18", "CBCL_1_5", "BMS"] and codes[-1] == "ADOS_2_4"
+
+
 def test_feature_sets_and_pairs():
     catalog = Catalog(
         [Instrument("a", "a", ("q1", "q2"), None, "s"), Instrument("b", "b", ("q3",), None, None), Instrument("c", "c", None, None, "t")],

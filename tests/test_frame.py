@@ -127,3 +127,19 @@ def test_thousands_match_binary_rounding(spark):
 
 def test_helpers_return_frames(frames):
     assert isinstance(keyed_join(frames, "id"), DataFrame)
+
+
+def test_more_frames_than_a_mask_has_bits(spark):
+    """Outer joins and pair counts of seventy frames."""
+    from cohortloom.operators.profile import pair_counts
+
+    frames = [spark.createDataFrame([(i % 3, i), (7, -i)], f"id long, c{i} long") for i in range(70)]
+    rows = {r["id"]: r for r in keyed_join(frames[60:70], "id").collect()}
+    assert set(rows) == {0, 1, 2, 7} and rows[7]["c69"] == -69 and rows[0]["c69"] == 69 and rows[0]["c67"] is None
+    from cohortloom.operators import frame as own
+
+    held = {r["id"]: r for r in own._membership(frames, "id").collect()}
+    assert held[7]["_mask0"] == 2**62 - 1 and held[7]["_mask1"] == 2**8 - 1 and held[0]["_mask1"] == sum(1 << (i - 62) for i in range(62, 70) if i % 3 == 0)
+    named = {f"I{i}": f.select("id") for i, f in enumerate(frames)}
+    counts = {(r["question_inst"], r["score_inst"]): r["n"] for r in pair_counts(named, "id", {k: named[k] for k in ("I1", "I68")}).collect()}
+    assert counts["I69", "I68"] == 1 and counts["I65", "I68"] == 2 and counts["I0", "I1"] == 1 and len(counts) == 138
