@@ -1,10 +1,11 @@
 """Removal of repeated passages with a logarithmic family of suffix arrays.
 
 Every byte window of ``length`` bytes that occurs twice contains the same anchor: the least-hashed short gram inside it, at the same
-place. So only windows around repeated anchors can repeat, and these are brought together by anchor. In a task the windows (the
-suffixes that start there, to ``length`` bytes) of each new batch are sorted into an array, merge-scanned against the arrays of the
-family for equal starts, and join the family, where arrays of similar size merge geometrically. Anchors with very many
-places are dealt over several tasks; what these find unique meets once more, by window.
+place. So only windows around repeated anchors can repeat, and these are brought together by anchor. Every task holds one family: the
+windows (the suffixes that start there, to ``length`` bytes) of each new batch are sorted into an array, merge-scanned against all arrays of
+the family for equal starts, and join it, where arrays of similar size merge geometrically. Arrays are in the order of a digest of the
+window, since only equality is asked for. Anchors with very many places are dealt over several tasks; what these hold at the end meets once
+more, by window.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ LENGTH = 200
 GRAM = 32
 # Places of one anchor that a task takes at most (on average); more are dealt over further tasks.
 ANCHOR_PLACES = 4096
-TASK_BYTES = 16 << 20
+# Bytes around repeated anchors that one task takes: its family holds a window for each at most.
+TASK_BYTES = 6 << 20
 _SEGMENT = 1 << 21
 _PLACE_BITS = 22
 _U = np.uint64
@@ -156,38 +158,52 @@ def _adjacent(rows: DataFrame) -> DataFrame:
 
 
 class Family:
-    """Sorted arrays of distinct window starts, each array at least twice as long as the next."""
+    """Sorted arrays of distinct windows (halves ``a`` and ``b`` of their digests), each array at least twice as long as the next."""
 
     def __init__(self) -> None:
         self.levels: list[dict[str, np.ndarray]] = []
+        self.batches = 0
 
     def add(self, batch: dict[str, np.ndarray]) -> list[dict[str, np.ndarray]]:
         """Take in sorted distinct windows; returns the windows, of the batch and of the family, that turn out to repeat for the first time."""
+        self.batches += 1
         found = []
         for level in self.levels:
-            # Runs of equal first halves are compared by their second halves, entry by entry.
-            at = np.searchsorted(level["key"], batch["key"])
-            hit = at < len(level["key"])
-            hit[hit] = level["key"][at[hit]] == batch["key"][hit]
+            old = _same(level, batch)
+            hit = old >= 0
             if hit.any():
-                old = at[hit]
+                old = old[hit]
                 fresh = ~level["known"][old]
                 found.append({k: level[k][old[fresh]] for k in ("name", "start")})
                 level["known"][old] = True
                 mine = np.flatnonzero(hit)
-                fresh = ~batch["known"][mine]
-                found.append({k: batch[k][mine[fresh]] for k in ("name", "start")})
-                batch["known"][mine] = True
+                found.append({k: batch[k][mine[~batch["known"][mine]]] for k in ("name", "start")})
                 batch = {k: v[~hit] for k, v in batch.items()}
-        while self.levels and len(self.levels[-1]["key"]) < 2 * max(1, len(batch["key"])):
+        while self.levels and len(self.levels[-1]["a"]) < 2 * max(1, len(batch["a"])):
             other = self.levels.pop()
             merged = {k: np.concatenate([other[k], batch[k]]) for k in batch}
-            order = np.argsort(merged["key"], kind="stable")
+            order = np.lexsort((merged["b"], merged["a"]))
             batch = {k: v[order] for k, v in merged.items()}
         self.levels.append(batch)
         return found
 
 
+def _same(level: dict[str, np.ndarray], batch: dict[str, np.ndarray]) -> np.ndarray:
+    """Place in a level of the equal window of every window of a batch, -1 where there is none."""
+    out = np.full(len(batch["a"]), -1)
+    at = np.searchsorted(level["a"], batch["a"])
+    left = np.arange(len(at))
+    while len(left):
+        # Equal first halves are nearly always the same window; where they are not, the next entry is looked at.
+        left = left[at[left] < len(level["a"])]
+        left = left[level["a"][at[left]] == batch["a"][left]]
+        equal = level["b"][at[left]] == batch["b"][left]
+        out[left[equal]] = at[left[equal]]
+        left = left[~equal]
+        at[left] += 1
+    return out
+
+
 def window_keys(data: np.ndarray, length: int) -> np.ndarray:
     """A sortable 128-bit digest of the ``length`` bytes from each place on."""
     out = np.empty(max(0, len(data) - length + 1), np.dtype("V16"))
@@ -211,7 +227,7 @@ _FOUND = "name long, start long, stop long, a long, b long, known boolean"
 
 
 def _scan(length: int):
-    """Task function over rows (anchor, salt, many, name, first, context) sorted by anchor and salt."""
+    """Task function over rows (anchor, salt, many, name, first, context): one family takes the windows of all of them."""
 
     def spans(found: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         if found and sum(len(f["name"]) for f in found):
@@ -220,74 +236,42 @@ def _scan(length: int):
             yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(start), pa.array(stop), nothing, nothing, pa.nulls(len(name), pa.bool_())], names=["name", "start", "stop", "a", "b", "known"])
 
     def rest(family: Family) -> Iterator[pa.RecordBatch]:
+        """Windows of anchors that other tasks hold too."""
         for level in family.levels:
-            key = level["key"]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(level["name"]), pa.array(level["start"]), pa.array(level["start"] + length), pa.array(key["a"].view(np.int64)), pa.array(key["b"].view(np.int64)), pa.array(level["known"])],
-                names=["name", "start", "stop", "a", "b", "known"],
-            )
+            w = {k: v[level["many"]] for k, v in level.items()}
+            if len(w["a"]):
+                columns = [w["name"], w["start"], w["start"] + length, w["a"].view(np.int64), w["b"].view(np.int64), w["known"]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["name", "start", "stop", "a", "b", "known"])
 
-    def windows(b: pa.RecordBatch) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    def windows(b: pa.RecordBatch) -> dict[str, np.ndarray]:
         data, offsets = text_bytes(b.column(5))
         row = np.repeat(np.arange(b.num_rows), np.diff(offsets))
         at = np.flatnonzero(row[: len(data) - length + 1] == row[length - 1 :]) if len(data) >= length else np.zeros(0, np.int64)
-        owner = row[at]
-        key = window_keys(data, length)[at]
-        return {"key": key, "name": b.column(3).to_numpy()[owner], "start": b.column(4).to_numpy()[owner] + at - offsets[owner], "known": np.zeros(len(at), bool)}, owner
+        owner, key = row[at], window_keys(data, length)
+        return {
+            "a": key["a"][at],
+            "b": key["b"][at],
+            "name": b.column(3).to_numpy()[owner],
+            "start": b.column(4).to_numpy()[owner] + at - offsets[owner],
+            "many": b.column(2).to_numpy(zero_copy_only=False)[owner],
+        }
 
     def array(w: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], list[dict[str, np.ndarray]]]:
         """The sorted array of distinct windows of a batch, and the windows that repeat within it."""
-        order = np.lexsort((w["key"]["b"], w["key"]["a"]))
+        order = np.lexsort((w["b"], w["a"]))
         w = {k: v[order] for k, v in w.items()}
         same = np.zeros(len(order) + 1, bool)
-        same[1:-1] = w["key"][1:] == w["key"][:-1]
-        twice = same[:-1] | same[1:]
-        w["known"] = twice
-        return {k: v[~same[:-1]] for k, v in w.items()}, [{k: w[k][twice] for k in ("name", "start")}]
+        same[1:-1] = (w["a"][1:] == w["a"][:-1]) & (w["b"][1:] == w["b"][:-1])
+        w["known"] = same[:-1] | same[1:]
+        return {k: v[~same[:-1]] for k, v in w.items()}, [{k: w[k][w["known"]] for k in ("name", "start")}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, group, many = Family(), None, False
+        family = Family()
         for whole in batches:
             for b in slices([whole.select([0, 5, 1, 2, 3, 4])], 1 << 20):
-                b = b.select([0, 2, 3, 4, 5, 1])
-                anchor, salt = b.column(0).to_numpy(), b.column(1).to_numpy()
-                w, owner = windows(b)
-                is_many = b.column(2).to_numpy(zero_copy_only=False)
-                cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])) + 1
-                first_end = int(cut[0]) if len(cut) else b.num_rows
-                last_begin = int(cut[-1]) if len(cut) else 0
-                found: list[dict[str, np.ndarray]] = []
-                if group != (anchor[0], salt[0]):
-                    if many:
-                        yield from rest(family)
-                    family = Family()
-                if last_begin == 0:
-                    part, twice = array(w)
-                    found += twice + family.add(part)
-                else:
-                    # The open group goes on, groups within the batch are whole, the last one stays open.
-                    head, tail = owner < first_end, owner >= last_begin
-                    part, twice = array({k: v[head] for k, v in w.items()})
-                    found += twice + family.add(part)
-                    if many or is_many[0]:
-                        yield from rest(family)
-                    middle = ~head & ~tail
-                    part, twice = array({k: v[middle] for k, v in w.items()})
-                    found += twice
-                    spread = is_many[owner[middle]]
-                    if spread.any():
-                        # Rare: anchors dealt over tasks that are whole here. Their distinct windows go on as well.
-                        part, _ = array({k: v[middle][spread] for k, v in w.items()})
-                        closed = Family()
-                        closed.levels.append(part)
-                        yield from rest(closed)
-                    family = Family()
-                    part, twice = array({k: v[tail] for k, v in w.items()})
-                    found += twice + family.add(part)
-                group, many = (anchor[-1], salt[-1]), bool(is_many[-1])
-                yield from spans(found)
-        if many:
-            yield from rest(family)
+                part, twice = array(windows(b.select([0, 2, 3, 4, 5, 1])))
+                yield from spans(twice + family.add(part))
+        yield from rest(family)
 
     return run
 
@@ -372,7 +356,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     wide = _with_text(texts, lists).select("name", "text", "places")
     wide = wide.mapInArrow(contexts, "anchor long, salt long, many boolean, name long, first long, context binary")
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // TASK_BYTES))
-    dealt = wide.repartition(tasks, "anchor", "salt").sortWithinPartitions("anchor", "salt")
+    dealt = wide.repartition(tasks, "anchor", "salt")
     met = checkpointed(dealt.mapInArrow(_scan(length), _FOUND))
     again = met.where("a IS NOT NULL").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("name", "start", "stop", "known")).alias("own"))
     again = again.where("n > 1").select(F.explode("own").alias("own")).where("NOT own.known").select("own.name", "own.start", "own.stop")

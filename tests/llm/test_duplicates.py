@@ -209,3 +209,32 @@ def test_repeated_keys_with_different_texts_are_sets_of_their_own(spark):
     got = sorted(tuple(r) for r in ngram_join.similar_sets(frame(spark, rows)).collect() if r["doc_id"] is not None)
     n = len(shingle_set(a)), len(shingle_set(b))
     assert got == sorted([(1, n[0], 1, 1, 1), (1, n[1], 1, 1, 1), (2, n[0] + 1, 1, 2, 1), (3, n[1] + 1, 1, 3, 1), (4, 2, 4, 4, 0), (4, 2, 4, 4, 0), (6, 0, 6, 6, 0)])
+
+
+def test_every_batch_passes_the_family(monkeypatch):
+    """Batches are merge-scanned against all levels; levels at least halve; equal first halves are told apart by the second."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    made = []
+
+    class Counted(repeated_passages.Family):
+        def __init__(self):
+            super().__init__()
+            made.append(self)
+
+    monkeypatch.setattr(repeated_passages, "Family", Counted)
+    monkeypatch.setattr(repeated_passages, "slices", lambda batches, most: (b.slice(i, 3) for b in batches for i in range(0, b.num_rows, 3)))
+    texts = [rng.integers(97, 99, 40).astype(np.uint8).tobytes() for _ in range(30)]
+    texts += texts[:5]
+    columns = [pa.array([1] * 35), pa.array([0] * 35), pa.array([False] * 35), pa.array(range(35)), pa.array([0] * 35), pa.array(texts, pa.binary())]
+    batch = pa.RecordBatch.from_arrays([c.cast(pa.int64()) if pa.types.is_integer(c.type) else c for c in columns], names=["anchor", "salt", "many", "name", "first", "context"])
+    found = {(n, s) for b in repeated_passages._scan(12)([batch]) for n, a, z in zip(*(b.column(i).to_pylist() for i in range(3))) for s in range(a, z)}
+    every = collections.Counter(t[i : i + 12] for t in texts for i in range(29))
+    assert found == {(n, i + j) for n, t in enumerate(texts) for i in range(29) if every[t[i : i + 12]] > 1 for j in range(12)}
+    (family,) = made
+    sizes = [len(level["a"]) for level in family.levels]
+    assert family.batches == 12 and all(x >= 2 * y for x, y in zip(sizes, sizes[1:])) and sum(sizes) == len(every)
+    level = {"a": np.array([1, 5, 5, 5, 9], np.uint64), "b": np.array([0, 1, 2, 3, 0], np.uint64)}
+    batch = {"a": np.array([0, 5, 5, 9, 9], np.uint64), "b": np.array([0, 3, 4, 0, 1], np.uint64)}
+    assert repeated_passages._same(level, batch).tolist() == [-1, 3, -1, 4, -1]
