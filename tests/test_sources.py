@@ -1,8 +1,13 @@
+import time
+from concurrent.futures import ThreadPoolExecutor
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import types as T
 
 from cohortloom.catalog import Catalog, Feature, Instrument
 from cohortloom.cohort import Cohort, read_and_join
+from cohortloom.session import ship_package
 from cohortloom.sources.release import convert_release, instrument_path, read_csv, read_id_list, release_date
 from cohortloom.sources.store import cache_path, checkpointed, ensure_checkpoint_dir, materialize
 
@@ -104,3 +109,17 @@ def test_csv_quotes_and_types(spark, tmp_path):
     from pyspark.sql.types import StructType
 
     assert [r["n"] for r in read_csv(spark, str(path), "id", StructType.fromDDL(schema), multi_line=True).orderBy("id").collect()] == [3, 4, None]
+
+
+def test_package_is_shipped_once_from_many_threads():
+    """A cluster refuses a second file of the same name under another path."""
+    sent = []
+
+    def add(path):
+        time.sleep(0.05)
+        sent.append(path)
+
+    session = SimpleNamespace(sparkContext=SimpleNamespace(applicationId="app-of-threads", addPyFile=add))
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        list(pool.map(ship_package, [session] * 4))
+    assert len(sent) == 1
