@@ -82,17 +82,19 @@ def stacked_history(cohort: Cohort, history: History) -> DataFrame:
 
 
 def wide_frame(cohort: Cohort, spec: PrepareSpec, ids: DataFrame | None = None) -> DataFrame:
-    """Joined, filtered, recoded rows: one lazy plan.
+    """Joined, filtered, recoded rows.
 
     The id filter reads only the key, so it shrinks every table ahead of the joins; column pruning and row dropping see the same rows.
+    Every operator of a stage holds memory of its own, and the padded joins read their inputs more than once: the ids and the rows ahead
+    of the left join are written down, so that no stage repeats them.
     """
     if ids is not None:
-        cohort = cohort.restricted(ids)
+        cohort = cohort.restricted(checkpointed(ids.select(cohort.key).distinct()))
     df = cohort.join(spec.features, "outer")
     df = within(df, spec.ranges, spec.below)
     if spec.history is not None:
         # The filters only read instrument columns, so they come before the left join.
-        df = keyed_join([df, stacked_history(cohort, spec.history)], cohort.key, "left")
+        df = keyed_join([checkpointed(df), stacked_history(cohort, spec.history)], cohort.key, "left")
     return recode(df.drop(*spec.ephemeral), spec.rules)
 
 

@@ -11,7 +11,7 @@ from cohortloom.operators.regress import Linear, cross_validate, linear_models,
 from cohortloom.plans.latent import class_sweep, latent_class_job, optimal_k_job
 from cohortloom.plans.phenotype import phenotype_job
 from cohortloom.plans.predictability import predictability, regression_job
-from cohortloom.plans.prepare import prepare, release_spec
+from cohortloom.plans.prepare import prepare, release_spec, wide_frame
 from cohortloom.release_catalog import HISTORY_COLUMNS, release_catalog
 
 X = ["x0", "x1", "x2"]
@@ -221,6 +221,14 @@ def test_release_preparation_matches_pandas(spark, release_cohort):
     assert sampled.df.count() == round(0.5 * len(want))
 
 
+def test_no_stage_of_the_preparation_repeats_the_joins(release_cohort):
+    """The plan ahead of the profile reads written rows: with the joins repeated in it, one task held the memory of dozens of operators."""
+    codes = release_cohort.tables
+    ids = codes["SCQ"].select(release_cohort.key)
+    plan = wide_frame(release_cohort, release_spec(release_cohort), ids)._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count("Sort [") + plan.count("HashAggregate(") <= 16
+
+
 def test_latent_class_job_stores_parameters(spark, release_cohort, tmp_path):
     path, labels = latent_class_job(release_cohort, release_spec(release_cohort), str(tmp_path), n_components=2, max_iter=5)
     assert spark.read.parquet(path).filter("parameter = 'share'").count() == 2 and labels.count() > 10
