@@ -273,3 +273,38 @@ def test_sums_travel_as_chunks(spark, monkeypatch):
         got = passes.sum_statistics(df, 2.0, statistics, [2, 23], tasks)
         assert got[0].tolist() == [1560.0, 78.0] and got[1][7] == 40 and got[1][22] == 780 and np.count_nonzero(got[1]) == 2
     assert [(n, p is None) for n, p, _ in passes.chunked(np.r_[np.zeros(5), 1.0, np.zeros(4), np.ones(3)], 5)] == [(1, False), (2, True)]
+
+
+def test_sweeps_use_every_core(spark, blobs):
+    """Points of one file or row group are dealt over all cores before the scans of a sweep."""
+    from cohortloom.plans.phenotype import _scaled
+
+    df = frame(spark, blobs[0]).coalesce(1)
+    with _scaled(df, COLS) as (x, _, n):
+        sizes = x.rdd.glom().map(len).collect()
+    assert sum(sizes) == n and len(sizes) >= spark.sparkContext.defaultParallelism
+    assert max(sizes) <= n / len(sizes) + len(sizes)
+
+
+def test_densities_from_features_equal_whitened_ones():
+    """All mixtures of a sweep share one product; covariances too narrow for that stay whitened, with the same statistics."""
+    import pyarrow as pa
+
+    from cohortloom.operators import cluster
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 4))
+    fits = []
+    for k, width in ((2, 1.0), (3, 1e-6), (4, 0.2)):
+        root = rng.normal(size=(k, 4, 4))
+        fits.append(cluster.GaussianParams(rng.dirichlet(np.ones(k)), rng.normal(size=(k, 4)), width * (root @ root.transpose(0, 2, 1) + np.eye(4))))
+    state = cluster._densities_of(fits, float(np.abs(x).max()))
+    assert [isinstance(s, np.ndarray) for s in state] == [True, False, True]
+    got = cluster._soft_statistics(pa.RecordBatch.from_arrays([pa.array(list(x))], names=["x"]), state)
+    for p, flat in zip(fits, got):
+        joint = cluster._component_log_density(x, cluster.Whitened.of(p))
+        ll = cluster._log_sum_exp(joint)
+        r = np.exp(joint - ll[:, None])
+        upper = np.triu_indices(4)
+        second = [((x * r[:, [c]]).T @ x)[upper] for c in range(r.shape[1])]
+        np.testing.assert_allclose(flat, np.concatenate([[ll.sum()], r.sum(0), (r.T @ x).ravel(), *second]), rtol=1e-9, atol=1e-9)
