@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions.numeric import hash_order
 from cohortloom.functions.sql import named, quoted
-from cohortloom.operators.passes import batched_by_size, doubles, sum_statistics
+from cohortloom.operators.passes import batched_by_size, doubles, partitions_for, spread, sum_statistics
 from cohortloom.operators.scale import vector_moments
 from cohortloom.session import ship_package
 
@@ -176,20 +176,103 @@ def _statistics(layout: _Layout, fit: MixtureFit, parts: tuple) -> np.ndarray:
     return np.concatenate([x.ravel() for x in pieces])
 
 
+# Numbers that the fits of one size hold at once in a task (8 MB), and the most rounding of a log density that may come from products of columns.
+_CHUNK_VALUES = 1_000_000
+_FEATURE_ROUNDING = 1e-9
+
+
+def _coefficients(layout: _Layout, fits: Sequence[MixtureFit]) -> np.ndarray:
+    """Features x (classes, fits): the log densities of fits of one size are products with one, binary, continuous, squared and level columns."""
+    p = np.clip([f.p_binary for f in fits], PROBABILITY_FLOOR, 1.0 - PROBABILITY_FLOOR)
+    mean, variance = np.array([f.mean for f in fits]) - layout.centre, np.array([f.variance for f in fits])
+    constant = np.log1p(-p).sum(2) - 0.5 * (np.log(2.0 * np.pi * variance) + mean * mean / variance).sum(2)
+    levels = np.log(np.maximum([f.p_levels for f in fits], PROBABILITY_FLOOR))
+    every = np.concatenate([constant[:, :, None], np.log(p) - np.log1p(-p), mean / variance, -0.5 / variance, levels], axis=2)
+    return every.transpose(2, 1, 0).reshape(every.shape[2], -1)
+
+
+def _normalized(joint: np.ndarray) -> np.ndarray:
+    """Rows x classes x fits of logarithms become shares of the classes, in place; returns the logarithms of their sums."""
+    top = joint.max(axis=1, keepdims=True)
+    joint -= top
+    np.exp(joint, out=joint)
+    total = joint.sum(axis=1, keepdims=True)
+    joint /= total
+    return (top + np.log(total))[:, 0]
+
+
+def _sized_statistics(layout: _Layout, fits: Sequence[MixtureFit], parts: tuple) -> list[np.ndarray]:
+    """``_statistics`` of many fits with equally many classes: they share the products of their columns."""
+    k, g, q, ng = fits[0].k, len(fits), layout.q, len(layout.d.continuous)
+    theta = _coefficients(layout, fits)
+    beta = np.array([f.beta for f in fits]).transpose(2, 1, 0).reshape(q, k * g)
+    ll, zz = np.zeros(g), np.zeros((q, q))
+    acc, gradient = np.zeros((k * g, len(theta))), np.zeros((k * g, q))
+    curve, cross = np.zeros((k * g, q * q)), np.zeros((g, k * q, k * q))
+    step = max(16, _CHUNK_VALUES // (k * g * q))
+    for low in range(0, len(parts[0]), step):
+        binary, gauss, hot, z = (x[low : low + step] for x in parts)
+        m = len(z)
+        features = np.hstack([np.ones((m, 1)), binary, gauss, gauss * gauss, hot])
+        prior = (z @ beta).reshape(m, k, g)
+        prior -= _log_sums(prior)[:, None]
+        r = (features @ theta).reshape(m, k, g) + prior
+        p = np.exp(prior)
+        ll += _normalized(r).sum(0)
+        acc += r.reshape(m, -1).T @ features
+        gradient += (r - p).reshape(m, -1).T @ z
+        squares = (z[:, :, None] * z[:, None, :]).reshape(m, -1)
+        zz += squares.sum(0).reshape(q, q)
+        curve += p.reshape(m, -1).T @ squares
+        shares = (p.transpose(2, 0, 1)[:, :, :, None] * z[None, :, None, :]).reshape(g, m, k * q)
+        cross += shares.transpose(0, 2, 1) @ shares
+    nb, at = len(layout.d.binary), 1 + len(layout.d.binary)
+    acc, gradient, curve = acc.reshape(k, g, -1), gradient.reshape(k, g, q), curve.reshape(k, g, q, q)
+    out = []
+    for i in range(g):
+        hessian = -cross[i].reshape(k, q, k, q).transpose(0, 2, 1, 3)
+        hessian[np.arange(k), np.arange(k)] += curve[:, i]
+        own = acc[:, i]
+        pieces = [
+            ll[i : i + 1], own[:, 0], own[:, 1 : 1 + nb], own[:, at : at + ng], own[:, at + ng : at + 2 * ng], own[:, at + 2 * ng :],
+            gradient[:, i], hessian, zz,
+        ]
+        out.append(np.concatenate([x.ravel() for x in pieces]))
+    return out
+
+
+def _log_sums(joint: np.ndarray) -> np.ndarray:
+    top = joint.max(axis=1)
+    return top + np.log(np.exp(joint - top[:, None]).sum(axis=1))
+
+
 def _batch_statistics(batch: pa.RecordBatch, state: tuple) -> list[np.ndarray]:
+    """Fits of one size together; those with a variance too small for products of columns one by one."""
     layout, fits = state
     parts = layout.read(batch)
-    return [_statistics(layout, f, parts) for f in fits]
+    reach = np.abs(parts[1]).max(axis=0, initial=0.0)
+    out: list[np.ndarray] = [np.zeros(0)] * len(fits)
+    sized: dict[int, list[int]] = {}
+    for i, f in enumerate(fits):
+        far = (reach + np.abs(f.mean - layout.centre)) ** 2 / f.variance
+        if np.finfo(float).eps * far.sum(1).max(initial=0.0) <= _FEATURE_ROUNDING:
+            sized.setdefault(f.k, []).append(i)
+        else:
+            out[i] = _statistics(layout, f, parts)
+    for members in sized.values():
+        for i, own in zip(members, _sized_statistics(layout, [fits[i] for i in members], parts), strict=True):
+            out[i] = own
+    return out
 
 
-def _sweep(frame: DataFrame, layout: _Layout, fits: Sequence[MixtureFit]) -> list[dict[str, np.ndarray]]:
+def _sweep(frame: DataFrame, layout: _Layout, fits: Sequence[MixtureFit], tasks: int | None = None) -> list[dict[str, np.ndarray]]:
     """Sufficient statistics of all fits, sharing as few scans as their size allows."""
     wheres = [_slots(layout, f.k) for f in fits]
     sizes = [w["end"][0] for w in wheres]
     out: list[dict[str, np.ndarray]] = []
     for group in batched_by_size(fits, sizes):
         flats = sum_statistics(
-            frame, (layout, [fits[i] for i in group]), _batch_statistics, [sizes[i] for i in group]
+            frame, (layout, [fits[i] for i in group]), _batch_statistics, [sizes[i] for i in group], tasks
         )
         out += [
             {
@@ -202,28 +285,26 @@ def _sweep(frame: DataFrame, layout: _Layout, fits: Sequence[MixtureFit]) -> lis
     return out
 
 
-def _covariate_steps(fit: MixtureFit, s: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Newton step on the membership coefficients, and a slower one that can never lower the likelihood.
+def _covariate_step(fit: MixtureFit, s: dict[str, np.ndarray], safe: bool = False) -> np.ndarray:
+    """Newton step on the membership coefficients, or a slower one that can never lower the likelihood.
 
     The safe step replaces the curvature by a fixed upper bound of it.
     """
     k, q = fit.beta.shape
     grad = s["gradient"][1:].ravel()
     if k == 1:
-        return fit.beta, fit.beta
-    curvature = s["hessian"][1:, 1:].transpose(0, 2, 1, 3).reshape((k - 1) * q, (k - 1) * q)
-    bound = np.kron(0.5 * (np.eye(k - 1) - np.full((k - 1, k - 1), 1.0 / k)), s["zz"])
+        return fit.beta
+    if safe:
+        h = np.kron(0.5 * (np.eye(k - 1) - np.full((k - 1, k - 1), 1.0 / k)), s["zz"])
+    else:
+        h = s["hessian"][1:, 1:].transpose(0, 2, 1, 3).reshape((k - 1) * q, (k - 1) * q)
     ridge = 1e-9 * max(1.0, np.trace(s["zz"])) * np.eye((k - 1) * q)
+    beta = fit.beta.copy()
+    beta[1:] += np.linalg.lstsq(h + ridge, grad, rcond=None)[0].reshape(k - 1, q)
+    return beta
 
-    def step(h: np.ndarray) -> np.ndarray:
-        beta = fit.beta.copy()
-        beta[1:] += np.linalg.lstsq(h + ridge, grad, rcond=None)[0].reshape(k - 1, q)
-        return beta
 
-    return step(curvature), step(bound)
-
-
-def _maximize(layout: _Layout, fit: MixtureFit, s: dict[str, np.ndarray]) -> tuple[MixtureFit, np.ndarray]:
+def _maximize(layout: _Layout, fit: MixtureFit, s: dict[str, np.ndarray]) -> MixtureFit:
     weight = np.maximum(s["n"], 1e-12)[:, None]
     mean = s["sum"] / weight
     start, p_levels = 0, s["hot"].copy()
@@ -231,17 +312,15 @@ def _maximize(layout: _Layout, fit: MixtureFit, s: dict[str, np.ndarray]) -> tup
         block = p_levels[:, start : start + len(v)]
         block /= np.maximum(block.sum(1, keepdims=True), 1e-300)
         start += len(v)
-    newton, safe = _covariate_steps(fit, s)
-    moved = replace(
+    return replace(
         fit,
         p_binary=s["binary"] / weight,
         mean=mean + layout.centre,
         variance=np.maximum(s["square"] / weight - mean * mean, VARIANCE_FLOOR),
         p_levels=p_levels,
-        beta=newton,
+        beta=_covariate_step(fit, s),
         shares=s["n"] / s["n"].sum(),
     )
-    return moved, safe
 
 
 def _profiles(rows: Sequence[Row], d: Descriptor, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
@@ -266,8 +345,8 @@ def _spread_out(x: np.ndarray, k: int, rng: np.random.Generator) -> list[int]:
     return chosen
 
 
-def _start(df: DataFrame, key: str, d: Descriptor, fits: Sequence[tuple[int, int, int]], seed: int) -> tuple[_Layout, list[MixtureFit]]:
-    """Layout and starting values: classes start at distinct rows far apart, blended with the overall profile and slightly shaken."""
+def _start(df: DataFrame, key: str, d: Descriptor, fits: Sequence[tuple[int, int, int]], seed: int) -> tuple[_Layout, list[MixtureFit], int]:
+    """Layout, starting values and the number of rows: classes start at distinct rows far apart, blended with the overall profile and slightly shaken."""
     numeric = [*d.binary, *d.continuous, *d.covariates]
     if numeric:
         n, moments = vector_moments(df, numeric)
@@ -317,7 +396,7 @@ def _start(df: DataFrame, key: str, d: Descriptor, fits: Sequence[tuple[int, int
                 shares=np.full(k, 1.0 / k),
             )
         )
-    return layout, out
+    return layout, out, n
 
 
 @dataclass(frozen=True)
@@ -350,7 +429,7 @@ class _Path:
     def __init__(self, layout: _Layout, start: MixtureFit, tol: float, accelerate: bool):
         self.layout, self.current, self.tol, self.accelerate = layout, start, tol, accelerate
         self.known: MixtureFit | None = None
-        self.slow: np.ndarray | None = None
+        self.slow: Callable[[], np.ndarray] | None = None
         self.steps: list[MixtureFit] = []
         self.ahead: MixtureFit | None = None
         self.done = False
@@ -372,13 +451,14 @@ class _Path:
             if self.slow is None:
                 self.known, self.done = replace(last, converged=True), True
             else:
-                self.current, self.slow = replace(self.current, beta=self.slow), None
+                self.current, self.slow = replace(self.current, beta=self.slow()), None
             return
         elif last is not None and (ll - last.log_likelihood) / n < self.tol:
             self.known, self.done = self._accepted(ll, True), True
             return
         self.known = self._accepted(ll, False)
-        moved, self.slow = _maximize(self.layout, self.known, s)
+        moved, known = _maximize(self.layout, self.known, s), self.known
+        self.slow = lambda: _covariate_step(known, s, safe=True)
         self.steps.append(self.known)
         if self.accelerate and len(self.steps) == 2:
             further = _further(self.steps[0], self.steps[1], moved, self.layout)
@@ -439,18 +519,23 @@ def fit_mixtures(
 ) -> FittedMixtures:
     """Fit every (k, repeat, restart).  ``tol`` is the gain in mean log-likelihood of a plain step that ends a fit.
 
-    Pass a persisted or checkpointed frame: it is scanned once per iteration.
+    The columns are spread over all cores and kept for the scans, one per iteration.
     """
     grid = [(k, r, s) for k in k_values for r in range(repeats) for s in range(restarts)]
-    layout, starts = _start(df, key, descriptor, grid, seed)
-    frame = doubles(df, descriptor.columns)
+    layout, starts, n = _start(df, key, descriptor, grid, seed)
+    width = max(1, len(descriptor.columns))
+    tasks = partitions_for(df.sparkSession, n, width)
+    frame = spread(doubles(df, descriptor.columns), n, width).persist()
     paths = [_Path(layout, start, tol, accelerate) for start in starts]
-    for _ in range(max_iter):
-        running = [p for p in paths if not p.done]
-        if not running:
-            break
-        for path, s in zip(running, _sweep(frame, layout, [p.current for p in running]), strict=True):
-            path.take(s)
+    try:
+        for _ in range(max_iter):
+            running = [p for p in paths if not p.done]
+            if not running:
+                break
+            for path, s in zip(running, _sweep(frame, layout, [p.current for p in running], tasks), strict=True):
+                path.take(s)
+    finally:
+        frame.unpersist()
     # Out of iterations: the last parameters whose likelihood is known stand.
     return FittedMixtures(layout, [p.known or p.current for p in paths])
 

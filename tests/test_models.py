@@ -362,3 +362,34 @@ def test_preparation_without_filters(spark):
 
     df = spark.createDataFrame([(1, None), (2, 3.0)], "id int, x double")
     assert within(df, {}).count() == 2 and within(df, {"x": (1, 5)}).count() == 1
+
+
+def test_fits_of_one_size_share_their_products():
+    """Statistics of many mixtures from shared products equal those one by one, also where a variance is too small for products."""
+    import pyarrow as pa
+
+    from cohortloom.operators import mixture
+
+    rng = np.random.default_rng(4)
+    d = mixture.Descriptor(("b",), ("c1", "c2"), ("g",), ((0.0, 1.0, 2.0),), ("z",))
+    x = np.column_stack([rng.integers(0, 2, 400), rng.normal(5, 2, 400), rng.normal(0, 100, 400), rng.integers(0, 3, 400), rng.normal(size=400)]).astype(float)
+    layout = mixture._Layout(d, np.array([5.0, 0.0]), np.zeros(1), np.ones(1))
+
+    def fit(k, restart, variance):
+        return mixture.MixtureFit(
+            k, 0, restart, rng.uniform(0.1, 0.9, (k, 1)), rng.normal(5, 2, (k, 2)), np.full((k, 2), variance), rng.dirichlet(np.ones(3), k),
+            np.vstack([np.zeros(2), rng.normal(size=(k - 1, 2))]), np.full(k, 1.0 / k),
+        )
+
+    fits = [fit(3, 0, 9.0), fit(2, 0, 4.0), fit(3, 1, 1e-6), fit(3, 2, 50.0), fit(1, 0, 9.0)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in x.T], names=d.columns)
+    called = []
+    alone = mixture._statistics
+    mixture._statistics = lambda *a: called.append(a[1].restart) or alone(*a)
+    try:
+        got = mixture._batch_statistics(batch, (layout, fits))
+    finally:
+        mixture._statistics = alone
+    assert called == [1]
+    for f, flat in zip(fits, got, strict=True):
+        np.testing.assert_allclose(flat, alone(layout, f, layout.read(batch)), rtol=1e-8, atol=1e-8)
