@@ -40,8 +40,9 @@ def points(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def partitions_for(spark: SparkSession, n_rows: int, width: int) -> int:
-    """Partitions that give every core rows in each scan and hold a bounded number of values."""
-    return max(spark.sparkContext.defaultParallelism, -(-n_rows * width // PARTITION_VALUES))
+    """Partitions that give every core as many of them in each scan and hold a bounded number of values."""
+    cores = spark.sparkContext.defaultParallelism
+    return cores * max(1, -(-n_rows * width // (PARTITION_VALUES * cores)))
 
 
 def spread(frame: DataFrame, n_rows: int, width: int) -> DataFrame:

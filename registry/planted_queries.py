@@ -202,7 +202,9 @@ def latent_planted(spark, sf):
     path, labels = latent_class_job(source, class_spec(), scratch(spark, "planted_latent"), n_components=GROUPS, n_init=20)
     _, fit = mixture_of(spark.read.parquet(path))
     codes = spark.createDataFrame([(i, float(np.argmax(p))) for i, p in enumerate(fit.p_levels)], "label int, g double")
-    return labels.join(codes, "label").groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    # Counted before the join: joined by label, all rows would meet in as many tasks as there are classes.
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.join(codes, "label").groupBy("g").agg(F.sum("n").alias("n"))
 
 
 @query(

@@ -248,6 +248,21 @@ def test_phenotype_job_reads_its_cache(release_cohort, tmp_path):
     assert first["k_means"].count() == 4
 
 
+def test_latent_labels_are_counted_before_they_are_named(spark, sf_dir):
+    """Joined by label, all rows of a class would meet in one task."""
+    from registry.planted_queries import latent_planted
+
+    plan = latent_planted(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("Aggregate [label")
+
+
+def test_scans_have_a_whole_number_of_tasks_per_core(spark):
+    from cohortloom.operators.passes import PARTITION_VALUES, partitions_for
+
+    cores = spark.sparkContext.defaultParallelism
+    assert partitions_for(spark, 10, 4) == cores and partitions_for(spark, PARTITION_VALUES * (cores + 1), 1) == 2 * cores
+
+
 def test_predictability_pairs(release_cohort, tmp_path):
     models = {"Linear": Linear()}
     rows = predictability(release_cohort, ["SCQ", "RBSR"], models, reps=50).collect()
