@@ -248,6 +248,18 @@ def test_phenotype_job_reads_its_cache(release_cohort, tmp_path):
     assert first["k_means"].count() == 4
 
 
+def test_phenotype_job_joins_once(release_cohort, tmp_path, monkeypatch):
+    """Both sweeps get the same kept rows; each used to repeat the join, for its moments and for its points."""
+    from cohortloom.plans import phenotype
+
+    seen = []
+    for name in ("run_k_means", "run_gmm"):
+        run = getattr(phenotype, name)
+        monkeypatch.setattr(phenotype, name, lambda df, *args, run=run, **options: seen.append((df, df.storageLevel.useMemory)) or run(df, *args, **options))
+    phenotype_job(release_cohort, "final_score", ["SCQ", "RBSR"], str(tmp_path), "once", k_values=[2], repeats=1)
+    assert [kept for _, kept in seen] == [True, True] and seen[0][0] is seen[1][0] and not seen[0][0].storageLevel.useMemory
+
+
 def test_latent_labels_are_counted_before_they_are_named(spark, sf_dir):
     """Joined by label, all rows of a class would meet in one task."""
     from registry.planted_queries import latent_planted
