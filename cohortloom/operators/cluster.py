@@ -291,6 +291,16 @@ def _lloyd_statistics(batch: pa.RecordBatch, fits: Sequence[np.ndarray]) -> list
     return [np.concatenate([count[s], total[s].ravel()]) for s in own]
 
 
+def _costs(batch: pa.RecordBatch, fits: Sequence[np.ndarray]) -> list[np.ndarray]:
+    x = columns_of(batch)
+    return [np.array([_squared_distances(x, c).min(1).sum()]) for c in fits]
+
+
+def kmeans_costs(x: DataFrame, fits: Sequence[np.ndarray]) -> list[float]:
+    """Sum of squared distances to the nearest centre, for all fits from one scan of ``points``."""
+    return [float(s[0]) for s in sum_statistics(x, list(fits), _costs, [1] * len(fits))]
+
+
 def fit_kmeans_sweep(
     x: DataFrame,
     grid: Sequence[tuple[int, int]],

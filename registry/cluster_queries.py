@@ -10,6 +10,8 @@ from cohortloom.operators.cluster import (
     assemble,
     fit_gaussian_mixture,
     fit_kmeans,
+    fit_kmeans_sweep,
+    kmeans_costs,
     label_all,
     mixture_log_likelihoods,
     mixture_scores,
@@ -24,9 +26,10 @@ from cohortloom.operators.metrics import (
     silhouette_squared,
     with_labels,
 )
+from cohortloom.operators.passes import points, spread
 from cohortloom.operators.resample import mean_std, run_trials
 from cohortloom.operators.scale import standardize
-from cohortloom.plans.phenotype import DEFAULT_K, kmeans_trials, metrics_against_k, phenotype_job, run_gmm, run_k_means
+from cohortloom.plans.phenotype import DEFAULT_K, kept, kmeans_trials, metrics_against_k, phenotype_job, run_gmm, run_k_means
 from registry.base import query
 from registry.catalog_queries import scratch
 from registry.tables import DIMS, cohort, read, rounded, vectors, vectors_sql
@@ -177,11 +180,15 @@ def trials(spark, sf):
 
 @query("driver_parallel_trials", "B6")
 def parallel_trials(spark, sf):
-    features = assemble(vectors(spark, sf), COLS).persist()
-    grid = [(k, r) for k in DEFAULT_K for r in range(5)]
-    models = run_trials(spark, grid, lambda k, r: fit_kmeans(features, k, r))
-    costs = [(k, r, float(m.summary.trainingCost)) for (k, r), m in zip(grid, models)]
-    return mean_std(spark.createDataFrame(costs, "k int, repeat int, inertia double"), "k", ["inertia"])
+    # One trial is a repeat: its fits of every k share their scans, and the trials run side by side.
+    rows = points(vectors(spark, sf), COLS)
+    n = rows.count()
+    repeats = [(r,) for r in range(5)]
+    with kept(spread(rows, n, DIMS)) as x:
+        sweeps = run_trials(spark, repeats, lambda r: fit_kmeans_sweep(x, [(k, 1009 * k + r) for k in DEFAULT_K], n))
+        costs = kmeans_costs(x, [fit for fits in sweeps for fit in fits])
+    table = [(k, r, cost) for (r, k), cost in zip([(r, k) for (r,) in repeats for k in DEFAULT_K], costs, strict=True)]
+    return mean_std(spark.createDataFrame(table, "k int, repeat int, inertia double"), "k", ["inertia"])
 
 
 @query("kmeans_sweep", "M11")

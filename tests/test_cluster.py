@@ -308,3 +308,20 @@ def test_densities_from_features_equal_whitened_ones():
         upper = np.triu_indices(4)
         second = [((x * r[:, [c]]).T @ x)[upper] for c in range(r.shape[1])]
         np.testing.assert_allclose(flat, np.concatenate([[ll.sum()], r.sum(0), (r.T @ x).ravel(), *second]), rtol=1e-9, atol=1e-9)
+
+
+def test_parallel_trials_share_their_scans(spark, sf_dir, monkeypatch):
+    """Five trials of thirteen fits; a Spark job per fit and iteration ran out of time on 1 GB."""
+    from registry import cluster_queries as registered
+
+    grids = []
+
+    def fit(x, grid, n):
+        grids.append(grid)
+        return [np.zeros((k, registered.DIMS)) for k, _ in grid]
+
+    monkeypatch.setattr(registered, "fit_kmeans_sweep", fit)
+    rows = registered.parallel_trials(spark, sf_dir).collect()
+    assert len(grids) == 5 and len({pair for grid in grids for pair in grid}) == 65
+    vectors = registered.vectors(spark, sf_dir).select(*registered.COLS).toPandas().to_numpy()
+    assert [r["k"] for r in sorted(rows)] == list(range(2, 15)) and all(abs(r["mean_inertia"] - (vectors**2).sum()) < 1e-6 for r in rows)
