@@ -238,3 +238,33 @@ def test_every_batch_passes_the_family(monkeypatch):
     level = {"a": np.array([1, 5, 5, 5, 9], np.uint64), "b": np.array([0, 1, 2, 3, 0], np.uint64)}
     batch = {"a": np.array([0, 5, 5, 9, 9], np.uint64), "b": np.array([0, 3, 4, 0, 1], np.uint64)}
     assert repeated_passages._same(level, batch).tolist() == [-1, 3, -1, 4, -1]
+
+
+def test_cut_tokens_lose_no_match():
+    """The leading shingles travel as 40 bits; tokens of a row that are cut alike stay apart, so counts of common ones never fall."""
+    from cohortloom.llm.ngram_join import _short
+
+    a = np.array([5, 5 | 1 << 40, 7, 5 | 2 << 40, 5 | 1 << 40, -1], np.int64)
+    row = np.array([0, 0, 0, 1, 1, 1])
+    got = _short(a, row)
+    assert len(set(got[:3].tolist())) == len(set(got[3:].tolist())) == 3
+    # Row 0 and row 1 have one token in common, and two that are cut alike.
+    assert len(set(got[:3].tolist()) & set(got[3:].tolist())) == 2
+    assert (got.view(np.uint64) & np.uint64(0xFFFF00) == 0).all()
+
+
+def test_leading_shingles_take_few_bytes(spark):
+    """Tokens of the first shuffle end in zeros, which lz4 packs away; whole 64-bit hashes held the disk above four times the input."""
+    from cohortloom.llm import ngram_join
+
+    seen = []
+    shared = ngram_join._shared
+    try:
+        ngram_join._shared = lambda postings: seen.append(postings) or shared(postings)
+        texts = spark.createDataFrame([(i, " ".join(f"w{(i // 2) * 100 + j}" for j in range(60))) for i in range(20)], "doc_id long, text string")
+        found = ngram_join.similar_sets(texts)
+        assert {(r["doc_id"], r["component_id"]) for r in found.collect()} == {(i, i - i % 2) for i in range(20)}
+    finally:
+        ngram_join._shared = shared
+    tokens = [r["token"] for r in seen[0].collect()]
+    assert tokens and all(t & 0xFFFFFF < 60 for t in tokens)
