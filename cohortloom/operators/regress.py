@@ -8,19 +8,21 @@ Any other Spark ML estimator is fitted fold by fold.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Pipeline
 from pyspark.ml.base import Estimator
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortloom.functions.sql import number, quoted
 from cohortloom.operators.passes import columns_of, doubles, sum_statistics
+from cohortloom.operators.resample import run_trials
 from cohortloom.operators.scale import scaler_moments
 from cohortloom.operators.trees import BoostedTrees, Forest, boosted_scores, forest_scores
 
@@ -152,24 +154,52 @@ def score_linear(
     ]
 
 
+def training_moments(df: DataFrame, x: Sequence[str], fold_col: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Mean and sample deviation of the rows outside every fold, all folds from one pass. A missing value raises."""
+
+    def checked(c: str) -> Column:
+        value = F.col(quoted(c)).cast("double")
+        return F.when(value.isNull() | F.isnan(value), F.raise_error(F.lit(f"missing value in {c}")).cast("double")).otherwise(value)
+
+    summary = Summarizer.metrics("count", "mean", "variance").summary(array_to_vector(F.array(*map(checked, x))))
+    own = {r[fold_col]: r["s"] for r in df.groupBy(fold_col).agg(summary.alias("s")).collect()}
+    out = {}
+    for f in sorted(own):
+        n, mean, spread = 0, np.zeros(len(x)), np.zeros(len(x))
+        for g in sorted(own):
+            if g != f:
+                k, away = own[g]["count"], own[g]["mean"].toArray() - mean
+                spread += own[g]["variance"].toArray() * (k - 1) + away * away * (n * k / (n + k))
+                mean += away * (k / (n + k))
+                n += k
+        out[f] = mean, np.sqrt(spread / max(1, n - 1))
+    return out
+
+
 def score_estimator(
-    df: DataFrame, x: Sequence[str], y: str, fold_col: str, name: str, estimator: Estimator
+    df: DataFrame, x: Sequence[str], y: str, fold_col: str, name: str, estimator: Estimator, parallelism: int = 2
 ) -> list[tuple[str, int, float]]:
-    """Held-out R² per fold of any Spark ML regressor behind a scaler fitted on the training rows."""
-    staged = Pipeline(
-        stages=[
-            VectorAssembler(inputCols=list(x), outputCol="_raw"),
-            StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True),
-            estimator.copy().setFeaturesCol("_scaled").setLabelCol(y),
-        ]
-    )
-    evaluator = RegressionEvaluator(labelCol=y, metricName="r2")
-    scores = []
-    for f in fold_numbers(df, fold_col):
-        model = staged.fit(df.filter(F.col(fold_col) != f))
-        r2 = float(evaluator.evaluate(model.transform(df.filter(F.col(fold_col) == f))))
-        scores.append((name, f, r2 if math.isfinite(r2) else 0.0))
-    return scores
+    """Held-out R² per fold of any Spark ML regressor behind a scaling fitted on the training rows.
+
+    One pass gives the scaling of every fold and one job the scores of all of them; only the fits read the rows fold by fold.
+    """
+    moments = training_moments(df, x, fold_col)
+
+    def scaled(f: int) -> DataFrame:
+        # As Spark's scaler: a constant column becomes zero.
+        cells = [f"(CAST({quoted(c)} AS DOUBLE) - {number(m)}) * {number(1 / d if d else 0.0)}" for c, m, d in zip(x, *moments[f], strict=True)]
+        return df.select(fold_col, y, array_to_vector(F.expr(f"array({', '.join(cells)})")).alias("_scaled"))
+
+    def held_out(f: int) -> DataFrame:
+        fitted = estimator.copy().setFeaturesCol("_scaled").setLabelCol(y).fit(scaled(f).filter(F.col(fold_col) != f))
+        return fitted.transform(scaled(f).filter(F.col(fold_col) == f)).select(fold_col, F.col(y).cast("double").alias(y), F.col("prediction").cast("double"))
+
+    parts = run_trials(df.sparkSession, [(f,) for f in moments], held_out, parallelism)
+    predicted = functools.reduce(DataFrame.unionAll, parts)
+    lost = F.sum((F.col(y) - F.col("prediction")) ** 2)
+    scored = predicted.groupBy(fold_col).agg((1.0 - F.try_divide(lost, F.var_pop(y) * F.count(y))).alias("r2")).collect()
+    r2 = {r[fold_col]: r["r2"] for r in scored}
+    return [(name, f, r2[f] if r2[f] is not None and math.isfinite(r2[f]) else 0.0) for f in moments]
 
 
 def score_trees(

@@ -83,6 +83,29 @@ def test_registry_takes_any_estimator(spark, linear_data):
         Linear("elastic")
 
 
+def test_estimators_share_the_passes_around_their_fits(spark, linear_data):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    df = linear_data[0].withColumn("x3", F.lit(7.0))
+    own = LinearRegression(regParam=0.3, elasticNetParam=0.0, solver="normal", standardization=False)
+    context = spark.sparkContext
+    context.setJobGroup("fits", "")
+    scores = cross_validate(spark, df, [*X, "x3"], "y", "fold", {"Own": own}).collect()
+    # Two jobs inside every fit; the scaling and the scores of all folds are one pass each.
+    jobs = context.statusTracker().getJobIdsForGroup("fits")
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 2 * 3 + 8
+    for r in scores:
+        stages = [VectorAssembler(inputCols=[*X, "x3"], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), own.copy().setFeaturesCol("scaled").setLabelCol("y")]
+        rows = Pipeline(stages=stages).fit(df.filter(F.col("fold") != r["fold"])).transform(df.filter(F.col("fold") == r["fold"]))
+        assert r["r2"] == pytest.approx(r2_score(rows, "y", "prediction").first()["r2"], abs=1e-9)
+    broken = df.withColumn("x1", F.when(F.col("id") != 5, F.col("x1")))
+    with pytest.raises(Exception, match="missing value in x1"):
+        cross_validate(spark, broken, X, "y", "fold", {"Own": own})
+
+
 @pytest.fixture(scope="module")
 def classes(spark):
     """Planted classes over every column kind, membership driven by a covariate."""
