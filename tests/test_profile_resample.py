@@ -166,3 +166,25 @@ def test_standardize_uses_population_deviation(spark):
     got = sorted((r["x"], r["c"]) for r in standardize(df, ["x", "c"]).collect())
     assert np.allclose([g[0] for g in got], (x - x.mean()) / x.std()) and all(g[1] == 0.0 for g in got)
     assert standardize(df.filter(F.lit(False)), ["x", "c"]).count() == 0
+
+
+def test_folds_and_linear_scores_take_few_passes(spark):
+    from cohortloom.operators.regress import linear_models, score_linear
+
+    def jobs(name, work):
+        spark.sparkContext.setJobGroup(name, "")
+        try:
+            return work(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    df = spark.range(2000).selectExpr("id", "id % 7 + 0.0D AS x", "id * 2.0D AS y").repartition(4).persist()
+    df.count()
+    # One aggregate, a shuffle with its result, gives the sizes and with them the offsets.
+    folded, n = jobs("folds", lambda: assign_folds(df, "id", 5))
+    assert n <= 2
+    assert Counter(r["fold"] for r in folded.collect()) == {f: 400 for f in range(5)}
+    folded = folded.persist()
+    folded.count()
+    scores, n = jobs("scores", lambda: score_linear(folded, ["x"], "y", "fold", linear_models()))
+    assert n <= 4 and len(scores) == 15
