@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import tempfile
+import threading
 from collections.abc import Callable, Mapping
 from types import CodeType
 from typing import Any
@@ -97,7 +98,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+# Whether the shuffles of a plan go once it has run; a plan is bound to what holds when it is built.
+_SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_building = threading.Lock()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint that survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage with a reliable checkpoint that survives the loss of executors.
+
+    The shuffles behind it are not read again, so they leave the disk at once instead of when the driver happens to collect its garbage.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    with _building:
+        before = spark.conf.get(_SHUFFLES_GO, None)
+        spark.conf.set(_SHUFFLES_GO, "true")
+        try:
+            own = df.select("*")
+        finally:
+            spark.conf.unset(_SHUFFLES_GO) if before is None else spark.conf.set(_SHUFFLES_GO, before)
+    return own.checkpoint(eager=True)

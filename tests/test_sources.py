@@ -123,3 +123,16 @@ def test_package_is_shipped_once_from_many_threads():
     with ThreadPoolExecutor(max_workers=4) as pool:
         list(pool.map(ship_package, [session] * 4))
     assert len(sent) == 1
+
+
+def test_shuffles_behind_a_checkpoint_leave_the_disk(spark):
+    def held():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    rows = spark.range(1000).repartition(5, "id").groupBy("id").count()
+    before, kept = held(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    found = checkpointed(rows)
+    assert not held() - before
+    assert (found.count(), rows.count()) == (1000, 1000)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == kept
