@@ -2,15 +2,15 @@
 
 Every text is its set of distinct word shingles, globally ordered with common shingles last. Two sets of Jaccard similarity t or more share
 shingles among the first of each, and almost all shingles of either lie in some other set. Both facts, used in turn, leave
-the sets that can have a partner at all. These fall into blocks that share leading shingles, and in every block the sets stand
-in a trie that each of them traverses: an overlap counted along a path serves all sets below it, and a subtree is left as soon as its
+the sets that can have a partner at all. These are ordered anew, rare shingles first by their exact numbers, and fall into blocks of sets that
+share several of the leading ones. In every block the sets stand in a trie that each of them traverses: an overlap counted along a path serves all sets below it, and a subtree is left as soon as its
 remaining lengths cannot reach the wanted overlap. Large blocks are cut into parts that are joined pair by pair.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,10 @@ PART_TOKENS = 1_000_000
 MATRIX_BYTES = 8 << 20
 EDGE_TOKENS = 128
 SLICE_BYTES = 1 << 20
+# Sets up to which those of a token are counted for its level (two levels to a doubling, the last from here on).
+RANKED_SETS = 50_000
+# Sets up to which those of a leading token are compared pair by pair before they are put into one block.
+PAIRED_SETS = 16
 _U = np.uint64
 
 
@@ -106,36 +110,108 @@ def _bucket_levels(texts: DataFrame, width: int) -> np.ndarray:
     return _levels(counts)
 
 
+def _grouped(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Distinct rows (token, owner, ...) of sorted batches with the size of their token's group and the least owner in it.
+
+    Groups come whole up to ``most`` rows; a larger one comes in pieces of size ``most + 1``, so what is held is bounded.
+    """
+    held: list[np.ndarray] = []
+    hot: tuple[int, int] | None = None
+
+    def laid(rows: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        token, owner = rows[:2]
+        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        n = np.diff(first, append=len(token))
+        size, least = np.minimum(n, most + 1), owner[first]
+        if hot is not None and token[0] == hot[0]:
+            size[0], least[0] = most + 1, hot[1]
+        return *rows, np.repeat(size, n), np.repeat(least, n)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = [c.to_numpy() for c in b.columns]
+        rows = [np.concatenate(pair) for pair in zip(held, new, strict=True)] if held else new
+        token, owner = rows[:2]
+        fresh = np.r_[True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])]
+        rows = [c[fresh] for c in rows]
+        token = rows[0]
+        # The last group waits for its rest; of one that is too large already only the last row does, to tell repeated rows.
+        low = int(np.searchsorted(token, token[-1]))
+        known = hot is not None and token[-1] == hot[0]
+        leader = hot[1] if known else int(rows[1][low])
+        large = known or len(token) - low > most + 1
+        end = len(token) - 1 if large else low
+        if end:
+            out = [c[:end] for c in rows]
+            if large and not known:
+                whole = laid([c[:low] for c in out]) if low else None
+                hot = int(token[-1]), leader
+                if whole is not None:
+                    yield whole
+                out = [c[low:] for c in out]
+            yield laid(out)
+        held = [c[end:] for c in rows]
+    if held:
+        yield laid(held)
+
+
 def _shared(postings: DataFrame) -> DataFrame:
-    """The postings (token, set) of tokens that at least two sets have; streams over sorted partitions, a row of state."""
+    """The postings (token, set) of tokens that at least two sets have; streams over sorted partitions."""
+    return _recurring(postings, 1, lambda token, n: token)
+
 
+def _ranked(postings: DataFrame) -> DataFrame:
+    """The same; the level of a token becomes that of the number of sets that have it, so that rare tokens come first at any size of the data."""
+
+    def by_number(token: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return (np.minimum(2.0 * np.log2(n), 31.0).astype(np.int64) << 58) | (token & ((1 << 58) - 1))
+
+    return _recurring(postings, RANKED_SETS, by_number)
+
+
+def _recurring(postings: DataFrame, most: int, renamed: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, owner = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        before: int | None = None
-        for b in batches:
-            token = np.concatenate([token, b.column(0).to_numpy()])
-            owner = np.concatenate([owner, b.column(1).to_numpy()])
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-            token, owner = token[new], owner[new]
-            same = np.zeros(len(token) + 1, bool)
-            same[1:-1] = token[1:] == token[:-1]
-            same[0] = len(token) > 0 and before is not None and token[0] == before
-            # The last row waits for its successor.
-            out = (same[:-1] | same[1:])[:-1]
+        for token, owner, n, _ in _grouped(batches, most):
+            out = n > 1
             if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(token[:-1][out]), pa.array(owner[:-1][out])], names=["token", "owner"])
-            if len(token) > 1:
-                before = int(token[-2])
-            token, owner = token[-1:], owner[-1:]
-        if len(token) and before is not None and token[0] == before:
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(owner)], names=["token", "owner"])
+                yield pa.RecordBatch.from_arrays([pa.array(renamed(token[out], n[out])), pa.array(owner[out])], names=["token", "owner"])
 
     return postings.repartition("token").sortWithinPartitions("token", "owner").mapInArrow(run, "token long, owner long")
 
 
-def _explode(sets: DataFrame, take) -> DataFrame:
-    """(token, owner) of the leading ``take(size of the set, tokens at hand)`` tokens of each row (owner, size, tokens)."""
+def _met(postings: DataFrame) -> DataFrame:
+    """Pairs a, b of sets that may link, by the postings (token, owner, deep) of their leading tokens.
+
+    Two sets that link share at least the lesser ``deep`` of their leading tokens. Pairs are counted token by token; those that a token of more than
+    ``PAIRED_SETS`` sets brings together are taken as they are, as links to one of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, owner, deep, n, least in _grouped(batches, PAIRED_SETS):
+            far = (n > PAIRED_SETS) & (owner != least)
+            ends, one = [(least[far], owner[far])], np.ones(far.sum(), np.int64)
+            wanted = [one]
+            few = n <= PAIRED_SETS
+            token, owner, deep = token[few], owner[few], deep[few]
+            for d in range(1, PAIRED_SETS):
+                same = token[d:] == token[:-d]
+                if not same.any():
+                    break
+                ends.append((owner[:-d][same], owner[d:][same]))
+                wanted.append(np.minimum(deep[:-d][same], deep[d:][same]))
+            a, b = (np.concatenate([e[i] for e in ends]) for i in range(2))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.concatenate(wanted))], names=["a", "b", "deep"])
+
+    dealt = postings.repartition("token").sortWithinPartitions("token", "owner").mapInArrow(run, "a long, b long, deep long")
+    counted = dealt.groupBy("a", "b").agg(F.min("deep").alias("deep"), F.count(F.lit(1)).alias("n"))
+    return counted.where("n >= deep").select("a", "b")
+
+
+def _explode(sets: DataFrame, take, deep=None) -> DataFrame:
+    """(token, owner) of the leading ``take(size of the set, tokens at hand)`` tokens of each row (owner, size, tokens), and ``deep(size)`` if given."""
+    names = ["token", "owner"] + ["deep"] * (deep is not None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,9 +222,10 @@ def _explode(sets: DataFrame, take) -> DataFrame:
             place = np.arange(offsets[-1] - offsets[0]) - np.repeat(offsets[:-1] - offsets[0], held)
             chosen = place < np.repeat(n, held)
             flat = tokens.values.to_numpy()[offsets[0] : offsets[-1]]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[chosen]), pa.array(np.repeat(owner, n))], names=["token", "owner"])
+            columns = [flat[chosen], np.repeat(owner, n)] + ([np.repeat(deep(size), n)] if deep is not None else [])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    return sets.select("owner", "size", "tokens").mapInArrow(run, "token long, owner long")
+    return sets.select("owner", "size", "tokens").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 class Trie:
@@ -358,14 +435,16 @@ def _similar(texts: DataFrame, width: int, percent: int) -> DataFrame:
     for _ in range(2):
         # A set whose tokens are mostly its own has no partner; without it, more tokens of the others turn out to be their own.
         core = checkpointed(core)
-        held = _shared(_explode(core, lambda size, held: held)).groupBy("owner").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+        held = _ranked(_explode(core, lambda size, held: held)).groupBy("owner").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
         core = core.select("owner", "size").join(held, "owner").where(F.size("tokens") >= F.expr(f"(size * {percent} + 99) div 100"))
     core = checkpointed(core)
 
-    postings = _shared(_explode(core, lambda size, held: held - need(size, percent) + 1))
-    leaders = checkpointed(postings).groupBy("token").agg(F.min("owner").alias("a"))
-    stars = checkpointed(postings).join(leaders, "token").select("a", F.col("owner").alias("b")).distinct()
-    blocks = components(stars).select(F.col("node").alias("owner"), F.col("component").alias("block"))
+    def wanted_of(size: np.ndarray) -> np.ndarray:
+        return depth(need(size, percent))
+
+    # A single token may be shared by chance, and in large data chance joins everything to one block; sets that link share more of them.
+    leaders = _explode(core, lambda size, held: held - need(size, percent) + wanted_of(size), wanted_of)
+    blocks = components(_met(leaders)).select(F.col("node").alias("owner"), F.col("component").alias("block"))
     blocks = checkpointed(blocks)
     sets = checkpointed(core.join(blocks, "owner"))
     large = sets.groupBy("block").agg(F.sum(F.size("tokens")).alias("held")).where(F.col("held") > PART_TOKENS)

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm.cases import documents, empty, frame, words
 
@@ -87,6 +88,41 @@ def test_similar_sets_equal_brute_force(spark, monkeypatch, part_tokens):
     assert got == want
 
 
+def test_shingles_shared_by_chance_do_not_join_blocks(spark, monkeypatch):
+    rng = random.Random(11)
+    families = [words(rng, 120) for _ in range(30)]
+    for i, own in enumerate(families):
+        # One shingle in common with each of five others, far less than links need.
+        for k in range(1, 6):
+            own[20 * (k - 1) : 20 * (k - 1) + 5] = families[(i + 7 * k) % 30][100 + 3 * k - 3 : 100 + 3 * k + 2]
+    rows = [(10 * i + j, " ".join([*own[:-1], f"z{i}{j}"])) for i, own in enumerate(families) for j in range(3)]
+    sizes, links = [], ngram_join._links
+
+    def seen(parts, percent):
+        sizes.extend(r["n"] for r in parts.select("block", "owner").distinct().groupBy("block").count().withColumnRenamed("count", "n").collect())
+        return links(parts, percent)
+
+    monkeypatch.setattr(ngram_join, "_links", seen)
+    # Buckets of large data hold too many shingles to tell rare ones from others.
+    monkeypatch.setattr(ngram_join, "_bucket_levels", lambda texts, width: np.zeros(1 << ngram_join.BITS, np.uint8))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similar_sets(frame(spark, rows)).collect()}
+    assert got == {i: 10 * (i // 10) for i, _ in rows}
+    assert sizes == [3] * 30
+
+
+@pytest.mark.parametrize("most", [1, 3, 6])
+def test_groups_come_whole_up_to_their_bound(most):
+    rng = random.Random(most)
+    rows = sorted((rng.choice([1, 2, 2, 5, 5, 5, 9, rng.randint(10, 40)]), rng.randint(0, 12)) for _ in range(150))
+    cuts = [0, *sorted(rng.sample(range(len(rows)), 12)), len(rows)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[a:b]], pa.int64()) for i in range(2)], names=["token", "owner"]) for a, b in zip(cuts, cuts[1:])]
+    got = [x for piece in ngram_join._grouped(iter(batches), most) for x in zip(*(c.tolist() for c in piece), strict=True)]
+    groups = collections.defaultdict(list)
+    for t, o in sorted(set(rows)):
+        groups[t].append(o)
+    assert got == [(t, o, min(len(own), most + 1), own[0]) for t, own in groups.items() for o in own]
+
+
 def test_similar_sets_at_the_threshold(spark):
     a = [f"a{i}" for i in range(11)]
     # 7 shingles each, 6 common of 8; then 5 common of 9.
