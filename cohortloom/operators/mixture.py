@@ -176,76 +176,78 @@ def _statistics(layout: _Layout, fit: MixtureFit, parts: tuple) -> np.ndarray:
     return np.concatenate([x.ravel() for x in pieces])
 
 
-# Numbers that the fits of one size hold at once in a task (8 MB), and the most rounding of a log density that may come from products of columns.
-_CHUNK_VALUES = 1_000_000
+# Shares that the fits of one size hold at once in a task (0.5 MB, so that they stay in the cache), and the most rounding of a log density that may
+# come from products of columns.
+_CHUNK_VALUES = 65_536
 _FEATURE_ROUNDING = 1e-9
 
 
 def _coefficients(layout: _Layout, fits: Sequence[MixtureFit]) -> np.ndarray:
-    """Features x (classes, fits): the log densities of fits of one size are products with one, binary, continuous, squared and level columns."""
+    """Classes x features x fits: the log densities of fits of one size are products with one, binary, continuous, squared and level columns."""
     p = np.clip([f.p_binary for f in fits], PROBABILITY_FLOOR, 1.0 - PROBABILITY_FLOOR)
     mean, variance = np.array([f.mean for f in fits]) - layout.centre, np.array([f.variance for f in fits])
     constant = np.log1p(-p).sum(2) - 0.5 * (np.log(2.0 * np.pi * variance) + mean * mean / variance).sum(2)
     levels = np.log(np.maximum([f.p_levels for f in fits], PROBABILITY_FLOOR))
     every = np.concatenate([constant[:, :, None], np.log(p) - np.log1p(-p), mean / variance, -0.5 / variance, levels], axis=2)
-    return every.transpose(2, 1, 0).reshape(every.shape[2], -1)
+    return np.ascontiguousarray(every.transpose(1, 2, 0))
 
 
 def _normalized(joint: np.ndarray) -> np.ndarray:
-    """Rows x classes x fits of logarithms become shares of the classes, in place; returns the logarithms of their sums."""
-    top = joint.max(axis=1, keepdims=True)
+    """Classes x rows x fits of logarithms become shares of the classes, in place; returns the logarithms of their sums."""
+    top = joint.max(axis=0)
     joint -= top
     np.exp(joint, out=joint)
-    total = joint.sum(axis=1, keepdims=True)
-    joint /= total
-    return (top + np.log(total))[:, 0]
+    total = joint.sum(axis=0)
+    joint *= 1.0 / total
+    return top + np.log(total)
 
 
 def _sized_statistics(layout: _Layout, fits: Sequence[MixtureFit], parts: tuple) -> list[np.ndarray]:
-    """``_statistics`` of many fits with equally many classes: they share the products of their columns."""
+    """``_statistics`` of many fits with equally many classes: they share the products of their columns.
+
+    Shares are laid out classes x rows x fits, so that sums over classes and products of two classes run along memory. The curvature of the
+    memberships needs only pairs of different classes, since its rows add up to zero.
+    """
     k, g, q, ng = fits[0].k, len(fits), layout.q, len(layout.d.continuous)
     theta = _coefficients(layout, fits)
-    beta = np.array([f.beta for f in fits]).transpose(2, 1, 0).reshape(q, k * g)
+    beta = np.ascontiguousarray(np.array([f.beta for f in fits]).transpose(1, 2, 0))
+    upper = np.triu_indices(q)
     ll, zz = np.zeros(g), np.zeros((q, q))
-    acc, gradient = np.zeros((k * g, len(theta))), np.zeros((k * g, q))
-    curve, cross = np.zeros((k * g, q * q)), np.zeros((g, k * q, k * q))
-    step = max(16, _CHUNK_VALUES // (k * g * q))
+    acc, gradient = np.zeros((k, theta.shape[1], g)), np.zeros((k, q, g))
+    cross = np.zeros((k, k, len(upper[0]), g))
+    step = max(16, _CHUNK_VALUES // (k * g))
     for low in range(0, len(parts[0]), step):
         binary, gauss, hot, z = (x[low : low + step] for x in parts)
-        m = len(z)
-        features = np.hstack([np.ones((m, 1)), binary, gauss, gauss * gauss, hot])
-        prior = (z @ beta).reshape(m, k, g)
-        prior -= _log_sums(prior)[:, None]
-        r = (features @ theta).reshape(m, k, g) + prior
-        p = np.exp(prior)
+        features = np.hstack([np.ones((len(z), 1)), binary, gauss, gauss * gauss, hot])
+        squares = z[:, upper[0]] * z[:, upper[1]]
+        p = z @ beta
+        r = features @ theta
+        r += p
+        r -= _normalized(p)
         ll += _normalized(r).sum(0)
-        acc += r.reshape(m, -1).T @ features
-        gradient += (r - p).reshape(m, -1).T @ z
-        squares = (z[:, :, None] * z[:, None, :]).reshape(m, -1)
-        zz += squares.sum(0).reshape(q, q)
-        curve += p.reshape(m, -1).T @ squares
-        shares = (p.transpose(2, 0, 1)[:, :, :, None] * z[None, :, None, :]).reshape(g, m, k * q)
-        cross += shares.transpose(0, 2, 1) @ shares
+        acc += features.T @ r
+        zz += z.T @ z
+        for a in range(k - 1):
+            cross[a, a + 1 :] += squares.T @ (p[a] * p[a + 1 :])
+        r -= p
+        gradient += z.T @ r
     nb, at = len(layout.d.binary), 1 + len(layout.d.binary)
-    acc, gradient, curve = acc.reshape(k, g, -1), gradient.reshape(k, g, q), curve.reshape(k, g, q, q)
+    acc, gradient = acc.transpose(2, 0, 1), gradient.transpose(2, 0, 1)
+    hessian = np.zeros((g, k, k, q, q))
+    hessian[..., upper[0], upper[1]] = -(cross + cross.swapaxes(0, 1)).transpose(3, 0, 1, 2)
+    hessian[..., upper[1], upper[0]] = hessian[..., upper[0], upper[1]]
+    hessian[:, np.arange(k), np.arange(k)] = -hessian.sum(2)
     out = []
     for i in range(g):
-        hessian = -cross[i].reshape(k, q, k, q).transpose(0, 2, 1, 3)
-        hessian[np.arange(k), np.arange(k)] += curve[:, i]
-        own = acc[:, i]
+        own = acc[i]
         pieces = [
             ll[i : i + 1], own[:, 0], own[:, 1 : 1 + nb], own[:, at : at + ng], own[:, at + ng : at + 2 * ng], own[:, at + 2 * ng :],
-            gradient[:, i], hessian, zz,
+            gradient[i], hessian[i], zz,
         ]
         out.append(np.concatenate([x.ravel() for x in pieces]))
     return out
 
 
-def _log_sums(joint: np.ndarray) -> np.ndarray:
-    top = joint.max(axis=1)
-    return top + np.log(np.exp(joint - top[:, None]).sum(axis=1))
-
-
 def _batch_statistics(batch: pa.RecordBatch, state: tuple) -> list[np.ndarray]:
     """Fits of one size together; those with a variance too small for products of columns one by one."""
     layout, fits = state

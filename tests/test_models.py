@@ -443,3 +443,30 @@ def test_fits_of_one_size_share_their_products():
     assert called == [1]
     for f, flat in zip(fits, got, strict=True):
         np.testing.assert_allclose(flat, alone(layout, f, layout.read(batch)), rtol=1e-8, atol=1e-8)
+
+
+def test_shared_statistics_take_two_exponentials_of_a_share(monkeypatch):
+    """Shares of classes and of memberships once each, whatever the chunks; the sums are those of one fit at a time."""
+    from cohortloom.operators import mixture
+
+    rng = np.random.default_rng(4)
+    n, k = 700, 4
+    d = mixture.Descriptor(("b",), ("c1", "c2"), ("g",), ((0.0, 1.0, 2.0),), ("z1", "z2"))
+    layout = mixture._Layout(d, np.zeros(2), np.zeros(2), np.ones(2))
+    z = np.column_stack([np.ones(n), rng.normal(size=(n, 2))])
+    parts = (rng.integers(0, 2, (n, 1)).astype(float), rng.normal(size=(n, 2)), np.eye(3)[rng.integers(0, 3, n)], z)
+    fits = [
+        mixture.MixtureFit(
+            k, 0, i, rng.uniform(0.1, 0.9, (k, 1)), rng.normal(size=(k, 2)), rng.uniform(0.5, 2.0, (k, 2)), rng.dirichlet(np.ones(3), k),
+            np.vstack([np.zeros(3), rng.normal(size=(k - 1, 3))]), np.full(k, 1 / k),
+        )
+        for i in range(6)
+    ]
+    want = [mixture._statistics(layout, f, parts) for f in fits]
+    taken, exp = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda x, **o: taken.append(np.size(x)) or exp(x, **o))
+    monkeypatch.setattr(mixture, "_CHUNK_VALUES", 2400)
+    got = mixture._sized_statistics(layout, fits, parts)
+    assert sum(taken) == 2 * n * k * len(fits)
+    for a, b in zip(got, want, strict=True):
+        np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-9)
